@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.io import table
-from lodestone.llm import substring_dedup, suffix_dedup
+from lodestone.llm import exact_dedup, substring_dedup, suffix_dedup
+
+
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts and the row of each that stays."""
+    found = exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +27,16 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": r"""
+        with t as (select doc_id, coalesce(text, '') as o, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as n from documents),
+        k as (select doc_id, n, first_value(doc_id) over w as keep_id, count(*) over (partition by n) as group_size
+              from t window w as (partition by n order by length(o) desc, doc_id))
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_sha256 from k
+    """,
+}
