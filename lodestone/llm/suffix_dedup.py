@@ -35,6 +35,8 @@ from lodestone.llm.kernels import byte_grams, covered, groups_of, leftmost_min,
 LENGTH = 200
 GRAM_DOUBLINGS = 6
 GRAM = 1 << GRAM_DOUBLINGS
+#: Buckets of suffixes for each shuffle partition: a Python worker holds a bucket whole.
+BUCKETS = 4
 
 
 def anchors(part: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
@@ -245,7 +247,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: flags_of_repeats(b, "key"), "key bigint, doc_id bigint, place bigint")
     places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     suffixes = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts(length), "doc_id bigint, lo bigint, more smallint, left binary, right binary")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = written(suffixes.repartitionByRange(n, "right", "doc_id").mapInArrow(bucket(length), OUT), "suffixes")
     across = marked.filter("kind = 1").groupBy("digest").agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("x")).filter(F.size("x") > 1)
     return marked.filter("kind = 0").select("doc_id", "lo", "hi").unionByName(across.select(F.explode("x").alias("x")).select("x.*"))
