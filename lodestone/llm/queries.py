@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.io import table
-from lodestone.llm import exact_dedup, jaccard_join, substring_dedup, suffix_dedup
+from lodestone.llm import bpe, exact_dedup, jaccard_join, packing, substring_dedup, suffix_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every text and the bytes they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    both = bpe.decode_ids(ids, path, public_tokenizers.PATTERN)
+    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit decreasing of all documents into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,6 +49,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
