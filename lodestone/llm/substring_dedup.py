@@ -95,22 +95,27 @@ def scan(window: int, gram: int):
     return run
 
 
-def stretches(window: int):
+def stretches(window: int, gram: int):
     """The words that the windows of each kept anchor cover, under the anchor's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, places, keys in zip(int64(batch.column("doc_id")), batch.column("text"), batch.column("places"), batch.column("keys"), strict=True):
-                place, key = int64(places.values), int64(keys.values)
-                lo, hi = place >> 16, (place >> 16) + (place & 255) + window
-                buffer = np.frombuffer(b" ".join(text.as_py().split()), np.uint8)
-                gap = np.flatnonzero(buffer == 32)
-                starts, ends = np.concatenate(([0], gap + 1)), np.append(gap, len(buffer))
-                ok = hi <= len(starts)
-                lo, hi, key = lo[ok], hi[ok], key[ok]
-                for k in range(0, len(lo), 20_000):
-                    a, b = starts[lo[k : k + 20_000]], ends[hi[k : k + 20_000] - 1]
-                    yield pa.record_batch([pa.array(key[k : k + 20_000]), pa.array(np.full(len(a), doc)), pa.array(lo[k : k + 20_000]), binary(buffer, a, b - a)], ["key", "doc_id", "lo", "words"])
+            for doc, text, places in zip(int64(batch.column("doc_id")), batch.column("text"), batch.column("places"), strict=True):
+                words = text.as_py().split()
+                place = np.sort(int64(places.values))
+                # Part by part, as a text may be long: the anchors whose stretches begin in it.
+                for at in range(0, len(words), PART):
+                    mine = place[(place >> 16 >= at) & (place >> 16 < at + PART)]
+                    lo = (mine >> 16) - at
+                    hi = lo + (mine & 255) + window
+                    buffer = np.frombuffer(b" ".join(words[at : at + PART + 2 * window]), np.uint8)
+                    starts, ends, hashes = tokens(buffer)
+                    ok = hi <= len(starts)
+                    lo, hi, anchor = lo[ok], hi[ok], lo[ok] + (mine[ok] >> 8 & 255)
+                    key = word_grams(hashes, gram)[anchor].view(np.int64)
+                    for k in range(0, len(lo), 20_000):
+                        a, b = starts[lo[k : k + 20_000]], ends[hi[k : k + 20_000] - 1]
+                        yield pa.record_batch([pa.array(key[k : k + 20_000]), pa.array(np.full(len(a), doc)), pa.array(lo[k : k + 20_000] + at), binary(buffer, a, b - a)], ["key", "doc_id", "lo", "words"])
 
     return run
 
@@ -180,21 +185,21 @@ def removal(window: int):
     return run
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, lo, hi): word spans made of windows that also start in a document with a smaller id. Of equal texts some
-    are skipped; ``copies`` tells those. ``docs`` has doc_id (bigint) and text (binary)."""
+def duplicate_spans(docs: DataFrame, copied: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, lo, hi): word spans made of windows that also start in a document with a smaller id. ``docs`` has doc_id (not
+    null) and text (binary); documents in ``copied`` are left out, since their texts stand in an earlier one."""
     row = "key bigint, doc_id bigint, place bigint"
-    found = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(scan(window, gram), row)
+    found = docs.mapInArrow(scan(window, gram), row)
     kept = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: flags_of_repeats(b, "key"), row)
-    places = kept.groupBy("doc_id").agg(F.collect_list(F.struct("place", "key")).alias("x"))
-    sent = docs.join(places, "doc_id").select("doc_id", "text", F.col("x.place").alias("places"), F.col("x.key").alias("keys"))
-    sent = sent.mapInArrow(stretches(window), "key bigint, doc_id bigint, lo bigint, words binary")
+    places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(copied, "doc_id", "left_anti")
+    sent = docs.join(places, "doc_id").select("doc_id", "text", "places")
+    sent = sent.mapInArrow(stretches(window, gram), "key bigint, doc_id bigint, lo bigint, words binary")
     return sent.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(parse(window), "doc_id bigint, lo bigint, hi bigint")
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id): documents whose whole text also stands in a row with a smaller id."""
-    digest = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("digest"))
+    digest = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     return digest.join(first, "digest").filter("doc_id > first").select("doc_id").distinct()
 
@@ -202,8 +207,13 @@ def copies(docs: DataFrame) -> DataFrame:
 def remove_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, span_starts, span_ends (word spans removed)."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
-    found = duplicate_spans(docs, window, gram).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    marks = found.join(copies(docs).withColumn("copied", F.lit(True)), "doc_id", "full")
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "los", "his", "copied").mapInArrow(
+    named = docs.filter(F.col("doc_id").isNotNull())
+    copied = copies(named)
+    found = duplicate_spans(named, copied, window, gram).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    marks = found.join(copied.withColumn("copied", F.lit(True)), "doc_id", "full")
+    # Named rows alone are joined, so that this exchange of the texts is the one that found the stretches, reused.
+    marked = named.join(marks, "doc_id", "left").select("doc_id", "text", "los", "his", "copied")
+    rest = docs.filter(F.col("doc_id").isNull()).withColumns({"los": F.lit(None).cast("array<bigint>"), "his": F.lit(None).cast("array<bigint>"), "copied": F.lit(False)})
+    return marked.unionByName(rest).mapInArrow(
         removal(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>"
     )
