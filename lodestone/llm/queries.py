@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.io import table
-from lodestone.llm import bpe, exact_dedup, jaccard_join, language_id, packing, substring_dedup, suffix_dedup
+from lodestone.llm import bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, suffix_dedup
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its personal data and secrets replaced by surrogates."""
+    found = pii.replace_in(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_entities", "entity_types", "text")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -63,6 +69,7 @@ QUERIES = {
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLES: dict[str, str] = {
