@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.io import table
-from lodestone.llm import bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, suffix_dedup
+from lodestone.llm import audio, bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, suffix_dedup, warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of audio made from every embedding, and the recordings that align with those whose id 20 divides."""
+    return audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit decreasing of all documents into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -43,6 +48,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    found = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    digests = {f"{c}_sha256": F.sha2(c, 256) for c in ("metadata", "conversion")}
+    return found.withColumns(digests).drop("metadata", "conversion")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 13-word window that also starts in an earlier document are removed."""
     found = substring_dedup.remove_passages(table(spark, sf_dir, "documents"))
@@ -65,8 +77,10 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op4_media_columns": op4_media_columns,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_warc": op7_warc,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
