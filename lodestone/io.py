@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``df`` with a broadcast hint only where Catalyst's size estimate is below ``limit``; otherwise unchanged,
     so the join falls back to a shuffled one."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
 
 
