@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.io import written
+from lodestone.io import small, written
 from lodestone.llm.common import SPACES
 
 #: Code points in a block.
@@ -86,5 +86,5 @@ def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``. ``docs`` must be read from files."""
     numbered_docs = with_row(docs)
-    gone = find_copies(numbered_docs, text, doc_id, block).filter(~F.col("kept")).select("_row")
-    return numbered_docs.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = written(find_copies(numbered_docs, text, doc_id, block).filter(~F.col("kept")).select("_row"), "copies")
+    return numbered_docs.join(small(gone), "_row", "left_anti").select(*docs.columns)
