@@ -129,7 +129,7 @@ def text_control_and_names(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", fixed.alias("clean"), F.regexp_replace(name, "Src", "src").alias("name"), T.project_slug(name).alias("slug"))
 
 
-@book.query("""select event_id, round(age, 4) as age_days, round(age * 24, 4) as age_hours, round(1 / (1 + 0.01 * greatest(0, age)), 6) as recency,
+@book.query("""select event_id, floor(age)::bigint as age_days, floor(age * 24 + 1e-6)::bigint as age_hours, round(1 / (1 + 0.01 * greatest(0, age)), 6) as recency,
     round(6.5 * greatest(0, least(1, value / 100)) + 3.5 * exp(-(user_id % 7) / 5.0) + 0.12 * greatest(0, least(1, 1 / (1 + 0.01 * greatest(0, age)))) + 0.9 * greatest(0, least(1, value / 50)) + 1.2 * 0.5, 6) as fused,
     round(1 / (1 + exp(-(value / 100))), 6) as sigmoid, round(case when user_id % 4 > 0 then value * (1 + 0.2 * (user_id % 4)) else value end, 6) as boosted,
     value / 100 >= 0.25 as passes from (select *, epoch(timestamp '2024-02-01' - ts) / 86400 as age from (select event_id, user_id, value, date_trunc('second', ts) as ts from events))""")
@@ -137,7 +137,7 @@ def score_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Age, recency, weighted fusion, sigmoid, tag boost and threshold for every event."""
     e = table(spark, d, "events").withColumn("age", S.age_days(F.date_trunc("second", "ts"), "2024-02-01 00:00:00"))
     fused = S.fusion(F.col("value") / 100, S.rank_score(F.col("user_id") % 7), S.recency("age"), F.col("value") / 50, F.lit(0.5))
-    return e.select("event_id", F.round("age", 4).alias("age_days"), F.round(F.col("age") * 24, 4).alias("age_hours"), F.round(S.recency("age"), 6).alias("recency"), F.round(fused, 6).alias("fused"), F.round(S.sigmoid(F.col("value") / 100), 6).alias("sigmoid"), F.round(S.tag_boost("value", F.col("user_id") % 4), 6).alias("boosted"), (F.col("value") / 100 >= S.THRESHOLD).alias("passes"))
+    return e.select("event_id", F.floor("age").alias("age_days"), F.floor(F.col("age") * 24 + 1e-6).alias("age_hours"), F.round(S.recency("age"), 6).alias("recency"), F.round(fused, 6).alias("fused"), F.round(S.sigmoid(F.col("value") / 100), 6).alias("sigmoid"), F.round(S.tag_boost("value", F.col("user_id") % 4), 6).alias("boosted"), (F.col("value") / 100 >= S.THRESHOLD).alias("passes"))
 
 
 @book.query("""select vec_id, round(coalesce(list_cosine_similarity(embedding::double[], q::double[]), 0), 5) as cosine, round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 5) as norm, len(embedding) = 64 as valid
