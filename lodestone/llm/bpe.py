@@ -4,7 +4,7 @@ The ranks of a vocabulary fix how each token splits into two earlier ones. Two n
 if no merge across their border comes before the merges that made them; that test is memoised by pair. An encoding is then
 found by taking the longest token at each place and stepping back to a shorter one (or a token back) where the test fails;
 a bit for each place keeps any place from being tried twice. Bytes are mapped to Latin-1 characters, so that
-pyahocorasick gives all tokens at all places in one pass.
+pyahocorasick's trie finds the longest token at a place in one step.
 
 Texts are split by the vocabulary's pattern and each match is encoded by itself; encodings of short matches are kept.
 
@@ -15,18 +15,23 @@ repeated rows and null ids need no care; an empty table gives no rows; further c
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Matches of at most this many characters are kept, and this many of them.
+#: Matches of at most this many characters are kept: this many new ones, and as many from before.
 KEPT_LENGTH = 40
 KEPT = 1 << 18
+#: Texts below this code point are split with the classes of the pattern written out, which the ``re`` module does faster.
+PLAIN = 0x250
 
 
 class Vocabulary:
@@ -36,9 +41,13 @@ class Vocabulary:
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.matcher = ahocorasick.Automaton()
-        for i, t in enumerate(tokens):
-            self.matcher.add_word(t.decode("latin-1"), (i, len(t)))
+        self.by_latin = {t.decode("latin-1"): i for i, t in enumerate(tokens)}
+        for latin, i in self.by_latin.items():
+            self.matcher.add_word(latin, i)
         self.matcher.make_automaton()
+        self.lengths = [len(t) for t in tokens]
+        self.reach = max(self.lengths, default=0)
+        self.table = pa.array(tokens, pa.binary())
         self.shorter: dict[int, int] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = []
@@ -53,6 +62,8 @@ class Vocabulary:
                     self.halves[i] = (a, b)
                     break
                 a = self.prefix(a)
+        for i in range(len(tokens)):
+            self.prefix(i)
         self.fits.clear()  # tests made before all merges were known
 
     @classmethod
@@ -94,26 +105,31 @@ class Vocabulary:
             self.fits[left, right] = found
         return found
 
+    def longest(self, latin: str, at: int) -> int:
+        """The longest token that starts at a place of a match written in Latin-1."""
+        size, find = self.matcher.longest_prefix(latin[at : at + self.reach]), self.by_latin.get
+        while (token := find(latin[at : at + size])) is None:
+            size -= 1
+        return token
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
         if (whole := self.ids.get(piece)) is not None:
             return [whole]
-        longest = [-1] * (len(piece) + 1)
-        for end, (token, size) in self.matcher.iter(piece.decode("latin-1")):
-            at = end - size + 1
-            if longest[at] < 0 or len(self.tokens[longest[at]]) < size:
-                longest[at] = token
-        open_, out, at, token = bytearray(b"\1" * (len(piece) + 1)), [], 0, longest[0]
-        tokens, adjacent, prefix = self.tokens, self.adjacent, self.prefix
-        while at < len(piece):
-            end = at + len(tokens[token])
-            if open_[end] and (not out or adjacent(out[-1], token)):
+        latin, size = piece.decode("latin-1"), len(piece)
+        open_, out, at, token = bytearray(b"\1" * (size + 1)), [], 0, self.longest(latin, 0)
+        lengths, fits, shorter = self.lengths, self.fits, self.shorter
+        while at < size:
+            end = at + lengths[token]
+            if open_[end] and (not out or (fits.get((out[-1], token)) if (out[-1], token) in fits else self.adjacent(out[-1], token))):
                 out.append(token)
-                at, token = end, longest[end]
-            elif (token := prefix(token)) < 0:  # nothing fits here; the token before must be a shorter one
+                at = end
+                if at < size:
+                    token = self.longest(latin, at)
+            elif (token := shorter[token]) < 0:  # nothing fits here; the token before must be a shorter one
                 open_[at] = 0
                 token = out.pop()
-                at -= len(tokens[token])
+                at -= lengths[token]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -122,31 +138,69 @@ class Vocabulary:
 
 
 class Packed(dict):
-    """Matches of the pattern with their ids as little-endian 32-bit words."""
+    """Matches of the pattern with their ids as little-endian 32-bit words. When it is full, what it holds becomes the older
+    half, from which matches that come again are taken over."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, match: str) -> bytes:
-        ids = np.array(self.vocabulary.encode(match.encode()), "<u4").tobytes()
+        if (ids := self.older.get(match)) is None:
+            ids = array("I", self.vocabulary.encode(match.encode())).tobytes()
         if len(match) <= KEPT_LENGTH:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[match] = ids
         return ids
 
 
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts below PLAIN, with letters, numbers and white space as explicit classes; None if it holds others."""
+
+    def ranges(kind: str) -> str:
+        found = [i for i in range(PLAIN) if regex.match(kind, chr(i))]
+        starts = [i for i in found if i - 1 not in found]
+        ends = [i for i in found if i + 1 not in found]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+    kinds = {k: ranges(k) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        if (kind := next((k for k in kinds if pattern.startswith(k, at)), None)) is not None:
+            out += kinds[kind] if inside else f"[{kinds[kind]}]"
+            at += len(kind)
+        elif pattern.startswith(r"\S", at) and not inside:
+            out += f"[^{kinds[r'\s']}]"
+            at += 2
+        elif pattern[at] == "\\":
+            return None
+        else:
+            inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+            out += pattern[at]
+            at += 1
+    return re.compile(out)
+
+
 class Encoder:
     """Ids of whole texts."""
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary.load(path)
         self.find = regex.compile(pattern).findall
+        plain = plain_pattern(pattern)
+        self.find_plain = plain.findall if plain else self.find
+        self.beyond = re.compile(f"[^\\x00-\\u{PLAIN - 1:04x}]").search
         self.kept = Packed(self.vocabulary)
 
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit words."""
+        find = self.find if self.beyond(text) else self.find_plain
+        return b"".join(map(self.kept.__getitem__, find(text)))
+
     def __call__(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.kept.__getitem__, self.find(text))), "<u4")
+        return np.frombuffer(self.packed(text), "<u4")
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -164,13 +218,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", d
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern).packed
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 ids = [encode(x or "") for x in part.column("text").to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                values = pa.array(np.concatenate(ids).view(np.int32) if len(ids) else np.zeros(0, np.int32))
+                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -181,11 +235,16 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path, pattern).vocabulary.decode
+        tokens = encoder(path, pattern).vocabulary.table
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                texts = [decode(x) for x in part.column("ids").to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+                ids = part.column("ids")
+                joined = tokens.take(ids.flatten())
+                # The bytes of neighbouring tokens lie side by side, so a text is one slice from its first token to its last.
+                ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1]
+                bounds = np.cumsum([0, *(0 if n is None else n for n in pc.list_value_length(ids).to_pylist())])
+                texts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends[bounds].copy()), joined.buffers()[2]])
+                yield pa.record_batch([*part.columns, texts], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
