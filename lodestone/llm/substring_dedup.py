@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.io import small, written
 from lodestone.llm.common import binary, flags_of_repeats, int64, utf8
 from lodestone.llm.kernels import covered, groups_of, leftmost_min, runs, tokens, word_grams
 
@@ -191,7 +192,7 @@ def duplicate_spans(docs: DataFrame, copied: DataFrame, window: int = WINDOW, gr
     row = "key bigint, doc_id bigint, place bigint"
     found = docs.mapInArrow(scan(window, gram), row)
     kept = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: flags_of_repeats(b, "key"), row)
-    places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(copied, "doc_id", "left_anti")
+    places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(small(copied), "doc_id", "left_anti")
     sent = docs.join(places, "doc_id").select("doc_id", "text", "places")
     sent = sent.mapInArrow(stretches(window, gram), "key bigint, doc_id bigint, lo bigint, words binary")
     return sent.repartition("key").sortWithinPartitions("key", "doc_id", "lo").mapInArrow(parse(window), "doc_id bigint, lo bigint, hi bigint")
@@ -206,9 +207,11 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def remove_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, span_starts, span_ends (word spans removed)."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
+    # Not renamed or cast without need: an alias on one side only would keep Spark from seeing that two exchanges are one.
+    same = doc_id == "doc_id" and docs.schema[doc_id].dataType.simpleString() == "bigint"
+    docs = docs.select("doc_id" if same else F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
     named = docs.filter(F.col("doc_id").isNotNull())
-    copied = copies(named)
+    copied = written(copies(named), "copies")
     found = duplicate_spans(named, copied, window, gram).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
     marks = found.join(copied.withColumn("copied", F.lit(True)), "doc_id", "full")
     # Named rows alone are joined, so that this exchange of the texts is the one that found the stretches, reused.
