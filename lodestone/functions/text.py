@@ -163,8 +163,8 @@ def truncate(content: Column | str, limit: int) -> Column:
 def key_lines(content: Column | str, limit: int) -> Column:
     """Headings, then bullets, then sentences of the text outside code fences; distinct, at most ``limit``."""
     prose = F.regexp_replace(_col(content), "(?s)```.*?```", "")
-    lines = F.filter(F.transform(F.split(prose, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^[-=*`#\s]+$"))
-    sentences = F.filter(F.transform(F.split(F.regexp_replace(prose, r"\s+", " "), r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(prose, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^[-=*`#\s]+$"))
+    sentences = F.filter(F.transform(F.split(F.regexp_replace(prose, r"\s+", " "), r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
     found = F.concat(F.filter(lines, lambda x: x.rlike(r"^#{1,4}\s+")), F.filter(lines, lambda x: x.rlike(r"^[-*]\s+")), sentences)
     bare = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"^#{1,4}\s+", ""), r"^[-*]\s+", ""))
     return F.slice(F.array_distinct(bare), 1, limit)

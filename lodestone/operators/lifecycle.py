@@ -183,7 +183,7 @@ def next_claim(jobs: DataFrame, now: Column, most: int) -> DataFrame:
 def recovered(jobs: DataFrame, now: Column) -> DataFrame:
     """Running jobs whose lease is over: cancelled, dead or waiting for another try."""
     lost = jobs.filter((F.col("status") == "running") & (F.col("lease_until") <= now))
-    return lost.withColumn("status", F.when("cancel_requested", "cancelled").when(F.col("attempts") >= F.col("max_attempts"), "dead-letter").otherwise("retry-wait"))
+    return lost.withColumn("status", F.when(F.col("cancel_requested"), "cancelled").when(F.col("attempts") >= F.col("max_attempts"), "dead-letter").otherwise("retry-wait"))
 
 
 def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:
