@@ -50,18 +50,26 @@ SYLLABLES = {
 }
 
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True)) + ")\\.? "
-#: Patterns by type, in order of precedence. Each starts where no longer run of its characters does, so matching is linear.
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Patterns by type, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9\-])(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9\-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9.])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "secret": r"(?:(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv4": _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
+    "ssn": r"(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
+    "phone": r"(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-))(?![0-9])",
+    "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "name": _TITLE + r"\p{Lu}[\p{L}'’\-]{1,40}(?: \p{Lu}[\p{L}'’\-]{1,40})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_EITHER = lambda *kinds: "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+#: What may begin at a place is decided before anything is tried: the start of a word for all, or a digit behind a letter.
+ANY = (
+    r"(?<![\p{L}\p{N}])(?:(?=[A-Za-z0-9._%+\-])(?<![._%+\-])(?:" + PATTERNS["email"] + ")|(?=[0-9A-Za-z])(?:" + _EITHER("secret", "iban") + r")|(?=[0-9])(?<![0-9]\.|-)(?:" + _EITHER("ipv4", "ssn") + r")|(?=[+(0-9])(?<![+])(?:" + PATTERNS["phone"] + ")|(?=[0-9])(?<![0-9][.])(?:" + PATTERNS["card"] + ")|" + PATTERNS["name"] + ")"
+    r"|(?<![0-9]|[0-9]\.)(?=[0-9])(?:" + _EITHER("ipv4", "card") + ")"
+)
+#: A text without any of these has no entity, and is not searched.
+MAYBE = "[0-9@]|AKIA|ghp_|sk-|" + _TITLE
 
 
 def let(value: Column, body) -> Column:
@@ -206,7 +214,8 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
 
 def found_in(text: str) -> Column:
     """The entities of a text, in order."""
-    return F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(ANY), F.lit(0))
+    whole = F.col(text).cast("string")
+    return F.when(whole.rlike(MAYBE), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
