@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,12 @@ def utf8(column: str | Column) -> Column:
     return F.encode(F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit("")), "UTF-8")
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` by a short name."""
-    return df.mapInArrow(function, schema)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def int64(column: pa.Array) -> np.ndarray:

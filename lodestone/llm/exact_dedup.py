@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.io import small, written
-from lodestone.llm.common import SPACES
+from lodestone.llm.common import SPACES, unused
 
 #: Code points in a block.
 BLOCK = 4096
@@ -31,9 +31,9 @@ def normalised(text: str) -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a number for each row that stays the same while the files stay the same."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def numbered_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """doc_id, text and ``_row``, a number for each row that stays the same while the files stay the same."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_row"))
 
 
 def numbered(distinct: DataFrame, *by: str) -> DataFrame:
@@ -41,18 +41,18 @@ def numbered(distinct: DataFrame, *by: str) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def blocks(docs: DataFrame, text: str, doc_id: str, block: int) -> DataFrame:
+def blocks(docs: DataFrame, block: int) -> DataFrame:
     """One row for each block: _row, doc_id, n_chars, text_sha256, n_blocks, at, block and its digests."""
-    plain = docs.select("_row", F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n_chars"), normalised(text).alias("plain"))
+    plain = docs.select("_row", "doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), normalised("text").alias("plain"))
     cut = F.when(F.length("plain") <= block, F.array("plain")).otherwise(F.regexp_extract_all("plain", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
     plain = plain.select("_row", "doc_id", "n_chars", F.sha2("plain", 256).alias("text_sha256"), cut.alias("cut"))
     found = plain.select("_row", "doc_id", "n_chars", "text_sha256", F.size("cut").alias("n_blocks"), F.posexplode("cut").alias("at", "block"))
     return found.withColumns({"h1": F.xxhash64("block"), "h2": F.xxhash64(F.lit("second"), "block"), "size": F.length("block")})
 
 
-def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """_row, doc_id, n_chars, text_sha256, n_blocks, name: equal texts have equal (n_blocks, name). ``docs`` has ``_row``."""
-    found = blocks(docs, text, doc_id, block)
+def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """_row, doc_id, n_chars, text_sha256, n_blocks, name: equal texts have equal (n_blocks, name). ``docs``: see ``numbered_rows``."""
+    found = blocks(docs, block)
     key = ["h1", "h2", "size"]
     names = written(numbered(found.select(*key, "block").distinct(), *key, "block").drop("block"), "block-names")
     if names.groupBy(*key).count().filter("count > 1").isEmpty():
@@ -75,8 +75,7 @@ def identities(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bloc
 def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, _row. Of equal texts the one with the most code
     points before normalisation stays, then the smallest id."""
-    docs = docs if "_row" in docs.columns else with_row(docs.select(doc_id, text))
-    named = identities(docs, text, doc_id, block)
+    named = identities(numbered_rows(docs, text, doc_id), block)
     best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("id"), (-F.col("_row")).alias("row")))
     groups = named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
     joined = named.join(groups, ["n_blocks", "name"])
@@ -85,6 +84,6 @@ def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``. ``docs`` must be read from files."""
-    numbered_docs = with_row(docs)
-    gone = written(find_copies(numbered_docs, text, doc_id, block).filter(~F.col("kept")).select("_row"), "copies")
-    return numbered_docs.join(small(gone), "_row", "left_anti").select(*docs.columns)
+    gone = written(find_copies(docs, text, doc_id, block).filter(~F.col("kept")).select("_row"), "copies")
+    row = unused(docs, "_row")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(small(gone.withColumnRenamed("_row", row)), row, "left_anti").select(*docs.columns)

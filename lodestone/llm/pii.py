@@ -11,7 +11,8 @@ surrogate another entity also drew, or that is itself an entity of the corpus, d
 to, which is the rule, surrogates are computed in place and no text is shuffled; otherwise the attempts are joined.
 
 Results for odd input: null text stays null with no entities; empty text stays empty; repeated rows are replaced alike;
-ids are carried as they are; an empty table gives no rows; further columns of the input are kept by ``replace_in``.
+ids are carried as they are; an empty table gives no rows; further columns of the input are kept (but
+``n_entities`` and ``entity_types``, which are replaced).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.io import written
+from lodestone.llm.common import unused
 
 KEY = "lodestone"
 #: Draws after which an unresolved clash is an error; a draw gives a name one more syllable.
@@ -245,15 +247,18 @@ def _woven(text: str, surrogates: Column) -> Column:
 def replace_in(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced and ``n_entities`` and ``entity_types`` added. ``docs`` must be read from files."""
     again = attempts(docs, text, key)
-    rows = docs.withColumn("_found", found_in(text))
+    found, new, row = (unused(docs, c) for c in ("_found", "_new", "_row"))
+    rows = docs.withColumn(found, found_in(text))
     if again.isEmpty():
-        rows = rows.withColumn("_new", F.transform("_found", lambda e: surrogate(e, F.lit(0), key)))
+        rows = rows.withColumn(new, F.transform(found, lambda e: surrogate(e, F.lit(0), key)))
     else:
-        rows = rows.withColumn("_row", F.monotonically_increasing_id())
-        each = rows.select("_row", F.posexplode("_found").alias("_at", "_entity")).withColumn("canonical", canonical(F.col("_entity")))
+        rows = rows.withColumn(row, F.monotonically_increasing_id())
+        each = rows.select(row, F.posexplode(found).alias("_at", "_entity")).withColumn("canonical", canonical(F.col("_entity")))
         each = each.join(again, "canonical", "left").withColumn("_one", surrogate(F.col("_entity"), F.coalesce("attempt", F.lit(0)), key))
         # The list of one document; its length is bounded by that document.
-        new = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_one"))), lambda x: x["_one"]).alias("_new"))
-        rows = rows.join(new, "_row", "left").withColumn("_new", F.coalesce("_new", F.array().cast("array<string>")))
-    out = rows.withColumn("n_entities", F.size("_found").cast("bigint")).withColumn("entity_types", F.array_sort(F.array_distinct(F.transform("_found", type_of))))
-    return out.withColumn(text, _woven(text, F.col("_new"))).select(*docs.columns, "n_entities", "entity_types")
+        drawn = each.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_one"))), lambda x: x["_one"]).alias(new))
+        rows = rows.join(drawn, row, "left").withColumn(new, F.coalesce(new, F.array().cast("array<string>")))
+    counted = {"n_entities": F.size(found).cast("bigint"), "entity_types": F.array_sort(F.array_distinct(F.transform(found, type_of)))}
+    own = [c for c in docs.columns if c not in counted]
+    out = rows.withColumns(counted).withColumn(text, _woven(text, F.col(new)))
+    return out.select(*own, *counted)
