@@ -105,7 +105,7 @@ def edges(files: DataFrame) -> DataFrame:
 def unchanged(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(to parse, reusable): files by whether their content's digest is in the cache of parses."""
     hashed = files.withColumn("hash", F.sha2("content", 256))
-    return hashed.join(cache.select("path", "hash").distinct(), ["path", "hash"], "left_anti"), hashed.join(cache, ["path", "hash"]).select(cache.columns)
+    return hashed.join(cache.select("path", "hash").distinct(), ["path", "hash"], "left_anti"), cache.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi")
 
 
 def import_targets(found: DataFrame, files: DataFrame) -> DataFrame:
