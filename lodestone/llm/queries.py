@@ -93,4 +93,24 @@ ORACLES: dict[str, str] = {
               from t window w as (partition by n order by length(o) desc, doc_id))
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_sha256 from k
     """,
+    "op6_ngram_jaccard_join": r"""
+        with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as a from documents),
+        s as (select distinct doc_id, array_to_string(list_slice(a, i, i + 4), ' ') as t from (select doc_id, a, unnest(range(1, greatest(len(a) - 4, 1) + 1)) as i from d where len(a) > 0)),
+        n as (select doc_id, count(*) as n from s group by 1),
+        k as (select x.doc_id as x, y.doc_id as y, count(*) as k from s x join s y on x.t = y.t and x.doc_id < y.doc_id group by 1, 2),
+        l as (select x, y from k join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 80 * (a.n + b.n - k)),
+        e as (select x, y from l union all select y, x from l),
+        r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(c.c, d.doc_id)) as component_id
+        from d left join n on n.doc_id = d.doc_id left join (select x, min(y) as c from r group by 1) c on c.x = d.doc_id
+    """,
+    "op8_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as a from documents),
+        w as (select doc_id, i, array_to_string(list_slice(a, i, i + 12), ' ') as t from (select doc_id, a, unnest(range(1, len(a) - 11)) as i from d where len(a) > 12)),
+        f as (select t, min(doc_id) as f from w group by 1),
+        g as (select doc_id, list(distinct k) as g from (select w.doc_id, unnest(range(i, i + 13)) as k from w join f on f.t = w.t and f.f < w.doc_id) group by 1)
+        select d.doc_id, len(a) as n_words, coalesce(len(g), 0) as n_removed,
+            sha256(array_to_string(case when g is null then a else list_filter(a, lambda x, i: not list_contains(g, i)) end, ' ')) as kept_sha256
+        from d left join g on g.doc_id = d.doc_id
+    """,
 }
