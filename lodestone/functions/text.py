@@ -187,7 +187,7 @@ def complexity(body: Column | str) -> Column:
 def adaptation_issues(original: Column | str, adapted: Column | str) -> Column:
     """What is wrong with an adapted text: codes in a fixed order."""
     original, adapted = _col(original), _col(adapted)
-    words = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(original, F.lit(r"\b[a-zA-Z]{4,}\b"), F.lit(0)), F.lower), lambda w: ~w.isin(FREQUENT)))
+    words = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(original, F.lit(r"(?<![A-Za-z0-9_])[a-zA-Z]{4,}(?![A-Za-z0-9_])"), F.lit(0)), F.lower), lambda w: ~w.isin(FREQUENT)))
     kept = F.size(F.filter(words, lambda w: F.contains(F.lower(adapted), w)))
     fence = lambda c: F.regexp_count(c, F.lit("(?s)```.*?```"))
     checks = [

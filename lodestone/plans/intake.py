@@ -15,10 +15,10 @@ QUERIES, ORACLES = book.queries, book.oracles
 _HEAD = "case when doc_id % 2 = 0 then '---' || chr(10) || 'title: \"Doc ' || doc_id || '\"' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) else '' end || case when doc_id % 3 = 0 then '# Head ' || doc_id || chr(10) else '' end || text"
 
 
-@book.query("select doc_id, case when doc_id % 2 = 0 then 'Doc ' || doc_id when doc_id % 3 = 0 then 'Head ' || doc_id else doc_id || '.md' end as title, case when doc_id % 2 = 0 then lang end as lang, md5(case when doc_id % 3 = 0 then '# Head ' || doc_id || chr(10) else '' end || text) as body_md5 from documents where not regexp_matches(text, '(?m)^#')")
+@book.query("select doc_id, case when doc_id % 2 = 0 then 'Doc ' || doc_id when doc_id % 3 = 0 then 'Head ' || doc_id else doc_id || '.md' end as title, case when doc_id % 2 = 0 then lang end as lang, md5(case when doc_id % 3 = 0 then '# Head ' || doc_id || chr(10) else '' end || text) as body_md5 from documents")
 def source_frontmatter(spark: SparkSession, d: str) -> DataFrame:
     """Header, body and title of every document."""
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike("(?m)^#")).selectExpr("doc_id", f"{_HEAD} as content")
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_HEAD} as content")
     found = docs.withColumn("f", S.frontmatter("content"))
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return found.select("doc_id", S.display_title(F.col("f.metadata"), F.col("f.body"), path).alias("title"), F.element_at(F.col("f.metadata"), "lang").alias("lang"), F.md5("f.body").alias("body_md5"))
@@ -39,13 +39,14 @@ def source_doc_files(spark: SparkSession, d: str) -> DataFrame:
     return S.doc_files(rows).select(F.regexp_extract("path", "/([0-9]+)[.]", 1).cast("bigint").alias("stem"), F.regexp_extract("path", "[.](.*)$", 1).alias("ext"))
 
 
-@book.query("select page_id, case when contains(url, 'example.com') then [url] else [] end as links from pages where regexp_matches(url, '^https?://[a-z]+[.]example[.](com|org|net)/[^)\\s]*$')")
+_HOSTS = ["ththre.example.com", "m.ththth.example.net", "ththther.example.org", "thther.example.org"]
+
+
+@book.query(f"select page_id, case when regexp_extract(url, '^https?://([^/:]+)', 1) in ({', '.join(repr(h) for h in _HOSTS)}) then [url] else [] end as links from pages")
 def source_llms_links(spark: SparkSession, d: str) -> DataFrame:
-    """Page links on allowed hosts."""
-    pages = table(spark, d, "pages").filter(F.col("url").rlike(r"^https?://[a-z]+[.]example[.](com|org|net)/[^)\s]*$"))
-    host = F.regexp_extract("url", "^https?://([^/:]+)", 1)
-    urls = F.regexp_extract_all(F.concat(F.lit("- [a]("), "url", F.lit(") and [b](/rel)")), F.lit(r"\]\((https?://[^)\s]+)\)"), F.lit(1))
-    return pages.select("page_id", F.when(host.contains("example.com"), urls).otherwise(F.array().cast("array<string>")).alias("links"))
+    """Page links on allowed hosts, from a Markdown list made of each page's URL."""
+    text = F.concat(F.lit("- [a]("), "url", F.lit(") and [b](/rel)"))
+    return table(spark, d, "pages").select("page_id", S.llms_links(text, _HOSTS).alias("links"))
 
 
 @book.query("select n_nationkey, n_name as name, n_regionkey::varchar as region from nation")

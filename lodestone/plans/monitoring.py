@@ -226,12 +226,12 @@ def lifecycle_source_freshness(spark: SparkSession, d: str) -> DataFrame:
     return L.source_freshness(reports, e.select(F.col("user_id").alias("source_id")).distinct(), "2024-01-31 00:00:00", 24).select("source_id", "state")
 
 
-_JOBS = "j as (select o_orderkey as job_id, case o_orderstatus when 'O' then 'queued' when 'F' then 'running' else 'retry-wait' end as status, o_orderdate as available_at, o_orderdate + interval 1 day as lease_until, o_orderkey % 4 as attempts, 3 as max_attempts, o_custkey % 5 = 0 as cancel_requested, o_custkey as dedupe_key from orders)"
+_JOBS = "j as (select o_orderkey as job_id, case o_orderstatus when 'O' then 'queued' when 'F' then 'running' else 'retry-wait' end as status, o_orderdate as available_at, o_orderdate + interval 1 day as lease_until, o_orderkey % 4 as attempts, 3 as max_attempts, o_custkey % 5 = 0 as cancel_requested, o_custkey * 2 as dedupe_key from orders)"
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "running").otherwise("retry-wait")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("available_at"), (F.col("o_orderdate") + F.expr("interval 1 day")).alias("lease_until"), (F.col("o_orderkey") % 4).alias("attempts"), F.lit(3).alias("max_attempts"), (F.col("o_custkey") % 5 == 0).alias("cancel_requested"), F.col("o_custkey").alias("dedupe_key"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.col("o_orderdate").alias("available_at"), (F.col("o_orderdate") + F.expr("interval 1 day")).alias("lease_until"), (F.col("o_orderkey") % 4).alias("attempts"), F.lit(3).alias("max_attempts"), (F.col("o_custkey") % 5 == 0).alias("cancel_requested"), (F.col("o_custkey") * 2).alias("dedupe_key"))
 
 
 @book.query(f"with {_JOBS} select job_id, available_at from j where ((status in ('queued', 'retry-wait') and available_at <= timestamp '1996-01-01') or (status = 'running' and lease_until <= timestamp '1996-01-01')) and attempts < 3 order by available_at, job_id limit 1")
@@ -246,11 +246,11 @@ def jobs_recovered(spark: SparkSession, d: str) -> DataFrame:
     return L.recovered(_jobs(spark, d), F.expr("timestamp_ntz'1996-01-01'")).select("job_id", "status")
 
 
-@book.query(f"with {_JOBS} select l_suppkey as dedupe_key, min(l_orderkey * 10 + l_linenumber) as request_id from lineitem where l_suppkey not in (select dedupe_key from j where job_id < 50) group by 1")
+@book.query(f"with {_JOBS} select l_suppkey as dedupe_key, min(l_orderkey * 10 + l_linenumber) as request_id from lineitem where l_suppkey not in (select dedupe_key from j) group by 1")
 def jobs_enqueue(spark: SparkSession, d: str) -> DataFrame:
     """Requests that no active job covers."""
     requests = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("dedupe_key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"))
-    return L.enqueue(_jobs(spark, d).filter("job_id < 50"), requests).select("dedupe_key", "request_id")
+    return L.enqueue(_jobs(spark, d), requests).select("dedupe_key", "request_id")
 
 
 @book.query("""with e as (select user_id as job_id, event_id as seq, case event_type when 'click' then 'claim' when 'view' then 'enqueue' when 'purchase' then 'finish' else 'fail' end as kind from events)

@@ -102,28 +102,27 @@ def text_labels(spark: SparkSession, d: str) -> DataFrame:
 @book.query(r"""select doc_id, list_filter([case when length(trim(a)) < 50 then 'too-short' end, case when length(a) > 2 * length(text) then 'too-long' end,
     case when len(w) > 5 and 2 * len(list_filter(w, lambda x: contains(lower(a), x))) < len(w) then 'terms-lost' end], lambda x: x is not null) as issues
     from (select doc_id, text, substring(text, 1, 400) as a, list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b[a-zA-Z]{4,}\b'), lambda x: lower(x)),
-    lambda x: x not in ('that','this','with','from','have','will','your','which','their','there','would','could','should'))) as w from documents where lang = 'en')""")
+    lambda x: x not in ('that','this','with','from','have','will','your','which','their','there','would','could','should'))) as w from documents)""")
 def text_adaptation_issues(spark: SparkSession, d: str) -> DataFrame:
     """Checks of texts shortened to 400 characters."""
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", T.adaptation_issues("text", F.substring("text", 1, 400)).alias("issues"))
 
 
 @book.query("""select doc_id, list_slice(list_distinct_ordered, 1, 3) as lines from (select doc_id,
     list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_ordered from (select doc_id, list_filter(list_transform(string_split_regex(
     regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as l
-    from documents where not regexp_matches(text, '(?m)^\\s*([-*#]|```)')))""")
+    from documents))""")
 def text_key_lines(spark: SparkSession, d: str) -> DataFrame:
-    """First three key lines of documents without headings and bullets."""
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"(?m)^\s*([-*#]|```)"))
-    return docs.select("doc_id", T.key_lines("text", 3).alias("lines"))
+    """First three key lines of every document."""
+    return table(spark, d, "documents").select("doc_id", T.key_lines("text", 3).alias("lines"))
 
 
 @book.query(r"""select doc_id, regexp_replace(text || chr(7) || 'x', '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g') = text || ' x' as clean,
-    'Ingest Processed ' || source as name, 'ingest-processed-' || source as slug from documents where not regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')""")
+    'Ingest Processed ' || source as name, 'ingest-processed-' || source as slug from documents""")
 def text_control_and_names(spark: SparkSession, d: str) -> DataFrame:
     """Control characters become blanks; project names and slugs from root paths."""
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
+    docs = table(spark, d, "documents")
     name = T.project_name(F.concat(F.lit("/srv/ingest_processed-"), F.col("source"), F.lit("/")))
     fixed = T.without_control(F.concat("text", F.lit("\x07x"))) == F.concat("text", F.lit(" x"))
     return docs.select("doc_id", fixed.alias("clean"), F.regexp_replace(name, "Src", "src").alias("name"), T.project_slug(name).alias("slug"))

@@ -142,12 +142,12 @@ def active_file_bias(spark: SparkSession, d: str) -> DataFrame:
 
 
 @book.query("""select page_id, greatest(case when a = 'en/25' then 120 when p = 'en/25' then 110 when t = 'en/25' then 100 when s = 'en/25' then 90 else 0 end, case when contains(a, 'en/25') then 80 when contains(p, 'en/25') then 70 when contains(t, 'en/25') then 65 when contains(s, 'en/25') then 55 else 0 end) as score
-    from (select page_id, lower(regexp_extract(url, '/([a-z]+/[0-9]+)', 1)) as a, lower(url) as p, lower(regexp_extract(html, '<title>([^<]*)', 1)) as t, lower(html[1:300]) as s from pages)""")
+    from (select page_id, lower(regexp_extract(url, '/([a-z]+/[0-9]+)', 1)) as a, lower(url) as p, lower(regexp_extract(html, '<title>([^<]*)', 1)) as t, lower(html) as s from pages)""")
 def vault_search(spark: SparkSession, d: str) -> DataFrame:
     """Match scores of every page for a query."""
     pages = table(spark, d, "pages")
     alias, title = F.regexp_extract("url", "/([a-z]+/[0-9]+)", 1), F.regexp_extract("html", "<title>([^<]*)", 1)
-    return pages.select("page_id", R.vault_score("EN/25", alias, F.col("url"), title, F.substring("html", 1, 300)).alias("score"))
+    return pages.select("page_id", R.vault_score("EN/25", alias, F.col("url"), title, F.col("html")).alias("score"))
 
 
 @book.query("""with pages_ as (select page_id, lower(url) as wiki, regexp_extract(url, 'https?://[^/]*(/.*)', 1) as path, regexp_extract(url, '/([a-z]+/[0-9]+)', 1) as alias, regexp_extract(html, '<title>([^<]*)', 1) as title from pages),
