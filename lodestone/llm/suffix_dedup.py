@@ -242,29 +242,37 @@ def removal(length: int):
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, lo, hi): runs of starts of ``length``-byte strings that also start elsewhere. Of equal texts only some
-    are covered; ``copies`` tells the others. ``docs`` has doc_id (bigint) and text (binary)."""
-    found = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(scan(length), "key bigint, doc_id bigint, place bigint")
+    are covered; ``copies`` tells the others. ``docs`` has doc_id (bigint, not null) and text (binary)."""
+    found = docs.mapInArrow(scan(length), "key bigint, doc_id bigint, place bigint")
     kept = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: flags_of_repeats(b, "key"), "key bigint, doc_id bigint, place bigint")
     places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     suffixes = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts(length), "doc_id bigint, lo bigint, more smallint, left binary, right binary")
     n = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = written(suffixes.repartitionByRange(n, "right", "doc_id").mapInArrow(bucket(length), OUT), "suffixes")
-    across = marked.filter("kind = 1").groupBy("digest").agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("x")).filter(F.size("x") > 1)
-    return marked.filter("kind = 0").select("doc_id", "lo", "hi").unionByName(across.select(F.explode("x").alias("x")).select("x.*"))
+    marked = suffixes.repartitionByRange(n, "right", "doc_id").mapInArrow(bucket(length), OUT)
+    # Windows compared across boundaries meet by their digest, at most one from each bucket; a run is a group of its own.
+    own = F.encode(F.concat_ws(",", "doc_id", "lo", "hi"), "UTF-8")
+    met = marked.groupBy("kind", F.coalesce("digest", own).alias("met")).agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("x"))
+    return met.filter((F.col("kind") == 0) | (F.size("x") > 1)).select(F.explode("x").alias("x")).select("x.*")
 
 
 def copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id): documents of at least ``length`` bytes whose whole text occurs in another row."""
-    digest = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", F.sha2("text", 256).alias("digest"))
+    digest = docs.filter(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("digest"))
     many = digest.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
     return digest.join(many, "digest").select("doc_id").distinct()
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, span_starts, span_ends (byte spans removed)."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
-    found = repeated_windows(docs, length).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    marks = found.join(copies(docs, length).withColumn("copied", F.lit(True)), "doc_id", "full")
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "los", "his", "copied").mapInArrow(
+    # Not renamed or cast without need: an alias on one side only would keep Spark from seeing that two exchanges are one.
+    same = doc_id == "doc_id" and docs.schema[doc_id].dataType.simpleString() == "bigint"
+    docs = docs.select("doc_id" if same else F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
+    named = docs.filter(F.col("doc_id").isNotNull())
+    copied = written(copies(named, length), "copies").withColumn("copied", F.lit(True))
+    found = repeated_windows(named, length).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    # Named rows alone are joined, so that this exchange of the texts is the one that gave the suffixes, reused.
+    marked = named.join(found.join(copied, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "los", "his", "copied")
+    rest = docs.filter(F.col("doc_id").isNull()).withColumns({"los": F.lit(None).cast("array<bigint>"), "his": F.lit(None).cast("array<bigint>"), "copied": F.lit(False)})
+    return marked.unionByName(rest).mapInArrow(
         removal(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>"
     )
