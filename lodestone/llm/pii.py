@@ -53,25 +53,37 @@ SYLLABLES = {
 
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True)) + ")\\.? "
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Patterns by type, in order of precedence.
+#: Patterns by type, in order of precedence; "national" are phones without a country code.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?:(?=[A-Fa-f]*+[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
-    "phone": r"(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-))(?![0-9])",
+    "phone": r"(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9])",
+    "national": r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "name": _TITLE + r"\p{Lu}[\p{L}'’\-]{1,40}(?: \p{Lu}[\p{L}'’\-]{1,40})?",
 }
-_EITHER = lambda *kinds: "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
-#: What may begin at a place is decided before anything is tried: the start of a word for all, or a digit behind a letter.
-ANY = (
-    r"(?<![\p{L}\p{N}])(?:(?=[A-Za-z0-9._%+\-])(?<![._%+\-])(?:" + PATTERNS["email"] + ")|(?=[0-9A-Za-z])(?:" + _EITHER("secret", "iban") + r")|(?=[0-9])(?<![0-9]\.|-)(?:" + _EITHER("ipv4", "ssn") + r")|(?=[+(0-9])(?<![+])(?:" + PATTERNS["phone"] + ")|(?=[0-9])(?<![0-9][.])(?:" + PATTERNS["card"] + ")|" + PATTERNS["name"] + ")"
-    r"|(?<![0-9]|[0-9]\.)(?=[0-9])(?:" + _EITHER("ipv4", "card") + ")"
-)
+#: What may stand directly before an entity of a type, as look-behinds of the characters that may not. Letters outside ASCII,
+#: as in text without spaces, may stand before all; ASCII letters before what begins with a digit or a title.
+BEFORE = {
+    "email": r"(?<![A-Za-z0-9._%+\-])",
+    "secret": "(?<![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])",
+    "ipv4": r"(?<![0-9]|[0-9]\.)",
+    "ssn": "(?<![0-9]|[0-9]-)",
+    "phone": "(?<![A-Za-z0-9+])",
+    "national": "(?<![0-9]|[0-9]-)",
+    "card": r"(?<![0-9]|[0-9]\.)",
+    "name": "",
+}
+#: The first character of a type; it only saves trying.
+FIRST = {"email": r"[A-Za-z0-9._%+\-]", "secret": "[A-Za-z0-9]", "iban": "[A-Z]", "ipv4": "[0-9]", "ssn": "[0-9]", "phone": "[+(]", "national": "[0-9]", "card": "[0-9]", "name": r"\p{Lu}"}
+#: Behind an ASCII letter or digit only a digit or a capital can begin an entity, so nothing is tried at the other letters of a word.
+ANY = r"(?:(?<![A-Za-z0-9])|(?=[0-9\p{Lu}]))(?:" + "|".join(f"(?={FIRST[k]}){BEFORE[k]}(?:{PATTERNS[k]})" for k in PATTERNS) + ")"
 #: A text without any of these has no entity, and is not searched.
-MAYBE = "[0-9@]|AKIA|ghp_|sk-|" + _TITLE
+MAYBE = "[0-9@]|AKIA|ghp_|sk-|[a-f]{32}|[A-F]{32}|" + _TITLE
 
 
 def let(value: Column, body) -> Column:
@@ -81,7 +93,7 @@ def let(value: Column, body) -> Column:
 
 def type_of(entity: Column) -> Column:
     """The type of a matched string."""
-    return reduce(lambda rest, kind: F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(rest), reversed(list(PATTERNS)), F.lit("name"))
+    return reduce(lambda rest, kind: F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit("phone" if kind == "national" else kind)).otherwise(rest), reversed(list(PATTERNS)), F.lit("name"))
 
 
 def canonical(entity: Column) -> Column:

@@ -231,3 +231,22 @@ def test_clashing_surrogates_are_drawn_again(private, monkeypatch):
     c, d = found[2].split(" and ")
     assert a == d and len({a, b, c}) == 3
     monkeypatch.setattr(pii, "_ipv4", plain)
+
+
+def entities_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.found_in("text").alias("found")).collect()
+    return [r.found for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_entities_directly_behind_letters(spark):
+    key, iban = "0123456789abcdef" * 2, "DE89370400440532013000"
+    cases = {
+        "联系邮箱bob@site.org谢谢": "bob@site.org", "é.bob@site.org": ".bob@site.org", "jörg.meier@site.org": "rg.meier@site.org",
+        "SSN123-45-6789": "123-45-6789", "nº123-45-6789": "123-45-6789", "é123-45-6789": "123-45-6789", "号123-45-6789": "123-45-6789",
+        "电话+1 555 123 4567": "+1 555 123 4567", "é(555) 123-4567": "(555) 123-4567", "tel555-123-4567": "555-123-4567", "电555-123-4567": "555-123-4567",
+        f"密钥{key}": key, f"é{key}": key, "钥" + "abcdef" * 6: "abcdef" * 6, f"号{iban}": iban, f"é{iban}": iban,
+        "ip8.8.8.8": "8.8.8.8", "址8.8.8.8": "8.8.8.8", "卡4111111111111111": "4111111111111111", "card4111 1111 1111 1111": "4111 1111 1111 1111",
+        "联系Mr. Smith": "Mr. Smith",
+    }
+    assert entities_of(spark, list(cases)) == [[x] for x in cases.values()]
+    assert entities_of(spark, ["9123-45-6789", f"x{key}", "12.8.8.8.8.1"]) == [[], [], []]
