@@ -3,15 +3,16 @@
 Samples become pitch-class frames: the power of each short-time spectrum is summed by semitone class, smoothed over time and
 scaled to unit length. On the frames' integral image a fixed set of box filters (differences of sums over time and pitch
 classes) is evaluated; each filter's response falls into one of four levels, written as a Gray code of two bits, and
-sixteen filters make one packed 32-bit integer for each place. Two recordings align at the offset most of their equal
-integers agree on, and the rate of differing bits over the overlap decides.
+sixteen filters make one packed 32-bit integer for each place. Two recordings align at the offset with the least rate of
+differing bits over the overlap, and that rate decides.
 
 Recordings with equal fingerprints form a class, so copies are compared once; a recording's class and the class's
-matches are what is returned. Classes meet by pairs of neighbouring integers: rows are joined by that key, counted by
-offset, and only the best offset's bits are compared. Silence, whose integers are all alike, matches only itself.
+matches are what is returned. Every class with a query is compared with every other class at every offset, without
+candidates that could be missed: bits are +1 and -1, and the sums of their products at all offsets come from Fourier transforms of
+blocks of recordings. Places that are silent in both recordings say nothing, so silence matches only itself.
 
 Results for odd input: null or unreadable media, and audio too short for one integer, have an empty fingerprint and no class
-or match; ties of offsets go to the smallest; repeated rows share their class; an empty table gives no rows; further
+or match; ties of offsets go to the longer overlap, then the smallest offset; repeated rows share their class; an empty table gives no rows; further
 columns of the input are ignored.
 """
 
@@ -40,10 +41,12 @@ WIDTH = 16
 FILTERS = [(int(_DRAW.integers(0, 5)), int(_DRAW.integers(0, 9)), int(_DRAW.integers(2, 5)) & ~1, int(_DRAW.choice([4, 8, 12, 16]))) for _ in range(16)]
 LEVELS = (-0.06, 0.0, 0.06)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
-#: Bits that may differ, of 32, for a match; integers that must overlap; equal neighbouring pairs that must agree on an offset.
+#: Share of bits that may differ for a match; integers, not silent in both, that must overlap.
 MAX_ERROR = 0.25
 MIN_OVERLAP = 16
-MIN_VOTES = 2
+#: Queries and others in a block; a task compares two blocks.
+QUERY_BLOCK = 1024
+OTHER_BLOCK = 2048
 
 
 def samples(media: bytes) -> tuple[np.ndarray, int]:
@@ -105,6 +108,10 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The integer of a place without sound.
+SILENT = fingerprint(np.zeros((WIDTH, 12)))[0]
+
+
 def fingerprints(media: DataFrame, key: str, column: str, decode: Callable[[object], tuple[np.ndarray, int]] = samples) -> DataFrame:
     """(key, prints, class): packed integers (array<bigint>) and a digest of them, null without any. ``decode`` turns a value of
     the media column into samples and their rate."""
@@ -132,30 +139,93 @@ def classes(prints: DataFrame, key: str) -> DataFrame:
     return found.groupBy("class").agg(F.min(key).alias("rep"), F.count("*").alias("n"), F.bool_or(F.coalesce(F.col(key) % 20 == 0, F.lit(False))).alias("is_query"), F.first("prints").alias("prints"))
 
 
-def pair_keys(found: DataFrame) -> DataFrame:
-    """(class, at, pair): neighbouring integers that differ, with the place of their first occurrence and later ones."""
-    at = F.sequence(F.lit(1), F.size("prints") - 1)
-    pairs = F.transform(at, lambda i: F.struct(i.alias("at"), F.element_at("prints", i).alias("a"), F.element_at("prints", i + 1).alias("b")))
-    some = found.filter(F.size("prints") > 1).select("class", F.explode(F.filter(pairs, lambda x: x["a"] != x["b"])).alias("x"))
-    return some.select("class", F.col("x.at").alias("at"), F.shiftleft("x.a", 32).bitwiseOR(F.col("x.b")).alias("pair"))
+def batches(prints: list[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """Places of fingerprints of like length, fewer of them where they are long."""
+    powers = np.array([max(64, 1 << (len(x) - 1).bit_length()) for x in prints], np.int64)
+    for power in np.unique(powers):
+        at, size = np.flatnonzero(powers == power), max(1, int(most * 64 // power))
+        for k in range(0, len(at), size):
+            yield at[k : k + size]
+
+
+def spectra(prints: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(frequency, recording, bit) of the bits as +1 and -1, the lengths, and the spectra of the silent places, if any."""
+    signs, quiet = np.zeros((len(prints), 32, size), np.float32), np.zeros((len(prints), size), np.float32)
+    for i, x in enumerate(prints):
+        signs[i, :, : len(x)] = (x[None, :] >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.float32) * 2 - 1
+        quiet[i, : len(x)] = x == SILENT
+    moved = np.ascontiguousarray(np.fft.rfft(signs).transpose(2, 0, 1))
+    return moved, np.array([len(x) for x in prints], np.int32), np.fft.rfft(quiet) if quiet.any() else None
+
+
+def compare(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(i, j, offset, votes, overlap, bit error) of the pairs that match, at their best offset; votes are the equal integers."""
+    lefts, rights = list(batches(left, 32)), list(batches(right, 256))
+    for those in rights:
+        known: dict[int, tuple] = {}
+        for these in lefts:
+            size = 1 << (max(len(left[i]) for i in these) + max(len(right[j]) for j in those) - 1).bit_length()
+            if size not in known:
+                known[size] = spectra([right[j] for j in those], size)
+            b, n_b, quiet_b = known[size]
+            a, n_a, quiet_a = spectra([left[i] for i in these], size)
+            # Entry d is the sum over t of a[t] * b[t + d]; negative offsets stand at the end.
+            sums = np.fft.irfft(np.ascontiguousarray((a.conj() @ b.transpose(0, 2, 1)).transpose(1, 2, 0)), size)
+            offset = np.arange(size, dtype=np.int32)
+            offset[size - int(n_a.max()) + 1 :] -= size
+            overlaps = {}  # by the two lengths
+            for x in np.unique(n_a):
+                for y in np.unique(n_b):
+                    overlaps[int(x), int(y)] = np.maximum(np.minimum(x - np.maximum(0, -offset), y - np.maximum(0, offset)), 0)
+            needed = {k: np.where(n >= MIN_OVERLAP, 32 * n * (1 - 2 * MAX_ERROR) - 0.5, np.inf).astype(np.float32) for k, n in overlaps.items()}
+            for x in np.unique(n_a):
+                for y in np.unique(n_b):
+                    rows, columns = np.flatnonzero(n_a == x), np.flatnonzero(n_b == y)
+                    part = sums if len(rows) == len(n_a) and len(columns) == len(n_b) else sums[np.ix_(rows, columns)]
+                    overlap = overlaps[int(x), int(y)]
+                    for r, c in np.argwhere((part >= needed[int(x), int(y)]).any(2)):
+                        i, j = int(rows[r]), int(columns[c])
+                        differ = np.rint((32 * overlap - part[r, c]) / 2)
+                        sounding = overlap.astype(float)
+                        if quiet_a is not None and quiet_b is not None:
+                            sounding -= np.rint(np.fft.irfft(quiet_a[i].conj() * quiet_b[j], size))
+                        good = np.flatnonzero((sounding >= MIN_OVERLAP) & (differ <= 32 * MAX_ERROR * sounding))
+                        if len(good):
+                            rate = differ[good] / (32 * overlap[good])
+                            best = good[np.lexsort((offset[good], -overlap[good], rate))[0]]
+                            d, n = int(offset[best]), int(overlap[best])
+                            p, q = left[these[i]][max(0, -d) :][:n], right[those[j]][max(0, d) :][:n]
+                            yield int(these[i]), int(those[j]), d, int((p == q).sum()), n, float(differ[best] / (32 * n))
+
+
+def compare_blocks(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches of each row's two blocks."""
+    names, kinds = ["query", "other", "offset", "votes", "overlap", "bit_error"], [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+    for batch in blocks:
+        for k in range(batch.num_rows):
+            asked, others = (batch.column(c)[k].values for c in ("asked", "others"))
+            sides = [(x.field("class").to_pylist(), [np.array(v, np.int64).astype(np.uint32) for v in x.field("prints").to_pylist()]) for x in (asked, others)]
+            (left, a), (right, b) = sides
+            out = [(left[i], right[j], *rest) for i, j, *rest in compare(a, b) if left[i] != right[j]]
+            if out:
+                yield pa.record_batch([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names)
 
 
 def align(found: DataFrame) -> DataFrame:
-    """(query, other, offset, votes, overlap, bit_error): pairs of classes, the first with a query, that match."""
-    keys = pair_keys(found)
-    asked = keys.join(found.filter("is_query").select("class"), "class").select(F.col("class").alias("query"), F.col("at").alias("at_query"), "pair")
-    met = asked.join(keys.withColumnRenamed("class", "other"), "pair").filter("query <> other")
-    votes = met.groupBy("query", "other", (F.col("at") - F.col("at_query")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query", "other").agg(F.max(F.struct("votes", (-F.col("offset")).alias("minus"))).alias("x")).select("query", "other", F.col("x.votes").alias("votes"), (-F.col("x.minus")).cast("int").alias("offset")).filter(F.col("votes") >= MIN_VOTES)
-    left = found.select(F.col("class").alias("query"), F.col("prints").alias("a"))
-    right = found.select(F.col("class").alias("other"), F.col("prints").alias("b"))
-    both = best.join(left, "query").join(right, "other")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    size = F.least(F.size("a") - start, F.size("b") - F.greatest(F.lit(0), F.col("offset")))
-    cut = both.withColumn("overlap", size).filter(F.col("overlap") >= MIN_OVERLAP)
-    cut = cut.withColumn("x", F.slice("a", start + 1, F.col("overlap"))).withColumn("y", F.slice("b", F.greatest(F.lit(0), F.col("offset")) + 1, F.col("overlap")))
-    wrong = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    return cut.withColumn("bit_error", wrong / (F.col("overlap") * 32)).filter(F.col("bit_error") <= MAX_ERROR).select("query", "other", "offset", "votes", "overlap", "bit_error")
+    """(query, other, offset, votes, overlap, bit_error): pairs of classes, the first with a query, that match at their best
+    offset. Each block of queries meets each block of others in a row of its own."""
+    enough = found.filter(F.size("prints") >= MIN_OVERLAP)
+    count = enough.agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("asked")).first()
+    parts, asked_parts = max(1, -(-count.n // OTHER_BLOCK)), max(1, -(-count.asked // QUERY_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
+    listed = F.collect_list(F.struct("class", "prints"))
+    asked = enough.filter("is_query").groupBy(block(asked_parts).alias("qb")).agg(listed.alias("asked"))
+    others = enough.groupBy(block(parts).alias("ob")).agg(listed.alias("others"))
+    asked = asked.withColumn("ob", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    others = others.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asked_parts - 1))))
+    tasks = min(parts * asked_parts * 2, 20000)
+    both = asked.repartition(tasks, "qb", "ob").join(others.repartition(tasks, "qb", "ob"), ["qb", "ob"])
+    return both.select("asked", "others").mapInArrow(compare_blocks, "query string, other string, offset int, votes bigint, overlap int, bit_error double")
 
 
 def search(media: DataFrame, key: str, column: str, decode: Callable[[object], tuple[np.ndarray, int]] = samples) -> DataFrame:

@@ -84,6 +84,49 @@ def test_alignment(spark):
     assert audio.search(spark.createDataFrame([], "id bigint, media binary"), "id", "media").count() == 0
 
 
+def plain_matches(a, b):
+    """Every offset by itself."""
+    found = []
+    for d in range(-len(a) + 1, len(b)):
+        p, q = a[max(0, -d) :], b[max(0, d) :]
+        n = min(len(p), len(q))
+        loud = int((~((p[:n] == audio.SILENT) & (q[:n] == audio.SILENT))).sum())
+        wrong = int(np.bitwise_count(p[:n] ^ q[:n]).sum())
+        if loud >= audio.MIN_OVERLAP and wrong <= 32 * audio.MAX_ERROR * loud:
+            found.append((wrong / (32 * n), -n, d))
+    return min(found) if found else None
+
+
+def test_alignment_equals_brute_force():
+    rnd = np.random.default_rng(8)
+    steady, tone = np.full(60, 0x1234ABCD, np.uint32), np.full(45, 0x0F0F3355, np.uint32)
+    left = [rnd.integers(0, 1 << 32, n, np.uint32) for n in (42,) * 30 + (16, 90, 300)] + [steady, np.r_[steady[:20], tone], np.full(50, audio.SILENT), np.full(15, 7, np.uint32)]
+    right, planted = [], 0
+    for i, x in enumerate(left):
+        for share in (0.03, 0.1, 0.2, 0.24):
+            cut = x[int(rnd.integers(0, max(1, len(x) - 40))) :]
+            noise = (rnd.random((len(cut), 32)) < share) @ (1 << np.arange(32, dtype=np.uint64))
+            right.append(np.r_[rnd.integers(0, 1 << 32, i % 7, np.uint32), cut ^ noise.astype(np.uint32)])
+            planted += i < 30
+    right += [steady[:33], tone[:20], np.full(70, audio.SILENT), np.r_[left[0], np.full(30, audio.SILENT)]]
+    wanted = {(i, j): m for i, a in enumerate(left) for j, b in enumerate(right) if (m := plain_matches(a, b))}
+    found = {(i, j): (e, -n, d) for i, j, d, _, n, e in audio.compare(left, right)}
+    assert found == wanted
+    assert sum((i, 4 * i + k) in found for i in range(30) for k in range(4)) >= 0.9 * planted
+
+
+def test_noisy_and_sustained_recordings_match(spark):
+    rnd = np.random.default_rng(9)
+    rows = []
+    for i in range(20):
+        x = rnd.integers(0, 1 << 32, 42, np.uint32)
+        noise = (rnd.random((42, 32)) < 0.2) @ (1 << np.arange(32, dtype=np.uint64))
+        rows += [(f"a{i}", True, x.astype(np.int64).tolist()), (f"b{i}", False, (x ^ noise.astype(np.uint32)).astype(np.int64).tolist())]
+    rows += [("tone", True, [77] * 40), ("longer tone", False, [77] * 50)]
+    found = {(r.query, r.other) for r in audio.align(spark.createDataFrame(rows, "class string, is_query boolean, prints array<bigint>")).collect()}
+    assert found == {(f"a{i}", f"b{i}") for i in range(20)} | {("tone", "longer tone")}
+
+
 def test_integral_image_filters_equal_plain_sums():
     frames = np.random.default_rng(7).random((40, 12))
     found = audio.fingerprint(frames)
