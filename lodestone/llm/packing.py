@@ -109,14 +109,14 @@ _ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    """The encoder of a tokenizers file whose ids follow its merges; special tokens are left out, so their strings in a text
-    are ordinary. Equal to the tokenizers library's ids, at four times its speed."""
+    """The encoder of a tokenizers file whose ids follow its merges; its added tokens are special ones, with ids of their own.
+    With all of them allowed, equal to the tokenizers library's ids, at four times its speed."""
     if (path, pattern) not in _ENCODERS:
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
-        alphabet, special = byte_alphabet(), {x["content"] for x in found["added_tokens"]}
+        alphabet, special = byte_alphabet(), {x["content"]: x["id"] for x in found["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in special}
-        _ENCODERS[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path, pattern]
 
 
@@ -124,11 +124,11 @@ def pieces(path: str, pattern: str, capacity: int, end: int):
     """The pieces of each document with their number among the task's pieces of that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoding(path, pattern).encode_ordinary, TaskContext.get().partitionId(), defaultdict(int)
+        encoder, task, seen = encoding(path, pattern), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             row, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*encode(text or ""), end], "<u4")
+                ids = np.array([*encoder.encode(text or "", allowed_special="all"), end], "<u4")
                 first = len(ids) % capacity or capacity
                 at = 0
                 for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):

@@ -133,6 +133,17 @@ def test_packing(docs, spark, tmp_path):
     assert packing.pack(empty(spark, tmp_path), JSON, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    library = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "é<|endoftext|>é  ", "plain <|endoftext |>"]
+    encoder = packing.encoding(JSON, public_tokenizers.PATTERN)
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert wanted[0] == [64, 220, 50256, 275]
+    assert [encoder.encode(t, allowed_special="all") for t in texts] == wanted
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), JSON, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in found} == {i: (len(x) + 1, zlib.crc32(struct.pack(f"<{len(x) + 1}I", *x, 2))) for i, x in enumerate(wanted)}
+
+
 def test_mixture_finds_proportions():
     rnd = np.random.default_rng(5)
     chance = rnd.dirichlet(np.full(400, 0.05), 3) * 0.999 + 1e-6
