@@ -53,17 +53,20 @@ SYLLABLES = {
 
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True)) + ")\\.? "
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Patterns by type, in order of precedence; "national" are phones without a country code.
+#: A word of a name: an initial or a capitalised word, behind particles.
+_WORD = r"(?:(?:von|van|vom|zu|zur|zum|de|del|della|der|den|di|da|do|dos|das|du|la|le|los|las|ten|ter|bin|ibn|al|el) ){0,3}(?:[dl]['’])?(?:\p{Lu}\.(?:-?\p{Lu}\.)*+|\p{Lu}[\p{L}\p{M}'’\-]*+)"
+#: Patterns by type, in order of precedence; "us" and "national" are phones without a country code.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
-    "phone": r"(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5})(?![0-9])",
-    "national": r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
+    "phone": r"(?:(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|\+[0-9]{1,3}[ .\-/]?(?:\([0-9]{1,4}\)[ .\-/]?)?[0-9]{1,4}(?:[ .\-/]?[0-9]{2,4}){2,5}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}|\(0[0-9]{1,4}\)(?:[ .\-/]?[0-9]{2,4}){2,3})(?![0-9])",
+    "us": r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
-    "name": _TITLE + r"\p{Lu}[\p{L}'’\-]{1,40}(?: \p{Lu}[\p{L}'’\-]{1,40})?",
+    "national": r"(?:(?:1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}|(?:1[ .\-])?[2-9][0-9]{2}[ .\-][0-9]{3}[ .\-][0-9]{4}|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4}|(?<![A-Za-z0-9]..|[0-9][.,]..)[0-9]{8}(?![A-Za-z]))|0[1-9][0-9]{1,4}(?: ?/ ?|[ \-])[0-9]{2,4}(?:[ \-]?[0-9]{2,4}){1,2}|[6-9][0-9]{2}(?: [0-9]{3} [0-9]{3}|(?: [0-9]{2}){3})|9[0-9] [0-9]{3} [0-9]{2} [0-9]{2})(?![0-9]|-[0-9])",
+    "name": f"(?:{_TITLE}){{1,6}}{_WORD}(?: {_WORD})*+",
 }
 #: What may stand directly before an entity of a type, as look-behinds of the characters that may not. Letters outside ASCII,
 #: as in text without spaces, may stand before all; ASCII letters before what begins with a digit or a title.
@@ -74,12 +77,13 @@ BEFORE = {
     "ipv4": r"(?<![0-9]|[0-9]\.)",
     "ssn": "(?<![0-9]|[0-9]-)",
     "phone": "(?<![A-Za-z0-9+])",
+    "us": "(?<![0-9]|[0-9]-)",
     "national": "(?<![0-9]|[0-9]-)",
     "card": r"(?<![0-9]|[0-9]\.)",
     "name": "",
 }
 #: The first character of a type; it only saves trying.
-FIRST = {"email": r"[A-Za-z0-9._%+\-]", "secret": "[A-Za-z0-9]", "iban": "[A-Z]", "ipv4": "[0-9]", "ssn": "[0-9]", "phone": "[+(]", "national": "[0-9]", "card": "[0-9]", "name": r"\p{Lu}"}
+FIRST = {"email": r"[A-Za-z0-9._%+\-]", "secret": "[A-Za-z0-9]", "iban": "[A-Z]", "ipv4": "[0-9]", "ssn": "[0-9]", "phone": "[+(]", "us": "[0-9]", "national": "[0-9]", "card": "[0-9]", "name": r"\p{Lu}"}
 #: Behind an ASCII letter or digit only a digit or a capital can begin an entity, so nothing is tried at the other letters of a word.
 ANY = r"(?:(?<![A-Za-z0-9])|(?=[0-9\p{Lu}]))(?:" + "|".join(f"(?={FIRST[k]}){BEFORE[k]}(?:{PATTERNS[k]})" for k in PATTERNS) + ")"
 #: A text without any of these has no entity, and is not searched.
@@ -93,7 +97,7 @@ def let(value: Column, body) -> Column:
 
 def type_of(entity: Column) -> Column:
     """The type of a matched string."""
-    return reduce(lambda rest, kind: F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit("phone" if kind == "national" else kind)).otherwise(rest), reversed(list(PATTERNS)), F.lit("name"))
+    return reduce(lambda rest, kind: F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit("phone" if kind in ("us", "national") else kind)).otherwise(rest), reversed(list(PATTERNS)), F.lit("name"))
 
 
 def canonical(entity: Column) -> Column:
@@ -195,11 +199,11 @@ def _syllable(parts: list[str], stream: Column):
 
 
 def _name(e: Column, stream: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(e, f"^({_TITLE})", 1)
+    title = F.regexp_extract(e, f"^((?:{_TITLE}){{1,6}}){_WORD}", 1)
     rest = F.substring(e, F.length(title) + 1, F.length(e))
-    bare = F.regexp_replace(title, r"[. ]", "")
+    of = lambda g: title.rlike("(?:^| )(?:" + "|".join(TITLES[g]) + ")[. ]")
     drawn = F.when(F.pmod(_number(stream, F.lit(40)), F.lit(2)) == 0, F.lit("m")).otherwise(F.lit("f"))
-    gender = F.when(bare.isin(TITLES["m"]), F.lit("m")).when(bare.isin(TITLES["f"]), F.lit("f")).otherwise(drawn)
+    gender = F.when(of("m"), F.lit("m")).when(of("f"), F.lit("f")).otherwise(drawn)
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(rest.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
     given, family = F.lit(""), F.lit("")
     for (s, g), names in GIVEN.items():

@@ -261,3 +261,13 @@ def test_entities_directly_behind_letters(spark):
     }
     assert entities_of(spark, list(cases)) == [[x] for x in cases.values()]
     assert entities_of(spark, ["9123-45-6789", f"x{key}", "12.8.8.8.8.1"]) == [[], [], []]
+
+
+def test_formats_of_phones_and_names(spark):
+    phones = ["+33 6 12 34 56 78", "+81-3-1234-5678", "+61 2 9876 5432", "06 12 34 56 78", "06.12.34.56.78", "0612345678", "555 123 4567", "555.123.4567", "555-123-4567", "1-800-555-1234", "(555) 123-4567"]
+    phones += ["+49 30 1234567", "030/1234567", "0171 1234567", "(030) 123456", "+44 (0)20 7946 0958", "020 7946 0958", "+34 612 345 678", "612 345 678", "612 34 56 78", "91 123 45 67", "+7 (495) 123-45-67"]
+    names = ["Mr. J. Smith", "Herr Dr. Müller", "Mr John Ronald Smith", "Frau Prof. Dr. Anna Maria von der Heide", "Monsieur Jean-Pierre d'Artagnan", "Señora María de los Ángeles García López", "Dr. J.R.R. Tolkien", "Mr X"]
+    texts = [f"a {x}, b" for x in phones + names]
+    assert entities_of(spark, texts) == [[x] for x in phones + names]
+    plain = ["on 01.02.2024 10:30 and 2024-01-02", "0.0612345678", "Mr said", "3 555 apples"]
+    assert entities_of(spark, plain) == [[]] * len(plain)
