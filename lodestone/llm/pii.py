@@ -22,10 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.io import written
+from lodestone.io import small, written
 from lodestone.llm.common import unused
 
 KEY = "lodestone"
+#: Country codes of phones.
+COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 #: Draws after which an unresolved clash is an error; a draw gives a name one more syllable.
 DRAWS = 12
 
@@ -100,9 +102,18 @@ def type_of(entity: Column) -> Column:
     return reduce(lambda rest, kind: F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit("phone" if kind in ("us", "national") else kind)).otherwise(rest), reversed(list(PATTERNS)), F.lit("name"))
 
 
-def canonical(entity: Column) -> Column:
-    """What makes two writings one entity: letters and digits without case; for names and e-mail the text without case."""
-    return F.when(entity.contains("@") | ~entity.rlike("[0-9]"), F.lower(entity)).when(entity.rlike(f"^(?:{PATTERNS['ipv4']})$"), entity).otherwise(F.regexp_replace(F.lower(entity), "[^a-z0-9]", ""))
+def canonical(entity: Column, kind: Column) -> Column:
+    """What makes two writings of a type one entity: digits, with "+" before a country code, and letters without case; for names
+    and e-mail the text without case (and titles' dots); for IPv4 and secrets with a prefix the text."""
+    digits = F.regexp_replace(F.lower(F.replace(entity, F.lit("(0)"), F.lit(""))), "[^a-z0-9]", "")
+    phone = F.concat(F.when(entity.rlike(r"^(?:\+|1[ .\-])"), F.lit("+")).otherwise(F.lit("")), digits)
+    as_is = (kind == "ipv4") | entity.rlike("^(?:AKIA|ghp_|sk-)") & (kind == "secret")
+    return F.when(kind == "email", F.lower(entity)).when(kind == "name", F.replace(F.lower(entity), F.lit("."), F.lit(""))).when(as_is, entity).when(kind == "phone", phone).otherwise(F.regexp_replace(F.lower(entity), "[^a-z0-9]", ""))
+
+
+def key_of(entity: Column) -> Column:
+    """Type and canonical form: equal for all writings of one entity, different for any two entities."""
+    return let(type_of(entity), lambda kind: F.concat_ws("\x1f", kind, canonical(entity, kind)))
 
 
 def _number(stream: Column, at: Column) -> Column:
@@ -122,7 +133,7 @@ def _char(alphabet: str, number: Column) -> Column:
     return F.substring(F.lit(alphabet), (F.pmod(number, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
 
-def _letters(text: Column, stream: Column, first: int = 0, hexadecimal: Column | None = None) -> Column:
+def _letters(text: Column, stream: Column, first: int | Column = 0, hexadecimal: Column | None = None) -> Column:
     """Letters and digits replaced, case and everything else kept; numbers are taken by place among letters and digits, so
     punctuation doesn't change them. ``first``: how many of those to keep at the start."""
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -135,7 +146,7 @@ def _letters(text: Column, stream: Column, first: int = 0, hexadecimal: Column |
             def char(c: Column, p: Column, n: Column) -> Column:
                 new = F.when(is_hex & c.rlike("[0-9a-f]") & ~has_upper, _char("0123456789abcdef", n)).when(is_hex & c.rlike("[0-9A-F]"), _char("0123456789ABCDEF", n))
                 new = new.when(c.rlike("[0-9]"), _char("0123456789", n)).when(c.rlike("[a-z]"), _char(lower, n)).when(c.rlike("[A-Z]"), _char(upper, n)).otherwise(c)
-                return F.when(p < first, c).otherwise(new) if first else new
+                return F.when(p < first, c).otherwise(new) if isinstance(first, Column) or first else new
 
             return let(F.substring(whole, i, F.lit(1)), lambda c: let(place, lambda p: let(_number(stream, p), lambda n: char(c, p, n))))
 
@@ -218,15 +229,17 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
     """The surrogate of an entity at a draw (from 0)."""
 
     def of(kind: Column, stream: Column) -> Column:
-        country = F.regexp_extract(e, r"^(\+[0-9]{1,3}(?=[ .\-(]))", 1)
-        phone = let(country, lambda c: F.concat(c, _letters(F.substring(e, F.length(c) + 1, F.length(e)), stream)))
+        # The country code, or without one the first digit, is kept, and behind 1 or 0 another; they come from the canonical form, so all writings agree.
+        form = canonical(e, F.lit("phone"))
+        kept = F.when(form.startswith("+"), F.length(F.regexp_extract(form, COUNTRY, 1)) + form.startswith("+1").cast("int")).when(form.startswith("0"), F.lit(2)).otherwise(F.lit(1))
+        phone = let(kept, lambda k: F.replace(_letters(F.replace(e, F.lit("(0)"), F.lit("\x01")), stream, first=k), F.lit("\x01"), F.lit("(0)")))
         ssn = F.concat(F.lit("9"), _letters(F.substring(e, F.lit(2), F.length(e)), stream))
         prefix = F.regexp_extract(e, r"^(AKIA|ghp_|sk-)", 1)
         secret = let(prefix, lambda p: F.concat(p, _letters(F.substring(e, F.length(p) + 1, F.length(e)), stream, hexadecimal=p == "")))
         choice = {"email": _email(e, stream), "secret": secret, "iban": _iban(e, stream), "ipv4": _ipv4(e, stream), "ssn": ssn, "phone": phone, "card": _card(e, stream)}
         return reduce(lambda rest, k: F.when(kind == k, choice[k]).otherwise(rest), reversed(list(choice)), _name(e, stream, attempt))
 
-    seed = lambda kind: _stream(F.concat_ws("\x1f", F.lit(key), kind, canonical(e), attempt.cast("string")))
+    seed = lambda kind: _stream(F.concat_ws("\x1f", F.lit(key), kind, canonical(e, kind), attempt.cast("string")))
     return let(type_of(e), lambda kind: let(seed(kind), lambda stream: of(kind, stream)))
 
 
@@ -237,21 +250,29 @@ def found_in(text: str) -> Column:
 
 
 def attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """(canonical, attempt) of the entities that had to draw more than once, so that no two entities of the corpus share a
-    surrogate and no surrogate is an entity of the corpus."""
-    entity = docs.select(F.explode(found_in(text)).alias("entity"))
-    entities = written(entity.groupBy("entity").agg(F.count("*").alias("n")).groupBy(canonical(F.col("entity")).alias("canonical")).agg(F.min("entity").alias("entity")), "entities")
-    now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(DRAWS):
-        drawn = written(now.withColumn("drawn", canonical(surrogate(F.col("entity"), F.col("attempt"), key))), "draws")
-        first = drawn.groupBy("drawn").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("drawn", F.col("first.canonical").alias("winner"))
-        clash = drawn.join(first, "drawn").filter("canonical <> winner").select("canonical")
-        clash = clash.union(drawn.join(entities.select(F.col("canonical").alias("drawn")), "drawn").select("canonical")).distinct()
-        clash = written(clash, "clashes")
+    """(key, attempt, fixed) of the entities that had to draw more than once, so that no two entities of the corpus share a
+    surrogate and no surrogate is an entity of the corpus. All writings of an entity are checked; ``fixed`` is a surrogate
+    assigned by rank."""
+    entity = docs.select(F.explode(found_in(text)).alias("entity")).distinct()
+    entities = written(entity.withColumn("key", key_of(F.col("entity"))), "entities")
+    now, first_draw = entities.withColumn("attempt", F.lit(0)).withColumn("fixed", F.lit(None).cast("string")), True
+    for turn in range(DRAWS):
+        moved = F.col("attempt") == turn
+        new = key_of(F.coalesce("fixed", surrogate(F.col("entity"), F.col("attempt"), key)))
+        if first_draw:
+            now, first_draw = now.withColumn("drawn", new), False
+        else:
+            now = now.withColumn("drawn", F.when(moved, new).otherwise(F.col("drawn")))
+        drawn = written(now, "draws")
+        # An assigned surrogate wins, then the least attempt: what stands is not drawn again.
+        winner = drawn.groupBy("drawn").agg(F.min(F.struct(F.col("fixed").isNull().alias("open"), "attempt", "key")).alias("first"), F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("drawn", F.col("first.key").alias("winner"))
+        clash = drawn.join(winner, "drawn").filter("key <> winner").select("key")
+        clash = written(clash.union(drawn.join(entities.select(F.col("key").alias("drawn")).distinct(), "drawn").select("key")).distinct(), "clashes")
         if clash.isEmpty():
-            return drawn.filter("attempt > 0").select("canonical", "attempt")
+            return drawn.filter("attempt > 0").select("key", "attempt", "fixed").distinct()
         again = clash.withColumn("more", F.lit(1))
-        now = drawn.drop("drawn").join(again, "canonical", "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
+        again = again.withColumn("given", F.lit(None).cast("string"))
+        now = drawn.join(again, "key", "left").withColumn("attempt", F.when(F.col("more") == 1, F.lit(turn + 1)).otherwise(F.col("attempt"))).withColumn("fixed", F.coalesce("given", "fixed")).drop("more", "given").select("entity", "key", "attempt", "fixed", "drawn")
     raise ValueError(f"entities still share surrogates after {DRAWS} draws")
 
 
@@ -269,11 +290,12 @@ def replace_in(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
         rows = rows.withColumn(new, F.transform(found, lambda e: surrogate(e, F.lit(0), key)))
     else:
         rows = rows.withColumn(row, F.monotonically_increasing_id())
-        each = rows.select(row, F.posexplode(found).alias("_at", "_entity")).withColumn("canonical", canonical(F.col("_entity")))
-        each = each.join(again, "canonical", "left").withColumn("_one", surrogate(F.col("_entity"), F.coalesce("attempt", F.lit(0)), key))
-        # The list of one document; its length is bounded by that document.
-        drawn = each.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_one"))), lambda x: x["_one"]).alias(new))
-        rows = rows.join(drawn, row, "left").withColumn(new, F.coalesce(new, F.array().cast("array<string>")))
+        each = rows.select(row, F.posexplode(found).alias("_at", "_entity")).withColumn("key", key_of(F.col("_entity")))
+        each = each.join(small(again), "key").withColumn("_one", F.coalesce("fixed", surrogate(F.col("_entity"), F.col("attempt"), key)))
+        # Only places that drew again, by document; the others are computed in place, and texts are shuffled only if these are many.
+        drawn = written(each.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_one"))).alias(new)), "drawn-again")
+        rows = rows.join(small(drawn), row, "left")
+        rows = rows.withColumn(new, F.transform(found, lambda e, i: F.coalesce(F.element_at(F.col(new), i), surrogate(e, F.lit(0), key))))
     counted = {"n_entities": F.size(found).cast("bigint"), "entity_types": F.array_sort(F.array_distinct(F.transform(found, type_of)))}
     own = [c for c in docs.columns if c not in counted]
     out = rows.withColumns(counted).withColumn(text, _woven(text, F.col(new)))

@@ -271,3 +271,19 @@ def test_formats_of_phones_and_names(spark):
     assert entities_of(spark, texts) == [[x] for x in phones + names]
     plain = ["on 01.02.2024 10:30 and 2024-01-02", "0.0612345678", "Mr said", "3 555 apples"]
     assert entities_of(spark, plain) == [[]] * len(plain)
+
+
+def replaced(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.mode("overwrite").parquet(path)
+    return [r.text for r in sorted(pii.replace_in(spark.read.parquet(path)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_writings_of_one_entity_agree(spark, tmp_path):
+    texts = ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "1-555-123-4567", "+44 (0)20 7946 0958", "+442079460958", "123-45-6789", "+12 345 6789", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]
+    out = replaced(spark, str(tmp_path / "w"), texts)
+    digits = [re.sub(r"\D", "", x.replace("(0)", "")) for x in out]
+    assert len(set(digits[:4])) == 1 and digits[0][0] == "1" and digits[0] != "15551234567"
+    assert digits[4] == digits[5] and digits[4].startswith("44") and "(0)" in out[4]
+    assert digits[6] != digits[7] and digits[8] == digits[9]
+    keys = spark.createDataFrame([("123-45-6789",), ("+12 345 6789",)], "e string").select(pii.key_of(pii.F.col("e"))).collect()
+    assert keys[0] != keys[1]
