@@ -18,8 +18,9 @@ ids are carried as they are; an empty table gives no rows; further columns of th
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.io import small, written
@@ -28,8 +29,11 @@ from lodestone.llm.common import unused
 KEY = "lodestone"
 #: Country codes of phones.
 COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
-#: Draws after which an unresolved clash is an error; a draw gives a name one more syllable.
+#: Draws within an entity's own format; a draw gives a name one more syllable. What clashes after them is assigned by rank (small
+#: ranges of IPv4) or drawn in a wider format, until nothing clashes.
 DRAWS = 12
+#: Private IPv4 ranges of 65,536 addresses.
+SMALL_RANGE = r"^(192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|169\.254)\."
 
 #: Titles by gender of the person they stand before ("" where they tell none). Fixed values.
 TITLES = {
@@ -236,7 +240,12 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
         ssn = F.concat(F.lit("9"), _letters(F.substring(e, F.lit(2), F.length(e)), stream))
         prefix = F.regexp_extract(e, r"^(AKIA|ghp_|sk-)", 1)
         secret = let(prefix, lambda p: F.concat(p, _letters(F.substring(e, F.length(p) + 1, F.length(e)), stream, hexadecimal=p == "")))
-        choice = {"email": _email(e, stream), "secret": secret, "iban": _iban(e, stream), "ipv4": _ipv4(e, stream), "ssn": ssn, "phone": phone, "card": _card(e, stream)}
+        # Formats that are nearly used up: one more letter or digit for each draw beyond DRAWS, or a larger range of addresses.
+        more = F.greatest(F.lit(0), attempt - (DRAWS - 1))
+        wider = lambda x: F.when(more > 0, F.concat(F.repeat(F.lit("a"), more), x)).otherwise(x)
+        ranged = F.when(attempt >= 3 * DRAWS, F.lit("0.0.0.0")).when(attempt >= DRAWS, F.regexp_replace(e, SMALL_RANGE, "10.0.")).otherwise(e)
+        phone = F.when(more > 0, F.concat(phone, F.substring(F.translate(stream, "abcdef", "012345"), F.lit(1), more))).otherwise(phone)
+        choice = {"email": _email(wider(e), stream), "secret": secret, "iban": _iban(e, stream), "ipv4": _ipv4(ranged, stream), "ssn": ssn, "phone": phone, "card": _card(e, stream)}
         return reduce(lambda rest, k: F.when(kind == k, choice[k]).otherwise(rest), reversed(list(choice)), _name(e, stream, attempt))
 
     seed = lambda kind: _stream(F.concat_ws("\x1f", F.lit(key), kind, canonical(e, kind), attempt.cast("string")))
@@ -249,6 +258,19 @@ def found_in(text: str) -> Column:
     return F.when(whole.rlike(MAYBE), F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def ranked(drawn: DataFrame, clash: DataFrame) -> DataFrame:
+    """(key, fixed): free addresses for the clashing ones of small ranges, by rank; those that find none are left out."""
+    prefix = F.regexp_extract("entity", SMALL_RANGE, 1)
+    left = drawn.join(clash, "key").filter(F.col("key").startswith("ipv4")).select("key", prefix.alias("prefix")).filter("prefix <> ''").distinct()
+    used = drawn.join(clash, "key", "left_anti").select(F.substring_index("drawn", "\x1f", -1).alias("value")).union(drawn.select(F.col("entity").alias("value")))
+    place = F.explode(F.sequence(F.lit(0), F.lit(254 * 254 - 1)))
+    values = left.select("prefix").distinct().select("prefix", place.alias("n")).select("prefix", F.format_string("%s.%d.%d", "prefix", (F.col("n") / 254).cast("int") + 1, F.col("n") % 254 + 1).alias("value"))
+    # A window holds one range, 64,516 values at most.
+    free = values.join(used.distinct(), "value", "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(F.sha2("value", 256))))
+    asked = left.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("key")))
+    return asked.join(free, ["prefix", "rank"]).select("key", F.col("value").alias("fixed"))
+
+
 def attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """(key, attempt, fixed) of the entities that had to draw more than once, so that no two entities of the corpus share a
     surrogate and no surrogate is an entity of the corpus. All writings of an entity are checked; ``fixed`` is a surrogate
@@ -256,7 +278,7 @@ def attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     entity = docs.select(F.explode(found_in(text)).alias("entity")).distinct()
     entities = written(entity.withColumn("key", key_of(F.col("entity"))), "entities")
     now, first_draw = entities.withColumn("attempt", F.lit(0)).withColumn("fixed", F.lit(None).cast("string")), True
-    for turn in range(DRAWS):
+    for turn in count():
         moved = F.col("attempt") == turn
         new = key_of(F.coalesce("fixed", surrogate(F.col("entity"), F.col("attempt"), key)))
         if first_draw:
@@ -271,9 +293,12 @@ def attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
         if clash.isEmpty():
             return drawn.filter("attempt > 0").select("key", "attempt", "fixed").distinct()
         again = clash.withColumn("more", F.lit(1))
-        again = again.withColumn("given", F.lit(None).cast("string"))
+        if turn == DRAWS - 1:
+            again = again.join(ranked(drawn, clash).withColumnRenamed("fixed", "given"), "key", "left")
+        else:
+            again = again.withColumn("given", F.lit(None).cast("string"))
         now = drawn.join(again, "key", "left").withColumn("attempt", F.when(F.col("more") == 1, F.lit(turn + 1)).otherwise(F.col("attempt"))).withColumn("fixed", F.coalesce("given", "fixed")).drop("more", "given").select("entity", "key", "attempt", "fixed", "drawn")
-    raise ValueError(f"entities still share surrogates after {DRAWS} draws")
+    raise AssertionError("unreachable")
 
 
 def _woven(text: str, surrogates: Column) -> Column:

@@ -287,3 +287,11 @@ def test_writings_of_one_entity_agree(spark, tmp_path):
     assert digits[6] != digits[7] and digits[8] == digits[9]
     keys = spark.createDataFrame([("123-45-6789",), ("+12 345 6789",)], "e string").select(pii.key_of(pii.F.col("e"))).collect()
     assert keys[0] != keys[1]
+
+
+def test_a_crowded_address_range_is_assigned_by_rank(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWS", 2)
+    own = [f"192.168.{i // 200 + 1}.{i % 200 + 1}" for i in range(30000)]
+    out = " ".join(replaced(spark, str(tmp_path / "c"), [" ".join(own[k : k + 1000]) for k in range(0, 30000, 1000)])).split()
+    assert len(set(out)) == 30000 and not set(out) & set(own)
+    assert all(x.startswith("192.168.") for x in out)
