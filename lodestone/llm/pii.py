@@ -3,12 +3,18 @@
 Each entity gets a surrogate of its own type, drawn from SHA-256 of a key and the entity's canonical form: the same entity
 gets the same surrogate everywhere, in whatever case or punctuation it is written, and keeps those. Letters become
 letters, digits digits; card numbers that pass the Luhn test and IBANs that pass mod 97 still pass; e-mail hosts under
-example.com, .org or .net stay there and others move to .example; private IPv4 ranges stay private; a name after a title
-takes the title's gender and the script it is written in.
+example.com, .org or .net stay there and others move to .example; private IPv4 ranges stay private.
+
+A name after a title is replaced word by word, so "Mr Smith", "Mr. Smith" and "Herr John Smith" keep one family name:
+titles and particles stay, the last word is the family name, the words before it are given names of the title's gender
+(after a title that tells none, of a gender drawn from the word), initials move along the alphabet by a keyed step. The
+script stays. Words are what must be distinct, and names then are.
 
 Distinctness is checked, not hoped for: the distinct entities of the corpus are written to a table, and those whose
-surrogate another entity also drew, or that is itself an entity of the corpus, draw again until none is left. If none had
-to, which is the rule, surrogates are computed in place and no text is shuffled; otherwise the attempts are joined.
+surrogate another entity also drew, or that is itself an entity of the corpus, draw again until none is left.
+
+The texts are searched once and written with what was found. First draws are computed in place; only texts with an entity
+take part in the join that brings later draws, so what moves is their share of the corpus, whatever its size.
 
 Results for odd input: null text stays null with no entities; empty text stays empty; repeated rows are replaced alike;
 ids are carried as they are; an empty table gives no rows; further columns of the input are kept (but
@@ -17,6 +23,7 @@ ids are carried as they are; an empty table gives no rows; further columns of th
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from itertools import count
 
@@ -64,7 +71,7 @@ _WORD = r"(?:(?:von|van|vom|zu|zur|zum|de|del|della|der|den|di|da|do|dos|das|du|
 #: Patterns by type, in order of precedence; "us" and "national" are phones without a country code.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
+    "secret": r"(?:(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|sk-[A-Za-z0-9_\-]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+)(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,20}PRIVATE KEY-----)",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv4": _OCTET + r"(?:\." + _OCTET + r"){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?!000|666)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
@@ -89,11 +96,18 @@ BEFORE = {
     "name": "",
 }
 #: The first character of a type; it only saves trying.
-FIRST = {"email": r"[A-Za-z0-9._%+\-]", "secret": "[A-Za-z0-9]", "iban": "[A-Z]", "ipv4": "[0-9]", "ssn": "[0-9]", "phone": "[+(]", "us": "[0-9]", "national": "[0-9]", "card": "[0-9]", "name": r"\p{Lu}"}
+FIRST = {"email": r"[A-Za-z0-9._%+\-]", "secret": r"[A-Za-z0-9\-]", "iban": "[A-Z]", "ipv4": "[0-9]", "ssn": "[0-9]", "phone": "[+(]", "us": "[0-9]", "national": "[0-9]", "card": "[0-9]", "name": r"\p{Lu}"}
 #: Behind an ASCII letter or digit only a digit or a capital can begin an entity, so nothing is tried at the other letters of a word.
 ANY = r"(?:(?<![A-Za-z0-9])|(?=[0-9\p{Lu}]))(?:" + "|".join(f"(?={FIRST[k]}){BEFORE[k]}(?:{PATTERNS[k]})" for k in PATTERNS) + ")"
 #: A text without any of these has no entity, and is not searched.
-MAYBE = "[0-9@]|AKIA|ghp_|sk-|[a-f]{32}|[A-F]{32}|" + _TITLE
+MAYBE = "[0-9@]|AKIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|eyJ|PRIVATE KEY-----|[a-f]{32}|[A-F]{32}|" + _TITLE
+#: What a secret keeps at its start and end.
+SECRET_HEAD = "^(AKIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|eyJ|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+SECRET_TAIL = "(-----END [A-Z ]{0,20}PRIVATE KEY-----)$"
+#: A word of a name as a unit: this mark, two letters for its part in the name, the mark, the word.
+MARK = "\x1f"
+#: Alphabets of initials, in their order. Fixed values.
+INITIALS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 
 def let(value: Column, body) -> Column:
@@ -107,17 +121,49 @@ def type_of(entity: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """What makes two writings of a type one entity: digits, with "+" before a country code, and letters without case; for names
-    and e-mail the text without case (and titles' dots); for IPv4 and secrets with a prefix the text."""
+    """What makes two writings of a type one entity: digits, with "+" before a country code, and letters without case; for e-mail
+    and words of names the text without case; for IPv4 and secrets with a prefix the text."""
     digits = F.regexp_replace(F.lower(F.replace(entity, F.lit("(0)"), F.lit(""))), "[^a-z0-9]", "")
     phone = F.concat(F.when(entity.rlike(r"^(?:\+|1[ .\-])"), F.lit("+")).otherwise(F.lit("")), digits)
-    as_is = (kind == "ipv4") | entity.rlike("^(?:AKIA|ghp_|sk-)") & (kind == "secret")
-    return F.when(kind == "email", F.lower(entity)).when(kind == "name", F.replace(F.lower(entity), F.lit("."), F.lit(""))).when(as_is, entity).when(kind == "phone", phone).otherwise(F.regexp_replace(F.lower(entity), "[^a-z0-9]", ""))
+    as_is = (kind == "ipv4") | entity.rlike(SECRET_HEAD) & (kind == "secret")
+    return F.when((kind == "email") | (kind == "name"), F.lower(entity)).when(as_is, entity).when(kind == "phone", phone).otherwise(F.regexp_replace(F.lower(entity), "[^a-z0-9]", ""))
+
+
+def title_of(entity: Column) -> Column:
+    """The titles that a name begins with, and the space behind them; "" for other entities."""
+    return F.regexp_extract(entity, f"^((?:{_TITLE}){{1,6}}){_WORD}", 1)
+
+
+def units_of(entity: Column) -> Column:
+    """What is replaced by itself: the entity, or the words of a name, each marked by its part: "gm", "gf", "g?" for given names by
+    gender, "fa" for the family name, "in" for initials, "as" for particles, which stay."""
+
+    def words(title: Column) -> Column:
+        of = lambda g: title.rlike("(?:^| )(?:" + "|".join(TITLES[g]) + ")[. ]")
+        given = F.when(of("m"), F.lit("gm")).when(of("f"), F.lit("gf")).otherwise(F.lit("g?"))
+
+        def marked(all_words: Column) -> Column:
+            def one(word: Column, i: Column) -> Column:
+                part = F.when(word.rlike(r"^(?:\p{Lu}\.(?:-?\p{Lu}\.)*)$"), F.lit("in")).when(word.rlike(r"^\p{Ll}+$"), F.lit("as")).when(i == F.size(all_words) - 1, F.lit("fa")).otherwise(given)
+                return F.concat(F.lit(MARK), part, F.lit(MARK), word)
+
+            return F.transform(all_words, one)
+
+        return F.when(title == "", F.array(entity)).otherwise(let(F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " "), marked))
+
+    # Only a capital letter, as all titles have, can begin a name.
+    return F.when(entity.rlike(r"^\p{Lu}"), let(title_of(entity), words)).otherwise(F.array(entity))
 
 
-def key_of(entity: Column) -> Column:
+def whole_of(entity: Column, units: Column) -> Column:
+    """The entity put together from its units."""
+    plain = F.transform(units, lambda u: F.regexp_replace(u, f"^{MARK}..{MARK}", ""))
+    return F.when(F.element_at(units, 1).startswith(MARK), F.concat(title_of(entity), F.array_join(plain, " "))).otherwise(F.element_at(units, 1))
+
+
+def key_of(unit: Column) -> Column:
     """Type and canonical form: equal for all writings of one entity, different for any two entities."""
-    return let(type_of(entity), lambda kind: F.concat_ws("\x1f", kind, canonical(entity, kind)))
+    return let(type_of(unit), lambda kind: F.concat_ws("\x1f", kind, canonical(unit, kind)))
 
 
 def _number(stream: Column, at: Column) -> Column:
@@ -137,29 +183,46 @@ def _char(alphabet: str, number: Column) -> Column:
     return F.substring(F.lit(alphabet), (F.pmod(number, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
 
-def _letters(text: Column, stream: Column, first: int | Column = 0, hexadecimal: Column | None = None) -> Column:
+def _letters(text: Column, stream: Column, first: int | Column = 0) -> Column:
     """Letters and digits replaced, case and everything else kept; numbers are taken by place among letters and digits, so
     punctuation doesn't change them. ``first``: how many of those to keep at the start."""
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    is_hex = F.lit(False) if hexadecimal is None else hexadecimal
 
-    def one(whole: Column, has_upper: Column):
+    def one(whole: Column):
         def at(i: Column) -> Column:
             place = F.length(F.regexp_replace(F.substring(whole, F.lit(1), i), "[^A-Za-z0-9]", "")) - 1
 
             def char(c: Column, p: Column, n: Column) -> Column:
-                new = F.when(is_hex & c.rlike("[0-9a-f]") & ~has_upper, _char("0123456789abcdef", n)).when(is_hex & c.rlike("[0-9A-F]"), _char("0123456789ABCDEF", n))
-                new = new.when(c.rlike("[0-9]"), _char("0123456789", n)).when(c.rlike("[a-z]"), _char(lower, n)).when(c.rlike("[A-Z]"), _char(upper, n)).otherwise(c)
+                new = F.when(c.rlike("[0-9]"), _char("0123456789", n)).when(c.rlike("[a-z]"), _char(lower, n)).when(c.rlike("[A-Z]"), _char(upper, n)).otherwise(c)
                 return F.when(p < first, c).otherwise(new) if isinstance(first, Column) or first else new
 
             return let(F.substring(whole, i, F.lit(1)), lambda c: let(place, lambda p: let(_number(stream, p), lambda n: char(c, p, n))))
 
         return at
 
-    whole = let(text, lambda t: let(t.rlike("[A-F]"), lambda u: F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), one(t, u)), "")))
+    whole = let(text, lambda t: F.array_join(F.transform(F.sequence(F.lit(1), F.length(t)), one(t)), ""))
     return F.when(F.length(text) == 0, F.lit("")).otherwise(whole)
 
 
+def _secret(e: Column, stream: Column) -> Column:
+    """Letters and digits behind the prefix replaced, by their place; a key of any length in one pass."""
+    hexadecimal = e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    alphabets = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+
+    def body(head: Column, tail: Column) -> Column:
+        chars = F.split(F.substring(e, F.length(head) + 1, F.length(e) - F.length(head) - F.length(tail)), "")
+
+        def char(c: Column, n: Column) -> Column:
+            new = F.when(hexadecimal & ~e.rlike("[A-F]"), _char("0123456789abcdef", n)).when(hexadecimal, _char("0123456789ABCDEF", n))
+            for cls, alphabet in alphabets:
+                new = new.when(c.rlike(cls), _char(alphabet, n))
+            return new.otherwise(c)
+
+        return F.concat(head, F.array_join(F.transform(chars, lambda c, i: let(_number(stream, i), lambda n: char(c, n))), ""), tail)
+
+    return let(F.regexp_extract(e, SECRET_HEAD, 1), lambda head: let(F.regexp_extract(e, SECRET_TAIL, 1), lambda tail: body(head, tail)))
+
+
 def _digits(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, "[^0-9]", ""), ""), lambda c: c.cast("int"))
 
@@ -213,24 +276,33 @@ def _syllable(parts: list[str], stream: Column):
     return lambda i: _pick(parts, _number(stream, i + 50))
 
 
-def _name(e: Column, stream: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(e, f"^((?:{_TITLE}){{1,6}}){_WORD}", 1)
-    rest = F.substring(e, F.length(title) + 1, F.length(e))
-    of = lambda g: title.rlike("(?:^| )(?:" + "|".join(TITLES[g]) + ")[. ]")
-    drawn = F.when(F.pmod(_number(stream, F.lit(40)), F.lit(2)) == 0, F.lit("m")).otherwise(F.lit("f"))
-    gender = F.when(of("m"), F.lit("m")).when(of("f"), F.lit("f")).otherwise(drawn)
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(rest.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
-    given, family = F.lit(""), F.lit("")
-    for (s, g), names in GIVEN.items():
-        given = F.when((script == s) & (gender == g), _pick(names, _number(stream, F.lit(41)))).otherwise(given)
+def _word(unit: Column, stream: Column, attempt: Column) -> Column:
+    """The surrogate of a marked word of a name, marked alike; a draw gives it one more name or syllable."""
+    part, word = F.substring(unit, 2, 2), F.substring(unit, F.lit(5), F.length(unit))
+    female = (part == "gf") | (part == "g?") & (F.pmod(_number(stream, F.lit(40)), F.lit(2)) == 1)
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(word.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
+    given = family = F.lit("")
     for s, parts in SYLLABLES.items():
-        made = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), _syllable(parts, stream)), "")
-        family = F.when(script == s, F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, F.lit(2), F.length(made)))).otherwise(family)
-    return F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
+        made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), _syllable(parts, stream)), ""))
+        family = F.when(script == s, made).otherwise(family)
+        for g, is_g in (("m", ~female), ("f", female)):
+            names = F.array_join(F.transform(F.sequence(F.lit(0), attempt), _syllable(GIVEN[s, g], stream)), "-")
+            given = F.when((script == s) & is_g, names).otherwise(given)
+    new = F.when(part == "fa", family).otherwise(given)
+    new = F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(new)).otherwise(new)
+    apart = F.regexp_extract(word, "^([dl]['’])", 1)
+    return F.concat(F.substring(unit, 1, 4), apart, new)
+
+
+def _initials(unit: Column, key: str) -> Column:
+    """Initials moved along their alphabet by a step that the key alone gives, so different ones stay different."""
+    step = int.from_bytes(hashlib.sha256(f"{key}\x1finitials".encode()).digest()[:4], "big")
+    moved = "".join(a[(i + 1 + step % (len(a) - 1)) % len(a)] for a in INITIALS for i in range(len(a)))
+    return F.concat(F.substring(unit, 1, 4), F.translate(F.substring(unit, F.lit(5), F.length(unit)), "".join(INITIALS), moved))
 
 
 def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity at a draw (from 0)."""
+    """The surrogate of a unit at a draw (from 0)."""
 
     def of(kind: Column, stream: Column) -> Column:
         # The country code, or without one the first digit, is kept, and behind 1 or 0 another; they come from the canonical form, so all writings agree.
@@ -238,18 +310,17 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
         kept = F.when(form.startswith("+"), F.length(F.regexp_extract(form, COUNTRY, 1)) + form.startswith("+1").cast("int")).when(form.startswith("0"), F.lit(2)).otherwise(F.lit(1))
         phone = let(kept, lambda k: F.replace(_letters(F.replace(e, F.lit("(0)"), F.lit("\x01")), stream, first=k), F.lit("\x01"), F.lit("(0)")))
         ssn = F.concat(F.lit("9"), _letters(F.substring(e, F.lit(2), F.length(e)), stream))
-        prefix = F.regexp_extract(e, r"^(AKIA|ghp_|sk-)", 1)
-        secret = let(prefix, lambda p: F.concat(p, _letters(F.substring(e, F.length(p) + 1, F.length(e)), stream, hexadecimal=p == "")))
         # Formats that are nearly used up: one more letter or digit for each draw beyond DRAWS, or a larger range of addresses.
         more = F.greatest(F.lit(0), attempt - (DRAWS - 1))
         wider = lambda x: F.when(more > 0, F.concat(F.repeat(F.lit("a"), more), x)).otherwise(x)
         ranged = F.when(attempt >= 3 * DRAWS, F.lit("0.0.0.0")).when(attempt >= DRAWS, F.regexp_replace(e, SMALL_RANGE, "10.0.")).otherwise(e)
         phone = F.when(more > 0, F.concat(phone, F.substring(F.translate(stream, "abcdef", "012345"), F.lit(1), more))).otherwise(phone)
-        choice = {"email": _email(wider(e), stream), "secret": secret, "iban": _iban(e, stream), "ipv4": _ipv4(ranged, stream), "ssn": ssn, "phone": phone, "card": _card(e, stream)}
-        return reduce(lambda rest, k: F.when(kind == k, choice[k]).otherwise(rest), reversed(list(choice)), _name(e, stream, attempt))
+        choice = {"email": _email(wider(e), stream), "secret": _secret(e, stream), "iban": _iban(e, stream), "ipv4": _ipv4(ranged, stream), "ssn": ssn, "phone": phone, "card": _card(e, stream)}
+        return reduce(lambda rest, k: F.when(kind == k, choice[k]).otherwise(rest), reversed(list(choice)), _word(e, stream, attempt))
 
     seed = lambda kind: _stream(F.concat_ws("\x1f", F.lit(key), kind, canonical(e, kind), attempt.cast("string")))
-    return let(type_of(e), lambda kind: let(seed(kind), lambda stream: of(kind, stream)))
+    drawn = let(type_of(e), lambda kind: let(seed(kind), lambda stream: of(kind, stream)))
+    return F.when(e.startswith(f"{MARK}as{MARK}"), e).when(e.startswith(f"{MARK}in{MARK}"), _initials(e, key)).otherwise(drawn)
 
 
 def found_in(text: str) -> Column:
@@ -271,11 +342,12 @@ def ranked(drawn: DataFrame, clash: DataFrame) -> DataFrame:
     return asked.join(free, ["prefix", "rank"]).select("key", F.col("value").alias("fixed"))
 
 
-def attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """(key, attempt, fixed) of the entities that had to draw more than once, so that no two entities of the corpus share a
+def attempts(marked: DataFrame, found: str, key: str = KEY) -> DataFrame:
+    """(key, attempt, fixed) of the units that had to draw more than once, so that no two entities of the corpus share a
     surrogate and no surrogate is an entity of the corpus. All writings of an entity are checked; ``fixed`` is a surrogate
-    assigned by rank."""
-    entity = docs.select(F.explode(found_in(text)).alias("entity")).distinct()
+    assigned by rank. ``found``: the column with the entities."""
+    entity = marked.select(F.explode(found).alias("entity")).distinct().select(F.explode(units_of(F.col("entity"))).alias("entity")).distinct()
+    entity = entity.filter(~F.col("entity").rlike(f"^{MARK}(?:as|in){MARK}"))
     entities = written(entity.withColumn("key", key_of(F.col("entity"))), "entities")
     now, first_draw = entities.withColumn("attempt", F.lit(0)).withColumn("fixed", F.lit(None).cast("string")), True
     for turn in count():
@@ -307,21 +379,19 @@ def _woven(text: str, surrogates: Column) -> Column:
 
 
 def replace_in(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with the entities in ``text`` replaced and ``n_entities`` and ``entity_types`` added. ``docs`` must be read from files."""
-    again = attempts(docs, text, key)
+    """``docs`` with the entities in ``text`` replaced and ``n_entities`` and ``entity_types`` added."""
     found, new, row = (unused(docs, c) for c in ("_found", "_new", "_row"))
-    rows = docs.withColumn(found, found_in(text))
-    if again.isEmpty():
-        rows = rows.withColumn(new, F.transform(found, lambda e: surrogate(e, F.lit(0), key)))
-    else:
-        rows = rows.withColumn(row, F.monotonically_increasing_id())
-        each = rows.select(row, F.posexplode(found).alias("_at", "_entity")).withColumn("key", key_of(F.col("_entity")))
-        each = each.join(small(again), "key").withColumn("_one", F.coalesce("fixed", surrogate(F.col("_entity"), F.col("attempt"), key)))
-        # Only places that drew again, by document; the others are computed in place, and texts are shuffled only if these are many.
-        drawn = written(each.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_one"))).alias(new)), "drawn-again")
-        rows = rows.join(small(drawn), row, "left")
-        rows = rows.withColumn(new, F.transform(found, lambda e, i: F.coalesce(F.element_at(F.col(new), i), surrogate(e, F.lit(0), key))))
+    # The texts are searched once; the rows' numbers are those of this table.
+    marked = written(docs.withColumn(found, found_in(text)).withColumn(row, F.monotonically_increasing_id()), "marked")
+    again = attempts(marked, found, key)
+    each = marked.filter(F.size(found) > 0).select(row, F.posexplode(found).alias("_at", "_entity"))
+    each = each.select(row, "_at", F.posexplode(units_of(F.col("_entity"))).alias("_part", "_unit")).withColumn("key", key_of(F.col("_unit")))
+    each = each.join(small(again), "key").withColumn("_one", F.coalesce("fixed", surrogate(F.col("_unit"), F.col("attempt"), key)))
+    drawn = written(each.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("_at", "_part"), "_one"))).alias(new)), "drawn-again")
+    hits = marked.filter(F.size(found) > 0).join(small(drawn), row, "left")
+    unit = lambda i: lambda u, j: F.coalesce(F.element_at(F.col(new), F.struct(i.alias("_at"), j.alias("_part"))), surrogate(u, F.lit(0), key))
+    hits = hits.withColumn(new, F.transform(found, lambda e, i: whole_of(e, F.transform(units_of(e), unit(i)))))
     counted = {"n_entities": F.size(found).cast("bigint"), "entity_types": F.array_sort(F.array_distinct(F.transform(found, type_of)))}
     own = [c for c in docs.columns if c not in counted]
-    out = rows.withColumns(counted).withColumn(text, _woven(text, F.col(new)))
-    return out.select(*own, *counted)
+    out = hits.withColumns(counted).withColumn(text, _woven(text, F.col(new))).select(*own, *counted)
+    return marked.filter(F.size(found) == 0).withColumns(counted).select(*own, *counted).unionByName(out)

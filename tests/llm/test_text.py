@@ -295,3 +295,40 @@ def test_a_crowded_address_range_is_assigned_by_rank(spark, tmp_path, monkeypatc
     out = " ".join(replaced(spark, str(tmp_path / "c"), [" ".join(own[k : k + 1000]) for k in range(0, 30000, 1000)])).split()
     assert len(set(out)) == 30000 and not set(out) & set(own)
     assert all(x.startswith("192.168.") for x in out)
+
+
+def test_words_of_names_agree(spark, tmp_path):
+    texts = ["Mr Smith", "Mr. Smith", "Herr John Smith", "Mr John Smith", "Mr. J. Smith", "Mr. K. Smith", "Frau SMITH", "Monsieur von Smith", "Mrs Anna Braun", "Dr. Anna Braun", "Señora d'Arc", "Mr John Paul Smith", "Господин Иван Петров", "Κύριος Νίκος Παπάς"]
+    out = replaced(spark, str(tmp_path / "n"), texts)
+    family = out[0].removeprefix("Mr ")
+    assert family not in ("Smith", "") and out[1] == f"Mr. {family}"
+    given = out[3].split()[1]
+    assert out[2] == f"Herr {given} {family}" and out[3] == f"Mr {given} {family}" and given.split("-")[0] in pii.GIVEN["latin", "m"]
+    assert re.fullmatch(rf"Mr\. [A-Z]\. {family}", out[4]) and re.fullmatch(rf"Mr\. [A-Z]\. {family}", out[5]) and out[4] != out[5] and out[4] != texts[4]
+    assert out[6] == f"Frau {family.upper()}" and out[7] == f"Monsieur von {family}"
+    assert out[8].split()[1].split("-")[0] in pii.GIVEN["latin", "f"] and out[8].split()[-1] == out[9].split()[-1] != family
+    assert out[10].startswith("Señora d'") and "Arc" not in out[10] and out[11].split()[1] == given
+    assert out[12].split()[1].split("-")[0] in pii.GIVEN["cyrillic", "m"] and out[13].split()[1].split("-")[0] in pii.GIVEN["greek", "m"]
+
+
+def test_secrets_of_any_length(spark, tmp_path):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1+/" * 700 + "\n-----END RSA PRIVATE KEY-----"
+    texts = ["ghp_" + "a1B2" * 9, "github_pat_" + "x9_" * 10, "xoxb-123456789012-abcdefABCDEF", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "sk-" + "Zz9" * 50, "0f" * 3000, "0F" * 100, key]
+    assert entities_of(spark, texts) == [[x] for x in texts]
+    out = replaced(spark, str(tmp_path / "k"), texts)
+    for a, b in zip(texts, out, strict=True):
+        assert a != b and len(a) == len(b)
+    assert out[0].startswith("ghp_") and out[1].startswith("github_pat_") and out[2].startswith("xoxb-") and re.fullmatch("[0-9a-f]{6000}", out[5]) and re.fullmatch("[0-9A-F]{200}", out[6])
+    assert out[7].startswith("-----BEGIN RSA PRIVATE KEY-----\n") and out[7].endswith("\n-----END RSA PRIVATE KEY-----") and "Ab1+/Ab1+/" not in out[7]
+
+
+def test_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rows = [(7, "call +1 555 123 4567", 5, ["x"]), (7, "call +1 555 123 4567", 5, ["x"]), (None, "bob@site.org", 1, None), (8, None, None, None)]
+    path = str(tmp_path / "r")
+    spark.createDataFrame(rows, "doc_id int, text string, n_entities int, _found array<string>").write.parquet(path)
+    out = pii.replace_in(spark.read.parquet(path))
+    assert out.columns == ["doc_id", "text", "_found", "n_entities", "entity_types"]
+    found = out.collect()
+    same = [r.text for r in found if r.doc_id == 7]
+    assert len(found) == 4 and len(same) == 2 and same[0] == same[1] != rows[0][1]
+    assert sorted(r.n_entities for r in found) == [0, 1, 1, 1] and [r._found for r in found if r.doc_id == 7] == [["x"]] * 2
