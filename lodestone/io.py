@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest estimated size, in bytes, of a side that may carry a broadcast hint.
-BROADCAST_LIMIT = 8 << 20
+#: Largest size, in bytes, of a side that may carry a broadcast hint, once it is decoded.
+BROADCAST_LIMIT = 16 << 20
+#: Times that decoded rows may be larger than Catalyst's estimate, which for files is their compressed size.
+EXPANSION = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,26 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """``df`` with a broadcast hint only where Catalyst's size estimate is below ``limit``; otherwise unchanged,
-    so the join falls back to a shuffled one."""
+    """``df`` with a broadcast hint only where Catalyst's size estimate, times EXPANSION, is at most ``limit``; otherwise
+    unchanged, so the join falls back to a shuffled one."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if size * EXPANSION <= limit else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The session's own folder below the shared one that ``spark.checkpoint.dir`` names; it is deleted when the driver's JVM
+    ends. Where the setting is empty, a local session takes a temporary folder and any other raises."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         found = sc.getCheckpointDir()
-    return found
+    own = f"{found.rstrip('/')}/lodestone-{sc.applicationId}"
+    if own not in _OWN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN.add(own)
+    return own
+
+
+_OWN: set[str] = set()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage is cut, and a lost executor costs a
     re-read instead of a recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/lodestone-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes what ``written`` has left for this session; frames read from it must not be used any more."""
+    sc, own = spark.sparkContext, scratch_dir(spark)
+    path = sc._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
