@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import struct
 import wave
 from collections.abc import Callable, Iterator
 
@@ -55,7 +56,10 @@ def samples(media: bytes) -> tuple[np.ndarray, int]:
         if file.getsampwidth() != 2:
             raise ValueError("16-bit samples are expected")
         data = np.frombuffer(file.readframes(file.getnframes()), "<i2").astype(float)
-        return data.reshape(-1, file.getnchannels()).mean(1), file.getframerate()
+        channels, rate = file.getnchannels(), file.getframerate()
+        if not 1000 <= rate <= 400_000:
+            raise ValueError("a rate of 1 to 400 kHz is expected")
+        return data[: len(data) // channels * channels].reshape(-1, channels).mean(1), rate
 
 
 def chroma(sound: np.ndarray, rate: int = RATE) -> np.ndarray:
@@ -124,7 +128,7 @@ def fingerprints(media: DataFrame, key: str, column: str, decode: Callable[[obje
                 for value in part.column("media"):
                     try:
                         found = fingerprint(chroma(*decode(value.as_py()))) if value.is_valid else np.zeros(0, np.uint32)
-                    except (ValueError, EOFError, wave.Error):
+                    except (ValueError, EOFError, ArithmeticError, wave.Error, struct.error):
                         found = np.zeros(0, np.uint32)
                     prints.append(found.astype(np.int64))
                 names = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else None for x in prints]

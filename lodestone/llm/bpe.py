@@ -27,9 +27,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import slices
+
 #: Matches of at most this many characters are kept: this many new ones, and as many from before.
 KEPT_LENGTH = 40
 KEPT = 1 << 18
+#: Results of the pair test that are kept; beyond, they are forgotten and found again.
+FITS = 1 << 20
+#: Ids decoded at once.
+DECODED = 1 << 22
 #: Texts below this code point are split with the classes of the pattern written out, which the ``re`` module does faster.
 PLAIN = 0x250
 
@@ -102,6 +108,8 @@ class Vocabulary:
                         break
                 else:
                     found = True
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             self.fits[left, right] = found
         return found
 
@@ -220,8 +228,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern).packed
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, "text"):
                 ids = [encode(x or "") for x in part.column("text").to_pylist()]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -237,8 +244,12 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path, pattern).vocabulary.table
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            lengths, k = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False), 0
+            ends_of = np.cumsum(lengths, dtype=np.int64)
+            while k < batch.num_rows:
+                stop = min(k + 512, max(k + 1, int(np.searchsorted(ends_of, (ends_of[k - 1] if k else 0) + DECODED, "right"))), batch.num_rows)
+                part = batch.slice(k, stop - k)
+                k = stop
                 ids = part.column("ids")
                 joined = tokens.take(ids.flatten())
                 # The bytes of neighbouring tokens lie side by side, so a text is one slice from its first token to its last.

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +60,14 @@ def flags_of_repeats(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa
         held, held_flag = table.slice(last).combine_chunks().to_batches()[0], bool(flag[last])
     if held is not None and held_flag:
         yield held
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and, but for single longer values, ``size`` bytes of a string column."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < batch.num_rows:
+        reach = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        stop = min(max(reach, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -6,10 +6,11 @@ likelihood: starting from the best single one, a language is added while it rais
 share of a BIC penalty. The prediction is the language with the largest proportion, the score its proportion.
 
 The model is learnt from a bounded sample of labelled rows: about ``PER_LANGUAGE`` documents of each language, chosen by a
-hash of the id, for at most ``LANGUAGES`` languages, the most frequent ones. Trigrams are counted in ``BINS`` hashed bins, so the
-model has at most LANGUAGES x BINS numbers.
+hash of the id. Every label is learnt. Trigrams are counted in ``BINS`` hashed bins, so the model takes 128 KiB for each
+label: its size goes with the number of languages, not with the corpus.
 
 Results for odd input: null text and text without a letter are ``und`` with score 0; without labelled rows all are ``und``;
+text with a letter but no two side by side gives the label first by name, with score 1 / labels;
 rows are independent, so ties, repeated rows and null ids need no care (equal proportions: the language first by name); an
 empty table gives no rows; further columns of the input are ignored.
 """
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.io import small, written
+
 PER_LANGUAGE = 2000
-LANGUAGES = 64
 BINS = 1 << 15
 ROUNDS = 25
 #: BIC counts observations as independent; overlapping trigrams are not, so a language's penalty is this many times log(n) / 2.
@@ -75,22 +77,26 @@ def languages_of(chance: np.ndarray, counts: np.ndarray) -> dict[int, float]:
         candidates = [int(i) for i in np.argsort(-everyone, kind="stable") if i != chosen[0] and everyone[i] > 1e-3] if bound - best > price else []
         for i in candidates:
             trial, likely = mixture(chance[[*chosen, i]], counts)
-            if likely - best <= price:
-                break
-            chosen, share, best = [*chosen, i], trial, likely
+            if likely - best > price:
+                chosen, share, best = [*chosen, i], trial, likely
     return dict(zip(chosen, share.tolist(), strict=True))
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bin, n) summed over a task's rows."""
+    """(lang, counts of all bins as 32-bit floats) summed over a task's rows."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             bins, counts = trigrams(text)
-            sums.setdefault(lang, np.zeros(BINS))[bins] += counts
+            sums.setdefault(lang, np.zeros(BINS, np.float32))[bins] += counts
     for lang, counts in sums.items():
-        bins = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array([lang] * len(bins), pa.string()), pa.array(bins.astype(np.int32)), pa.array(counts[bins])], ["lang", "bin", "n"])
+        yield pa.record_batch([pa.array([lang], pa.string()), pa.array([counts.tobytes()], pa.binary())], ["lang", "counts"])
+
+
+def summed(table: pa.Table) -> pa.Table:
+    """One row of summed counts."""
+    total = sum(np.frombuffer(x, np.float32) for x in table.column("counts").to_pylist())
+    return pa.table([table.column("lang").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -102,19 +108,17 @@ def held_out(doc_id: str | Column) -> Column:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram distributions, from a bounded sample of ``labelled``."""
     rows = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not found:
-        return [], np.zeros((0, BINS))
     # Thresholds on the hash take about per_language rows of each language, wherever they lie.
-    chosen = F.lit(False)
-    for r in found:
-        chosen = chosen | ((F.col("lang") == r.lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, per_language / r.n) * (1 << 30))))
-    counts = rows.filter(chosen).select("lang", "text").mapInArrow(count_trigrams, "lang string, bin int, n double").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    names = sorted({r.lang for r in counts})
-    model = np.full((len(names), BINS), 0.02)
-    for r in counts:
-        model[names.index(r.lang), r.bin] += r.n
-    return names, model / model.sum(1, keepdims=True)
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
+    wanted = written(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * (1 << 30)).cast("bigint").alias("below")), "labels")
+    chosen = rows.join(small(wanted), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
+    counts = chosen.select("lang", "text").mapInArrow(count_trigrams, "lang string, counts binary").groupBy("lang").applyInArrow(summed, "lang string, counts binary").collect()
+    names = sorted(r.lang for r in counts)
+    if not names:
+        return [], np.zeros((0, BINS), np.float32)
+    by = {r.lang: np.frombuffer(r.counts, np.float32) for r in counts}
+    model = np.stack([by[name] for name in names]) + np.float32(0.02)
+    return names, model / model.sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
 
 
 def predict(names: list[str], model: np.ndarray):
@@ -125,7 +129,7 @@ def predict(names: list[str], model: np.ndarray):
             out = []
             for text in batch.column("text").to_pylist():
                 bins, counts = trigrams(text)
-                mix = languages_of(model[:, bins], counts) if len(bins) and names else {}
+                mix = languages_of(model[:, bins].astype(float), counts) if len(bins) and names else {}
                 if mix:
                     best = max(mix, key=lambda i: (mix[i], -i))
                     out.append((names[best], min(1.0, mix[best]), [names[i] for i in mix], list(mix.values())))
@@ -147,7 +151,10 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, text: str = "
 
 
 def keep_known(docs: DataFrame, names: list[str], model: np.ndarray, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told: those without a letter go. Columns as they were."""
+    """The rows of ``docs`` whose language can be told: those without a letter go (and only those, if no language is known).
+    Columns as they were."""
+    if not names:
+        return docs.filter(F.col(text).cast("string").rlike(r"\p{L}"))
     schema = docs.schema
     decide = predict(names, model)
 

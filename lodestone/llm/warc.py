@@ -2,12 +2,14 @@
 
 ``responses`` writes pages as WARC/1.1 response records; ``derive`` reads records of any origin, checks their digests and gives
 for each response two records that point back to it by WARC-Refers-To: one of metadata (title, language, outlinks) and one
-of type conversion with the page's text. They keep the target URI, date and source headers of the response and carry
-block digests of their own. Record ids are UUIDs named by what the record is made from, so a repeated run, or a task run
+of type conversion with the page's text. They keep the target URI, date and source digests of the response and carry
+block digests of their own; the metadata record also holds every WARC and HTTP header of the response. Chunked, gzip and
+deflate bodies are decoded. Record ids are UUIDs named by what the record is made from, so a repeated run, or a task run
 twice, gives the same ids. Nothing is shuffled: each record is derived by itself, and ``write_files`` lets tasks commit whole files.
 
 Results for odd input: null url counts as empty, null html as an empty page; a record that can't be read, or is no response,
-gives no derivative and an ``error``; a digest that doesn't fit is reported in ``digest_ok``; repeated rows give equal records;
+gives no derivative and an ``error``, as do bodies that are damaged, in another encoding or larger than LARGEST when
+unpacked; a response without an id is named by its content; a digest that doesn't fit is reported in ``digest_ok``; repeated rows give equal records;
 an empty table gives no rows; further columns of the input are ignored.
 """
 
@@ -19,6 +21,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -29,14 +32,17 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lodestone:warc")
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>|<!DOCTYPE[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"<\s*/?\s*(?:p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|blockquote|pre|title|hr|dd|dt|dl|form|main)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[^>]*>")
-_BLANK = re.compile(r"[ \t\r\f\v ]+")
+#: Elements whose content is no text, and elements that end a line.
+DROPPED = ("script", "style", "noscript", "template", "svg")
+BREAKS = frozenset("p br div li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav aside blockquote pre title hr dd dt dl form main".split())
+_NAME = re.compile(r"\s*(/?)\s*([A-Za-z][A-Za-z0-9]*)")
+_BLANK = re.compile(r"[ \t\r\f\v\u00a0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+#: Bytes that a compressed body may grow to; a longer one is an error of its record.
+LARGEST = 1 << 28
 
 
 def digest(data: bytes) -> str:
@@ -66,7 +72,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     size = int(headers.get("content-length", ""))
-    if len(rest) < size:
+    if size < 0 or len(rest) < size:
         raise ValueError("the record is cut off")
     return headers, rest[:size]
 
@@ -82,9 +88,87 @@ def response(url: str | None, page: str | None, date: str = DATE) -> bytes:
     )
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without its chunk sizes."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16) if end >= 0 else -1
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError("a chunk is cut off")
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def payload(http: dict[str, str], body: bytes) -> tuple[bytes, bytes]:
+    """The body without transfer encoding, and that without content encoding."""
+    entity = unchunked(body) if "chunked" in http.get("transfer-encoding", "").lower() else body
+    page = entity
+    for kind in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",") if x.strip()]):
+        if kind in ("gzip", "x-gzip", "deflate"):
+            unpack = zlib.decompressobj(zlib.MAX_WBITS | 32 if kind != "deflate" or page[:1] == b"\x78" else -zlib.MAX_WBITS)
+            page = unpack.decompress(page, LARGEST)
+            if not unpack.eof:
+                raise ValueError("a compressed body is cut off or too long")
+        elif kind != "identity":
+            raise ValueError(f"content encoding {kind}")
+    return entity, page
+
+
+def scanned(page: str) -> tuple[str, str, str, list[str]]:
+    """Text with line ends where blocks end (not unescaped), title, language and links of a page, in one pass. What is opened and
+    never closed is taken as text, and is looked for once."""
+    low, at, out, title, lang, links = page.translate(_LOWER), 0, [], None, "", []
+    missing: set[str] = set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        found = low.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (start := find("<", at)) >= 0:
+        out.append(page[at:start])
+        if low.startswith("<!--", start) and (end := find("-->", start + 4)) >= 0:
+            out.append(" ")
+            at = end + 3
+            continue
+        end = find(">", start)
+        if end < 0:
+            at = start
+            break
+        at, tag = end + 1, _NAME.match(low, start + 1, end)
+        if not tag:
+            out.append(" " if low.startswith("<!doctype", start) else "")
+            continue
+        closing, name = tag.groups()
+        if not closing and name in DROPPED and (close := find(f"</{name}", at)) >= 0 and (end := find(">", close)) >= 0:
+            out.append(" ")
+            at = end + 1
+        elif name in BREAKS:
+            out.append("\n")
+        if not closing:
+            if name == "title" and title is None and (close := find("</title", at)) >= 0:
+                title = scanned(page[at:close])[0]
+            elif name == "html" and not lang and (m := _LANG.search(page, start, end)):
+                lang = m[1].lower()
+            elif name == "a" and (m := _HREF.search(page, start, end)):
+                links.append("".join(x or "" for x in m.groups()))
+    out.append(page[at:])
+    return "".join(out), title or "", lang, links
+
+
 def plain_text(page: str) -> str:
     """The text of a page: lines as its blocks make them, without markup, scripts and repeated white space."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
+    return tidied(scanned(page)[0])
+
+
+def tidied(text: str) -> str:
+    """Entities resolved, white space joined."""
     return _LINES.sub("\n", _BLANK.sub(" ", entities.unescape(text))).strip()
 
 
@@ -93,35 +177,38 @@ def derivatives(data: bytes) -> dict:
     headers, block = parse(data)
     if headers.get("warc-type") != "response":
         raise ValueError(f"a {headers.get('warc-type')} record has no derivative")
-    http, _, body = block.partition(b"\r\n\r\n")
-    charset = re.search(rb"charset=([\w-]+)", http, re.I)
+    head, _, body = block.partition(b"\r\n\r\n")
+    status, *lines = head.decode("utf-8", "replace").split("\r\n")
+    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    entity, decoded = payload(http, body)
+    charset = re.search(r"charset=\"?([\w-]+)", http.get("content-type", ""), re.I)
     try:
-        page = body.decode(charset[1].decode() if charset else "utf-8", "replace")
+        page = decoded.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
-    source, uri, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", DATE)
-    title = _TITLE.search(page)
-    title = " ".join(entities.unescape(_TAG.sub("", title[1])).split()) if title else ""
-    lang = m[1].lower() if (m := _LANG.search(page)) else ""
+        page = decoded.decode("utf-8", "replace")
+    uri, date = headers.get("warc-target-uri", ""), headers.get("warc-date", DATE)
+    # A response without an id is named by its content.
+    source = headers.get("warc-record-id") or record_id("response", uri, date, digest(block))
+    raw, title, lang, hrefs = scanned(page)
+    title = " ".join(entities.unescape(title).split())
     links = []
-    for groups in _LINK.findall(page):
+    for href in hrefs:
         try:
-            links.append(urljoin(uri, entities.unescape("".join(groups)).strip()))
+            links.append(urljoin(uri, entities.unescape(href).strip()))
         except ValueError:
             continue
     links = list(dict.fromkeys(links))
-    fields = [("title", title), ("language", lang), *(("outlink", x) for x in links)]
-    fields = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode()
-    text = plain_text(page)
+    fields = [("title", title), ("language", lang), *(("outlink", x) for x in links), *((f"source-{k}", v) for k, v in headers.items()), ("source-http-status", status), *((f"source-http-{k}", v) for k, v in http.items())]
+    fields = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
+    text = tidied(raw)
     common = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Date", date), ("WARC-Target-URI", uri)]
-    carried = [("WARC-Source-Payload-Digest", headers["warc-payload-digest"])] if "warc-payload-digest" in headers else []
-    kept = [("WARC-Source-Content-Type", headers["content-type"])] if "content-type" in headers else []
+    carried = [(f"WARC-Source-{name}", headers[key]) for name, key in (("Payload-Digest", "warc-payload-digest"), ("Block-Digest", "warc-block-digest"), ("Content-Type", "content-type")) if key in headers]
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     encoded = text.encode("utf-8", "replace")
-    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *common, *carried, *kept, ("WARC-Concurrent-To", text_id), ("WARC-Block-Digest", digest(fields)), ("Content-Type", "application/warc-fields")], fields)
-    conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *common, *carried, *kept, ("WARC-Concurrent-To", meta_id), ("WARC-Block-Digest", digest(encoded)), ("Content-Type", "text/plain; charset=utf-8")], encoded)
-    ok = headers.get("warc-block-digest", digest(block)) == digest(block) and headers.get("warc-payload-digest", digest(body)) == digest(body)
-    return {"response_id": source, "target_uri": uri, "payload_digest": headers.get("warc-payload-digest"), "digest_ok": ok, "metadata_id": meta_id, "conversion_id": text_id, "title": title, "language": lang, "outlinks": links, "text": text, "text_digest": digest(encoded), "metadata": metadata, "conversion": conversion, "error": None}
+    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *common, *carried, ("WARC-Concurrent-To", text_id), ("WARC-Block-Digest", digest(fields)), ("Content-Type", "application/warc-fields")], fields)
+    conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *common, *carried, ("WARC-Concurrent-To", meta_id), ("WARC-Block-Digest", digest(encoded)), ("Content-Type", "text/plain; charset=utf-8")], encoded)
+    ok = headers.get("warc-block-digest", digest(block)) == digest(block) and headers.get("warc-payload-digest", digest(body)) in (digest(body), digest(entity))
+    return {"response_id": source, "target_uri": uri, "payload_digest": headers.get("warc-payload-digest"), "digest_ok": ok, "metadata_id": meta_id, "conversion_id": text_id, "title": title, "language": lang, "outlinks": links, "text": encoded.decode(), "text_digest": digest(encoded), "metadata": metadata, "conversion": conversion, "error": None}
 
 
 _TYPES = {"response_id": "string", "target_uri": "string", "payload_digest": "string", "digest_ok": "boolean", "metadata_id": "string", "conversion_id": "string", "title": "string", "language": "string", "outlinks": "array<string>", "text": "string", "text_digest": "string", "metadata": "binary", "conversion": "binary", "error": "string"}
@@ -153,8 +240,8 @@ def derive(records: DataFrame, key: str = "page_id", column: str = "record") ->
                 for data in part.column("record").to_pylist():
                     try:
                         out.append(derivatives(data or b""))
-                    except (ValueError, OSError, EOFError) as why:
-                        out.append(dict.fromkeys(_TYPES) | {"error": str(why)[:200]})
+                    except (ValueError, OSError, EOFError, zlib.error) as why:
+                        out.append(dict.fromkeys(_TYPES) | {"error": str(why)})
                 yield pa.record_batch([part.column(key), *(pa.array([x[c] for x in out], _ARROW[t]) for c, t in _TYPES.items())], [key, *_TYPES])
 
     return records.select(key, F.col(column).alias("record")).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {t}" for c, t in _TYPES.items()))
@@ -163,4 +250,11 @@ def derive(records: DataFrame, key: str = "page_id", column: str = "record") ->
 def write_files(derived: DataFrame, path: str) -> None:
     """The metadata and conversion records as Parquet of gzip members (a WARC file is their concatenation), by kind."""
     both = derived.filter("error is null").select(F.explode(F.array(F.struct(F.lit("metadata").alias("kind"), F.col("metadata_id").alias("record_id"), F.col("metadata").alias("record")), F.struct(F.lit("conversion").alias("kind"), F.col("conversion_id").alias("record_id"), F.col("conversion").alias("record")))).alias("x"))
-    both.select("x.*").write.partitionBy("kind").parquet(path)
+    both = both.select("x.kind", "x.record_id", "x.record")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [gzip.compress(x, mtime=0) for x in batch.column("record").to_pylist()]
+            yield pa.record_batch([batch.column("kind"), batch.column("record_id"), pa.array(packed, pa.binary())], ["kind", "record_id", "record"])
+
+    both.mapInArrow(run, "kind string, record_id string, record binary").write.partitionBy("kind").parquet(path)

@@ -43,10 +43,57 @@ def test_warc_odd_records(spark, tmp_path):
     assert all(rows[i].error and rows[i].metadata is None for i in (1, 2, 3, 4))
     assert rows[5].error is None and not rows[5].digest_ok
     warc.write_files(warc.derive(warc.responses(pages)), str(tmp_path / "w"))
+    assert all(warc.parse(bytes(r.record))[0]["warc-type"] == r.kind and bytes(r.record[:2]) == b"\x1f\x8b" for r in spark.read.parquet(str(tmp_path / "w")).collect())
     assert spark.read.parquet(str(tmp_path / "w")).groupBy("kind").count().count() == 2
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def http_record(headers: str, body: bytes, **more):
+    block = f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n".encode() + body
+    return warc.record([("WARC-Type", "response"), *more.items(), ("WARC-Target-URI", "http://a/"), ("WARC-Block-Digest", warc.digest(block))], block)
+
+
+def test_warc_bodies_and_headers():
+    import gzip
+    import zlib
+
+    packed = gzip.compress(PAGE.encode())
+    chunks = b"5;x=y\r\n" + packed[:5] + b"\r\n" + f"{len(packed) - 5:x}\r\n".encode() + packed[5:] + b"\r\n0\r\n\r\n"
+    for headers, body in [("Content-Encoding: gzip", packed), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX-A: b", chunks), ("Content-Encoding: deflate", zlib.compress(PAGE.encode())), ("Content-Encoding: identity", PAGE.encode())]:
+        found = warc.derivatives(http_record(headers, body, **{"WARC-IP-Address": "1.2.3.4"}))
+        assert found["title"] == "A & B" and found["text"].startswith("A & B\nOne") and found["digest_ok"]
+        meta = warc.parse(found["metadata"])[1].decode()
+        assert "source-warc-ip-address: 1.2.3.4\r\n" in meta and "source-http-status: HTTP/1.1 200 OK\r\n" in meta and ("source-http-x-a: b" in meta) == ("X-A" in headers)
+        assert warc.parse(found["conversion"])[0]["warc-source-block-digest"].startswith("sha1:")
+    for headers, body in [("Content-Encoding: br", b"x"), ("Content-Encoding: gzip", packed[:-9]), ("Content-Encoding: gzip", b"junk"), ("Transfer-Encoding: chunked", b"ff\r\nx")]:
+        with pytest.raises((ValueError, zlib.error)):
+            warc.derivatives(http_record(headers, body))
+    one, two = (warc.derivatives(http_record("A: b", x)) for x in (b"x", b"y"))
+    assert one["conversion_id"] != two["conversion_id"]
+
+
+def test_warc_damaged_records_give_errors(spark):
+    import gzip
+
+    good = gzip.compress(warc.response("u", PAGE), mtime=0)
+    rows = [(i, good[:i] + bytes([good[i] ^ 255]) + good[i + 1 :]) for i in range(len(good))]
+    rows.append((len(good), b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: -5\r\n\r\nabcdefgh"))
+    found = warc.derive(spark.createDataFrame(rows, "page_id int, record binary")).collect()
+    assert len(found) == len(rows) and sum(r.error is not None for r in found) > len(rows) // 2
+    assert all((r.error is None) == (r.text is not None) for r in found)
+
+
+def test_unclosed_markup_is_read_once():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("<!-- ", "<script> ", "<title>", "<", "<html ", '<a href="', "<a href='", "</p", "<a " + "href " * 9):
+        assert isinstance(warc.plain_text(piece * 100_000), str)
+    assert time.perf_counter() - began < 20
+    assert warc.plain_text("a <b>c <script>x") == "a c x" and warc.plain_text("1 < 2 <i>3") == "1 3" and warc.plain_text("x<!-- y") == "x<!-- y"
+    assert warc.plain_text("<SCRIPT>a</Script >b<!-- > -->c<STYLE>d") == "b cd"
+
+
 def wav(samples, rate=audio.RATE, channels=1):
     out = io.BytesIO()
     with wave.open(out, "wb") as file:
@@ -72,6 +119,9 @@ def test_alignment(spark):
         (27, wav(tune[:100])),
         (28, wav(np.zeros(30000))),
         (40, wav(np.zeros(30000))),
+        (41, wav(tune, rate=1)),
+        (42, wav(tune)[:24] + bytes(4) + wav(tune)[28:]),
+        (43, wav(tune)[:22] + bytes(2) + wav(tune)[24:]),
     ]
     found = {r.id: r for r in audio.search(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
     assert found[24].class_id == 20 and found[20].class_size == 2
@@ -79,7 +129,7 @@ def test_alignment(spark):
     assert set(matches) == {21, 22}
     assert matches[21].offset == -12 and matches[21].bit_error < 0.05
     assert matches[22].offset == 0
-    assert [found[i].class_id for i in (25, 26, 27)] == [None] * 3
+    assert [found[i].class_id for i in (25, 26, 27, 41, 42, 43)] == [None] * 6
     assert found[40].class_id == 28 and found[40].matches == []
     assert audio.search(spark.createDataFrame([], "id bigint, media binary"), "id", "media").count() == 0
 

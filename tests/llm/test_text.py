@@ -52,6 +52,26 @@ def test_bpe_memo_keeps_results(monkeypatch):
     assert len(encode.kept) <= 9
 
 
+def test_bpe_tables_are_bounded(monkeypatch, reference, spark):
+    monkeypatch.setattr(bpe, "FITS", 4)
+    monkeypatch.setattr(bpe, "DECODED", 3)
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    encode = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    for text in ("antidisestablishmentarianism", "xqzkjw" * 50, "ab" * 300):
+        assert encode(text).tolist() == reference.encode_ordinary(text)
+        assert len(encode.vocabulary.fits) <= 4
+
+
+def test_slices_follow_bytes():
+    import pyarrow as pa
+
+    from lodestone.llm.common import slices
+
+    texts = ["a" * 5, None, "b" * 30, "", "c" * 4, "d" * 4, "e"]
+    parts = [x.column("text").to_pylist() for x in slices(pa.record_batch([pa.array(texts)], ["text"]), "text", rows=3, size=10)]
+    assert sum(parts, []) == texts and [len(p) for p in parts] == [2, 1, 3, 1] and not list(slices(pa.record_batch([pa.array([], pa.string())], ["text"]), "text"))
+
+
 def test_bpe_frames(docs, reference, spark, tmp_path):
     table, rows = docs
     ids = bpe.encode_texts(table, RANKS, public_tokenizers.PATTERN)
@@ -156,6 +176,32 @@ def test_mixture_finds_proportions():
     assert language_id.languages_of(chance, np.zeros(400)[:0]) == {}
 
 
+def test_chosen_languages_are_the_best_subset():
+    from itertools import combinations
+
+    rnd = np.random.default_rng(11)
+    for _ in range(40):
+        k = int(rnd.integers(2, 6))
+        chance = rnd.dirichlet(np.full(200, 0.1), k) * 0.99 + 5e-5
+        own = rnd.choice(k, int(rnd.integers(1, 3)), replace=False)
+        share = rnd.dirichlet(np.full(len(own), 4.0))
+        p = share @ chance[own]
+        counts = rnd.multinomial(1500, p / p.sum()).astype(float)
+        price = language_id.PENALTY * np.log(counts.sum()) / 2
+        subsets = [s for n in range(1, k + 1) for s in combinations(range(k), n)]
+        best = max(subsets, key=lambda s: language_id.mixture(chance[list(s)], counts, 400)[1] - price * (len(s) - 1))
+        assert set(language_id.languages_of(chance, counts)) == set(best)
+
+
+def test_every_label_is_learnt(spark, tmp_path):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 7)} " * 30, f"l{i % 90:02}") for i in range(900)]
+    path = str(tmp_path / "labels")
+    spark.createDataFrame(rows, "doc_id int, text string, lang string").write.parquet(path)
+    names, model = language_id.train(spark.read.parquet(path))
+    assert names == [f"l{i:02}" for i in range(90)] and model.shape == (90, language_id.BINS)
+    assert np.allclose(model.sum(1), 1, atol=1e-3)
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     names, model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
@@ -177,6 +223,7 @@ def test_language_id_odd_cases(spark, tmp_path):
     assert {r.doc_id for r in language_id.keep_known(odd, names, model).collect()} == {4, 5, None}
     assert language_id.train(empty(spark, tmp_path))[0] == []
     assert language_id.identify(odd, [], np.zeros((0, language_id.BINS))).filter("lang_pred = 'und'").count() == 6
+    assert {r.doc_id for r in language_id.keep_known(odd, [], model[:0]).collect()} == {4, 5, None}
 
 
 TEXTS = [
