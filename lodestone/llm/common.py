@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.kernels import groups_of, spans
+
 #: ASCII white space as the contracts define it; ``bytes.split()`` splits on the same six characters.
 SPACES = " \t\n\x0b\f\r"
 
@@ -34,16 +36,36 @@ def int64(column: pa.Array) -> np.ndarray:
 
 def binary(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """A binary column of slices of a byte buffer."""
-    from lodestone.llm.kernels import spans
-
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     data = values[spans(starts, lengths)]
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+#: How a row looks for another of its key: by itself, for those of its batch too, or not at all.
+ALONE, FIRST, SURE = 0, 1, 2
+
+
+def kinds_in_batch(key: np.ndarray) -> np.ndarray:
+    """ALONE for keys that occur once in the batch; of the others, FIRST for one row and SURE for the rest. Only the first two
+    go where the key's rows meet, so a key that is frequent everywhere sends a row of each batch there."""
+    order = np.argsort(key, kind="stable")
+    starts, ends = groups_of(key[order])
+    kind = np.full(len(key), SURE, np.int8)
+    kind[order[starts]] = np.where(ends - starts > 1, FIRST, ALONE)
+    return kind
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, twin, place) whose key another row has; ``found`` has their kind in the batch too."""
+    route = F.when(F.col("kind") == SURE, F.xxhash64("doc_id", "place")).otherwise(F.col("key"))
+    kept = found.repartition(route).sortWithinPartitions("key").mapInArrow(lambda b: flags_of_repeats(b, "key"), found.schema)
+    return kept.drop("kind")
+
+
 def flags_of_repeats(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """From batches sorted by ``key``, the rows whose key stands next to an equal one. Holds one row between batches."""
+    """From batches sorted by ``key``, the rows whose key stands next to an equal one, and those of a kind that says so. Holds one
+    row between batches."""
     held, held_flag = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -51,7 +73,7 @@ def flags_of_repeats(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa
         table = pa.Table.from_batches([batch] if held is None else [held, batch])
         keys = int64(table.column(key).combine_chunks())
         same = keys[1:] == keys[:-1]
-        flag = np.zeros(len(keys), bool)
+        flag = int64(table.column("kind").combine_chunks()) != ALONE if "kind" in table.schema.names else np.zeros(len(keys), bool)
         flag[1:] |= same
         flag[:-1] |= same
         flag[0] |= held_flag
@@ -62,6 +84,16 @@ def flags_of_repeats(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa
         yield held
 
 
+def with_twins(docs: DataFrame, digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) with ``twin``, which tells different texts under one id apart: a hash of the text if there are any,
+    else 0; and ``digests`` (doc_id, digest, twin, and so on), written before, with the same ``twin``."""
+    several = digests.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
+    if several.isEmpty():
+        none = F.lit(0).cast("bigint")
+        return docs.withColumn("twin", none), digests.withColumn("twin", none)
+    return docs.withColumn("twin", F.xxhash64("text")), digests
+
+
 def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows and, but for single longer values, ``size`` bytes of a string column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

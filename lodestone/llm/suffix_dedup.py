@@ -5,16 +5,19 @@ strings have equal anchors at the same place, so it is enough to sort the suffix
 
 1. A scan finds the anchors (about one for each 69 bytes) and keeps, sorted by hash, those that occur twice.
 2. Their documents give each such suffix with the bytes left of it that its strings can reach.
-3. Sampled splitters range-partition the suffixes by their leading bytes (ties by document, so one repeated suffix may
-   fill several buckets). Each bucket is sorted by multikey quicksort; strings are equal where both the suffix prefix
-   and the left context fall in one class. Strings whose prefix class touches a bucket's edge are compared across
-   boundaries by the strings themselves, one of each kind from each bucket.
+3. Sampled splitters range-partition the suffixes by their leading bytes (ties by document and place, so one repeated
+   suffix may fill several partitions), and a partition is read in order as buckets of ``BUCKET`` suffixes. Each bucket is
+   sorted by multikey quicksort; strings are equal where both the suffix prefix and the left context fall in one class.
+   Strings whose prefix class touches a bucket's edge are compared across boundaries, one of each kind from each bucket.
 
-Hashes only choose anchors and drop those that occur once; equality is decided on the bytes.
+Hashes only choose anchors and drop those that occur once; within a bucket equality is decided on the bytes, across
+boundaries on their 256-bit digests. An anchor that is frequent everywhere sends one row of each batch to the task that
+counts it, and a worker holds one bucket, whatever the corpus.
 
 Results for odd input: null text counts as empty; texts shorter than ``length`` lose nothing and remove nothing; repeated
-rows are separate occurrences; rows with a null id pass unchanged and are no occurrence; an empty table gives no rows;
-further columns of the input are ignored.
+rows are separate occurrences, and different texts under one id are told apart; rows with a null id pass unchanged and
+are no occurrence; ids must be numbers; ``length`` must lie between 64 and 32,767; an empty table gives no rows; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.io import written
-from lodestone.llm.common import binary, flags_of_repeats, int64, utf8
+from lodestone.llm.common import binary, int64, kinds_in_batch, repeated, utf8, with_twins
 from lodestone.llm.kernels import byte_grams, covered, groups_of, leftmost_min, pieces, runs
 
 LENGTH = 200
 GRAM_DOUBLINGS = 6
 GRAM = 1 << GRAM_DOUBLINGS
-#: Buckets of suffixes for each shuffle partition: a Python worker holds a bucket whole.
-BUCKETS = 4
+#: Suffixes in a bucket, which a Python worker holds whole.
+BUCKET = 1 << 15
 
 
 def anchors(part: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
@@ -67,7 +70,7 @@ def scan(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seen = int64(batch.column("doc_id")), set()
+            seen, parts = set(), []
 
             def fresh(batch=batch, seen=seen):
                 for i, text in enumerate(batch.column("text")):
@@ -78,8 +81,11 @@ def scan(length: int):
 
             for part in pieces(fresh(), length - 1):
                 number, lo, hi, anchor, key = anchors(part, length)
-                if len(number):
-                    yield pa.record_batch([pa.array(key), pa.array(ids[number]), pa.array(lo << 16 | (anchor - lo) << 8 | (hi - lo))], ["key", "doc_id", "place"])
+                parts.append((number, lo << 32 | (anchor - lo) << 16 | (hi - lo), key))
+            if parts:
+                number, place, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+                row = pa.array(number)
+                yield pa.record_batch([pa.array(key), batch.column("doc_id").take(row), batch.column("twin").take(row), pa.array(place), pa.array(kinds_in_batch(key))], ["key", "doc_id", "twin", "place", "kind"])
 
     return run
 
@@ -89,16 +95,16 @@ def contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, places in zip(int64(batch.column("doc_id")), batch.column("text"), batch.column("places"), strict=True):
+            for doc, twin, text, places in zip(int64(batch.column("doc_id")), int64(batch.column("twin")), batch.column("text"), batch.column("places"), strict=True):
                 place = np.unique(int64(places.values))
                 for k in range(0, len(place), 20_000):
                     p = place[k : k + 20_000]
-                    lo, left, more = p >> 16, p >> 8 & 255, p & 255
+                    lo, left, more = p >> 32, p >> 16 & 0xFFFF, p & 0xFFFF
                     buffer = np.frombuffer(text.as_py(), np.uint8)
                     ok = lo + more + length <= len(buffer)
                     lo, left, more = lo[ok], left[ok], more[ok]
                     if len(lo):
-                        yield pa.record_batch([pa.array(np.full(len(lo), doc)), pa.array(lo), pa.array(more.astype(np.int16)), binary(buffer, lo, left), binary(buffer, lo + left, more + length - left)], ["doc_id", "lo", "more", "left", "right"])
+                        yield pa.record_batch([pa.array(np.full(len(lo), doc)), pa.array(np.full(len(lo), twin)), pa.array(lo), pa.array(more.astype(np.int16)), binary(buffer, lo, left), binary(buffer, lo + left, more + length - left)], ["doc_id", "twin", "lo", "more", "left", "right"])
 
     return run
 
@@ -148,18 +154,31 @@ def common_prefix(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-OUT = "kind tinyint, digest binary, doc_id bigint, lo bigint, hi bigint"
+OUT = "kind tinyint, digest binary, doc_id bigint, twin bigint, lo bigint, hi bigint"
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of BUCKET rows."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, min(BUCKET - size, batch.num_rows - at))
+            held.append(part)
+            size, at = size + part.num_rows, at + part.num_rows
+            if size == BUCKET:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def bucket(length: int):
-    """Repeated windows of one bucket (kind 0, runs of window starts) and the windows to compare across boundaries (kind 1)."""
+    """Repeated windows of each bucket (kind 0, runs of window starts) and the windows to compare across boundaries (kind 1)."""
     reach = length - GRAM
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
+    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        twin = int64(table.column("twin").combine_chunks())
         doc, lo, more = (int64(table.column(c).combine_chunks()) for c in ("doc_id", "lo", "more"))
         more = more.astype(np.int64)
         width = -(-(length + 8) // 8) * 8
@@ -191,31 +210,35 @@ def bucket(length: int):
             edges = active[edge[at_edge]]
             edge_row.append(edges)
             edge_at.append(size[edges] - k)
-        yield from intervals(doc, np.concatenate(hit_row), np.concatenate(hit_at))
+        yield from intervals(doc, twin, np.concatenate(hit_row), np.concatenate(hit_at))
         rows, at = np.concatenate(edge_row), np.concatenate(edge_at)
         left, right = table.column("left").combine_chunks(), table.column("right").combine_chunks()
         for k in range(0, len(rows), 50_000):
             r, a = rows[k : k + 50_000], at[k : k + 50_000]
             digest = [hashlib.blake2b((left[i].as_py() + right[i].as_py())[s : s + length], digest_size=32).digest() for i, s in zip(r.tolist(), a.tolist(), strict=True)]
-            yield pa.record_batch([pa.array(np.ones(len(r), np.int8)), pa.array(digest, pa.binary()), pa.array(doc[r]), pa.array(lo[r] + a), pa.array(lo[r] + a)], ["kind", "digest", "doc_id", "lo", "hi"])
+            yield pa.record_batch([pa.array(np.ones(len(r), np.int8)), pa.array(digest, pa.binary()), pa.array(doc[r]), pa.array(twin[r]), pa.array(lo[r] + a), pa.array(lo[r] + a)], ["kind", "digest", "doc_id", "twin", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in buckets(batches):
+            yield from one(table)
 
     return run
 
 
-def intervals(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def intervals(doc: np.ndarray, twin: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Window starts joined to runs within each document."""
-    d = doc[row]
-    order = np.lexsort((at, d))
-    d, at = d[order], at[order]
+    d, t = doc[row], twin[row]
+    order = np.lexsort((at, t, d))
+    d, t, at = d[order], t[order], at[order]
     if not len(d):
         return
-    new = np.concatenate(([True], (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)))
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (at[1:] > at[:-1] + 1)))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(d)) - 1
     n = len(first)
     for k in range(0, n, 100_000):
         f, e = first[k : k + 100_000], last[k : k + 100_000]
-        yield pa.record_batch([pa.array(np.zeros(len(f), np.int8)), pa.nulls(len(f), pa.binary()), pa.array(d[f]), pa.array(at[f]), pa.array(at[e])], ["kind", "digest", "doc_id", "lo", "hi"])
+        yield pa.record_batch([pa.array(np.zeros(len(f), np.int8)), pa.nulls(len(f), pa.binary()), pa.array(d[f]), pa.array(t[f]), pa.array(at[f]), pa.array(at[e])], ["kind", "digest", "doc_id", "twin", "lo", "hi"])
 
 
 def removal(length: int):
@@ -241,25 +264,26 @@ def removal(length: int):
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, lo, hi): runs of starts of ``length``-byte strings that also start elsewhere. Of equal texts only some
-    are covered; ``copies`` tells the others. ``docs`` has doc_id (bigint, not null) and text (binary)."""
-    found = docs.mapInArrow(scan(length), "key bigint, doc_id bigint, place bigint")
-    kept = found.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: flags_of_repeats(b, "key"), "key bigint, doc_id bigint, place bigint")
-    places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    suffixes = docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(contexts(length), "doc_id bigint, lo bigint, more smallint, left binary, right binary")
-    n = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = suffixes.repartitionByRange(n, "right", "doc_id").mapInArrow(bucket(length), OUT)
-    # Windows compared across boundaries meet by their digest, at most one from each bucket; a run is a group of its own.
-    own = F.encode(F.concat_ws(",", "doc_id", "lo", "hi"), "UTF-8")
-    met = marked.groupBy("kind", F.coalesce("digest", own).alias("met")).agg(F.collect_list(F.struct("doc_id", "lo", "hi")).alias("x"))
-    return met.filter((F.col("kind") == 0) | (F.size("x") > 1)).select(F.explode("x").alias("x")).select("x.*")
-
-
-def copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id): documents of at least ``length`` bytes whose whole text occurs in another row."""
-    digest = docs.filter(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("digest"))
-    many = digest.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    return digest.join(many, "digest").select("doc_id").distinct()
+    """(doc_id, twin, lo, hi): runs of starts of ``length``-byte strings that also start elsewhere. Of equal texts only some
+    are covered; ``copies`` tells the others. ``docs`` has doc_id (bigint, not null), text (binary) and twin."""
+    if not GRAM <= length < 1 << 15:
+        raise ValueError(f"length must lie between {GRAM} and {(1 << 15) - 1}")
+    kept = repeated(docs.mapInArrow(scan(length), "key bigint, doc_id bigint, twin bigint, place bigint, kind tinyint"))
+    places = kept.groupBy("doc_id", "twin").agg(F.collect_list("place").alias("places"))
+    suffixes = docs.join(places, ["doc_id", "twin"]).select("doc_id", "twin", "text", "places").mapInArrow(contexts(length), "doc_id bigint, twin bigint, lo bigint, more smallint, left binary, right binary")
+    order = ["right", "doc_id", "lo"]
+    marked = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(bucket(length), OUT), "marked-windows")
+    # Windows compared across boundaries meet by their digest, at most one from each bucket.
+    edge = marked.filter("kind = 1").drop("kind")
+    several = edge.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    return marked.filter("kind = 0").select("doc_id", "twin", "lo", "hi").unionByName(edge.join(several, "digest", "left_semi").select("doc_id", "twin", "lo", "hi"))
+
+
+def copies(digests: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, twin): documents of at least ``length`` bytes whose whole text occurs in another row."""
+    long = digests.filter(F.col("size") >= length)
+    many = long.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    return long.join(many, "digest").select("doc_id", "twin").distinct()
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
@@ -268,10 +292,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     same = doc_id == "doc_id" and docs.schema[doc_id].dataType.simpleString() == "bigint"
     docs = docs.select("doc_id" if same else F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
     named = docs.filter(F.col("doc_id").isNotNull())
-    copied = written(copies(named, length), "copies").withColumn("copied", F.lit(True))
-    found = repeated_windows(named, length).groupBy("doc_id").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    digests = written(named.select("doc_id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("twin"), F.octet_length("text").alias("size")), "digests")
+    named, digests = with_twins(named, digests)
+    copied = written(copies(digests, length), "copies").withColumn("copied", F.lit(True))
+    key = ["doc_id", "twin"]
+    found = repeated_windows(named, length).groupBy(*key).agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
     # Named rows alone are joined, so that this exchange of the texts is the one that gave the suffixes, reused.
-    marked = named.join(found.join(copied, "doc_id", "full"), "doc_id", "left").select("doc_id", "text", "los", "his", "copied")
+    marked = named.join(found.join(copied, key, "full"), key, "left").select("doc_id", "text", "los", "his", "copied")
     rest = docs.filter(F.col("doc_id").isNull()).withColumns({"los": F.lit(None).cast("array<bigint>"), "his": F.lit(None).cast("array<bigint>"), "copied": F.lit(False)})
     return marked.unionByName(rest).mapInArrow(
         removal(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, span_starts array<bigint>, span_ends array<bigint>"
