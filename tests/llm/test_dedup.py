@@ -87,14 +87,46 @@ def brute_components(rows, percent=80):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_near_duplicates(docs):
-    table, rows = docs
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """A large group of near copies, some of them further from the rest, and chains."""
+    rnd = np.random.default_rng(12)
+    base = [f"w{x}" for x in rnd.integers(0, 400, 120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for k in rnd.choice(120, int(rnd.integers(0, 6)), replace=False):
+            words[k] = f"x{i}y{k}"
+        rows.append((i * 2 + 1, " ".join(words)))
+    chain = [f"c{x}" for x in range(400)]
+    rows += [(1000 - k, " ".join(chain[k * 6 : k * 6 + 90])) for k in range(40)]
+    return frame(spark, rows, tmp_path_factory.mktemp("crowd"), repeat=False)
+
+
+@pytest.mark.parametrize("block", [5, 1 << 12])
+@pytest.mark.parametrize("which", ["docs", "crowd"])
+def test_near_duplicates(which, block, request, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    table, rows = request.getfixturevalue(which)
     wanted = brute_components(rows)
     found = [r for r in jaccard_join.near_duplicates(table).collect() if r.doc_id is not None]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
     assert len({c for _, c in wanted.values()}) < len(wanted)
 
 
+def test_near_duplicates_tell_texts_under_one_id_apart(twins):
+    table, rows = twins
+    own = [(k, t) for k, (i, t, *_) in enumerate(rows) if i is not None]
+    wanted = brute_components(own)
+    least = {}
+    for k, _ in own:
+        c = wanted[k][1]
+        least[c] = min(rows[k][0], least.get(c, rows[k][0]))
+    found = jaccard_join.near_duplicates(table).collect()
+    assert len(found) == len(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None) == sorted((rows[k][0], wanted[k][0], least[wanted[k][1]]) for k, _ in own)
+
+
 def test_near_duplicates_keep_one(docs, spark, tmp_path):
     table, rows = docs
     kept = jaccard_join.keep_one(table)
