@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.io import small, written
+from lodestone.llm.common import slices
 
 PER_LANGUAGE = 2000
 BINS = 1 << 15
@@ -125,7 +126,7 @@ def predict(names: list[str], model: np.ndarray):
     """lang_pred, score and the chosen mixture of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             out = []
             for text in batch.column("text").to_pylist():
                 bins, counts = trigrams(text)
@@ -160,7 +161,8 @@ def keep_known(docs: DataFrame, names: list[str], model: np.ndarray, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in decide(iter([pa.record_batch([batch.column(text).cast(pa.string())], ["text"])])):
-                yield batch.filter(pa.array([x != UNKNOWN for x in found.column("lang_pred").to_pylist()]))
+            for part in slices(batch, text):
+                found = next(decide(iter([pa.record_batch([part.column(text).cast(pa.string())], ["text"])])))
+                yield part.filter(pa.array([x != UNKNOWN for x in found.column("lang_pred").to_pylist()]))
 
     return docs.mapInArrow(run, schema)

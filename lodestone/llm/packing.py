@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.io import written
+from lodestone.llm.common import slices
 
 CAPACITY = 1024
 END = 2
@@ -125,7 +126,7 @@ def pieces(path: str, pattern: str, capacity: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, seen = encoding(path, pattern), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 2048)):
             row, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.array([*encoder.encode(text or "", allowed_special="all"), end], "<u4")
