@@ -13,8 +13,8 @@ script stays. Words are what must be distinct, and names then are.
 Distinctness is checked, not hoped for: the distinct entities of the corpus are written to a table, and those whose
 surrogate another entity also drew, or that is itself an entity of the corpus, draw again until none is left.
 
-The texts are searched once and written with what was found. First draws are computed in place; only texts with an entity
-take part in the join that brings later draws, so what moves is their share of the corpus, whatever its size.
+The texts are searched once and written with what was found. Surrogates are drawn once for each distinct entity and joined
+to the places; only texts with an entity take part in a join, so what moves is their share of the corpus, whatever its size.
 
 Results for odd input: null text stays null with no entities; empty text stays empty; repeated rows are replaced alike;
 ids are carried as they are; an empty table gives no rows; further columns of the input are kept (but
@@ -176,7 +176,7 @@ def _stream(seed: Column) -> Column:
 
 
 def _pick(values: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.split(F.lit(" ".join(values)), " "), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
 def _char(alphabet: str, number: Column) -> Column:
@@ -342,34 +342,32 @@ def ranked(drawn: DataFrame, clash: DataFrame) -> DataFrame:
     return asked.join(free, ["prefix", "rank"]).select("key", F.col("value").alias("fixed"))
 
 
-def attempts(marked: DataFrame, found: str, key: str = KEY) -> DataFrame:
-    """(key, attempt, fixed) of the units that had to draw more than once, so that no two entities of the corpus share a
-    surrogate and no surrogate is an entity of the corpus. All writings of an entity are checked; ``fixed`` is a surrogate
-    assigned by rank. ``found``: the column with the entities."""
+def surrogates(marked: DataFrame, found: str, key: str = KEY) -> DataFrame:
+    """(entity, one): every unit of the corpus in each of its writings, and its surrogate, so that no two entities share one and
+    none is an entity of the corpus. ``found``: the column with the entities."""
     entity = marked.select(F.explode(found).alias("entity")).distinct().select(F.explode(units_of(F.col("entity"))).alias("entity")).distinct()
-    entity = entity.filter(~F.col("entity").rlike(f"^{MARK}(?:as|in){MARK}"))
     entities = written(entity.withColumn("key", key_of(F.col("entity"))), "entities")
-    now, first_draw = entities.withColumn("attempt", F.lit(0)).withColumn("fixed", F.lit(None).cast("string")), True
+    # Particles and initials are no entities by themselves.
+    entity = ~F.col("entity").rlike(f"^{MARK}(?:as|in){MARK}")
+    corpus = entities.filter(entity).select(F.col("key").alias("drawn")).distinct()
+    now, none = entities.withColumn("attempt", F.lit(0)), F.lit(None).cast("string")
+    now = now.withColumns({"given": none, "one": none})
     for turn in count():
-        moved = F.col("attempt") == turn
-        new = key_of(F.coalesce("fixed", surrogate(F.col("entity"), F.col("attempt"), key)))
-        if first_draw:
-            now, first_draw = now.withColumn("drawn", new), False
-        else:
-            now = now.withColumn("drawn", F.when(moved, new).otherwise(F.col("drawn")))
-        drawn = written(now, "draws")
+        one = F.when(F.col("attempt") == turn, F.coalesce("given", surrogate(F.col("entity"), F.col("attempt"), key))).otherwise(F.col("one"))
+        drawn = written(now.withColumn("one", one).withColumn("drawn", key_of(F.col("one"))), "draws")
+        checked = drawn.filter(entity)
         # An assigned surrogate wins, then the least attempt: what stands is not drawn again.
-        winner = drawn.groupBy("drawn").agg(F.min(F.struct(F.col("fixed").isNull().alias("open"), "attempt", "key")).alias("first"), F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("drawn", F.col("first.key").alias("winner"))
-        clash = drawn.join(winner, "drawn").filter("key <> winner").select("key")
-        clash = written(clash.union(drawn.join(entities.select(F.col("key").alias("drawn")).distinct(), "drawn").select("key")).distinct(), "clashes")
+        winner = checked.groupBy("drawn").agg(F.min(F.struct(F.col("given").isNull().alias("open"), "attempt", "key")).alias("first"), F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("drawn", F.col("first.key").alias("winner"))
+        clash = checked.join(winner, "drawn").filter("key <> winner").select("key")
+        clash = written(clash.unionByName(checked.join(corpus, "drawn", "left_semi").select("key")).distinct(), "clashes")
         if clash.isEmpty():
-            return drawn.filter("attempt > 0").select("key", "attempt", "fixed").distinct()
-        again = clash.withColumn("more", F.lit(1))
+            return drawn.select("entity", "one")
+        again = clash.withColumn("next", F.lit(turn + 1))
         if turn == DRAWS - 1:
-            again = again.join(ranked(drawn, clash).withColumnRenamed("fixed", "given"), "key", "left")
+            again = again.join(ranked(drawn, clash), "key", "left")
         else:
-            again = again.withColumn("given", F.lit(None).cast("string"))
-        now = drawn.join(again, "key", "left").withColumn("attempt", F.when(F.col("more") == 1, F.lit(turn + 1)).otherwise(F.col("attempt"))).withColumn("fixed", F.coalesce("given", "fixed")).drop("more", "given").select("entity", "key", "attempt", "fixed", "drawn")
+            again = again.withColumn("fixed", none)
+        now = drawn.join(again, "key", "left").withColumn("attempt", F.coalesce("next", "attempt")).withColumn("given", F.coalesce("fixed", "given")).select("entity", "key", "attempt", "given", "one")
     raise AssertionError("unreachable")
 
 
@@ -383,15 +381,15 @@ def replace_in(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame
     found, new, row = (unused(docs, c) for c in ("_found", "_new", "_row"))
     # The texts are searched once; the rows' numbers are those of this table.
     marked = written(docs.withColumn(found, found_in(text)).withColumn(row, F.monotonically_increasing_id()), "marked")
-    again = attempts(marked, found, key)
+    named = surrogates(marked, found, key)
     each = marked.filter(F.size(found) > 0).select(row, F.posexplode(found).alias("_at", "_entity"))
-    each = each.select(row, "_at", F.posexplode(units_of(F.col("_entity"))).alias("_part", "_unit")).withColumn("key", key_of(F.col("_unit")))
-    each = each.join(small(again), "key").withColumn("_one", F.coalesce("fixed", surrogate(F.col("_unit"), F.col("attempt"), key)))
-    drawn = written(each.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("_at", "_part"), "_one"))).alias(new)), "drawn-again")
-    hits = marked.filter(F.size(found) > 0).join(small(drawn), row, "left")
-    unit = lambda i: lambda u, j: F.coalesce(F.element_at(F.col(new), F.struct(i.alias("_at"), j.alias("_part"))), surrogate(u, F.lit(0), key))
+    each = each.select(row, "_at", F.posexplode(units_of(F.col("_entity"))).alias("_part", "entity")).join(small(named), "entity")
+    drawn = each.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("_at", "_part"), "one"))).alias(new))
+    hits = marked.filter(F.size(found) > 0).join(drawn, row)
+    unit = lambda i: lambda _, j: F.element_at(F.col(new), F.struct(i.alias("_at"), j.alias("_part")))
     hits = hits.withColumn(new, F.transform(found, lambda e, i: whole_of(e, F.transform(units_of(e), unit(i)))))
     counted = {"n_entities": F.size(found).cast("bigint"), "entity_types": F.array_sort(F.array_distinct(F.transform(found, type_of)))}
     own = [c for c in docs.columns if c not in counted]
     out = hits.withColumns(counted).withColumn(text, _woven(text, F.col(new))).select(*own, *counted)
-    return marked.filter(F.size(found) == 0).withColumns(counted).select(*own, *counted).unionByName(out)
+    none = {"n_entities": F.lit(0).cast("bigint"), "entity_types": F.array().cast("array<string>")}
+    return marked.filter(F.size(found) == 0).withColumns(none).select(*own, *counted).unionByName(out)
