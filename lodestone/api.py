@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunking, code, quality, retrieval
+from lodestone.operators import chunking, code, corpus, project, quality, retrieval
 from lodestone.operators.relational import with_total
+from lodestone.sources.files import source_filter
 
 
 def check_text(value: str, name: str, longest: int = 2000) -> str:
@@ -47,6 +48,7 @@ class Docs:
 
     chunks: DataFrame
     vectors: DataFrame | None = None
+    documents: DataFrame | None = None
 
     def _embed(self, query: str) -> list[float] | None:
         if self.vectors is None:
@@ -54,12 +56,25 @@ class Docs:
         one = self.chunks.sparkSession.createDataFrame([(0, query)], "k int, q string")
         return list(retrieval.hashed_embeddings(one, "k", "q", len(self.vectors.first()["embedding"])).first()["embedding"])
 
-    def search(self, query: str, limit: int = 10, mode: str | None = None, source_ids: list[str] | None = None) -> DataFrame:
-        """Ranked chunks for a query."""
+    def search(self, query: str, limit: int = 10, mode: str | None = None, source_ids: list[str] | None = None, **wanted: object) -> DataFrame:
+        """Ranked chunks for a query. ``wanted``: category, language, kind, authority or tags of the document. With such filters four times as many are
+        ranked before they are applied. Where documents are known, each result tells what its provenance lacks."""
         query, limit = check_text(query, "query"), check_number(limit, "limit", 1, 50)
+        if unknown := set(wanted) - {"category", "language", "kind", "authority", "tags"}:
+            raise ValueError(f"no filter {', '.join(sorted(unknown))}")
+        if wanted and self.documents is None:
+            raise ValueError("filters need the documents")
         rows = self.chunks.filter(F.col("source_id").isin([check_id(s) for s in source_ids])) if source_ids else self.chunks
         use = retrieval.plan_for(mode, self.vectors is not None)[0]
-        return retrieval.hybrid_search(rows, query, limit, self.vectors if use else None, self._embed(query) if use else None, mode)
+        fetched = min(50, 4 * limit) if wanted else limit
+        found = retrieval.hybrid_search(rows, query, fetched, self.vectors if use else None, self._embed(query) if use else None, mode, self.documents)
+        if self.documents is None:
+            return found
+        known = self.documents.join(F.broadcast(found.select("source_path")), "source_path", "left_semi")
+        about = known.filter(source_filter(wanted)) if wanted else known
+        extra = ["canonical_url", "source_revision", "synced_at", "authority"]
+        about = about.select("source_path", *(F.col(c) if c in about.columns else F.lit(None).cast("string").alias(c) for c in extra))
+        return corpus.provenance(found.join(about, "source_path", "inner" if wanted else "left")).orderBy("rank").limit(limit)
 
     def categories(self) -> DataFrame:
         """Documents and chunks of each source."""
@@ -91,6 +106,21 @@ class Project:
     """A source repository: files with path and content."""
 
     files: DataFrame
+    chunks: DataFrame | None = None
+    build: DataFrame | None = None
+    vectors: DataFrame | None = None
+
+    def search(self, query: str, limit: int = 10, mode: str = "hybrid", query_vector: list[float] | None = None, active: str | None = None, most_characters: int | None = None) -> project.Answer:
+        """Ranked chunks of the published build, with what the search fell back to. ``chunks`` and ``build`` as ``project.search`` takes them."""
+        if self.chunks is None or self.build is None:
+            raise ValueError("the project has no published build")
+        check_choice(mode, "mode", ["hybrid", "keyword", "vector", "graph"])
+        query, limit = check_text(query, "query"), check_number(limit, "limit", 1, 50)
+        budget = None if most_characters is None else check_number(most_characters, "most_characters", 1, 1_000_000)
+        return project.search_with_fallback(self.chunks, self.build, query, limit, self.vectors, query_vector, mode=mode, active=active, most_characters=budget)
+
+    #: The older name of the same tool.
+    search_docs = search
 
     def ingest(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(chunks, symbols, edges) of the files that are safe, with secrets redacted."""

@@ -29,6 +29,8 @@ SENSITIVE_DIRECTORIES: list[tuple[str, str]] = [("aws-dir", r"(?i)/\.aws/"), ("s
 
 #: File names of credentials: id, pattern.
 SENSITIVE_NAMES: list[tuple[str, str]] = [
+    ("dot-env", r"\.env(\.[\w.-]+)?$"),
+    ("pem-file", r"(?i)\.pem$"),
     ("key-file", r"(?i)\.key$"),
     ("crt-file", r"(?i)\.crt$"),
     ("p12-file", r"(?i)\.p12$"),

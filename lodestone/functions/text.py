@@ -26,8 +26,8 @@ def _accent_tables() -> tuple[str, str]:
 
 
 def unaccent(c: Column | str) -> Column:
-    """Letters without their diacritics: a table lookup for composed ones, marks removed."""
-    return F.regexp_replace(F.translate(_col(c), *_accent_tables()), r"\p{M}", "")
+    """Letters without their diacritics: a table lookup for composed ones, marks removed. Plain ASCII is left as it is."""
+    return F.when(_col(c).rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(_col(c), *_accent_tables()), r"\p{M}", "")).otherwise(_col(c))
 
 
 def blank_as(c: Column | str, other: Column | str) -> Column:
@@ -40,6 +40,26 @@ def search_text(*parts: Column | str) -> Column:
     return F.lower(unaccent(F.concat_ws(" ", *map(_col, parts))))
 
 
+def document_search_text(title: Column | str, category: Column | str, kind: Column | str, language: Column | str, authority: Column | str, searchable: Column | str, content: Column | str) -> Column:
+    """What search sees of a document: its searchable text, or else its content, behind the fields that describe it."""
+    return search_text(title, category, kind, language, authority, blank_as(searchable, content))
+
+
+def chunk_search_text(heading: Column | str, section: Column | str, searchable: Column | str, content: Column | str) -> Column:
+    """What search sees of a chunk of a document."""
+    return search_text(heading, section, blank_as(searchable, content))
+
+
+def file_search_text(path: Column | str, language: Column | str, skeleton: Column | str) -> Column:
+    """What search sees of a source file."""
+    return search_text(path, language, skeleton)
+
+
+def code_search_text(name: Column | str, kind: Column | str, signature: Column | str, searchable: Column | str, content: Column | str) -> Column:
+    """What search sees of a chunk of code."""
+    return search_text(name, kind, signature, blank_as(searchable, content))
+
+
 def split_camel(c: Column | str) -> Column:
     """A blank at each hump of camel case."""
     return F.regexp_replace(_col(c), "([a-z0-9])([A-Z])", "$1 $2")

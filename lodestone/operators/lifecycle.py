@@ -210,3 +210,16 @@ def build_overlay(published: Column, current: Column, clean: Column) -> Column:
     context = F.when(current.isNull(), "unverified").when((published == current) & clean, "covered").otherwise("drift")
     lane = F.when(published.isNotNull(), "published_hybrid").otherwise("unavailable")
     return F.struct(status.alias("status"), context.alias("context"), lane.alias("lane"))
+
+
+def complete_ingest(store: GenerationStore, jobs: DataFrame, job: str, source: str, generation: str, at: str, expected: int) -> DataFrame:
+    """Publishes a staged generation and gives the job's events with its success behind them. The pointer moves last, so before that
+    nothing has happened; where it can't move, the event is a failure and the pointer stays."""
+    try:
+        store.publish(source, generation, at, expected)
+        kind = "finish"
+    except ValueError:
+        kind = "fail"
+    last = jobs.filter(F.col("job_id") == job).agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).cast(jobs.schema["seq"].dataType).alias("seq"))
+    event = last.select(F.lit(job).cast(jobs.schema["job_id"].dataType).alias("job_id"), "seq", F.lit(kind).alias("kind"), F.lit(at).cast(jobs.schema["at"].dataType).alias("at"))
+    return jobs.unionByName(event)

@@ -121,10 +121,23 @@ def secret_findings(c: Column | str) -> Column:
     return F.array_compact(F.array(*(F.when(_col(c).rlike(p), F.struct(F.lit(n).alias("id"), F.lit(s).alias("severity"))) for n, s, p in P.SECRETS)))
 
 
-def path_security(path: Column | str, content: Column | str) -> Column:
-    """The first reason to block a file: a sensitive directory, then name, then content; null for a safe one."""
+def sensitive_names(own: str | None = None) -> list[tuple[str, str]]:
+    """(id, pattern) of file names of credentials: a comma-separated list of patterns in place of the fixed ones, if it holds any
+    that can be read."""
+    given = []
+    for p in filter(None, map(str.strip, (own or "").split(","))):
+        try:
+            re.compile(p)
+        except re.error:
+            continue
+        given.append((f"own-{len(given)}", f"(?i){p}"))
+    return given or P.SENSITIVE_NAMES
+
+
+def path_security(path: Column | str, content: Column | str, own: str | None = None) -> Column:
+    """The first reason to block a file: a sensitive directory, then name, then content; null for a safe one. ``own``: see ``sensitive_names``."""
     path, content = _col(path), _col(content)
-    rules = [(path.rlike(p), n) for n, p in P.SENSITIVE_DIRECTORIES] + [(F.substring_index(path, "/", -1).rlike(p) | path.rlike(p) & F.lit("/" in p), n) for n, p in P.SENSITIVE_NAMES] + [(content.rlike(p), n) for n, _, p in P.SECRETS]
+    rules = [(path.rlike(p), n) for n, p in P.SENSITIVE_DIRECTORIES] + [(F.substring_index(path, "/", -1).rlike(p) | path.rlike(p) & F.lit("/" in p), n) for n, p in sensitive_names(own)] + [(content.rlike(p), n) for n, _, p in P.SECRETS]
     return F.coalesce(*(F.when(c, F.lit(n)) for c, n in rules))
 
 
