@@ -83,7 +83,11 @@ def find_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``. ``docs`` must be read from files."""
-    gone = written(find_copies(docs, text, doc_id, block).filter(~F.col("kept")).select("_row"), "copies")
-    row = unused(docs, "_row")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(small(gone.withColumnRenamed("_row", row)), row, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with the columns of ``docs``. ``docs`` must be read from files, which two scans number alike; a number
+    that meets another id is an error."""
+    gone = written(find_copies(docs, text, doc_id, block).filter(~F.col("kept")).select("_row", "doc_id"), "copies")
+    row, gone_row, gone_id = (unused(docs, c) for c in ("_row", "_gone_row", "_gone_id"))
+    gone = small(gone.select(F.col("_row").alias(gone_row), F.col("doc_id").alias(gone_id)))
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    same = F.when(F.col(doc_id).eqNullSafe(F.col(gone_id)), True).otherwise(F.raise_error(F.lit("the files were split otherwise in a second scan")).cast("boolean"))
+    return rows.join(gone, (F.col(row) == F.col(gone_row)) & same, "left_anti").select(*docs.columns)

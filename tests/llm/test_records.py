@@ -200,35 +200,48 @@ def test_stereo_and_other_rates():
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("pipeline")
-    rows = [*corpus(11, 20), (9001, "12 34 !"), (9002, "write to bob@site.org now, the on ing al"), (9003, "write  to bob@site.org now, the on ing al")]
-    table, full = frame(spark, rows, path, repeat=False)
-    table.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(path / "documents.parquet"))
-    return str(path), {i: t for i, t, *_ in full}
+    long = " ".join(f"wort{k % 97}x{k % 89}" for k in range(4000))
+    rows = [*corpus(11, 20), (9001, "12 34 !"), (9002, "write to bob@site.org now, the on ing al"), (9003, "write  to bob@site.org now, the on ing al"), (9004, long), (9005, long.replace("wort1x", "other"))]
+    table, full = frame(spark, rows, path)
+    table.select("doc_id", "text", "lang", "source", "n_chars", "digest", "_row").write.parquet(str(path / "documents.parquet"))
+    return str(path), full
 
 
 def test_pipeline(spark, tables):
+    """Every stage against plain Python on its own input."""
     from lodestone.io import written
+    from tests.llm.test_dedup import brute_components
 
-    path, texts = tables
+    path, full = tables
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    kept = {}
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
         docs = written(stage(spark, docs, path), name)
-        kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
-        if name != "sequences":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        if name == "personal_data":
-            out = {r.doc_id: r for r in docs.collect()}
-    letters = {i for i, t in texts.items() if t and any(map(str.isalpha, t))}
-    assert kept["language"] == letters
-    plain = {}
-    for i in sorted(letters, key=lambda i: (-len(texts[i]), i)):
-        plain.setdefault("".join(texts[i].split()), i)
-    assert kept["exact_copies"] == set(plain.values())
-    assert kept["near_copies"] < kept["exact_copies"]
-    assert kept["sequences"] == kept["personal_data"] == kept["near_copies"]
-    assert "bob@" not in out[9003].text and out[9003].n_chars == len(out[9003].text)
-    assert {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, path).collect()} == {(r.doc_id, r.piece, r.ids_crc32) for r in docs.collect()}
+        after = docs.collect()
+        if name == "sequences":
+            break
+        assert docs.columns == columns
+        kept = sorted(((r.doc_id, r.text) for r in after), key=repr)
+        if name == "language":
+            assert kept == sorted(((i, t) for i, t in before if t and any(map(str.isalpha, t))), key=repr)
+        elif name == "exact_copies":
+            plain = {}
+            for i, t in sorted(before, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0)):
+                plain.setdefault("".join(t.split()), (i, t))
+            assert kept == sorted(plain.values(), key=repr) and len(kept) < len(before)
+        elif name == "near_copies":
+            least = brute_components(before)
+            assert kept == sorted(((i, t) for i, t in before if i is None or least[i][1] == i), key=repr) and len(kept) < len(before)
+        else:
+            assert sorted(str(i) for i, _ in kept) == sorted(str(i) for i, _ in before)
+            texts = dict(before)
+            for r in after:
+                assert r.n_chars == len(r.text)
+                assert "bob@" not in r.text and (r.text != texts[r.doc_id]) == any(c in texts[r.doc_id] for c in ("@", "abababab"))
+    last = {r.doc_id for r in after}
+    assert last == {i for i, _ in before}
+    assert sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, path).collect()) == sorted((str(r.doc_id), r.piece, r.ids_crc32) for r in after)
 
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
