@@ -3,6 +3,11 @@
 Each stage is a function of (spark, docs, sf_dir) and works on all that its predecessor kept. Between stages the rows are
 written as Parquet in the shared folder and read again, so a lost executor costs a stage at most. All but the last
 return the columns of ``documents``.
+
+Results for odd input: null, empty and letterless texts go in the first stage; of repeated rows the second keeps one; rows
+without an id are kept by every stage unless their text goes, and are packed without one; different texts under one id
+are told apart, but go together as near copies; ties are broken as the operators say; columns beyond those of
+``documents`` are carried to the last stage, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
