@@ -32,15 +32,18 @@ from pyspark.sql import functions as F
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lodestone:warc")
 
-#: Elements whose content is no text, and elements that end a line.
-DROPPED = ("script", "style", "noscript", "template", "svg")
-BREAKS = frozenset("p br div li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav aside blockquote pre title hr dd dt dl form main".split())
-_NAME = re.compile(r"\s*(/?)\s*([A-Za-z][A-Za-z0-9]*)")
+#: Where content that is no text may begin: comments and elements.
+_SPECIAL = re.compile(r"<!--|<(script|style|noscript|template|svg)\b[^>]*>", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style", "noscript", "template", "svg", "title")}
+_BREAK = re.compile(r"<\s*+(?:/\s*+)?(?:p|br|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|blockquote|pre|title|hr|dd|dt|dl|form|main)\b[^>]*>", re.I)
+_TAG = re.compile(r"<[^>]*>")
+_TITLE = re.compile(r"<title\b[^>]*>", re.I)
+_HTML = re.compile(r"<html\b[^>]*>", re.I)
+_A = re.compile(r"<a\b[^>]*>", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v\u00a0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 #: Bytes that a compressed body may grow to; a longer one is an error of its record.
 LARGEST = 1 << 28
 
@@ -117,49 +120,47 @@ def payload(http: dict[str, str], body: bytes) -> tuple[bytes, bytes]:
     return entity, page
 
 
-def scanned(page: str) -> tuple[str, str, str, list[str]]:
-    """Text with line ends where blocks end (not unescaped), title, language and links of a page, in one pass. What is opened and
-    never closed is taken as text, and is looked for once."""
-    low, at, out, title, lang, links = page.translate(_LOWER), 0, [], None, "", []
-    missing: set[str] = set()
-
-    def find(what: str, start: int) -> int:
-        if what in missing:
-            return -1
-        found = low.find(what, start)
-        if found < 0:
-            missing.add(what)
-        return found
-
-    while (start := find("<", at)) >= 0:
-        out.append(page[at:start])
-        if low.startswith("<!--", start) and (end := find("-->", start + 4)) >= 0:
-            out.append(" ")
-            at = end + 3
+def without_specials(page: str, end: int) -> str:
+    """The page up to ``end`` without comments, scripts and the like. What is never closed stays, and its end is looked for once."""
+    out, at, missing = [], 0, set()
+    for m in _SPECIAL.finditer(page, 0, end):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in missing:
             continue
-        end = find(">", start)
-        if end < 0:
-            at = start
-            break
-        at, tag = end + 1, _NAME.match(low, start + 1, end)
-        if not tag:
-            out.append(" " if low.startswith("<!doctype", start) else "")
+        if kind:
+            close = _CLOSE[kind].search(page, m.end(), end)
+            stop = close.end() if close else -1
+        else:
+            stop = page.find("-->", m.end(), end) + 3
+        if stop < m.end():
+            missing.add(kind)
             continue
-        closing, name = tag.groups()
-        if not closing and name in DROPPED and (close := find(f"</{name}", at)) >= 0 and (end := find(">", close)) >= 0:
-            out.append(" ")
-            at = end + 1
-        elif name in BREAKS:
-            out.append("\n")
-        if not closing:
-            if name == "title" and title is None and (close := find("</title", at)) >= 0:
-                title = scanned(page[at:close])[0]
-            elif name == "html" and not lang and (m := _LANG.search(page, start, end)):
-                lang = m[1].lower()
-            elif name == "a" and (m := _HREF.search(page, start, end)):
-                links.append("".join(x or "" for x in m.groups()))
-    out.append(page[at:])
-    return "".join(out), title or "", lang, links
+        out += [page[at : m.start()], " "]
+        at = stop
+    return "".join([*out, page[at:end]])
+
+
+def without_tags(text: str) -> str:
+    """The text without tags; a "<" behind the last ">" begins none, and is not tried."""
+    end = text.rfind(">") + 1
+    return _TAG.sub("", text[:end]) + text[end:]
+
+
+def scanned(page: str) -> tuple[str, str, str, list[str]]:
+    """Text with line ends where blocks end (not unescaped), title, language and links of a page, in time linear in its length: behind
+    its last ">" there is no markup, and before it every "<" finds an end."""
+    end = page.rfind(">") + 1
+    rest = page[end:]
+    page = without_specials(page, end)
+    end = page.rfind(">") + 1
+    page, rest = page[:end], page[end:] + rest
+    title = ""
+    if (m := _TITLE.search(page)) and (close := _CLOSE["title"].search(page, m.end())):
+        title = without_tags(page[m.end() : close.start()])
+    html = _HTML.search(page)
+    lang = m[1].lower() if html and (m := _LANG.search(html[0])) else ""
+    links = ["".join(x or "" for x in m.groups()) for tag in _A.findall(page) if (m := _HREF.search(tag))]
+    return without_tags(_BREAK.sub("\n", page)) + rest, title, lang, links
 
 
 def plain_text(page: str) -> str:
