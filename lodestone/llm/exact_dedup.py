@@ -28,7 +28,7 @@ BLOCK = 4096
 
 def normalised(text: str) -> Column:
     """The text without ASCII white space; null counts as empty."""
-    return F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, "")
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACES}]+", "")
 
 
 def numbered_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
