@@ -168,3 +168,22 @@ def test_own_patterns_replace_the_fixed_ones(spark):
     rows = spark.createDataFrame([("a/.env",), ("a/x.abc",), ("a/ok.ts",)], "p string")
     assert [r[0] for r in rows.select(quality.path_security("p", F.lit(""), r"\.abc$")).collect()] == [None, "own-0", None]
     assert [r[0] for r in rows.select(quality.path_security("p", F.lit(""))).collect()] == ["dot-env", None, None]
+
+
+def test_hashed_embeddings_equal_the_plain_ones():
+    def fnv(word):
+        h = 2166136261
+        for b in word.encode():
+            h = (h ^ b) * 16777619 & 0xFFFFFFFF
+        return h
+
+    texts = ["Alpha beta, alpha_gamma 12", None, "", "é é É ß", "one", "x" * 300 + " y"]
+    found = retrieval.embedded(texts, 16)
+    for text, row in zip(texts, found, strict=True):
+        words = __import__("re").findall(r"[^\W_]+", (text or "").lower())
+        plain = np.zeros(16)
+        for feature in (*words, *map(" ".join, zip(words, words[1:], strict=False))):
+            plain[fnv(feature) % 16] += 1 if fnv(feature) >> 31 else -1
+        norm = np.linalg.norm(plain)
+        assert np.allclose(row, plain / norm if norm else plain, atol=1e-6)
+    assert retrieval.embedded([None, ""], 4).tolist() == [[0.0] * 4] * 2
