@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -129,10 +129,13 @@ def _joined(path):
 
 def call_targets(found: DataFrame, names: DataFrame) -> DataFrame:
     """(path, ref, target, line): each call with the best symbol of its name: in the same file first, then by path and line."""
-    calls = found.filter("relation = 'CALLS'").select("path", "ref")
+    calls = found.filter("relation = 'CALLS'").select("path", "ref").distinct()
     defs = names.select(F.lower("name").alias("ref"), F.col("path").alias("target"), F.col("start_line").alias("line"))
-    best = F.row_number().over(Window.partitionBy("path", "ref").orderBy(F.desc(F.col("path") == F.col("target")), "target", "line"))
-    return calls.join(defs, "ref").withColumn("n", best).filter("n = 1").select("path", "ref", "target", "line")
+    # One definition of each name and of each name in each file, before any call meets them.
+    first = defs.groupBy("ref").agg(F.min(F.struct("target", "line")).alias("first"))
+    own = defs.groupBy(F.col("target").alias("path"), "ref").agg(F.min("line").alias("line"))
+    both = calls.join(first, "ref").join(own, ["path", "ref"], "left")
+    return both.select("path", "ref", F.when(F.col("line").isNotNull(), F.col("path")).otherwise(F.col("first.target")).alias("target"), F.coalesce("line", "first.line").alias("line"))
 
 
 def navigation(found: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:

@@ -278,6 +278,13 @@ def _limit(kind: str):
 
 QUERIES["limit_fixed_window"] = _limit("fixed")
 QUERIES["limit_sliding_window"] = _limit("sliding")
+_ORDERED = "e as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events)"
+ORACLES["limit_fixed_window"] = f"""with recursive {_ORDERED}, r(user_id, event_id, n, c, until, allowed, remaining) as (select user_id, event_id, n, 1, t + 86400000000, true, 2 from e where n = 1 union all
+    select e.user_id, e.event_id, e.n, case when e.t > r.until then 1 else least(r.c + 1, 3) end, case when e.t > r.until then e.t + 86400000000 else r.until end, e.t > r.until or r.c < 3, case when e.t > r.until then 2 else greatest(2 - r.c, 0) end from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+    select event_id, allowed, remaining::int as remaining from r"""
+ORACLES["limit_sliding_window"] = f"""with recursive {_ORDERED}, r(user_id, event_id, n, kept, allowed) as (select user_id, event_id, n, [t], true from e where n = 1 union all
+    select user_id, event_id, n, case when len(k) < 3 then list_append(k, t) else k end, len(k) < 3 from (select e.*, list_filter(r.kept, lambda x: x > e.t - 86400000000) as k from r join e on e.user_id = r.user_id and e.n = r.n + 1))
+    select event_id, allowed, greatest(0, 3 - len(kept))::int as remaining from r"""
 
 
 @book.query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type as key, count(*) as n, round(avg(value), 5) as mean from events group by 1, 2")
