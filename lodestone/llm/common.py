@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.kernels import groups_of, spans
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
 #: ASCII white space as the contracts define it; ``bytes.split()`` splits on the same six characters.
 SPACES = " \t\n\x0b\f\r"
 
@@ -103,3 +109,11 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 512, size: int = 1 <<
         stop = min(max(reach, at + 1), at + rows, batch.num_rows)
         yield batch.slice(at, stop - at)
         at = stop
+    released()
+
+
+def released() -> None:
+    """Gives memory that is free back to the system, as a worker serves many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
