@@ -246,10 +246,14 @@ def search(media: DataFrame, key: str, column: str, decode: Callable[[object], t
 
 
 def melody(values: list[float] | None) -> tuple[np.ndarray, int]:
-    """Test audio of a vector: a tone of a sixteenth of a second for each number, its pitch and loudness taken from it."""
+    """Test audio of a vector: a tone of a sixteenth of a second for each number, one of twelve semitones that rise with the number over the
+    vector's root mean square. Near vectors share most tones, so they sound alike; unrelated ones do not."""
     if not values:
         raise ValueError("no notes")
-    v = np.nan_to_num(np.array(values, float))
-    pitch = 220.0 * 2 ** (np.floor((np.abs(v) * 997) % 36) / 12)
+    v = np.nan_to_num(np.array(values, float), posinf=0.0, neginf=0.0)
+    scale = np.abs(v).max()
+    v = v / scale if scale else v
+    level = np.tanh(v / (1.2 * np.sqrt((v * v).mean()) or 1.0))
+    pitch = 220.0 * 2 ** (np.clip(np.floor((level + 1) * 6), 0, 11) / 12)
     t = np.arange(RATE // 16) / RATE
-    return (np.sin(2 * np.pi * pitch[:, None] * t) * (0.3 + 0.7 * (np.abs(v) % 1))[:, None]).ravel(), RATE
+    return np.sin(2 * np.pi * pitch[:, None] * t).ravel(), RATE

@@ -166,6 +166,27 @@ def test_alignment_equals_brute_force():
     assert sum((i, 4 * i + k) in found for i in range(30) for k in range(4)) >= 0.9 * planted
 
 
+def test_near_vectors_sound_alike(spark):
+    """Vectors, queries among them, with copies under noise of a twentieth and a tenth of their size: nothing that a plain comparison of all
+    queries with all rows at every offset finds is missed, near copies match, and unrelated vectors do not."""
+    rnd = np.random.default_rng(12)
+    base = rnd.standard_normal((60, 64))
+    rows = [(20 * i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(20 * i + 1, (v + rnd.standard_normal(64) * 0.05).tolist()) for i, v in enumerate(base)]
+    rows += [(20 * i + 2, (v * 3 + rnd.standard_normal(64) * 0.3).tolist()) for i, v in enumerate(base)]
+    rows += [(3, None), (4, []), (5, [float("nan"), float("inf"), None] * 30), (6, [0.0] * 64), (7, [1e308] * 64)]
+    found = {r.id: r for r in audio.search(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", audio.melody).collect()}
+    prints = {i: audio.fingerprint(audio.chroma(*audio.melody(v))) for i, v in rows if v}
+    wanted = {(i, j): m for i in prints if i % 20 == 0 for j in prints if j != i and (m := plain_matches(prints[i], prints[j]))}
+    got = {(i, m.class_id): (round(m.bit_error, 6), m.offset) for i, r in found.items() if i % 20 == 0 for m in r.matches}
+    assert got == {k: (round(e, 6), d) for k, (e, _, d) in wanted.items()}
+    assert sum((20 * i, 20 * i + 1) in got for i in range(60)) >= 57
+    assert sum((20 * i, 20 * i + 2) in got for i in range(60)) >= 45
+    assert sum(i // 20 != j // 20 for i, j in got) <= 6
+    assert found[3].class_id is None and found[4].n_prints == 0
+    assert found[5].class_id == 5 and found[6].class_size >= 1 and found[7].n_prints == 42
+
+
 def test_noisy_and_sustained_recordings_match(spark):
     rnd = np.random.default_rng(9)
     rows = []
