@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 
+#: Fixed values, down to EXTENSIONS.
 #: Declarations at the start of a line: pattern, kind; the last group is the name. In the order in which they are tried.
 DECLARATIONS: list[tuple[str, str]] = [
     (r"^(export\s+)?(async\s+)?function\s+(\w+)", "function"),

@@ -99,28 +99,32 @@ def vector_knn_join(spark: SparkSession, d: str) -> DataFrame:
     return knn_blocks(e, e.filter("vec_id % 20 = 0"), 5)
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """The ``k`` nearest vectors of each query. Queries are dealt into blocks and every vector meets each block once, in the task
-    of (part, block), as a matrix product; a task gives k rows for each query, which are then merged."""
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, asked_rows: int = 4096, part_rows: int = 16384, least_parts: int = 16) -> DataFrame:
+    """The ``k`` nearest vectors of each query. Queries are dealt into blocks and vectors into parts, as many as their counts ask for, so that a
+    task's share doesn't grow with the table; each part meets each block once, as matrix products of a few queries at a time. A
+    task gives k rows for each query, which are then merged."""
 
     def nearest(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
         a, b = (np.array(x.embedding.tolist(), float) for x in (left, right))
         a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (a, b))
-        ids, out = right.vec_id.to_numpy(), []
-        for i, row in enumerate(a @ b.T):
-            own = left.vec_id.iloc[i]
-            row = np.where(ids == own, -np.inf, row)
-            for j in np.lexsort((ids, -row))[:k]:
-                if row[j] > -np.inf:
-                    out.append((own, ids[j], row[j]))
+        own, ids, out = left.vec_id.to_numpy(), right.vec_id.to_numpy(), []
+        for start in range(0, len(a), 128):
+            scores = a[start : start + 128] @ b.T
+            scores[own[start : start + 128, None] == ids] = -np.inf
+            # Only what reaches the k-th score is sorted, ties included.
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(b) > k else np.full(len(scores), -np.inf)
+            for query, row, bound in zip(own[start : start + 128], scores, least, strict=True):
+                some = np.flatnonzero((row >= bound) & (row > -np.inf))
+                out += [(query, ids[j], row[j]) for j in some[np.lexsort((ids[some], -row[some]))[:k]]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "cosine"])
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    asked = queries.select("vec_id", "embedding", deal.alias("block"), every.alias("part"))
-    rows = vectors.select("vec_id", "embedding", deal.alias("part"), every.alias("block"))
+    blocks, parts = max(1, -(-queries.count() // asked_rows)), max(least_parts, -(-vectors.count() // part_rows))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("vec_id", "embedding", deal(blocks).alias("block"), every(parts).alias("part"))
+    rows = vectors.select("vec_id", "embedding", deal(parts).alias("part"), every(blocks).alias("block"))
     met = asked.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(nearest, "query_id bigint, vec_id bigint, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return met.withColumn("n", rank).filter(F.col("n") <= k).select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"))

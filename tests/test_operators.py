@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,18 @@ def test_fallback_join_and_budget(spark):
 
 def test_patterns_are_whole():
     assert len(P.SECRETS) == 18 and len(P.PERSONAL) == 6 and len(P.DEBT) == 7
+
+
+def test_nearest_over_many_blocks_equals_plain_search(spark):
+    from lodestone.plans.search import knn_blocks
+
+    rnd = np.random.default_rng(4)
+    vectors = rnd.standard_normal((90, 6))
+    vectors[40:44] = vectors[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = knn_blocks(rows, rows.filter("vec_id % 10 = 0"), 5, asked_rows=3, part_rows=11, least_parts=2).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for q in range(0, 90, 10):
+        score = np.round(unit @ unit[q], 9)
+        wanted = [i for i in np.lexsort((np.arange(90), -score)) if i != q][:5]
+        assert {r.vec_id for r in found if r.query_id == q} == set(wanted)
