@@ -26,9 +26,9 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if size * EXPANSION <= limit else df
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The session's own folder below the shared one that ``spark.checkpoint.dir`` names; it is deleted when the driver's JVM
-    ends. Where the setting is empty, a local session takes a temporary folder and any other raises."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: what ``spark.checkpoint.dir`` names. Where the setting is empty, a local
+    session takes a temporary folder and any other raises."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
@@ -36,7 +36,13 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         found = sc.getCheckpointDir()
-    own = f"{found.rstrip('/')}/lodestone-{sc.applicationId}"
+    return found.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The session's own folder below the shared one; it is deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/lodestone-{sc.applicationId}"
     if own not in _OWN:
         path = sc._jvm.org.apache.hadoop.fs.Path(own)
         files = path.getFileSystem(sc._jsc.hadoopConfiguration())
@@ -46,6 +52,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def kept_dir(spark: SparkSession, label: str) -> str:
+    """The name of a new folder below the shared one that stays when the session ends; nothing is made yet."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 _OWN: set[str] = set()
 
 
