@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.io import table
-from lodestone.llm import audio, bpe, exact_dedup, jaccard_join, language_id, packing, pii, substring_dedup, suffix_dedup, warc
+from lodestone.llm import audio, bpe, exact_dedup, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, vector_codes, warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,17 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_entities", "entity_types", "text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every usable vector, with their errors."""
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of one and a half times all words takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -84,6 +95,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_source_mix": op13_source_mix,
 }
 
 ORACLES: dict[str, str] = {
@@ -113,4 +126,52 @@ ORACLES: dict[str, str] = {
             sha256(array_to_string(case when g is null then a else list_filter(a, lambda x, i: not list_contains(g, i)) end, ' ')) as kept_sha256
         from d left join g on g.doc_id = d.doc_id
     """,
+    "op11_vector_codes": r"""
+        with v as (select row_number() over (order by vec_id, embedding) as r, vec_id, label, embedding from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as (select r, part, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding[part * (len(embedding) // 16) + 1 : (part + 1) * (len(embedding) // 16)]] as x
+            from v, unnest(range(16)) as u(part)),
+        c0 as (select part, r - 1 as e, x as c from p where r <= 64),
+        a1 as (select r, p.part, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)]) * 64 + e) % 64 as e from p join c0 on c0.part = p.part group by 1, 2),
+        s1 as (select a.part, a.e, k, cast(floor(sum(x[k + 1]) / count(*)) as bigint) as m from a1 a join p on p.r = a.r and p.part = a.part, unnest(range(len(x))) as u(k) group by 1, 2, 3),
+        c1 as (select c0.part, c0.e, coalesce(m, c) as c from c0 left join (select part, e, list(m order by k) as m from s1 group by 1, 2) s on s.part = c0.part and s.e = c0.e),
+        a2 as (select r, p.part, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)]) * 64 + e) % 64 as e from p join c1 on c1.part = p.part group by 1, 2),
+        s2 as (select a.part, a.e, k, cast(floor(sum(x[k + 1]) / count(*)) as bigint) as m from a2 a join p on p.r = a.r and p.part = a.part, unnest(range(len(x))) as u(k) group by 1, 2, 3),
+        c2 as (select c1.part, c1.e, coalesce(m, c) as c from c1 left join (select part, e, list(m order by k) as m from s2 group by 1, 2) s on s.part = c1.part and s.e = c1.e),
+        a3 as (select r, p.part, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)]) * 64 + e) as m from p join c2 on c2.part = p.part group by 1, 2),
+        f as (select r, string_agg(printf('%02x', cast(m % 64 as int)), '' order by part) as code, cast(sum(m // 64) as bigint) as error from a3 group by 1)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+            (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) from c2) as codebooks_sha256
+        from v join f on f.r = v.r
+    """,
+    "op13_source_mix": r"""
+        with recursive d as (select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+        s0 as (select source, sum(size) as source_size, count(*) as n from d group by 1),
+        s1 as (select *, row_number() over (order by source nulls last) as sid from s0),
+        s2 as (select *, [3, 1, 2][(sid - 1) % 3 + 1] as w, 1.5::double * (select sum(source_size) from s1) as t from s1),
+        s3 as (select *, coalesce(sum(2 * source_size) over k, 0) as below, sum(w) over () - coalesce(sum(w) over k, 0) as rest from s2
+            window k as (order by 2.0 * source_size / w, sid rows between unbounded preceding and 1 preceding)),
+        s4 as (select max((t - below)::double / rest) as level from s3),
+        s5 as (select sid, source, source_size, n, t, least(2.0 * source_size, level * w)::double as target,
+            greatest(ceil(source_size / 16777216.0), ceil(n / 1048576.0), 1) as wanted from s2, s4),
+        k1 as (select sid, row_number() over (order by target / (2 * i + 1) desc, sid, i) as place, t from
+            (select *, unnest(range(cast(ceil(target / 8) + (select count(*) from s1) as bigint))) as i from s5 where target > 0)),
+        q1 as (select sid, count(*) as quota from k1 where place <= floor(t / 8 + 0.5) group by 1),
+        e as (select d.r, doc_id, size, d.source, source_size, target, s5.sid, wanted,
+            cast(('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(cast(doc_id as varchar), '-'), size)), 1, 12)) as bigint) as u from d join s5 on s5.source is not distinct from d.source),
+        l as (select *, cast(floor(cast(u as double) * wanted / 281474976710656.0) as int) as shard from e),
+        o as (select *, coalesce(sum(size) over (partition by sid, shard order by u, doc_id nulls first, size, r rows between unbounded preceding and 1 preceding), 0) as at_ from l),
+        h as (select sid, source, shard, sum(size) as shard_size, ceil(sum(size) / 8.0) as nb from o group by 1, 2, 3),
+        k2 as (select sid, shard, row_number() over (partition by sid order by shard_size / (2 * i + 1) desc, shard, i) as place from
+            (select sid, shard, shard_size, unnest(range(cast(2 * nb + 2 as bigint))) as i from h where shard_size > 0)),
+        q2 as (select k2.sid, k2.shard, count(*) as quota from k2 join q1 on q1.sid = k2.sid where place <= q1.quota group by 1, 2),
+        g as (select h.sid, h.shard, nb, least(coalesce(quota, 0), 2 * nb) as mine,
+            case when nb > 0 then cast(('0x' || substr(md5(concat_ws('|', 'mix-1', 'run', coalesce(h.source, '-'), h.shard)), 1, 12)) as bigint) % cast(nb as bigint) else 0 end * 8 as start
+            from h left join q2 on q2.sid = h.sid and q2.shard = h.shard),
+        x as (select *, case when nb > 0 then floor(mine / nb) else 0 end as passes from g),
+        y as (select *, start + (mine - passes * nb) * 8 as stop, nb * 8 as turn from x)
+        select doc_id, size, cast(source_size as bigint) as source_size, target, cast(passes * size
+            + greatest(least(at_ + size, stop, turn) - greatest(at_, start), 0) + greatest(least(at_ + size, stop - turn) - at_, 0) as bigint) as taken
+        from o join y on y.sid = o.sid and y.shard = o.shard
+    """,
 }
