@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.io import table
-from lodestone.llm import audio, bpe, exact_dedup, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, vector_codes, warc
+from lodestone.io import kept_dir, table
+from lodestone.llm import audio, bpe, exact_dedup, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, time_partitions, vector_codes, warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,23 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def moment_of_click() -> Column:
+    """The moment a click is filed under: most clicks' own time, an earlier one for some, the start of the week for others."""
+    k = F.crc32(F.col("click_id").cast("string").cast("binary")) % 128
+    earlier = F.col("ts") - F.make_dt_interval(((k + 6) * (k + 6) * (k + 6)).cast("int"))
+    return F.when(k < 16, earlier).when(k > 111, F.trunc(F.to_date("ts"), "week").cast("timestamp_ntz")).otherwise(F.col("ts"))
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of clicks in adaptive time ranges: written for those that arrived before May 2024, then rewritten for all."""
+    clicks = table(spark, sf_dir, "clicks")
+    limit, folder = 1 + clicks.count() // 500, kept_dir(spark, "clicks")
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-05-01").cast("timestamp_ntz"), F.lit(False))
+    order = ("arrived_at", "click_id")
+    time_partitions.write(clicks.filter(early), folder, limit, moment_of_click(), F.lit(True), order, "click_id")
+    return time_partitions.report(spark, folder, time_partitions.write(clicks, folder, limit, moment_of_click(), ~early, order, "click_id"))
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of one and a half times all words takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -96,6 +113,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_vector_codes": op11_vector_codes,
+    "op12_time_partitions": op12_time_partitions,
     "op13_source_mix": op13_source_mix,
 }
 
