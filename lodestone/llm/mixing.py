@@ -10,8 +10,8 @@ overlap of two intervals, so no block is ever a row and a block may be as small
 The number of blocks grows with the corpus, so the highest quotients aren't listed. With n parties and k blocks, at most k quotients
 exceed total / (2 k - n) and at least k exceed total / (2 k + n): the first bound gives all but a few blocks by a formula, and only
 quotients between the two, a few for each party, are ranked. Sources are ranked by a distributed sort, shards of one source by
-a window. Shards are made as a source grows, by words and rows, so that no window grows with the corpus, and a hot
-source has many. Texts are read once and never move.
+a window. A source has about as many shards as a shard has rows, so that a hot source is sorted in many small windows and neither
+the rows of a shard nor the shards of a source are more than the root of its rows. Texts are read once and never move.
 
 Results for odd input: null, empty and blank texts have no words and give none; a null source is a source, the last one; rows with
 a null id, repeated ids and repeated rows are documents like any other (equal rows may be taken unequally, since they are
@@ -27,9 +27,7 @@ from lodestone.io import small, written
 
 WEIGHTS, SHARE, REPEATS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
 #: Words of a block: how closely targets are met.
-BLOCK = 8
-#: Words and rows of a shard, about: what one window sorts.
-SHARD_WORDS, SHARD_ROWS = 1 << 24, 1 << 20
+BLOCK = 4
 
 
 def draw(*parts: Column) -> Column:
@@ -121,12 +119,12 @@ def shard_quotas(shards: DataFrame, block: int, repeats: int) -> DataFrame:
     return found.withColumn("stop", F.col("start") + (F.col("mine") - F.col("passes") * blocks).cast("bigint") * block).select("sid", "shard", "passes", "start", "stop", "turn")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard_words: int = SHARD_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken of every document."""
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard_rows: int | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target and taken of every document. ``shard_rows``: rows of a shard, about; the root of a source's rows if None."""
     sizes = written(measured(docs, text, doc_id, source), "sizes")
     sources, total = sources_of(sizes, weights, share, repeats)
     sources = written(source_quotas(sources, total, block), "sources-quota")
-    wanted = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows), F.lit(1))
+    wanted = F.ceil(F.col("source_rows") / shard_rows if shard_rows else F.sqrt("source_rows"))
     about = small(sources.select("sid", F.col("source").alias("_source"), "source_size", "target", "quota", wanted.cast("bigint").alias("wanted")))
     shard = F.floor(F.col("u") * F.col("wanted") / float(1 << 48)).cast("int")
     rows = sizes.join(about, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard).drop("_source", "wanted")

@@ -171,23 +171,23 @@ ORACLES: dict[str, str] = {
             window k as (order by 2.0 * source_size / w, sid rows between unbounded preceding and 1 preceding)),
         s4 as (select max((t - below)::double / rest) as level from s3),
         s5 as (select sid, source, source_size, n, t, least(2.0 * source_size, level * w)::double as target,
-            greatest(ceil(source_size / 16777216.0), ceil(n / 1048576.0), 1) as wanted from s2, s4),
+            ceil(sqrt(n)) as wanted from s2, s4),
         k1 as (select sid, row_number() over (order by target / (2 * i + 1) desc, sid, i) as place, t from
-            (select *, unnest(range(cast(ceil(target / 8) + (select count(*) from s1) as bigint))) as i from s5 where target > 0)),
-        q1 as (select sid, count(*) as quota from k1 where place <= floor(t / 8 + 0.5) group by 1),
+            (select *, unnest(range(cast(ceil(target / 4) + (select count(*) from s1) as bigint))) as i from s5 where target > 0)),
+        q1 as (select sid, count(*) as quota from k1 where place <= floor(t / 4 + 0.5) group by 1),
         e as (select d.r, doc_id, size, d.source, source_size, target, s5.sid, wanted,
             cast(('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(cast(doc_id as varchar), '-'), size)), 1, 12)) as bigint) as u from d join s5 on s5.source is not distinct from d.source),
         l as (select *, cast(floor(cast(u as double) * wanted / 281474976710656.0) as int) as shard from e),
         o as (select *, coalesce(sum(size) over (partition by sid, shard order by u, doc_id nulls first, size, r rows between unbounded preceding and 1 preceding), 0) as at_ from l),
-        h as (select sid, source, shard, sum(size) as shard_size, ceil(sum(size) / 8.0) as nb from o group by 1, 2, 3),
+        h as (select sid, source, shard, sum(size) as shard_size, ceil(sum(size) / 4.0) as nb from o group by 1, 2, 3),
         k2 as (select sid, shard, row_number() over (partition by sid order by shard_size / (2 * i + 1) desc, shard, i) as place from
             (select sid, shard, shard_size, unnest(range(cast(2 * nb + 2 as bigint))) as i from h where shard_size > 0)),
         q2 as (select k2.sid, k2.shard, count(*) as quota from k2 join q1 on q1.sid = k2.sid where place <= q1.quota group by 1, 2),
         g as (select h.sid, h.shard, nb, least(coalesce(quota, 0), 2 * nb) as mine,
-            case when nb > 0 then cast(('0x' || substr(md5(concat_ws('|', 'mix-1', 'run', coalesce(h.source, '-'), h.shard)), 1, 12)) as bigint) % cast(nb as bigint) else 0 end * 8 as start
+            case when nb > 0 then cast(('0x' || substr(md5(concat_ws('|', 'mix-1', 'run', coalesce(h.source, '-'), h.shard)), 1, 12)) as bigint) % cast(nb as bigint) else 0 end * 4 as start
             from h left join q2 on q2.sid = h.sid and q2.shard = h.shard),
         x as (select *, case when nb > 0 then floor(mine / nb) else 0 end as passes from g),
-        y as (select *, start + (mine - passes * nb) * 8 as stop, nb * 8 as turn from x)
+        y as (select *, start + (mine - passes * nb) * 4 as stop, nb * 4 as turn from x)
         select doc_id, size, cast(source_size as bigint) as source_size, target, cast(passes * size
             + greatest(least(at_ + size, stop, turn) - greatest(at_, start), 0) + greatest(least(at_ + size, stop - turn) - at_, 0) as bigint) as taken
         from o join y on y.sid = o.sid and y.shard = o.shard

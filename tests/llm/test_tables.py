@@ -216,8 +216,8 @@ def test_mix_reaches_its_targets(spark):
     texts += [(None, "null id " * 9, "s1"), (5, None, "s2"), (6, "", None), (7, "x " * 700, None), (8, " \t ", "z"), texts[3], texts[3]]
     df = documents(spark, texts)
     kinds = {}
-    for shard_words in (1 << 24, 5000):  # with one shard for each source, and with many
-        rows = mixing.mix(df, shard_words=shard_words).collect()
+    for shard_rows in (1000, None):  # with one shard for each source, and with many
+        rows = mixing.mix(df, shard_rows=shard_rows).collect()
         assert len(rows) == len(texts)
         by = defaultdict(list)
         for r in rows:
@@ -227,9 +227,9 @@ def test_mix_reaches_its_targets(spark):
         for name, size, target in zip(names, sizes, plain_targets(sizes), strict=True):
             taken = sum(r.taken for r in by[name])
             assert all(r.source_size == size and r.target == pytest.approx(target) and 0 <= r.taken <= 2 * r.size for r in by[name])
-            assert abs(taken - target) <= 8 * (2 + size // shard_words) * 2
-        kinds[shard_words] = sorted((r.doc_id or -1, r.size, r.taken) for r in rows)
-    assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(df.repartition(7)).collect()) == kinds[1 << 24]
+            assert abs(taken - target) <= 4 * (1 if shard_rows else len(by[name]) ** 0.5) * 2
+        kinds[shard_rows] = sorted((r.doc_id or -1, r.size, r.taken) for r in rows)
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(df.repartition(7)).collect()) == kinds[None]
     assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, len((t or "").split())) for i, t, _ in texts)
 
 
