@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -69,6 +70,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a file, or of the files of a folder: what was derived from them is good while it stays."""
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(sc._jsc.hadoopConfiguration())
+    seen = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(found))
+    return hashlib.sha256(repr(seen).encode()).hexdigest()
+
+
 def cleared(spark: SparkSession) -> None:
     """Deletes what ``written`` has left for this session; frames read from it must not be used any more."""
     sc, own = spark.sparkContext, scratch_dir(spark)

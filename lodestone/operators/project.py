@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import score as S
 from lodestone.functions import text as T
-from lodestone.io import small
+from lodestone.io import small, written
 from lodestone.operators import retrieval as R
 
+if TYPE_CHECKING:
+    from lodestone.operators.fulltext import TextIndex
+
 
 def serving(rows: DataFrame, build_files: DataFrame, build: int | None = None) -> DataFrame:
     """Rows of the files and versions of a build; without a number, of the published one. ``build_files``: build_id, file_id, version_id, status."""
@@ -19,20 +23,25 @@ def serving(rows: DataFrame, build_files: DataFrame, build: int | None = None) -
     return rows.join(bound.select("file_id", "version_id").distinct(), ["file_id", "version_id"], "left_semi")
 
 
-def search(chunks: DataFrame, files: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, query_vector: list[float] | None = None, profile: dict | None = None) -> DataFrame:
+def search(chunks: DataFrame, files: DataFrame, query: str, limit: int = 5, vectors: DataFrame | None = None, query_vector: list[float] | None = None, profile: dict | None = None, index: TextIndex | None = None) -> DataFrame:
     """Ranked chunks of a build. ``files`` are the build's: file_id, version_id, source_path; ``chunks`` have chunk_id, file_id, version_id, chunk_index,
     start_line, end_line, content, searchable_text, symbol_name, symbol_kind, symbol_signature; ``vectors`` chunk_id, embedding and the columns of
-    ``profile``, which must be equal to its values. The text of all chunks is read once, for the match; only candidates are ranked."""
+    ``profile``, which must be equal to its values. The text of all chunks is read once, for the match; only candidates are ranked. With an ``index`` of the build's chunks
+    (by ``code_search_text``) no text is read but the candidates'."""
     query = query.strip()
     if not query:
         raise ValueError("a query is needed")
     limit = min(max(limit, 1), 50)
     candidates = max(200, 50 * limit)
     bound = chunks.join(files.select("file_id", "version_id", "source_path"), ["file_id", "version_id"])
-    seen = T.code_search_text("symbol_name", "symbol_kind", "symbol_signature", "searchable_text", "content")
+    seen = T.code_search_text("symbol_name", "symbol_kind", "symbol_signature", "searchable_text", "content") if index is None else F.col("search_text")
     words = R.lexemes("search_text")
-    hit = bound.withColumn("search_text", seen).filter(R.matches_text("search_text", query)).select("chunk_id", R.rank_cover_density(words, query).alias("text_rank"))
-    lanes = [hit.orderBy(F.desc("text_rank"), "chunk_id").limit(candidates).select("chunk_id", F.lit(0.0).alias("vector_score"))]
+    if index is None:
+        hit = bound.withColumn("search_text", seen).filter(R.matches_text("search_text", query)).select("chunk_id", R.rank_cover_density(words, query).alias("text_rank"))
+        hit = hit.orderBy(F.desc("text_rank"), "chunk_id").limit(candidates)
+    else:
+        hit = index.lane(query, candidates)
+    lanes = [hit.select("chunk_id", F.lit(0.0).alias("vector_score"))]
     if vectors is not None and query_vector is not None:
         for column, value in (profile or {}).items():
             vectors = vectors.filter(F.col(column) == value)
@@ -40,7 +49,7 @@ def search(chunks: DataFrame, files: DataFrame, query: str, limit: int = 5, vect
         scored = own.withColumn("vector_score", F.greatest(S.cosine("embedding", F.lit([float(x) for x in query_vector])), F.lit(0.0)))
         lanes.append(scored.orderBy(F.desc("vector_score"), "chunk_id").limit(candidates).select("chunk_id", "vector_score"))
     # Two lanes of at most 2500 rows; texts are normalised behind the join, for candidates alone.
-    found = bound.join(F.broadcast(R.merge_lanes(*lanes)), "chunk_id").withColumn("search_text", seen)
+    found = R.candidates_of(bound, R.merge_lanes(*lanes), index).withColumn("search_text", seen)
     path, asked = T.search_text("source_path"), T.search_text(F.lit(query))
     terms = [w for w in R.query_terms_plain(query) if len(w) >= 3]
     score = R.rank_cover_density(words, query) * 10 + R.similarity("search_text", asked) + R.similarity(path, asked) + R.term_hits(terms, "search_text", path) * 0.25 + F.col("vector_score") * 12
@@ -58,7 +67,7 @@ class Answer:
     lanes: list[tuple[str, str]] = field(default_factory=list)
 
 
-def search_with_fallback(chunks: DataFrame, files: DataFrame, query: str, limit: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, profile: dict | None = None, mode: str = "hybrid", active: str | None = None, most_characters: int | None = None, most_each: int = 4000) -> Answer:
+def search_with_fallback(chunks: DataFrame, files: DataFrame, query: str, limit: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, profile: dict | None = None, mode: str = "hybrid", active: str | None = None, most_characters: int | None = None, most_each: int = 4000, index: TextIndex | None = None) -> Answer:
     """Hybrid search; where there is no query vector, or it finds nothing, the lexical lane alone. The open file raises its own and its
     neighbours' scores, and a budget of characters cuts what is shown."""
     warnings, lanes = [], []
@@ -69,7 +78,8 @@ def search_with_fallback(chunks: DataFrame, files: DataFrame, query: str, limit:
     fallback = None if vectors is not None and query_vector is not None else "embedding_unavailable"
     results = None
     if fallback is None:
-        results = search(chunks, files, query, limit, vectors, query_vector, profile)
+        # At most fifty rows, written once: asking whether there are any and reading them doesn't run the search twice.
+        results = written(search(chunks, files, query, limit, vectors, query_vector, profile, index), "results")
         empty = results.isEmpty()
         lanes.append(("hybrid", "executed"))
         fallback = "hybrid_empty" if empty else None
@@ -78,7 +88,7 @@ def search_with_fallback(chunks: DataFrame, files: DataFrame, query: str, limit:
     if fallback is not None:
         warnings.append("the embedding was unavailable; the lexical lane answered" if fallback == "embedding_unavailable" else "hybrid search found nothing; the lexical lane answered")
         lanes.append(("lexical", "executed"))
-        results = search(chunks, files, query, limit)
+        results = search(chunks, files, query, limit, index=index)
     if active:
         results = R.active_file_bias(results, active)
     if most_characters is not None:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.io import table
 from lodestone.operators import chunking, code, quality
 from lodestone.operators import project as P
+from lodestone.operators.fulltext import TextIndex
 from lodestone.plans.book import Book
 from lodestone.plans.content import FILE_PATH, FILE_TEXT, files_of
+from lodestone.plans.search import kept_index
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -39,6 +42,12 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, list[float]]:
     return rows, [float(x) for x in rows.filter("chunk_id = 3").first()["embedding"]]
 
 
+def project_index(spark: SparkSession, d: str) -> TextIndex:
+    """The index of the published build's chunks."""
+    bound = chunks_of(spark, d).join(_published(spark, d).select("file_id", "version_id", "source_path"), ["file_id", "version_id"])
+    return kept_index(spark, d, "project", bound, T.code_search_text("symbol_name", "symbol_kind", "symbol_signature", "searchable_text", "content"))
+
+
 @book.query(f"select chunk_id from ({_CHUNKS}) c join ({_BUILD}) b using (file_id, version_id) where status = 'published'")
 def project_serving(spark: SparkSession, d: str) -> DataFrame:
     """Chunks bound to the published build."""
@@ -63,14 +72,14 @@ def _search_sql(vector: bool) -> str:
 def project_search(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search over the published build."""
     vectors, asked = _vectors(spark, d)
-    found = P.search(chunks_of(spark, d), _published(spark, d), "que", 10, vectors, asked, {"profile": "now"})
+    found = P.search(chunks_of(spark, d), _published(spark, d), "que", 10, vectors, asked, {"profile": "now"}, project_index(spark, d))
     return found.select("source_path", "chunk_index", "symbol_name", F.round("vector_score", 5).alias("vector_score"), F.round("score", 4).alias("score"))
 
 
 @book.query(_search_sql(False))
 def project_search_fallback(spark: SparkSession, d: str) -> DataFrame:
     """The same without an embedding: the lexical lane answers."""
-    answer = P.search_with_fallback(chunks_of(spark, d), _published(spark, d), "que", 10)
+    answer = P.search_with_fallback(chunks_of(spark, d), _published(spark, d), "que", 10, index=project_index(spark, d))
     return answer.results.select("source_path", "chunk_index", "symbol_name", F.round("vector_score", 5).alias("vector_score"), F.round("score", 4).alias("score"))
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.io import table
+from lodestone.io import fingerprint, scratch_dir, table, written
 from lodestone.operators import retrieval as R
+from lodestone.operators.fulltext import TextIndex
+from lodestone.operators.publication import Catalogue
 from lodestone.plans.book import Book
 
 book = Book()
@@ -29,6 +33,25 @@ def chunks_of(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "source_id", "lang", (F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "chunk_index", "content", path.alias("source_path"), F.concat("lang", F.lit(" "), "source_id").alias("title"), F.lit(True).alias("enabled"))
 
 
+_INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def kept_index(spark: SparkSession, d: str, label: str, chunks: DataFrame, text: Column, path: Column | None = None) -> TextIndex:
+    """An index of chunks made of ``documents``, in the session's folder; made at the first call for a table, and again where its files have changed."""
+    key = f"{scratch_dir(spark)}/index-{label}", fingerprint(spark, f"{d}/documents.parquet")
+    if key not in _INDEXES:
+        index = TextIndex(Catalogue(spark, f"{key[0]}-{uuid.uuid4().hex}"))
+        index.add(chunks, text, path)
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
+def search_index(spark: SparkSession, d: str) -> TextIndex:
+    """The index of all chunks, with their paths and hashed embeddings."""
+    chunks = chunks_of(spark, d)
+    return kept_index(spark, d, "chunks", chunks, T.chunk_search_text(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), "content"), F.lower("source_path"))
+
+
 @book.query(f"with {_WINDOWS} select doc_id, chunk_id, md5(content) as content_md5 from chunks")
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     """Fixed windows of every document."""
@@ -39,13 +62,67 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     select chunk_id, source_path, round((t like '%them%' or source_path like '%them%')::int * 0.25 + (t like '%nother%' or source_path like '%nother%')::int * 0.25 + (t like '%src1%' or source_path like '%src1%')::int * 0.25 + (t like '%tion%')::int * 0.25 + contains(t, 'src1')::int * 0 , 4) as score
     from s where score > 0 order by score desc, source_path, chunk_id limit 50""")
 def search_keyword(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks by term hits in text and path, the best fifty."""
-    words = R.query_terms("them nother src1 tion")
-    found = chunks_of(spark, d).withColumn("t", T.search_text("content"))
-    scored = found.withColumn("score", F.round(R.term_hits(words, "t", "source_path") * R.WEIGHTS["term"], 4)).filter("score > 0")
+    """Chunks by term hits in text and path, the best fifty, from the index."""
+    index = search_index(spark, d)
+    hits = index.substring_hits(R.query_terms("them nother src1 tion"))
+    scored = hits.join(index.chunks().select("chunk_id", "source_path"), "chunk_id").withColumn("score", F.round(F.col("hits") * R.WEIGHTS["term"], 4))
     return scored.orderBy(F.desc("score"), "source_path", "chunk_id").limit(50).select("chunk_id", "source_path", "score")
 
 
+def kept_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Hashed embeddings of all chunks, made once for a table like the index."""
+    key = f"{scratch_dir(spark)}/vectors", fingerprint(spark, f"{d}/documents.parquet")
+    if key not in _VECTORS:
+        _VECTORS[key] = written(R.hashed_embeddings(search_index(spark, d).chunks(), "chunk_id", "content"), "vectors")
+    return _VECTORS[key]
+
+
+_VECTORS: dict[tuple[str, str], DataFrame] = {}
+_LEXEMES = r"list_filter(string_split_regex(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+
+
+@book.query(f"""with {_WINDOWS}, w as (select chunk_id, unnest({_LEXEMES.format("content")}) as term from chunks)
+    select term, count(distinct chunk_id) as chunks, count(*) as occurrences from w group by 1""")
+def fulltext_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of the index with its chunks and occurrences."""
+    return search_index(spark, d).vocabulary().filter("field = 0").select("term", "chunks", "occurrences")
+
+
+#: A phrase, words, a negated word and an alternative, in this order; and the same in SQL.
+_ASKED = '"et le" que -pour or "the of" on or -que -the -de -que'
+
+
+@book.query(f"""with {_WINDOWS}, w as (select chunk_id, {_LEXEMES.format("content")} as w from chunks), t as (select chunk_id, w, ' ' || array_to_string(w, ' ') || ' ' as s from w)
+    select chunk_id from t where (contains(s, ' et le ') and list_contains(w, 'que') and not list_contains(w, 'pour')) or (contains(s, ' the of ') and list_contains(w, 'on')) or not (list_contains(w, 'que') or list_contains(w, 'the') or list_contains(w, 'de'))""")
+def fulltext_match(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases, negations and alternatives, one of them with negated words alone, answered by postings."""
+    return search_index(spark, d).match(_ASKED).select("chunk_id")
+
+
+_PAIR = "select chunk_id, p, term, lag(p) over k as q, lag(term) over k as other from (select chunk_id, generate_subscripts(w, 1) as p, unnest(w) as term from w) where term in ('que', 'de') window k as (partition by chunk_id order by p)"
+
+
+@book.query(f"""with {_WINDOWS}, w as (select chunk_id, {_LEXEMES.format("content")} as w from chunks), x as ({_PAIR})
+    select chunk_id, round(sum(0.1::double / (1 + p - q - 1)), 5) as rank from x where other <> term group by 1 order by rank desc, chunk_id limit 100""")
+def fulltext_cover_density(spark: SparkSession, d: str) -> DataFrame:
+    """The best hundred for two words: a cover is an occurrence of one next to one of the other, and words between them lower its weight."""
+    found = search_index(spark, d).match("que de").withColumn("rank", F.round("rank", 5))
+    return found.orderBy(F.desc("rank"), "chunk_id").limit(100)
+
+
+@book.query(f"""with {_WINDOWS}, kept as (select chunk_id, case when doc_id % 20 = 1 then 'que ' || content else content end as content from chunks where doc_id % 50 <> 0), w as (select chunk_id, {_LEXEMES.format("content")} as w from kept)
+    select chunk_id, len(list_filter(w, lambda x: x = 'que')) as n from w where list_contains(w, 'que')""")
+def fulltext_segments(spark: SparkSession, d: str) -> DataFrame:
+    """An index of three segments: documents are added, some are replaced, others removed; only what is new is indexed."""
+    index = TextIndex(Catalogue(spark, f"{scratch_dir(spark)}/segments-{uuid.uuid4().hex}"))
+    chunks, text = chunks_of(spark, d).select("chunk_id", "doc_id", "content"), T.search_text("content")
+    index.add(chunks.filter("doc_id % 20 <> 7"), text)
+    index.add(chunks.filter("doc_id % 20 = 7"), text)
+    index.add(chunks.filter("doc_id % 20 = 1").withColumn("content", F.concat(F.lit("que "), "content")), text)
+    index.remove(chunks.filter("doc_id % 50 = 0"))
+    return index.match("que").select("chunk_id", F.round(F.col("rank") * 10).cast("bigint").alias("n"))
+
+
 @book.query(r"""with t as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambda w: w <> '') as w from documents)
     select doc_id from t where (list_contains(w, 'the') and contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') and not list_contains(w, 'whon')) or list_contains(w, 'les')""")
 def search_websearch(spark: SparkSession, d: str) -> DataFrame:
@@ -168,11 +245,11 @@ def link_resolver(spark: SparkSession, d: str) -> DataFrame:
 @book.query()
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Lexical, identifier and vector lanes merged, scored and diversified; embeddings by the offline provider."""
-    chunks = chunks_of(spark, d)
-    vectors = R.hashed_embeddings(chunks, "chunk_id", "content")
+    index = search_index(spark, d)
+    chunks = index.chunks()
     query = "the src1/4.md of then"
     ask = R.hashed_embeddings(spark.createDataFrame([(0, query)], "chunk_id bigint, content string"), "chunk_id", "content").first()["embedding"]
-    found = R.hybrid_search(chunks, query, 10, vectors, list(ask))
+    found = R.hybrid_search(chunks, query, 10, kept_vectors(spark, d), list(ask), index=index)
     return found.withColumn("score", F.round("score", 6))
 
 
