@@ -287,30 +287,6 @@ def set_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", F.count(F.lit(1)), F.sum(F.pmod(h, F.lit(1 << 32))), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit("second"), *columns))), 256)
 
 
-#: Seconds a snapshot and a lease live where none are given. Fixed value.
-TTL = 300
-
-
-def fold_snapshots(events: DataFrame, now: Column, reviews: DataFrame | None = None, ttl: int = TTL) -> DataFrame:
-    """(snapshot_id, status, failure, reviewed) of ingest snapshots from their events (snapshot_id, seq, kind, at): prepare, review, claim, renew, consume, fail.
-    A prepared one or one under review ends when its time is over, a claimed one when its lease is. ``reviews``: snapshot_id, decision, at, expires_at;
-    the latest counts, and an approved one may be claimed while it lasts."""
-    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
-    state = events.groupBy("snapshot_id").agg(F.max_by(F.when(F.col("kind") != "renew", F.col("kind")), F.when(F.col("kind") != "renew", F.col("seq"))).alias("kind"), F.min(seconds("at")).alias("made"), F.max(F.when(F.col("kind").isin("claim", "renew"), seconds("at"))).alias("held"))
-    over = F.col("made") + ttl <= seconds(now)
-    lost = F.col("held") + ttl <= seconds(now)
-    kind = F.col("kind")
-    status = F.when(kind == "consume", "CONSUMED").when(kind == "fail", "FAILED").when((kind == "claim") & lost, "FAILED").when(kind == "claim", "CONSUMING").when(over, "EXPIRED").when(kind == "review", "REVIEW_REQUIRED").otherwise("PREPARED")
-    failure = F.when((kind == "claim") & lost, "CLAIM_LEASE_ABANDONED")
-    out = state.withColumn("status", status).withColumn("failure", failure)
-    if reviews is None:
-        return out.select("snapshot_id", "status", "failure", F.lit(None).cast("string").alias("reviewed"), (F.col("status") == "PREPARED").alias("claimable"))
-    last = reviews.groupBy("snapshot_id").agg(F.max_by("decision", "at").alias("reviewed"), F.max_by(seconds("expires_at"), "at").alias("until"))
-    out = out.join(last, "snapshot_id", "left")
-    claimable = (F.col("status") == "PREPARED") | (F.col("status") == "REVIEW_REQUIRED") & (F.col("reviewed") == "approve") & (F.col("until") > seconds(now))
-    return out.select("snapshot_id", "status", "failure", "reviewed", F.coalesce(claimable, F.lit(False)).alias("claimable"))
-
-
 def review_allowed(reviewer: Column | str, operator: Column | str, expires: Column | str, now: Column) -> Column:
     """Why a review may not count: self-approval, or a token that is over; null where it may."""
     col = lambda c: F.col(c) if isinstance(c, str) else c

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.io import small
+from lodestone.operators.publication import Catalogue, Refused
 from lodestone.operators.relational import first_of
 
 
@@ -55,13 +57,17 @@ def publish_problems(documents: DataFrame, chunks: DataFrame, embeddings: DataFr
     return out.select("problem", F.col("n").cast("bigint").alias("n"))
 
 
+POINTERS = "source_id string, generation_id string, published_at timestamp"
+
+
 class GenerationStore:
     """Immutable generations of sources in a folder, and a pointer to the published one of each.
 
-    A generation is a partition folder that is written once; the pointer table is replaced last, so it is the commit point."""
+    A generation is a partition folder that is written once; the pointers are a table of a catalogue, whose commit is the commit point."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.catalogue = Catalogue(spark, f"{self.root}/pointers")
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark._jvm
@@ -79,34 +85,34 @@ class GenerationStore:
         path = jvm.org.apache.hadoop.fs.Path
         return path, path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def pointers(self) -> DataFrame:
-        """(source_id, generation_id) of the published generations."""
-        schema = "source_id string, generation_id string, published_at timestamp"
-        path, files = self._files()
-        versions = sorted(s.getPath().getName() for s in files.listStatus(path(f"{self.root}/pointers"))) if self._exists(f"{self.root}/pointers") else []
-        done = [v for v in versions if v.startswith("v") and self._exists(f"{self.root}/pointers/{v}/_SUCCESS")]
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/pointers/{done[-1]}")
-
-    def publish(self, source: str, generation: str, at: str, expected: int) -> None:
-        """Points a source to a staged generation that has the expected number of rows. Publishing it again changes nothing."""
+    def pointers(self, version: int | None = None) -> DataFrame:
+        """(source_id, generation_id, published_at) of the published generations."""
+        entry = self.catalogue.entry(version)
+        if "pointers" not in entry["tables"]:
+            return self.spark.createDataFrame([], POINTERS)
+        return self.spark.read.schema(POINTERS).parquet(*entry["tables"]["pointers"])
+
+    def publish(self, source: str, generation: str, at: str, expected: int, seen: int | None = None) -> int:
+        """Points a source to a staged generation that has the expected number of rows; gives the version of the pointers. Publishing it again changes nothing. A publisher
+        that names the version it has ``seen`` gets a ``Conflict`` if there is a newer one; without it the step is repeated on the newest."""
         path = f"{self.root}/generations/source_id={source}/generation_id={generation}"
         found = self.spark.read.parquet(path).count() if self._exists(f"{path}/_SUCCESS") else -1
         if found != expected:
             raise ValueError(f"generation {generation} of {source} has {found} rows, not {expected}")
-        now = self.pointers()
-        if now.filter((F.col("source_id") == source) & (F.col("generation_id") == generation)).isEmpty():
+
+        def step(version: int) -> int:
+            now = self.pointers(version)
+            if not now.filter((F.col("source_id") == source) & (F.col("generation_id") == generation)).isEmpty():
+                return version
             one = self.spark.createDataFrame([(source, generation)], "source_id string, generation_id string").withColumn("published_at", F.lit(at).cast("timestamp"))
-            new = now.filter(F.col("source_id") != source).unionByName(one)
-            p, files = self._files()
-            n = len(files.listStatus(p(f"{self.root}/pointers"))) if self._exists(f"{self.root}/pointers") else 0
-            new.coalesce(1).write.parquet(f"{self.root}/pointers/v{n:08d}")
+            return self.catalogue.publish(version, {"pointers": now.filter(F.col("source_id") != source).unionByName(one)})
+
+        return self.catalogue.retried(step) if seen is None else step(seen)
 
     def serving(self) -> DataFrame:
         """Rows of the published generations."""
         rows = self.spark.read.option("basePath", f"{self.root}/generations").parquet(f"{self.root}/generations")
-        return rows.withColumns({c: F.col(c).cast("string") for c in ("source_id", "generation_id")}).join(F.broadcast(self.pointers().select("source_id", "generation_id")), ["source_id", "generation_id"])
+        return rows.withColumns({c: F.col(c).cast("string") for c in ("source_id", "generation_id")}).join(small(self.pointers().select("source_id", "generation_id")), ["source_id", "generation_id"])
 
     def collect_garbage(self, keep: int) -> list[str]:
         """Removes all but the ``keep`` newest unpublished generations of each source, never a published one; the paths removed."""
@@ -212,14 +218,25 @@ def build_overlay(published: Column, current: Column, clean: Column) -> Column:
     return F.struct(status.alias("status"), context.alias("context"), lane.alias("lane"))
 
 
-def complete_ingest(store: GenerationStore, jobs: DataFrame, job: str, source: str, generation: str, at: str, expected: int) -> DataFrame:
-    """Publishes a staged generation and gives the job's events with its success behind them. The pointer moves last, so before that
-    nothing has happened; where it can't move, the event is a failure and the pointer stays."""
-    try:
-        store.publish(source, generation, at, expected)
-        kind = "finish"
-    except ValueError:
-        kind = "fail"
-    last = jobs.filter(F.col("job_id") == job).agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).cast(jobs.schema["seq"].dataType).alias("seq"))
-    event = last.select(F.lit(job).cast(jobs.schema["job_id"].dataType).alias("job_id"), "seq", F.lit(kind).alias("kind"), F.lit(at).cast(jobs.schema["at"].dataType).alias("at"))
-    return jobs.unionByName(event)
+def complete_ingest(catalogue: Catalogue, seen: int, rows: dict[str, DataFrame], jobs: DataFrame, snapshots: DataFrame, job: object, fence: int, snapshot: object, at: str, expected: dict[str, int] | None = None, aborted: str | None = None, rules: dict | None = None) -> int:
+    """Ends an ingest as one: the build's tables, the job's ``finish`` and the snapshot's ``consume`` become visible by one commit, or nothing does. ``jobs`` and ``snapshots`` are all
+    events so far (see ``transitions``); an event that its fold would refuse (a stale fence, a lease that is over, an illegal state) refuses the whole. With
+    ``aborted``, a failure code, both fail instead and the tables of the version before stay. ``rules``: ``job_rules`` and ``snapshot_rules`` other than the usual ones."""
+    from lodestone.operators import transitions as T
+
+    new = {"jobs": ("fail" if aborted else "finish", job, fence, jobs, T.Job), "snapshots": ("fail" if aborted else "consume", snapshot, None, snapshots, T.Snapshot)}
+    steps = {"jobs": T.job_rules(), "snapshots": T.snapshot_rules()} | (rules or {})
+    events: dict[str, DataFrame] = {}
+    for name, (kind, key, token, before, state) in new.items():
+        own = before.filter(F.col("key") == key)
+        last = own.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("seq"))
+        event = last.select(F.lit(key).cast(before.schema["key"].dataType).alias("key"), F.col("seq").cast(before.schema["seq"].dataType).alias("seq"), F.lit(kind).alias("kind"), F.lit(at).cast(before.schema["at"].dataType).alias("at"), F.lit(token).cast("bigint").alias("fence"), F.lit(aborted).cast("string").alias("value"))
+        whole = before.unionByName(event, allowMissingColumns=True)
+        why = T.rejected(T.fold(whole.filter(F.col("key") == key), state, steps[name])).join(last, "seq").first()
+        if why is not None:
+            raise Refused(f"{kind} of {name} {key}: {why.reason}")
+        events[name] = whole
+    if not aborted:
+        return catalogue.publish(seen, rows | events, expected=expected)
+    kept = {k: v for k, v in catalogue.entry(seen)["tables"].items() if k not in events}
+    return catalogue.commit(seen, kept | {name: [catalogue.stage(name, df)] for name, df in events.items()}, {"aborted": aborted})

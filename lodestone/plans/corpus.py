@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.io import table
+from lodestone.io import table, written
 from lodestone.operators import corpus as C
+from lodestone.operators import transitions
 from lodestone.plans.book import Book
 
 book = Book()
@@ -171,22 +172,36 @@ def preflight_plan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("adds", "updates", "deletes", "eligible", "tracked", "blocked", "status", "deletion_allowed")
 
 
-_SNAPS = "e as (select user_id as snapshot_id, event_id as seq, case event_id % 6 when 0 then 'prepare' when 1 then 'review' when 2 then 'claim' when 3 then 'renew' when 4 then 'consume' else 'fail' end as kind, ts as made_at from events), r as (select user_id as snapshot_id, case when event_id % 3 = 0 then 'approve' when event_id % 3 = 1 then 'reject' else 'defer' end as decision, ts as made_at, ts + interval 300 day as expires_at, event_id from events where event_id % 4 = 1)"
-_NOW = "2024-01-05 00:00:00"
-
-
-@book.query(f"""with {_SNAPS}, n as (select epoch(timestamp '{_NOW}') as now), f as (select snapshot_id, arg_max(kind, seq) filter (where kind <> 'renew') as kind, min(epoch(date_trunc('second', made_at))) as made, max(epoch(date_trunc('second', made_at))) filter (where kind in ('claim', 'renew')) as held from e group by 1),
-    s as (select f.*, case when kind = 'consume' then 'CONSUMED' when kind = 'fail' then 'FAILED' when kind = 'claim' and held + 86400 <= now then 'FAILED' when kind = 'claim' then 'CONSUMING' when made + 86400 <= now then 'EXPIRED' when kind = 'review' then 'REVIEW_REQUIRED' else 'PREPARED' end as status, case when kind = 'claim' and held + 86400 <= now then 'CLAIM_LEASE_ABANDONED' end as failure, now from f, n),
-    l as (select snapshot_id, arg_max(decision, made_at) as reviewed, arg_max(epoch(date_trunc('second', expires_at)), made_at) as until from r group by 1)
-    select snapshot_id, status, failure, reviewed, coalesce(status = 'PREPARED' or status = 'REVIEW_REQUIRED' and reviewed = 'approve' and until > now, false) as claimable from s left join l using (snapshot_id)""")
+_SNAP_KINDS = ["claim", "review", "approve", "reject", "renew", "consume", "fail", "sweep", "claim", "defer", "consume"]
+_NOW = "2024-01-20 00:00:00"
+_DAY = 86_400_000_000
+#: Half of the snapshots start under review; the time of everything is their events' own.
+_SNAPS = f"""e as (select user_id * 8 + event_id % 8 as k, event_id as seq, {_SNAP_KINDS}[(event_id // 8) % 11 + 1] as kind0, epoch_us(ts) as moment from events),
+    o as (select k, seq, moment, row_number() over w as n, case when row_number() over w = 1 then 'prepare' when row_number() over w = 2 and k % 2 = 0 then 'review' else kind0 end as kind from e window w as (partition by k order by seq))"""
+
+
+@book.query(f"""with recursive {_SNAPS}, r as (select distinct k, 0::bigint as n, null::varchar as status, null::varchar as failure, null::bigint as expires, null::bigint as lease, null::bigint as approved, 0 as refused, 0 as late from o union all
+    select k, n, case when why is not null then status when kind = 'prepare' then 'PREPARED' when kind = 'fail' or kind = 'reject' then 'FAILED' when kind = 'sweep' then case when status = 'CONSUMING' then 'FAILED' else 'EXPIRED' end when kind = 'review' then 'REVIEW_REQUIRED' when kind = 'claim' then 'CONSUMING' when kind = 'consume' then 'CONSUMED' else status end,
+        case when why is not null then failure when kind = 'fail' then 'SYSTEM_ERROR' when kind = 'reject' then 'REVIEW_REJECTED' when kind = 'sweep' and status = 'CONSUMING' then 'CLAIM_LEASE_ABANDONED' else failure end, case when why is null and kind = 'prepare' then moment + 6 * {_DAY} else expires end,
+        case when why is null and kind in ('claim', 'renew') then moment + 6 * {_DAY} when why is null and kind in ('fail', 'sweep', 'consume') then null else lease end, case when why is null and kind = 'approve' then moment + 4 * {_DAY} else approved end, refused + (why is not null)::int, late + coalesce(why = 'lease over', false)::int
+    from (select r.k, o.n, kind, moment, status, failure, expires, lease, approved, refused, late, case when kind = 'prepare' then case when status is not null then 'exists' end when status is null then 'no snapshot' when status in ('CONSUMED', 'FAILED', 'EXPIRED') then 'status' when kind = 'fail' then null
+            when kind = 'sweep' then case when not (status in ('PREPARED', 'REVIEW_REQUIRED') and expires <= moment or status = 'CONSUMING' and lease <= moment) then 'nothing to sweep' end
+            when kind = 'review' and status <> 'PREPARED' or kind in ('approve', 'reject', 'defer') and status <> 'REVIEW_REQUIRED' then 'status' when kind in ('review', 'approve', 'reject', 'defer') then case when expires <= moment then 'expired' when kind = 'reject' and approved is not null then 'approved before' end
+            when kind = 'claim' then case when status = 'CONSUMING' then 'status' when expires <= moment then 'expired' when status = 'REVIEW_REQUIRED' and (approved is null or approved <= moment) then 'not approved' end
+            else case when status <> 'CONSUMING' then 'status' when lease <= moment then 'lease over' end end as why from r join o on o.k = r.k and o.n = r.n + 1)),
+    z as (select *, row_number() over (partition by k order by n desc) as last, epoch_us(timestamp '{_NOW}') as now from r)
+    select k as snapshot_id, case when status in ('PREPARED', 'REVIEW_REQUIRED') and expires <= now then 'EXPIRED' when status = 'CONSUMING' and lease <= now then 'FAILED' else status end as status, case when status = 'CONSUMING' and lease <= now then 'CLAIM_LEASE_ABANDONED' else failure end as failure, refused::bigint as refused, late::bigint as late from z where last = 1""")
 def snapshot_states(spark: SparkSession, d: str) -> DataFrame:
-    """Ingest snapshots folded from all events, with their reviews."""
-    e = table(spark, d, "events")
-    kinds = F.array(*map(F.lit, ["prepare", "review", "claim", "renew", "consume", "fail"]))
-    events = e.select(F.col("user_id").alias("snapshot_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("kind"), F.col("ts").alias("at"))
-    decisions = F.array(*map(F.lit, ["approve", "reject", "defer"]))
-    reviews = e.filter("event_id % 4 = 1").select(F.col("user_id").alias("snapshot_id"), F.element_at(decisions, (F.col("event_id") % 3 + 1).cast("int")).alias("decision"), F.col("ts").alias("at"), (F.col("ts") + F.expr("interval 300 day")).alias("expires_at"))
-    return C.fold_snapshots(events, F.lit(_NOW), reviews, ttl=86400)
+    """Ingest snapshots folded in the order of their events; what the state doesn't allow is refused and counted."""
+    key, own = (F.col("user_id") * 8 + F.col("event_id") % 8).alias("key"), Window.partitionBy("key").orderBy("seq")
+    kind = F.element_at(F.array(*map(F.lit, _SNAP_KINDS)), (F.floor(F.col("event_id") / 8) % 11 + 1).cast("int"))
+    rows = table(spark, d, "events").select(key, F.col("event_id").alias("seq"), kind.alias("kind"), F.col("ts").alias("at")).withColumn("n", F.row_number().over(own))
+    rows = rows.withColumn("kind", F.when(F.col("n") == 1, "prepare").when((F.col("n") == 2) & (F.col("key") % 2 == 0), "review").otherwise(F.col("kind")))
+    rows = rows.withColumn("until", F.when(F.col("kind") == "approve", F.col("at") + F.expr("interval 4 day")))
+    found = written(transitions.fold(rows, transitions.Snapshot, transitions.snapshot_rules(6 * 86400), now=F.lit(_NOW)), "snapshots")
+    refused = transitions.rejected(found).groupBy("key").agg(F.count("*").alias("refused"), F.count_if(F.col("reason") == "lease over").alias("late"))
+    nothing = [F.coalesce(c, F.lit(0)).alias(c) for c in ("refused", "late")]
+    return transitions.states(found).join(refused, "key", "left").select(F.col("key").alias("snapshot_id"), "status", "failure", *nothing)
 
 
 @book.query(r"""with p as (select doc_id, lang, source, coalesce(text, '') as text from documents), u as (select doc_id, lower(strip_accents(concat_ws(' ', 'Café ' || source, 'cat', 'kind', lang, case when doc_id % 2 = 0 then 'Official' end, case when doc_id % 3 = 0 then 'Über' else text end))) as a,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import api
 from lodestone.operators import chunking, corpus, lifecycle, project, retrieval
+from lodestone.operators.publication import Conflict
 from lodestone.operators.retrieval import cover_density, pick_diverse
 
 
@@ -23,12 +24,17 @@ def test_ingest_publishes_once_and_completion_follows(spark, tmp_path):
     assert corpus.ingest(store, files(spark), "src", "g1", "2024-01-01") == 3
     assert corpus.ingest(store, files(spark), "src", "g1", "2024-01-01") == 3
     assert store.serving().count() == 3 and store.pointers().count() == 1
-    jobs = spark.createDataFrame([("j", 1, "enqueue", "2024-01-01"), ("j", 2, "claim", "2024-01-02")], "job_id string, seq int, kind string, at string")
     store.stage(corpus.build_documents(files(spark).limit(2)), "src", "g2")
-    failed = lifecycle.complete_ingest(store, jobs, "j", "src", "g2", "2024-01-03", 3)
-    assert failed.orderBy(F.desc("seq")).first().kind == "fail" and store.serving().count() == 3
-    done = lifecycle.complete_ingest(store, jobs, "j", "src", "g2", "2024-01-03", 2)
-    assert done.orderBy(F.desc("seq")).first()[:3] == ("j", 3, "finish") and store.serving().count() == 2
+    seen = store.catalogue.version()
+    with pytest.raises(ValueError):
+        store.publish("src", "g2", "2024-01-03", 3)
+    assert store.serving().count() == 3
+    assert store.publish("src", "g2", "2024-01-03", 2, seen) == seen + 1 and store.serving().count() == 2
+    store.stage(corpus.build_documents(files(spark).limit(1)), "other", "g1")
+    with pytest.raises(Conflict):
+        store.publish("other", "g1", "2024-01-03", 1, seen)
+    store.publish("other", "g1", "2024-01-03", 1)
+    assert store.serving().count() == 3 and store.pointers(seen).count() == 1
 
 
 def test_reports(spark, tmp_path):
@@ -141,13 +147,7 @@ def test_clusters_by_cosine(spark):
     assert len(found) == 90 and all(found[i] == found[i % 3] for i in range(90)) and len(set(found.values())) == 3
 
 
-def test_snapshots(spark):
-    events = [(1, 1, "prepare", 0), (2, 1, "prepare", 0), (2, 2, "claim", 100), (3, 1, "prepare", 0), (3, 2, "claim", 10), (3, 3, "renew", 250), (4, 1, "prepare", 0), (4, 2, "claim", 10), (5, 1, "prepare", 350), (5, 2, "review", 360), (6, 1, "prepare", 350), (6, 2, "review", 351), (7, 1, "prepare", 1), (7, 2, "claim", 2), (7, 3, "consume", 3)]
-    frame = spark.createDataFrame(events, "snapshot_id int, seq int, kind string, at int").withColumn("at", F.timestamp_seconds("at"))
-    reviews = spark.createDataFrame([(5, "approve", 370, 900), (6, "approve", 360, 900), (6, "reject", 365, 900)], "snapshot_id int, decision string, at int, expires_at int").withColumns({c: F.timestamp_seconds(c) for c in ("at", "expires_at")})
-    found = {r.snapshot_id: r for r in corpus.fold_snapshots(frame, F.timestamp_seconds(F.lit(400)), reviews).collect()}
-    assert {i: r.status for i, r in found.items()} == {1: "EXPIRED", 2: "FAILED", 3: "CONSUMING", 4: "FAILED", 5: "REVIEW_REQUIRED", 6: "REVIEW_REQUIRED", 7: "CONSUMED"}
-    assert found[2].failure == "CLAIM_LEASE_ABANDONED" and [i for i, r in found.items() if r.claimable] == [5]
+def test_reviews_that_may_not_count(spark):
     wrong = spark.sql("select 'a' as r, 'a' as o, 5 as e union all select 'a', 'b', 1 union all select 'a', 'b', 9")
     assert sorted(str(r[0]) for r in wrong.select(corpus.review_allowed("r", "o", "e", F.lit(3))).collect()) == ["None", "expired", "self-approval"]
 
