@@ -165,11 +165,11 @@ class TextIndex:
         """Adds chunks (chunk_id, a number that no other row has, and any columns) as a segment, in place of those with the same ids; gives the version. Only their own
         postings are made. ``text``: their normalised text; ``path``: what else substrings are looked for in. After a conflict it is tried again."""
         made = self._segment(chunks, text, path)
-        new = self.spark.read.parquet(*made["chunks"])
+        new = self._shelved([made], range(self.shelves))
 
         def step(seen: int) -> int:
             old = self.segments(seen)
-            return self._commit(seen, [*(self._marked(old, new) if old else []), made])
+            return self._commit(seen, [*(self._marked(old, new) if old and made["rows"] else old), made])
 
         return self.catalogue.retried(step)
 
