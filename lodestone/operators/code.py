@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.batches import sliced
 from lodestone.functions import text as T
+from lodestone.operators.publication import Catalogue
+from lodestone.operators.scanner import definitions as scanned
 
 #: Fixed values, down to EXTENSIONS.
 #: Declarations at the start of a line: pattern, kind; the last group is the name. In the order in which they are tried.
@@ -81,7 +84,7 @@ def edges_of(content: str) -> list[tuple[str, str, str | None]]:
 
 def _exploded(files: DataFrame, function, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "content"):
             row, out = [], []
             for i, (path, content) in enumerate(zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)):
                 for found in function(path or "", content or ""):
@@ -103,10 +106,127 @@ def edges(files: DataFrame) -> DataFrame:
     return _exploded(files, lambda p, c: edges_of(c), [("relation", pa.string(), "string"), ("ref", pa.string(), "string"), ("via", pa.string(), "string")])
 
 
-def unchanged(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(to parse, reusable): files by whether their content's digest is in the cache of parses."""
-    hashed = files.withColumn("hash", F.sha2("content", 256))
-    return hashed.join(cache.select("path", "hash").distinct(), ["path", "hash"], "left_anti"), cache.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi")
+DEFINITION = [("name", pa.string(), "string"), ("kind", pa.string(), "string"), ("start_line", pa.int32(), "int"), ("end_line", pa.int32(), "int"), ("signature", pa.string(), "string"), ("parent", pa.string(), "string"), ("depth", pa.int32(), "int"), ("exported", pa.bool_(), "boolean")]
+
+
+def _suffix(path: str) -> str:
+    return path.rsplit(".", 1)[-1].lower()
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """(path, name, kind, start_line, end_line, signature, parent, depth, exported): the definitions of files with exact ends, nested ones with what they lie in."""
+    fields = [n for n, _, _ in DEFINITION]
+    return _exploded(files, lambda p, c: [tuple(getattr(d, n) for n in fields) for d in scanned(c, _suffix(p))], DEFINITION)
+
+
+def definition_chunks(files: DataFrame, inner: bool = True) -> DataFrame:
+    """(path, kind, name, parent, signature, content, start_line, end_line): a chunk for each definition. With ``inner`` a method is a chunk of its own and its class keeps the
+    lines outside of its members; otherwise only definitions that lie in no other are chunks, whole. A file without any is one chunk."""
+    fields = [("kind", pa.string(), "string"), ("name", pa.string(), "string"), ("parent", pa.string(), "string"), ("signature", pa.string(), "string"), ("content", pa.string(), "string"), ("start_line", pa.int32(), "int"), ("end_line", pa.int32(), "int")]
+
+    def of(path: str, content: str) -> Iterator[tuple]:
+        lines = content.split("\n")
+        found = [d for d in scanned(content, _suffix(path)) if inner or not d.depth]
+        for k, d in enumerate(found):
+            held: set[int] = set()
+            for other in found[k + 1 :]:
+                if other.start_line > d.end_line:
+                    break
+                if other.depth == d.depth + 1 and other.start_line > d.start_line:
+                    held.update(range(other.start_line, other.end_line + 1))
+            own = [n for n in range(d.start_line, d.end_line + 1) if n not in held]
+            yield d.kind, d.name, d.parent, d.signature, "\n".join(lines[n - 1] for n in own), d.start_line, d.end_line
+        if not found and content.strip():
+            yield "raw", "root", None, "", content, 1, len(lines)
+
+    return _exploded(files, of, fields)
+
+
+#: Raised when ``scanner`` or ``edges_of`` change what they find.
+PARSER_VERSION = 1
+
+
+class ParseCache:
+    """Parses by content: symbols and edges of each (digest, extension), in a catalogue. A file that moves or comes back is not parsed again; a newer parser starts anew."""
+
+    def __init__(self, catalogue: Catalogue, version: int = PARSER_VERSION):
+        self.catalogue, self.spark, self.version = catalogue, catalogue.spark, version
+
+    def _held(self, seen: int) -> dict[str, list[str]]:
+        entry = self.catalogue.entry(seen)
+        return entry["tables"] if entry["note"].get("parser") == self.version else {}
+
+    def _read(self, tables: dict[str, list[str]], name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*tables[name]) if tables.get(name) else self.spark.createDataFrame([], schema)
+
+    def _keys(self, tables: dict[str, list[str]]) -> DataFrame:
+        return self._read(tables, "entries", "digest string, extension string, lines bigint")
+
+    def ingest(self, files: DataFrame) -> dict[str, int]:
+        """Parses the contents of files (path, content) that are not known yet and keeps what was found; counts of files, contents parsed and contents reused."""
+
+        def step(seen: int) -> int:
+            tables = self._held(seen)
+            new = contents(files).dropDuplicates(["digest", "extension"]).join(self._keys(tables).select("digest", "extension"), ["digest", "extension"], "left_anti")
+            # The parsers see the content's key as its path, with the extension last.
+            named = new.select(F.concat_ws(".", "digest", "extension").alias("path"), "content", "digest", "extension")
+            made = {
+                "entries": named.select("digest", "extension", F.size(F.split("content", "\n")).cast("bigint").alias("lines")),
+                "symbols": definitions(named).withColumns(_keyed()).drop("path"),
+                "edges": edges(named).withColumns(_keyed()).drop("path"),
+            }
+            paths = {name: [*tables.get(name, []), self.catalogue.stage(name, rows)] for name, rows in made.items()}
+            parsed = self.spark.read.parquet(paths["entries"][-1]).count()
+            if not parsed and tables:
+                return seen
+            self.parsed = parsed
+            return self.catalogue.commit(seen, paths, {"parser": self.version})
+
+        self.parsed = 0
+        self.catalogue.retried(step)
+        distinct = contents(files).select("digest", "extension").distinct().count()
+        return {"files": files.count(), "parsed": self.parsed, "reused": distinct - self.parsed}
+
+    def symbols(self, files: DataFrame) -> DataFrame:
+        """(path and the columns of ``definitions``) of files that were ingested."""
+        schema = ", ".join(f"{n} {k}" for n, _, k in DEFINITION) + ", digest string, extension string"
+        return self._of(files, self._read(self._held(self.catalogue.version()), "symbols", schema))
+
+    def edges(self, files: DataFrame) -> DataFrame:
+        """(path, relation, ref, via) of files that were ingested."""
+        return self._of(files, self._read(self._held(self.catalogue.version()), "edges", "relation string, ref string, via string, digest string, extension string"))
+
+    def _of(self, files: DataFrame, found: DataFrame) -> DataFrame:
+        return contents(files).select("path", "digest", "extension").join(found, ["digest", "extension"]).drop("digest", "extension")
+
+    def prune(self, files: DataFrame) -> dict[str, int]:
+        """Forgets contents that no file has any more; counts of entries kept and forgotten."""
+        live, told = contents(files).select("digest", "extension").distinct(), {}
+
+        def step(seen: int) -> int:
+            tables = self._held(seen)
+            schemas = {"entries": "digest string, extension string, lines bigint", "symbols": ", ".join(f"{n} {k}" for n, _, k in DEFINITION) + ", digest string, extension string", "edges": "relation string, ref string, via string, digest string, extension string"}
+            kept = {name: self.catalogue.stage(name, self._read(tables, name, schema).join(live, ["digest", "extension"], "left_semi")) for name, schema in schemas.items()}
+            before, after = self._keys(tables).count(), self.spark.read.schema(schemas["entries"]).parquet(kept["entries"]).count()
+            told.update(kept=after, forgotten=before - after)
+            return self.catalogue.commit(seen, {name: [path] for name, path in kept.items()}, {"parser": self.version})
+
+        self.catalogue.retried(step)
+        return told
+
+    def statistics(self) -> DataFrame:
+        """(extension, contents, lines) of what is held."""
+        return self._keys(self._held(self.catalogue.version())).groupBy("extension").agg(F.count("*").alias("contents"), F.sum("lines").alias("lines"))
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """Files with the digest of their content and their extension."""
+    return files.select("path", "content").withColumns({"digest": F.sha2(F.coalesce("content", F.lit("")), 256), "extension": F.lower(F.substring_index("path", ".", -1))})
+
+
+def _keyed() -> dict:
+    """Digest and extension from the path that stands for them."""
+    return {"digest": F.substring_index("path", ".", 1), "extension": F.substring_index("path", ".", -1)}
 
 
 def import_targets(found: DataFrame, files: DataFrame) -> DataFrame:

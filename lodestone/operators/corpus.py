@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.batches import sliced
 from lodestone.functions import text as T
 from lodestone.io import small
 from lodestone.operators import chunking, lifecycle
@@ -200,7 +201,7 @@ def checked(rows: DataFrame, key: str, column: str, check, name: str) -> DataFra
     many = name.endswith("s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "value"):
             found = pa.array([check(x) for x in batch.column("value").to_pylist()], pa.list_(pa.string()) if many else pa.string())
             yield pa.record_batch([batch.column(key), found], [key, name])
 
