@@ -14,6 +14,7 @@ from lodestone.io import fingerprint, scratch_dir, table, written
 from lodestone.operators import retrieval as R
 from lodestone.operators.fulltext import TextIndex
 from lodestone.operators.publication import Catalogue
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.plans.book import Book
 
 book = Book()
@@ -176,6 +177,45 @@ def vector_knn_join(spark: SparkSession, d: str) -> DataFrame:
     return knn_blocks(e, e.filter("vec_id % 20 = 0"), 5)
 
 
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The index of all embeddings, made at the first call for a table."""
+    key = f"{scratch_dir(spark)}/ann", fingerprint(spark, f"{d}/embeddings.parquet")
+    if key not in _ANN:
+        rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+        index = VectorIndex(Catalogue(spark, f"{key[0]}-{uuid.uuid4().hex}"))
+        index.fit(rows)
+        index.add(rows)
+        _ANN[key] = index
+    return _ANN[key]
+
+
+_ANN: dict[tuple[str, str], VectorIndex] = {}
+
+
+def _twentieth(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("vec_id").alias("skip"))
+
+
+@book.query("""with q as (select vec_id as query_id, embedding as qe from embeddings where vec_id % 20 = 0)
+    select query_id, vec_id, cosine from (select query_id, vec_id, round(list_cosine_similarity(embedding::double[], qe::double[]), 4) as cosine, row_number() over (partition by query_id order by list_cosine_similarity(embedding::double[], qe::double[]) desc, vec_id) as n from embeddings, q where vec_id <> query_id) where n <= 10""")
+def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every twentieth vector from the index, by the exact path."""
+    return vector_index(spark, d).search(_twentieth(spark, d), 10, exact=True).select("query_id", F.col("id").alias("vec_id"), F.round("cosine", 4).alias("cosine"))
+
+
+@book.query("select count(*) as queries, count(*) * 10 as wanted, true as at_least_nine_tenths from embeddings where vec_id % 20 = 0")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact ten nearest of every twentieth vector the index finds in the cells it asks."""
+    found = vector_index(spark, d).recall(_twentieth(spark, d), 10)
+    return found.select("queries", "wanted", (F.col("recall") >= 0.9).alias("at_least_nine_tenths"))
+
+
+@book.query()
+def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every twentieth vector, from the index."""
+    return vector_index(spark, d).search(_twentieth(spark, d), 10).select("query_id", F.col("id").alias("vec_id"), F.round("cosine", 4).alias("cosine"), "rank")
+
+
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, asked_rows: int = 4096, part_rows: int = 16384, least_parts: int = 16) -> DataFrame:
     """The ``k`` nearest vectors of each query. Queries are dealt into blocks and vectors into parts, as many as their counts ask for, so that a
     task's share doesn't grow with the table; each part meets each block once, as matrix products of a few queries at a time. A
