@@ -18,7 +18,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,8 +34,10 @@ from lodestone.operators.publication import Catalogue
 BUCKETS, SHELVES = 64, 16
 #: Bits of the number of chunks in a block.
 BLOCK_BITS = 11
+#: Words that are grouped at once.
+WORDS = 1 << 20
 TEXT, PATH = 0, 1
-POSTINGS = "segment string, field int, term string, block bigint, n int, ids array<bigint>, positions array<array<int>>"
+POSTINGS = "segment string, field int, term string, block bigint, n int, occurrences int, ids array<bigint>, positions array<array<int>>"
 TERMS = "segment string, field int, term string, bucket int, chunks bigint, occurrences bigint"
 BLOCKS = "segment string, block bigint, ids array<bigint>"
 GONE = "segment string, chunk_id bigint"
@@ -51,24 +53,61 @@ def shelf_of(chunk: int, shelves: int = SHELVES) -> int:
     return zlib.crc32(str(chunk).encode()) % shelves
 
 
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """Postings of stored chunks (segment, block, chunk_id, search_text, path_text): a row for each term of a block. The words are found by Spark and grouped where they are read,
+    a batch at a time, so only finished rows move; a block that two batches share has two rows for a term."""
+    fields = ((TEXT, "search_text"), (PATH, "path_text"))
+    words = [chunks.select("segment", "block", "chunk_id", F.lit(k).alias("field"), R.lexemes(F.coalesce(c, F.lit(""))).alias("words")) for k, c in fields]
+    return reduce(DataFrame.unionByName, words).mapInArrow(_grouped, POSTINGS)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words as postings, in slices of at most ``WORDS`` words but for single longer rows."""
+    for batch in batches:
+        ends, at = np.cumsum(batch.column("words").value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < batch.num_rows:
+            stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, "right")), at + 1)
+            if (part := _postings(batch.slice(at, stop - at))) is not None:
+                yield part
+            at = stop
+
+
+def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    words = batch.column("words")
+    lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    found = words.flatten().dictionary_encode()
+    if not len(found):
+        return None
+    code = found.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ids, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "block"))
+    rank = np.empty(len(ids), np.int64)
+    rank[np.lexsort((ids, block))] = np.arange(len(ids))
+    order = np.lexsort((place, rank[row], code))
+    code, row, place = code[order], row[order], place[order]
+    new_code = np.r_[True, code[1:] != code[:-1]]
+    entry = np.flatnonzero(new_code | np.r_[True, row[1:] != row[:-1]])  # where a chunk of a term starts
+    own_block, own_code = block[row[entry]], code[entry]
+    posting = np.flatnonzero(np.r_[True, (own_code[1:] != own_code[:-1]) | (own_block[1:] != own_block[:-1])])
+    steps = np.diff(place, prepend=0)
+    steps[entry] = place[entry]
+    gaps = np.diff(ids[row[entry]], prepend=0)
+    gaps[posting] = ids[row[entry]][posting]
+    bounds, within = np.r_[posting, len(entry)], np.r_[entry, len(code)]
+    positions = pa.ListArray.from_arrays(pa.array(within.astype(np.int32)), pa.array(steps.astype(np.int32)))
+    columns = [
+        batch.column("segment").take(pa.array(row[entry][posting])), pa.array(np.full(len(posting), batch.column("field")[0].as_py(), np.int32)), found.dictionary.take(pa.array(own_code[posting])), pa.array(own_block[posting]),
+        pa.array(np.diff(bounds).astype(np.int32)), pa.array(np.diff(within[bounds]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(gaps)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), positions),
+    ]
+    return pa.record_batch(columns, ["segment", "field", "term", "block", "n", "occurrences", "ids", "positions"])
+
+
 def differences(values: Column) -> Column:
     """The first value and each value's distance from the one before."""
     return F.transform(values, lambda v, i: F.when(i == 0, v).otherwise(v - F.get(values, i - 1)))
 
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """Postings of stored chunks (segment, block, chunk_id, search_text, path_text). The words are dealt by term and block, so that one exchange serves both
-    groupings and a frequent word is spread over its blocks."""
-    fields = ((TEXT, "search_text"), (PATH, "path_text"))
-    one = [chunks.select("segment", "block", "chunk_id", F.lit(k).alias("field"), F.posexplode(R.lexemes(F.coalesce(c, F.lit("")))).alias("position", "term")) for k, c in fields]
-    words = reduce(DataFrame.unionByName, one).repartition("term", "block")
-    by = ["segment", "field", "term", "block"]
-    places = words.groupBy(*by, "chunk_id").agg(differences(F.array_sort(F.collect_list("position"))).alias("positions"))
-    entries = F.array_sort(F.collect_list(F.struct("chunk_id", "positions")))
-    rows = places.groupBy(*by).agg(entries.alias("e"))
-    return rows.select(*by, F.size("e").alias("n"), differences(F.col("e.chunk_id")).alias("ids"), F.col("e.positions").alias("positions"))
-
-
 def decoded(row_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row number and id of each entry of a column of differences."""
     sizes = row_ids.value_lengths().to_numpy(zero_copy_only=False)
@@ -89,7 +128,7 @@ class Block:
         self.places: dict[str, dict[int, list[int]]] = {}
         for k, term in enumerate(terms):
             if term is not None:
-                self.places[term] = dict(zip(ids[row == k].tolist(), places[k], strict=True))
+                self.places.setdefault(term, {}).update(zip(ids[row == k].tolist(), places[k], strict=True))
 
     def positions(self, term: str, chunk: int) -> list[int]:
         """Where a term stands in a chunk."""
@@ -144,8 +183,7 @@ class TextIndex:
         dealt = postings_of(kept).withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "field", "term", "block")
         postings = stage("postings", dealt, ["bucket"])
         found = self.spark.read.schema(POSTINGS + ", bucket int").parquet(postings)
-        occurrences = F.aggregate(F.transform("positions", F.size), F.lit(0), lambda a, b: a + b)
-        counts = found.groupBy("segment", "field", "term", "bucket").agg(F.sum("n").alias("chunks"), F.sum(occurrences).alias("occurrences"))
+        counts = found.groupBy("segment", "field", "term", "bucket").agg(F.sum("n").alias("chunks"), F.sum("occurrences").alias("occurrences"))
         terms = stage("terms", counts)
         listed = kept.groupBy("segment", "block").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))
         blocks = stage("blocks", listed.select("segment", "block", differences(F.col("ids")).alias("ids")))
@@ -258,25 +296,34 @@ class TextIndex:
         sides = []
         if inner:
             held = F.filter(F.array(*map(F.lit, inner)), lambda w: F.contains(F.col("term"), w))
-            terms = self._read("terms", TERMS, segments).select("segment", "field", "term", "bucket", F.explode(held).alias("word"))
-            buckets = sorted(r.bucket for r in terms.select("bucket").distinct().collect())
-            paths = [f"{p}/bucket={b}" for s in segments for p in s["postings"] for b in buckets if b in s["buckets"]]
+            terms = self._read("terms", TERMS, segments).select("segment", "field", "term", "bucket", held.alias("words")).filter(F.size("words") > 0)
+            buckets = [r.bucket for r in terms.select("bucket").distinct().collect()]
+            paths = [f"{p}/bucket={b}" for s in segments for p in s["postings"] for b in sorted(buckets) if b in s["buckets"]]
             if paths:
-                rows = self.spark.read.schema(POSTINGS).parquet(*paths).select("segment", "field", "term", "ids").join(small(terms.drop("bucket")), ["segment", "field", "term"])
-                sides.append(rows.select("segment", "word", "ids").mapInArrow(_entries, "segment string, chunk_id bigint, word string").distinct())
+                rows = self.spark.read.schema(POSTINGS).parquet(*paths).select("segment", "field", "term", "block", "ids").join(small(terms.drop("bucket")), ["segment", "field", "term"])
+                sides.append(rows.select("segment", "block", "words", "ids").groupBy("segment", "block").applyInArrow(_hits(times), "segment string, chunk_id bigint, hits bigint"))
         if across:
             like = lambda w: F.col("search_text").like(f"%{w}%") | F.coalesce(F.col("path_text").like(f"%{w}%"), F.lit(False))
-            found = F.array_compact(F.array(*(F.when(like(w), F.lit(w)) for w in across)))
-            sides.append(self.chunks(segments).select("segment", "chunk_id", F.explode(found).alias("word")))
+            hits = sum((F.when(like(w), times[w]).otherwise(0) for w in across), F.lit(0)).cast("bigint")
+            sides.append(self.chunks(segments).select("segment", "chunk_id", hits.alias("hits")).filter("hits > 0"))
         if not sides:
             return self.spark.createDataFrame([], "chunk_id bigint, hits bigint")
-        weight = reduce(lambda rest, w: F.when(F.col("word") == w, times[w]).otherwise(rest), times, F.lit(0))
-        return self._alive(reduce(DataFrame.unionByName, sides), segments).groupBy("segment", "chunk_id").agg(F.sum(weight).alias("hits")).select("chunk_id", "hits")
+        found = self._alive(reduce(DataFrame.unionByName, sides), segments)
+        return (found.groupBy("segment", "chunk_id").agg(F.sum("hits").alias("hits")) if len(sides) > 1 else found).select("chunk_id", "hits")
 
 
-def _entries(batches):
-    """(segment, word, ids) as one row for each id."""
-    for batch in batches:
-        row, ids = decoded(batch.column("ids"))
-        at = pa.array(row)
-        yield pa.record_batch([batch.column("segment").take(at), pa.array(ids), batch.column("word").take(at)], ["segment", "chunk_id", "word"])
+def _hits(times: Counter):
+    """The rows of a block (words that their term holds, ids) as the hits of each chunk; a word counts once for a chunk, with its weight."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        row, ids = decoded(table.column("ids").combine_chunks())
+        chunks, at = np.unique(ids, return_inverse=True)
+        total = np.zeros(len(chunks), np.int64)
+        held = table.column("words").to_pylist()
+        for word, weight in times.items():
+            rows = np.array([word in x for x in held], bool)
+            total[np.unique(at[rows[row]])] += weight
+        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()] * len(chunks), pa.string()), "chunk_id": pa.array(chunks), "hits": pa.array(total)})
+
+    return run
