@@ -14,18 +14,21 @@ bring strangers together; which shingles are last changes the work, never the re
 2. A scan gives the first shingles of each text; those of one text only are dropped, then texts that share too few, and
    shingles shared by the same texts become one route.
 3. In each route an R-tree leaves pairs that may be similar, of which a spanning forest goes on; so do, for each text that
-   has a route, its words, once. A route of more than ``BLOCK`` texts is split into blocks, tied together by one pair each.
+   has a route, its words, once. Of a route of more than ``BLOCK`` texts all go on, as any two of them may be similar.
 4. The components of those forests hold all links. Each is verified by R-tree and union-find, where texts that are already
    connected are not compared. A component of more than ``BLOCK`` texts is verified in blocks: two rounds of random blocks
    connect most of it, then every text outside its largest class meets every other one, block by block.
 
-A pair is accepted on the shingles themselves; hashes find it. No task holds more than two blocks, however large a group is;
+A pair is accepted on the shingles themselves; hashes find it. No task holds more than two blocks, which are bounded by texts and by bytes, however large a group is;
 the number of block pairs grows with the texts that the largest class of a component leaves out.
 
+Rows are told apart by their number in the scan of the files, so nothing depends on ids but what is reported; that two scans
+number them alike is checked by the texts' digests.
+
 Results for odd input: null or empty text has no shingles, size 0 and its own id as component; one to four words are one
-shingle; repeated rows share their component, and different texts under one id are told apart; a null id takes no part
-unless its text has another row, whose component it gets; ids must be numbers; an empty table gives no rows; further
-columns of the input are ignored.
+shingle; repeated rows share their component, and different texts under one id are told apart; a row without an id links like any
+other, and its component is null only if no row that it reaches has an id; ids must be numbers; an empty table gives no rows;
+further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.io import small, written
-from lodestone.llm.common import flags_of_repeats, int64, slices, utf8
+from lodestone.llm.common import flags_of_repeats, int64, slices, unused, utf8
 from lodestone.llm.components import components
 from lodestone.llm.kernels import U64, groups_of, mixed, tokens, word_grams
 
@@ -54,6 +57,9 @@ ROUTE = 1 << 16
 FANOUT = 16
 #: Texts in a block of a route or of a component; a task holds two blocks at most.
 BLOCK = 1 << 12
+#: Bytes of text in a block of a component, about, and shingles that a task keeps as words to compare them.
+BYTES = 1 << 24
+EXACT = 1 << 18
 #: Rounds of random blocks before those of a large component meet one another.
 MIXED = 2
 #: A size's shingles for each further shingle that must be shared.
@@ -89,7 +95,7 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
 
 
 def shapes(words: int):
-    """For each document its size and digest (kind 0), and shingles that are frequent in a batch (kind 1)."""
+    """For each row its id, size and digest (kind 0), and in the place of the row shingles that are frequent in a batch (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", 2048, 1 << 23)):
@@ -105,11 +111,11 @@ def shapes(words: int):
             frequent.append((values[counts >= HEAVY_IN_BATCH], counts[counts >= HEAVY_IN_BATCH]))
             sizes[:] = [by[d] for d in digest]
             n = len(texts)
-            yield pa.record_batch([pa.array(np.zeros(n, np.int8)), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes)], ["kind", "id", "digest", "n"])
+            yield pa.record_batch([pa.array(np.zeros(n, np.int8)), batch.column("row"), batch.column("id"), pa.array(digest, pa.binary()), pa.array(sizes)], ["kind", "row", "id", "digest", "n"])
             for values, counts in frequent:
                 if len(values):
                     m = len(values)
-                    yield pa.record_batch([pa.array(np.ones(m, np.int8)), pa.array(values.view(np.int64)), pa.nulls(m, pa.binary()), pa.array(counts.astype(np.int64))], ["kind", "id", "digest", "n"])
+                    yield pa.record_batch([pa.array(np.ones(m, np.int8)), pa.array(values.view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(counts.astype(np.int64))], ["kind", "row", "id", "digest", "n"])
 
     return run
 
@@ -119,7 +125,7 @@ def first_shingles(words: int, percent: int, heavy: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = int64(batch.column("doc_id"))
+            ids = int64(batch.column("row"))
             texts = batch.column("text")
             seen: dict[bytes, int] = {}
             for i in np.argsort(ids, kind="stable").tolist():
@@ -137,13 +143,13 @@ def first_shingles(words: int, percent: int, heavy: np.ndarray):
                     chosen.append(s[: len(s) - (len(s) * percent + 99) // 100 + 1 + len(s) // MORE])
                 sizes = [len(s) for s in chosen]
                 text = np.frombuffer(b"".join(d for d, _ in part), np.int64)
-                yield pa.record_batch([pa.array(np.concatenate(chosen).view(np.int64)), pa.array(np.repeat(text, sizes)), pa.array(np.repeat(ids[[i for _, i in part]], sizes))], ["token", "text", "doc_id"])
+                yield pa.record_batch([pa.array(np.concatenate(chosen).view(np.int64)), pa.array(np.repeat(text, sizes)), pa.array(np.repeat(ids[[i for _, i in part]], sizes))], ["token", "text", "row"])
 
     return run
 
 
 def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(route, doc_id) from rows sorted by token, text and id: tokens of two texts at least; tokens of the same texts give
+    """(route, row) from rows sorted by token, text and row: tokens of two texts at least; tokens of the same texts give
     the same route."""
     held: tuple[np.ndarray, ...] | None = None
     long = None  # a token whose rows have begun to go out already
@@ -152,13 +158,13 @@ def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(token: int, docs: np.ndarray, named: bool) -> pa.RecordBatch:
         ordered = np.sort(docs)
         name = token if named else int.from_bytes(hashlib.blake2b(ordered.tobytes(), digest_size=8).digest(), "little", signed=True)
-        return pa.record_batch([pa.array(np.full(len(docs), name)), pa.array(docs)], ["route", "doc_id"])
+        return pa.record_batch([pa.array(np.full(len(docs), name)), pa.array(docs)], ["route", "row"])
 
     out: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = tuple(int64(batch.column(c)) for c in ("token", "text", "doc_id"))
+        columns = tuple(int64(batch.column(c)) for c in ("token", "text", "row"))
         if held is not None:
             columns = tuple(np.concatenate(x) for x in zip(held, columns, strict=True))
         token, text, doc = columns
@@ -298,14 +304,15 @@ def forest(points: list[np.ndarray], sizes: np.ndarray, percent: int, similar=No
 
 
 def members(words: int):
-    """Each text that has a route: size, count vector and words."""
+    """Each text that has a route: size, count vector, digest and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 512, 1 << 22):
                 texts = [lowered(x) for x in part.column("text").to_pylist()]
                 sets = shingles(texts, words)
-                yield pa.record_batch([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "n", "counts", "words"])
+                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in texts]
+                yield pa.record_batch([part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], ["row", "n", "counts", "digest", "words"])
 
     return run
 
@@ -346,18 +353,18 @@ def stars(doc: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(percent: int):
-    """Pairs (a, b) that join the texts which the bound leaves together in each block of a route; a block of a larger route is
-    also tied to the route's first text."""
+    """Pairs (a, b) that join the texts which the bound leaves together in each route. A route that is too large for one tree comes in blocks, whose texts are
+    all tied to the route's first one: any two of them may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for rows in grouped(batches, ["route", "block"]):
-            doc, n, hub = (int64(rows.column(c)) for c in ("doc_id", "n", "hub"))
-            points = [point_of(x, size) for x, size in zip(rows.column("counts").to_pylist(), n.tolist(), strict=True)]
-            root, _ = forest(points, n, percent)
-            for x, y in (stars(doc, root), (doc[:1], hub[:1])):
-                a.append(x)
-                b.append(y)
+            row, n, hub = (int64(rows.column(c)) for c in ("row", "n", "hub"))
+            if (row == hub).all():  # of a route in one block each text is its own hub
+                points = [point_of(x, size) for x, size in zip(rows.column("counts").to_pylist(), n.tolist(), strict=True)]
+                row, hub = stars(row, forest(points, n, percent)[0])
+            a.append(row)
+            b.append(hub)
             if len(a) > 10_000:
                 yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
                 a, b = [], []
@@ -373,7 +380,7 @@ def links(words: int, percent: int, pairs: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, ["component", "block", "other"] if pairs else ["component", "block"]):
-            doc, label = int64(rows.column("doc_id")), int64(rows.column("label"))
+            doc, label = int64(rows.column("row")), int64(rows.column("label"))
             texts = rows.column("words").to_pylist()
             sets = shingles(texts, words)
             exact: dict[int, set] = {}
@@ -382,7 +389,7 @@ def links(words: int, percent: int, pairs: bool):
                 if i not in exact:
                     w = texts[i].split(b" ")
                     exact[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)}
-                    if len(exact) > 256:
+                    while len(exact) > 2 and sum(map(len, exact.values())) > EXACT:
                         exact.pop(next(iter(exact)))
                 return exact[i]
 
@@ -406,85 +413,90 @@ def links(words: int, percent: int, pairs: bool):
 
 
 def verified(taking: DataFrame, linked: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, component): the texts of the candidate components ``linked`` with the smallest id that true links reach."""
-    sizes = linked.groupBy("component").agg(F.count("*").alias("size"))
-    sets = taking.select("doc_id", "words").join(linked.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "component")
-    sets = sets.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint"))
+    """(row, component): the texts of the candidate components ``linked`` with the smallest row that true links reach."""
+    blocks = lambda size, bytes_: F.ceil(F.greatest(size / BLOCK, bytes_ / BYTES)).cast("bigint")
+    linked = linked.withColumnRenamed("node", "row")
+    sizes = taking.select("row", F.length("words").alias("bytes")).join(linked, "row").groupBy("component").agg(blocks(F.count("*"), F.sum("bytes")).alias("blocks"))
+    sets = taking.select("row", "words").join(linked, "row").join(sizes, "component")
     by = ["component", "block"]
     pair = "a bigint, b bigint"
 
     def in_blocks(rows: DataFrame, turn: int) -> DataFrame:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("blocks")))
-        return rows.repartition(*by).sortWithinPartitions(*by, "doc_id").select(*by, "doc_id", "label", "words").mapInArrow(links(words, percent, False), pair)
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(turn)), F.col("blocks")))
+        return rows.repartition(*by).sortWithinPartitions(*by, "row").select(*by, "row", "label", "words").mapInArrow(links(words, percent, False), pair)
 
-    found = written(in_blocks(sets.withColumn("label", F.col("doc_id")), 0), "links")
+    found = written(in_blocks(sets.withColumn("label", F.col("row")), 0), "links")
     large = written(sets.filter("blocks > 1"), "large-components")
     if not large.isEmpty():
         # Only components of several blocks go on. What is connected is not compared again.
         def labelled(links: DataFrame) -> DataFrame:
-            known = components(links, "labels").withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label")
-            return large.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+            known = components(links, "labels").withColumnRenamed("node", "row").withColumnRenamed("component", "label")
+            return large.join(known, "row", "left").withColumn("label", F.coalesce("label", "row"))
 
         for turn in range(1, MIXED):
             found = found.unionByName(written(in_blocks(labelled(found), turn), "links"))
         rows = written(labelled(found), "large-components")
-        classes = rows.groupBy("component", "label").agg(F.count("*").alias("n"))
-        largest = classes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all")).select("component", F.col("most.label").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("bigint").alias("asking"))
+        classes = rows.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum(F.length("words")).alias("bytes"))
+        largest = classes.groupBy("component").agg(F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"))
+        largest = largest.select("component", F.col("most.label").alias("main"), blocks(F.col("all") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("asking"))
         rows = rows.join(largest, "component").filter("asking > 0").withColumn("out", F.col("label") != F.col("main"))
         # Each block of outsiders meets each block of all texts.
-        block, other = F.pmod(F.xxhash64("doc_id", F.lit("o")), F.col("asking")), F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-        asked = rows.filter("out").select("component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"), "doc_id", "label", "words", F.lit(1).alias("asked"))
-        others = rows.select("component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asking") - 1)).alias("block"), other.alias("other"), "doc_id", "label", "words", F.lit(0).alias("asked"))
+        block, other = F.pmod(F.xxhash64("row", F.lit("o")), F.col("asking")), F.pmod(F.xxhash64("row"), F.col("blocks"))
+        asked = rows.filter("out").select("component", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"), "row", "label", "words", F.lit(1).alias("asked"))
+        others = rows.select("component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asking") - 1)).alias("block"), other.alias("other"), "row", "label", "words", F.lit(0).alias("asked"))
         three = [*by, "other"]
-        met = asked.unionByName(others).repartition(*three).sortWithinPartitions(*three, F.desc("asked"), "doc_id")
-        found = found.unionByName(written(met.select(*three, "doc_id", "label", "words", "asked").mapInArrow(links(words, percent, True), pair), "links"))
-    return components(found, "components").withColumnRenamed("node", "doc_id")
+        met = asked.unionByName(others).repartition(*three).sortWithinPartitions(*three, F.desc("asked"), "row")
+        found = found.unionByName(written(met.select(*three, "row", "label", "words", "asked").mapInArrow(links(words, percent, True), pair), "links"))
+    return components(found, "components").withColumnRenamed("node", "row")
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: row (its number), id, n_shingles, component (the smallest id reachable by links) and kept (whether it stays of its class: the one with the
+    smallest id, the first of these; rows without an id only where no other is left)."""
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), utf8(text).alias("text"))
+    shape = written(docs.mapInArrow(shapes(words), "kind tinyint, row bigint, id bigint, digest binary, n bigint"), "shapes")
+    frequent = shape.filter("kind = 1").groupBy("row").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "row").limit(HEAVY)
+    heavy = np.sort(np.array([r.row for r in frequent.collect()], np.int64).view(U64))
+    rows = shape.filter("kind = 0").drop("kind")
+    tokens_of = docs.select("row", "text").mapInArrow(first_shingles(words, percent, heavy), "token bigint, text bigint, row bigint")
+    shared = tokens_of.repartition("token").sortWithinPartitions("token", "text", "row").mapInArrow(lambda b: routes(flags_of_repeats(b, "token")), "route bigint, row bigint")
+    # A similar text has percent / 100 of the size at least, so this many shared shingles follow from its own k.
+    least = 1 + F.floor(F.col("n") * percent / (100 * MORE))
+    shared = shared.groupBy("row").agg(F.collect_set("route").alias("routes"), F.count("*").alias("met"))
+    shared = written(shared.join(rows.select("row", "n", "digest"), "row").filter(F.col("met") >= least).select("row", "routes", F.col("digest").alias("expected")), "routes")
+    taking = docs.select("row", "text").join(small(shared.select("row")), "row", "left_semi").mapInArrow(members(words), "row bigint, n bigint, counts binary, digest binary, words binary")
+    taking = written(taking, "members")
+    shared = shared.join(taking.select("row", "digest"), "row").filter(F.when(F.col("digest") == F.col("expected"), True).otherwise(F.raise_error(F.lit("the files were split otherwise in a second scan")).cast("boolean"))).select("row", "routes")
+    each = shared.select(F.explode("routes").alias("route"), "row")
+    hot = written(each.groupBy("route").agg(F.count("*").alias("rows"), F.min("row").alias("hub")).filter(F.col("rows") > BLOCK).select("route", "hub", F.ceil(F.col("rows") / BLOCK).cast("bigint").alias("blocks")), "hot-routes")
+    met = taking.select("row", "n", "counts").join(shared, "row").select(F.explode("routes").alias("route"), "row", "n", "counts").join(small(hot), "route", "left")
+    met = met.withColumn("block", F.coalesce(F.pmod(F.xxhash64("row"), F.col("blocks")), F.lit(0))).withColumn("hub", F.coalesce("hub", "row"))
+    met = met.repartition("route", "block").sortWithinPartitions("route", "block", "row").select("route", "block", "row", "n", "counts", "hub")
+    linked = components(met.mapInArrow(candidates(percent), "a bigint, b bigint"), "candidates")
+    found = verified(taking, linked, words, percent).withColumnRenamed("row", "first")
+    # One row for each text: its first row, and the row that would stay; then the same for each class.
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    texts = rows.groupBy("digest").agg(F.min("row").alias("first"), best, F.max("n").alias("n"))
+    texts = written(texts.join(found.distinct(), "first", "left").select("digest", "best", F.coalesce("component", "first").alias("class")), "text-classes")
+    whole = texts.groupBy("class").agg(F.min("best").alias("best"))
+    texts = texts.select("digest", "class").join(whole, "class").select("digest", "best")
+    empty = F.col("n") == 0
+    out = rows.join(texts, "digest").select("row", "id", F.col("n").alias("n_shingles"), F.when(empty, F.col("id")).otherwise(F.col("best.id")).alias("component"), (empty | (F.col("row") == F.col("best.row"))).alias("kept"))
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))
-    shape = written(docs.mapInArrow(shapes(words), "kind tinyint, id bigint, digest binary, n bigint"), "shapes")
-    twins = shape.filter("kind = 0 and id is not null").groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b")
-    if not twins.isEmpty():
-        # Different texts under one id: every text gets an id of its own for the work, and its documents' ids afterwards.
-        own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-        named = written(docs.select("doc_id", own.alias("own"), F.sha2("text", 256).alias("digest")), "texts")
-        found = near_duplicates(docs.select(own.alias("doc_id"), "text"), "text", "doc_id", words, percent)
-        nameless = near_duplicates(docs.filter("doc_id is null"), "text", "doc_id", words, percent) if not named.filter("own is null").isEmpty() else None
-        found = written(found.filter("doc_id is not null").distinct().withColumnRenamed("doc_id", "own"), "texts-found")
-        joined = named.filter("own is not null").join(found, "own")
-        least = joined.groupBy("component_id").agg(F.min("doc_id").alias("least"))
-        out = joined.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-        return out if nameless is None else out.unionByName(nameless)
-    frequent = shape.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(HEAVY)
-    heavy = np.sort(np.array([r.id for r in frequent.collect()], np.int64).view(U64))
-    tokens_of = docs.filter(F.col("doc_id").isNotNull()).mapInArrow(first_shingles(words, percent, heavy), "token bigint, text bigint, doc_id bigint")
-    shared = tokens_of.repartition("token").sortWithinPartitions("token", "text", "doc_id").mapInArrow(lambda b: routes(flags_of_repeats(b, "token")), "route bigint, doc_id bigint")
-    # A similar text has percent / 100 of the size at least, so this many shared shingles follow from its own k.
-    sizes = shape.filter("kind = 0").groupBy(F.col("id").alias("doc_id")).agg(F.min("n").alias("size"))
-    least = 1 + F.floor(F.col("size") * percent / (100 * MORE))
-    shared = shared.groupBy("doc_id").agg(F.collect_set("route").alias("routes"), F.count("*").alias("met"))
-    shared = written(shared.join(sizes, "doc_id").filter(F.col("met") >= least).select("doc_id", "routes"), "routes")
-    taking = docs.join(small(shared.select("doc_id")), "doc_id", "left_semi").mapInArrow(members(words), "doc_id bigint, n bigint, counts binary, words binary")
-    taking = written(taking, "members")
-    each = shared.select(F.explode("routes").alias("route"), "doc_id")
-    hot = written(each.groupBy("route").agg(F.count("*").alias("rows"), F.min("doc_id").alias("hub")).filter(F.col("rows") > BLOCK).select("route", "hub", F.ceil(F.col("rows") / BLOCK).cast("bigint").alias("blocks")), "hot-routes")
-    met = taking.select("doc_id", "n", "counts").join(shared, "doc_id").select(F.explode("routes").alias("route"), "doc_id", "n", "counts").join(small(hot), "route", "left")
-    met = met.withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.lit(0))).withColumn("hub", F.coalesce("hub", "doc_id"))
-    met = met.repartition("route", "block").sortWithinPartitions("route", "block", "doc_id").select("route", "block", "doc_id", "n", "counts", "hub")
-    linked = components(met.mapInArrow(candidates(percent), "a bigint, b bigint"), "candidates")
-    found = verified(taking, linked, words, percent)
-    rows = shape.filter("kind = 0").select(F.col("id").alias("doc_id"), "digest", F.col("n").alias("n_shingles"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    rows = rows.join(first, "digest").join(found.distinct().withColumnRenamed("doc_id", "first"), "first", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "first"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    found = classes(docs, text, doc_id, words, percent)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id; columns as they were. Rows that share an id go or stay
-    together; rows without an id stay."""
-    found = near_duplicates(docs, text, doc_id, words, percent)
-    gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(small(gone), docs[doc_id].cast("bigint") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, one of each class, with the columns of ``docs``. Rows go by their number, not by their id: another text under the id of one that goes stays.
+    ``docs`` must be read from files, which two scans number alike; a number that meets another id is an error."""
+    gone = written(classes(docs, text, doc_id, words, percent).filter(~F.col("kept")).select("row", "id"), "near-copies")
+    row, gone_row, gone_id = (unused(docs, c) for c in ("_row", "_gone_row", "_gone_id"))
+    gone = small(gone.select(F.col("row").alias(gone_row), F.col("id").alias(gone_id)))
+    same = F.when(F.col(doc_id).cast("bigint").eqNullSafe(F.col(gone_id)), True).otherwise(F.raise_error(F.lit("the files were split otherwise in a second scan")).cast("boolean"))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(gone, (F.col(row) == F.col(gone_row)) & same, "left_anti").select(*docs.columns)

@@ -114,24 +114,46 @@ def test_near_duplicates(which, block, request, monkeypatch):
     assert len({c for _, c in wanted.values()}) < len(wanted)
 
 
+def by_row(rows):
+    """Class of each row by plain comparison: the least id that it reaches, and the row that stays of it."""
+    wanted = brute_components([(k, t) for k, (_, t, *_) in enumerate(rows)])
+    classes = {}
+    for k, (_, c) in wanted.items():
+        classes.setdefault(c, []).append(k)
+    out = {}
+    for members in classes.values():
+        best = min(members, key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+        for k in members:
+            out[k] = (wanted[k][0], rows[best][0] if wanted[k][0] else rows[k][0], best)
+    return out
+
+
 def test_near_duplicates_tell_texts_under_one_id_apart(twins):
     table, rows = twins
-    own = [(k, t) for k, (i, t, *_) in enumerate(rows) if i is not None]
-    wanted = brute_components(own)
-    least = {}
-    for k, _ in own:
-        c = wanted[k][1]
-        least[c] = min(rows[k][0], least.get(c, rows[k][0]))
+    wanted = by_row(rows)
     found = jaccard_join.near_duplicates(table).collect()
-    assert len(found) == len(rows)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None) == sorted((rows[k][0], wanted[k][0], least[wanted[k][1]]) for k, _ in own)
+    assert sorted(map(repr, found)) == sorted(f"Row(doc_id={rows[k][0]}, n_shingles={n}, component_id={c})" for k, (n, c, _) in wanted.items())
+
+
+@pytest.mark.parametrize("size", [1 << 24, 2000])
+def test_rows_without_ids_and_twins_take_one_path(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BYTES", size)
+    text = " ".join(f"w{i}" for i in range(80))
+    near, other = text.replace("w40 ", "x40 "), " ".join(f"v{i}" for i in range(60))
+    plain = [(5, text), (None, text), (None, near), (7, near), (7, other), (9, "a b c d e f"), (None, "a b c d e f g h i j"), (None, None), (None, ""), (3, ""), (11, other), (12, " ".join(f"z{i}" for i in range(3000)))]
+    for more in ([], [(9, "an unrelated twin of nine")]):
+        table, rows = frame(spark, plain + more, tmp_path / str(len(more)), parts=1, repeat=False)
+        found = sorted(map(repr, jaccard_join.near_duplicates(table).collect()))
+        assert found == sorted(f"Row(doc_id={rows[k][0]}, n_shingles={n}, component_id={c})" for k, (n, c, _) in by_row(rows).items())
+        kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(table).collect()]
+        assert sorted(kept, key=repr) == sorted([(5, text), (7, other), (9, "a b c d e f"), (None, "a b c d e f g h i j"), (None, None), (None, ""), (3, ""), (12, " ".join(f"z{i}" for i in range(3000))), *more], key=repr)
 
 
 def test_near_duplicates_keep_one(docs, spark, tmp_path):
     table, rows = docs
     kept = jaccard_join.keep_one(table)
-    wanted = {i for i, (_, c) in brute_components(rows).items() if i == c}
-    assert {r.doc_id for r in kept.select("doc_id").collect()} - {None} == wanted
+    wanted = by_row(rows)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((rows[k][0], rows[k][1]) for k, (n, _, best) in wanted.items() if not n or best == k), key=repr)
     assert kept.columns == table.columns
     assert jaccard_join.near_duplicates(empty(spark, tmp_path)).count() == 0
 
@@ -164,8 +186,8 @@ def test_long_routes_are_named_by_their_shingle(monkeypatch):
     token = [1, 1, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4]
     text = [5, 6, 1, 2, 3, 4, 4, 5, 6, 9, 7, 7]
     doc = [10, 11, 1, 2, 3, 4, 5, 6, 7, 9, 8, 9]
-    batches = [pa.record_batch([pa.array(x[k : k + 2], pa.int64()) for x in (token, text, doc)], ["token", "text", "doc_id"]) for k in range(0, 12, 2)]
-    found = [(r["route"], r["doc_id"]) for b in jaccard_join.routes(iter(batches)) for r in b.to_pylist()]
+    batches = [pa.record_batch([pa.array(x[k : k + 2], pa.int64()) for x in (token, text, doc)], ["token", "text", "row"]) for k in range(0, 12, 2)]
+    found = [(r["route"], r["row"]) for b in jaccard_join.routes(iter(batches)) for r in b.to_pylist()]
     assert sorted(d for _, d in found) == [1, 2, 3, 4, 6, 7, 10, 11]
     assert {r for r, d in found if d < 8} == {2}
 
