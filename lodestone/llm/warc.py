@@ -16,6 +16,7 @@ an empty table gives no rows; further columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as entities
@@ -65,16 +66,52 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and block of a record, gzipped or not."""
+class Headers(dict):
+    """Headers by their lower-case names, those that are repeated joined by commas; ``all`` lists every one as it stands."""
+
+    def __init__(self, lines: list[str]):
+        super().__init__()
+        self.all: list[tuple[str, str]] = []
+        for line in lines:
+            if line[:1] in (" ", "\t") and self.all:  # a folded line goes on with the one before
+                self.all[-1] = (self.all[-1][0], f"{self.all[-1][1]} {line.strip()}".strip())
+            elif ":" in line:
+                name, _, value = line.partition(":")
+                self.all.append((name.strip().lower(), value.strip()))
+        for name, value in self.all:
+            self[name] = f"{self[name]}, {value}" if name in self else value
+
+    def first(self, name: str, default: str = "") -> str:
+        """The first of a repeated header."""
+        return next((v for k, v in self.all if k == name), default)
+
+
+def unpacked(data: bytes, bits: int) -> bytes:
+    """All members of compressed data, at most ``LARGEST`` bytes. Zeros may stand behind the last one, nothing else."""
+    out, size = [], 0
+    while True:
+        unpack = zlib.decompressobj(bits)
+        out.append(unpack.decompress(data, LARGEST - size + 1))
+        size += len(out[-1])
+        if not unpack.eof or size > LARGEST:
+            raise ValueError("a compressed body is cut off or too long")
+        data = unpack.unused_data.lstrip(b"\0")
+        if not data:
+            return b"".join(out)
+        if data[:2] != b"\x1f\x8b":
+            raise ValueError("something follows a compressed body")
+
+
+def parse(data: bytes) -> tuple[Headers, bytes]:
+    """Headers and block of a record, gzipped or not."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = unpacked(data, zlib.MAX_WBITS | 16)
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not re.fullmatch(r"WARC/1\.\d+", lines[0]):
         raise ValueError("not a WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    size = int(headers.get("content-length", ""))
+    headers = Headers(lines[1:])
+    size = int(headers.first("content-length"))
     if size < 0 or len(rest) < size:
         raise ValueError("the record is cut off")
     return headers, rest[:size]
@@ -111,10 +148,7 @@ def payload(http: dict[str, str], body: bytes) -> tuple[bytes, bytes]:
     page = entity
     for kind in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",") if x.strip()]):
         if kind in ("gzip", "x-gzip", "deflate"):
-            unpack = zlib.decompressobj(zlib.MAX_WBITS | 32 if kind != "deflate" or page[:1] == b"\x78" else -zlib.MAX_WBITS)
-            page = unpack.decompress(page, LARGEST)
-            if not unpack.eof:
-                raise ValueError("a compressed body is cut off or too long")
+            page = unpacked(page, zlib.MAX_WBITS | 32 if kind != "deflate" or page[:1] == b"\x78" else -zlib.MAX_WBITS)
         elif kind != "identity":
             raise ValueError(f"content encoding {kind}")
     return entity, page
@@ -173,23 +207,33 @@ def tidied(text: str) -> str:
     return _LINES.sub("\n", _BLANK.sub(" ", entities.unescape(text))).strip()
 
 
+#: Codecs of Python that stand for no encoding of text.
+_NO_CHARSET = {"idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "unicode-escape", "raw-unicode-escape", "mbcs", "oem"}
+
+
+def charset_of(kind: str) -> str:
+    """The encoding that a content type names; UTF-8 where it names none that text can have."""
+    found = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
+    try:
+        codec = codecs.lookup(found[1]) if found else None
+    except (LookupError, ValueError):
+        codec = None
+    return codec.name if codec is not None and codec._is_text_encoding and codec.name not in _NO_CHARSET else "utf-8"
+
+
 def derivatives(data: bytes) -> dict:
     """The linked records of one response, and what they hold."""
     headers, block = parse(data)
-    if headers.get("warc-type") != "response":
-        raise ValueError(f"a {headers.get('warc-type')} record has no derivative")
+    if headers.first("warc-type") != "response":
+        raise ValueError(f"a {headers.first('warc-type')} record has no derivative")
     head, _, body = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    http = Headers(lines)
     entity, decoded = payload(http, body)
-    charset = re.search(r"charset=\"?([\w-]+)", http.get("content-type", ""), re.I)
-    try:
-        page = decoded.decode(charset[1] if charset else "utf-8", "replace")
-    except LookupError:
-        page = decoded.decode("utf-8", "replace")
-    uri, date = headers.get("warc-target-uri", ""), headers.get("warc-date", DATE)
+    page = decoded.decode(charset_of(http.get("content-type", "")), "replace")
+    uri, date = headers.first("warc-target-uri"), headers.first("warc-date", DATE)
     # A response without an id is named by its content.
-    source = headers.get("warc-record-id") or record_id("response", uri, date, digest(block))
+    source = headers.first("warc-record-id") or record_id("response", uri, date, digest(block))
     raw, title, lang, hrefs = scanned(page)
     title = " ".join(entities.unescape(title).split())
     links = []
@@ -199,17 +243,17 @@ def derivatives(data: bytes) -> dict:
         except ValueError:
             continue
     links = list(dict.fromkeys(links))
-    fields = [("title", title), ("language", lang), *(("outlink", x) for x in links), *((f"source-{k}", v) for k, v in headers.items()), ("source-http-status", status), *((f"source-http-{k}", v) for k, v in http.items())]
+    fields = [("title", title), ("language", lang), *(("outlink", x) for x in links), *((f"source-{k}", v) for k, v in headers.all), ("source-http-status", status), *((f"source-http-{k}", v) for k, v in http.all)]
     fields = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
     text = tidied(raw)
     common = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Date", date), ("WARC-Target-URI", uri)]
-    carried = [(f"WARC-Source-{name}", headers[key]) for name, key in (("Payload-Digest", "warc-payload-digest"), ("Block-Digest", "warc-block-digest"), ("Content-Type", "content-type")) if key in headers]
+    carried = [(f"WARC-Source-{name}", headers.first(key)) for name, key in (("Payload-Digest", "warc-payload-digest"), ("Block-Digest", "warc-block-digest"), ("Content-Type", "content-type")) if key in headers]
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     encoded = text.encode("utf-8", "replace")
     metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", meta_id), *common, *carried, ("WARC-Concurrent-To", text_id), ("WARC-Block-Digest", digest(fields)), ("Content-Type", "application/warc-fields")], fields)
     conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *common, *carried, ("WARC-Concurrent-To", meta_id), ("WARC-Block-Digest", digest(encoded)), ("Content-Type", "text/plain; charset=utf-8")], encoded)
-    ok = headers.get("warc-block-digest", digest(block)) == digest(block) and headers.get("warc-payload-digest", digest(body)) in (digest(body), digest(entity))
-    return {"response_id": source, "target_uri": uri, "payload_digest": headers.get("warc-payload-digest"), "digest_ok": ok, "metadata_id": meta_id, "conversion_id": text_id, "title": title, "language": lang, "outlinks": links, "text": encoded.decode(), "text_digest": digest(encoded), "metadata": metadata, "conversion": conversion, "error": None}
+    ok = headers.first("warc-block-digest", digest(block)) == digest(block) and headers.first("warc-payload-digest", digest(body)) in (digest(body), digest(entity))
+    return {"response_id": source, "target_uri": uri, "payload_digest": headers.first("warc-payload-digest") or None, "digest_ok": ok, "metadata_id": meta_id, "conversion_id": text_id, "title": title, "language": lang, "outlinks": links, "text": encoded.decode(), "text_digest": digest(encoded), "metadata": metadata, "conversion": conversion, "error": None}
 
 
 _TYPES = {"response_id": "string", "target_uri": "string", "payload_digest": "string", "digest_ok": "boolean", "metadata_id": "string", "conversion_id": "string", "title": "string", "language": "string", "outlinks": "array<string>", "text": "string", "text_digest": "string", "metadata": "binary", "conversion": "binary", "error": "string"}

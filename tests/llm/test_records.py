@@ -135,6 +135,42 @@ def test_alignment(spark):
     assert audio.search(spark.createDataFrame([], "id bigint, media binary"), "id", "media").count() == 0
 
 
+def test_warc_headers_and_members_against_plain_parsing():
+    """Every header of the record and the response, repeated and folded ones too, and bodies of several members, against the lists they were made of."""
+    import gzip
+    import random
+    import zlib
+
+    rnd = random.Random(6)
+    for _ in range(60):
+        names = ["X-A", "Set-Cookie", "Link", "via", "X-A"]
+        http = [(rnd.choice(names), [rnd.choice(["a=b", "c: d", "e, f", ""]) for _ in range(rnd.randint(1, 3))]) for _ in range(rnd.randint(0, 6))]
+        warc_headers = [("WARC-Concurrent-To", f"<urn:{k}>") for k in range(rnd.randint(0, 3))]
+        parts = [f"<p>part{k} {'x' * rnd.randint(0, 50)}</p>" for k in range(rnd.randint(1, 4))]
+        body, packed = "".join(parts).encode(), rnd.random() < 0.7
+        if packed:
+            body = b"".join(gzip.compress(p.encode()) for p in parts) + b"\0" * rnd.randint(0, 3)
+        lines = "".join(f"{k}: {v[0]}\r\n" + "".join(f"{rnd.choice([' ', chr(9)])}{x}\r\n" for x in v[1:]) for k, v in http)
+        block = ("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + ("Content-Encoding: gzip\r\n" if packed else "") + lines + "\r\n").encode() + body
+        data = warc.record([("WARC-Type", "response"), ("WARC-Target-URI", "http://a/"), *warc_headers], block)
+        data = gzip.compress(data) if rnd.random() < 0.5 else data
+        found = warc.derivatives(data)
+        assert found["text"] == "\n".join(p[3:-4].strip() for p in parts)
+        fields = [x.partition(": ")[::2] for x in warc.parse(found["metadata"])[1].decode().split("\r\n") if x]
+        wanted = [(f"source-http-{k.lower()}", " ".join(" ".join(v).split())) for k, v in http if "".join(v)]
+        assert [x for x in fields if x[0].startswith("source-http-") and x[0] not in ("source-http-status", "source-http-content-type", "source-http-content-encoding")] == wanted
+        assert [v for k, v in fields if k == "source-warc-concurrent-to"] == [v for _, v in warc_headers]
+    for bad in (gzip.compress(b"a") + b"junk", gzip.compress(b"abc")[:-9]):
+        with pytest.raises(ValueError):
+            warc.unpacked(bad, zlib.MAX_WBITS | 32)
+
+
+def test_warc_charsets():
+    for name, wanted in (("undefined", "é"), ("idna", "é"), ("punycode", "é"), ("unicode_escape", "é"), ("hex", "é"), ("rot13", "é"), ("nothing", "é"), ("UTF-8", "é"), ("'utf-8'", "é")):
+        assert warc.derivatives(http_record(f"Content-Type: text/html; charset={name}", "<p>é</p>".encode()))["text"] == wanted
+    assert warc.derivatives(http_record("Content-Type: text/html; charset=latin-1", "<p>é</p>".encode("latin-1")))["text"] == "é"
+
+
 def plain_matches(a, b):
     """Every offset by itself."""
     found = []
