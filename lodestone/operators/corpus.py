@@ -16,6 +16,7 @@ from lodestone.batches import sliced
 from lodestone.functions import text as T
 from lodestone.io import small
 from lodestone.operators import chunking, lifecycle
+from lodestone.operators.digests import tree_digest
 from lodestone.sources import files as S
 
 
@@ -146,7 +147,11 @@ def result_problem(raw: str | None) -> str | None:
 #: Bounds of a root manifest. Fixed values.
 MANIFEST_BYTES, MANIFEST_ROOTS, MANIFEST_RULES, MANIFEST_PATH, MANIFEST_ERRORS = 65_536, 64, 256, 1024, 50
 #: Folders that may be no part of a manifest's path. Fixed values.
-BLOCKED = frozenset(".git .hg .svn .jj node_modules vendor .bundle .cache __pycache__ .pytest_cache .mypy_cache tmp temp dist build coverage .turbo .next out .data _generated generated logs playwright-report test-results .eslint .nyc_output".split())
+BLOCKED = frozenset([
+    ".git", ".hg", ".svn", ".jj", "node_modules", "vendor", ".bundle", ".cache", "__pycache__", ".pytest_cache", ".mypy_cache", "tmp", "temp", "dist", "build", "coverage", ".turbo", ".next", "out", ".data", "_generated", "generated", "logs", "playwright-report", "test-results", ".eslint", ".nyc_output",
+])
+#: Ends of folder names that may be no part of it either. Fixed values.
+BLOCKED_ENDS = (".egg-info",)
 _DEVICE = re.compile(r"(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?", re.I)
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
@@ -159,7 +164,7 @@ def manifest_path_problems(path: str, blocked: frozenset[str] = BLOCKED) -> list
     checks = [
         (len(path) > MANIFEST_PATH, "too long"), (bool(_CONTROL.search(path)), "control character"), ("\\" in path, "backslash"), (path.startswith("/"), "absolute"),
         (bool(re.match("[A-Za-z]:", path)), "drive letter"), ("" in parts, "empty segment"), (bool({".", ".."} & set(parts)), "dot segment"),
-        (bool(blocked & set(parts)), "blocked name"), (any(_DEVICE.fullmatch(p) for p in parts), "device name"),
+        (bool(blocked & set(parts)) or any(p.endswith(BLOCKED_ENDS) for p in parts), "blocked name"), (any(_DEVICE.fullmatch(p) for p in parts), "device name"),
         (any(p not in (".", "..") and p.endswith((".", " ")) for p in parts), "ends with a dot or blank"),
     ]
     return [name for hit, name in checks if hit]
@@ -258,9 +263,10 @@ def markdown_report(title: str, rows: DataFrame, order: list[str], most: int = 1
     return "\n".join(lines + (["", f"More than {most} rows."] if len(found) > most else []) + [""])
 
 
-def preflight(spark: SparkSession, candidates: DataFrame, tracked: DataFrame, findings: DataFrame, issues: DataFrame | None, force: bool = False, target: str | None = None) -> DataFrame:
-    """One row: what an ingest would do. ``candidates`` and ``tracked``: path, hash; ``findings``: path, reason; ``issues``: code, path, fatal, or None where no
-    scan gave evidence, in which case the plan is not complete and deletes nothing. With ``force`` every tracked candidate, or the target, is an update."""
+def preflight(spark: SparkSession, candidates: DataFrame, tracked: DataFrame, findings: DataFrame, issues: DataFrame | None, force: bool = False, target: str | None = None, root: str = "", scope: DataFrame | None = None, rules: DataFrame | None = None, allow: DataFrame | None = None) -> DataFrame:
+    """One row: what an ingest would do, and six digests that bind it. ``candidates`` and ``tracked``: path, hash; ``findings``: path, reason; ``issues``: code, path, fatal, or None where no
+    scan gave evidence, in which case the plan is not complete and deletes nothing. With ``force`` every tracked candidate, or the target, is an update. ``root``: what is scanned;
+    ``scope``: path of each folder; ``rules``: rule; ``allow``: path, category of findings that don't block, which the policy's digest binds too. Each digest is that of a hash tree."""
     from lodestone.operators.relational import delta
 
     changes = delta(tracked, candidates)
@@ -270,22 +276,19 @@ def preflight(spark: SparkSession, candidates: DataFrame, tracked: DataFrame, fi
     n = lambda c: F.count_if(F.col("change") == c)
     counts = changes.agg(n("add").alias("adds"), n("update").alias("updates"), n("delete").alias("deletes"), F.count_if(F.col("change") != "delete").alias("eligible"), F.count_if(F.col("change") != "add").alias("tracked"))
     blocked = findings.agg(F.count("*").alias("blocked"), F.array_sort(F.collect_set("reason")).alias("reasons"))
-    digests = candidates.agg(set_digest("path", "hash").alias("inventory_hash")).crossJoin(F.broadcast(tracked.agg(set_digest("path", "hash").alias("baseline_hash"))))
+    none = spark.createDataFrame([], "path string, category string, rule string")
+    allow = none if allow is None else allow
+    digests = [tree_digest(candidates, "path", "hash", name="inventory_hash"), tree_digest(tracked, "path", "hash", name="baseline_hash"), tree_digest(changes.filter("change = 'delete'"), "path", name="stale_hash"), tree_digest(none if scope is None else scope, "path", name="scope_hash"), tree_digest(none if rules is None else rules, "rule", name="rules_hash"), tree_digest(allow, "path", "category", name="allow_hash")]
     if issues is None:
         verdict = spark.range(1).select(F.lit("incomplete").alias("status"), F.lit("none").alias("evidence"))
     else:
         verdict = lifecycle.scan_completeness(issues).select("status", "evidence")
     out = counts
-    for side in (blocked, digests, verdict):
+    for side in (blocked, *digests, verdict):  # each is one row
         out = out.crossJoin(F.broadcast(side))
     out = out.withColumn("deletion_allowed", (F.col("status") == "complete") & (F.col("eligible") > 0) & F.lit(issues is not None))
-    return out.withColumn("plan_hash", F.sha2(F.concat_ws("|", "adds", "updates", "deletes", "inventory_hash", "baseline_hash", "status", "evidence", "deletion_allowed", F.lit(str(force)), F.lit(target or "")), 256))
-
-
-def set_digest(*columns: str) -> Column:
-    """A digest of a set of rows that needs neither their order nor all of them in one place: count, sum and exclusive or of row hashes."""
-    h = F.xxhash64(*columns)
-    return F.sha2(F.concat_ws("|", F.count(F.lit(1)), F.sum(F.pmod(h, F.lit(1 << 32))), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit("second"), *columns))), 256)
+    out = out.withColumns({"root_hash": F.sha2(F.lit(root), 256), "policy_hash": F.sha2(F.concat_ws("|", "rules_hash", "allow_hash"), 256)})
+    return out.withColumn("plan_hash", F.sha2(F.concat_ws("|", "adds", "updates", "deletes", "stale_hash", "inventory_hash", "baseline_hash", "scope_hash", "policy_hash", "root_hash", "status", "evidence", "deletion_allowed", F.lit(str(force)), F.lit(target or "")), 256))
 
 
 def review_allowed(reviewer: Column | str, operator: Column | str, expires: Column | str, now: Column) -> Column:

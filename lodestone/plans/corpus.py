@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.io import table, written
 from lodestone.operators import corpus as C
-from lodestone.operators import transitions
+from lodestone.operators import digests, transitions
 from lodestone.plans.book import Book
 
 book = Book()
@@ -121,7 +121,7 @@ def manifest_checks(spark: SparkSession, d: str) -> DataFrame:
     """Root manifests, one for each document, and what is wrong with them."""
     docs = table(spark, d, "documents").withColumn("raw", F.element_at(F.array(
         F.concat(F.lit('{"manifestVersion":1,"includeRoots":["/'), "source", F.lit('"]}')), F.concat(F.lit('{"manifestVersion":1,"includeRoots":["'), "source", F.lit('","'), "source", F.lit('"]}')),
-        F.lit('{"manifestVersion":1,"extra":0}'), F.concat(F.lit("{"), "source"), F.lit('{"manifestVersion":1,"includeRoots":["a/node_modules/b"],"ignoreRules":[" "]}'), F.concat(F.lit('{"manifestVersion":1,"includeRoots":["'), "source", F.lit('"],"ignoreRules":["**/x"]}')),
+        F.lit('{"manifestVersion":1,"extra":0}'), F.concat(F.lit("{"), "source"), F.concat(F.lit('{"manifestVersion":1,"includeRoots":["a/'), F.when(F.col("doc_id") % 12 == 4, "node_modules").otherwise(F.concat("source", F.lit(".egg-info"))), F.lit('/b"],"ignoreRules":[" "]}')), F.concat(F.lit('{"manifestVersion":1,"includeRoots":["'), "source", F.lit('"],"ignoreRules":["**/x"]}')),
     ), (F.col("doc_id") % 6 + 1).cast("int")))
     return C.checked(docs, "doc_id", "raw", C.manifest_errors, "errors")
 
@@ -158,18 +158,49 @@ def sync_alerts(spark: SparkSession, d: str) -> DataFrame:
     return C.sync_alerts(rows, 3, 0.01)
 
 
-@book.query("""with t as (select doc_id, md5(coalesce(text, '')) as h from documents where doc_id % 3 <> 0), c as (select doc_id, case when doc_id % 5 = 0 then 'new' else md5(coalesce(text, '')) end as h from documents where doc_id % 4 <> 0),
-    x as (select case when t.doc_id is null then 'add' when c.doc_id is null then 'delete' when t.h <> c.h then 'update' else 'unchanged' end as change from t full join c using (doc_id))
-    select count(*) filter (where change = 'add') as adds, count(*) filter (where change = 'update') as updates, count(*) filter (where change = 'delete') as deletes, count(*) filter (where change <> 'delete') as eligible, count(*) filter (where change <> 'add') as tracked, (select count(*) from documents where doc_id % 11 = 0) as blocked, 'incomplete' as status, false as deletion_allowed from x""")
+def _tree(rows: str, *columns: str) -> str:
+    """SQL of a digest of rows with the given columns, of which the first is the key."""
+    text = ["coalesce('=' || " + c + ", '-')" for c in columns]
+    entry = " || chr(31) || ".join(text)
+    return f"""(with recursive_ as (select sha256({text[0]}) as place, sha256({entry}) as entry from ({rows})), counted as (select left(place, 6) as node, sha256(entry || chr(31) || count(*)) as part from recursive_ group by place, entry),
+    l6 as (select node, sha256(string_agg(part, '' order by part)) as d from counted group by 1), l4 as (select left(node, 4) as up, sha256(string_agg(node || d, '' order by node || d)) as d from l6 group by 1), l2 as (select left(up, 2) as up2, sha256(string_agg(up || d, '' order by up || d)) as d from l4 group by 1)
+    select coalesce(sha256(string_agg(up2 || d, '' order by up2 || d)), sha256('')) from l2)"""
+
+
+_C, _T = "select doc_id::varchar as path, case when doc_id % 5 = 0 then 'new' else md5(coalesce(text, '')) end as hash from documents where doc_id % 4 <> 0", "select doc_id::varchar as path, md5(coalesce(text, '')) as hash from documents where doc_id % 3 <> 0"
+
+
+@book.query(f"""with x as (select coalesce(t.path, c.path) as path, case when t.path is null then 'add' when c.path is null then 'delete' when t.hash <> c.hash then 'update' else 'unchanged' end as change from ({_T}) t full join ({_C}) c on c.path = t.path),
+    p as (select count(*) filter (where change = 'add') as adds, count(*) filter (where change = 'update') as updates, count(*) filter (where change = 'delete') as deletes, count(*) filter (where change <> 'delete') as eligible, count(*) filter (where change <> 'add') as tracked, (select count(*) from documents where doc_id % 11 = 0) as blocked, 'incomplete' as status, false as deletion_allowed,
+        {_tree(_C, "path", "hash")} as inventory_hash, {_tree(_T, "path", "hash")} as baseline_hash, {_tree("select path from x where change = 'delete'", "path")} as stale_hash, {_tree("select distinct 'src/' || source as path from documents", "path")} as scope_hash, sha256('corpus') as root_hash,
+        sha256({_tree("select distinct lang || '/**' as rule from documents", "rule")} || '|' || {_tree("select doc_id::varchar as path, 'dot-env' as category from documents where doc_id % 22 = 0", "path", "category")}) as policy_hash,
+        (select sha256(string_agg(v, chr(10) order by v)) from (select distinct 'unreadable|' || doc_id as v from documents where doc_id % 13 = 0)) as evidence from x)
+    select adds, updates, deletes, eligible, tracked, blocked, status, deletion_allowed, inventory_hash, baseline_hash, scope_hash, root_hash, policy_hash,
+        sha256(concat_ws('|', adds, updates, deletes, stale_hash, inventory_hash, baseline_hash, scope_hash, policy_hash, root_hash, status, evidence, 'false', 'False', '')) as plan_hash from p""")
 def preflight_plan(spark: SparkSession, d: str) -> DataFrame:
-    """What an ingest of all documents would do, after a scan with an issue."""
+    """What an ingest of all documents would do, after a scan with an issue, and the six digests that bind it."""
     docs = table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string")).withColumn("hash", F.md5(F.coalesce("text", F.lit(""))))
     tracked = docs.filter("doc_id % 3 <> 0").select("path", "hash")
     candidates = docs.filter("doc_id % 4 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, "new").otherwise(F.col("hash")).alias("hash"))
     findings = docs.filter("doc_id % 11 = 0").select("path", F.lit("dot-env").alias("reason"))
     issues = docs.filter("doc_id % 13 = 0").select(F.lit("unreadable").alias("code"), "path", F.lit(False).alias("fatal"))
-    found = C.preflight(spark, candidates, tracked, findings, issues)
-    return found.select("adds", "updates", "deletes", "eligible", "tracked", "blocked", "status", "deletion_allowed")
+    scope = docs.select(F.concat(F.lit("src/"), "source").alias("path")).distinct()
+    rules, allow = docs.select(F.concat("lang", F.lit("/**")).alias("rule")).distinct(), docs.filter("doc_id % 22 = 0").select("path", F.lit("dot-env").alias("category"))
+    found = C.preflight(spark, candidates, tracked, findings, issues, root="corpus", scope=scope, rules=rules, allow=allow)
+    return found.select("adds", "updates", "deletes", "eligible", "tracked", "blocked", "status", "deletion_allowed", "inventory_hash", "baseline_hash", "scope_hash", "root_hash", "policy_hash", "plan_hash")
+
+
+_FOUND = "select 'src/' || source || '/' || doc_id as path, coalesce(lang, 'none') as category, doc_id from documents where doc_id % 3 <> 0"
+
+
+@book.query(f"""with f as ({_FOUND}), s as (select category, case when doc_id % 10 = 7 then 'suppressed' else 'blocked' end as state, path from f union all select 'none', 'not encountered', 'src/' || r_name from region)
+    select category, state, least(count(*), 50000) as count, list_sort(list(distinct path))[1:32] as sample from s group by 1, 2""")
+def blocked_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by category with bounded samples, after an allow list of which some entries were not encountered."""
+    path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path")
+    found = table(spark, d, "documents").filter("doc_id % 3 <> 0").select(path, F.coalesce("lang", F.lit("none")).alias("category"), "doc_id")
+    unknown = table(spark, d, "region").select(F.concat(F.lit("src/"), "r_name").alias("path"), F.lit("none").alias("category"))
+    return digests.blocked_findings(found.drop("doc_id"), found.filter("doc_id % 10 = 7").drop("doc_id").unionByName(unknown))
 
 
 _SNAP_KINDS = ["claim", "review", "approve", "reject", "renew", "consume", "fail", "sweep", "claim", "defer", "consume"]
