@@ -89,6 +89,55 @@ def graded_relevance(results: DataFrame, targets: DataFrame, key: str = "scenari
     return joined.groupBy(F.col(f"r.{key}").alias(key), F.col("r.rank").alias("rank")).agg(F.max(F.when(path, score).otherwise(0.0)).alias("rel"))
 
 
+def evaluate_scenarios(scenarios: DataFrame, targets: DataFrame, forbidden: DataFrame, results: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per scenario (scenario, mode, min_hits): success, path_hit, symbol_hit, line_hit, contamination, hits, first_rank, mrr, ndcg, quality, answered and latency_ms. ``targets``: see
+    ``graded_relevance``; ``forbidden``: scenario, path, symbol; ``results``: scenario, rank, path, symbol, kind, first, last; ``responses``: scenario, latency_ms. The mode is must_find (also where
+    it is null), must_avoid or mixed. A hit is null where it doesn't apply: without targets, and where results are only to be avoided."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    graded = graded_relevance(results, targets)
+    found = graded.filter("rel > 0").groupBy("scenario").agg(F.count("*").alias("hits"), F.min("rank").alias("first_rank"))
+    r, t = results.alias("r"), targets.withColumn("_target", F.monotonically_increasing_id()).alias("t")
+    near = t.join(r, F.col("r.scenario") == F.col("t.scenario"), "left")
+    path = known(T.paths_match(F.col("r.path"), F.col("t.path")))
+    symbol = path & F.col("r.symbol").eqNullSafe(F.col("t.symbol"))
+    same = (F.col("t.symbol").isNull() | F.col("r.symbol").eqNullSafe(F.col("t.symbol"))) & (F.col("t.kind").isNull() | F.col("r.kind").eqNullSafe(F.col("t.kind")))
+    lines = known(F.when(F.col("t.strict"), (F.col("r.first") == F.col("t.first")) & (F.col("r.last") == F.col("t.last"))).otherwise((F.col("r.first") <= F.col("t.last")) & (F.col("r.last") >= F.col("t.first"))))
+    each = near.groupBy(F.col("t.scenario").alias("scenario"), "t._target", F.col("t.symbol").alias("symbol"), F.col("t.first").alias("first")).agg(F.bool_or(path).alias("p"), F.bool_or(symbol).alias("s"), F.bool_or(path & same & lines).alias("l"))
+    # What a target doesn't ask for counts as its scenario's wider hit.
+    some = each.groupBy("scenario").agg(F.bool_or("p").alias("path_hit"), F.bool_or(F.when(F.col("symbol").isNotNull(), F.col("s"))).alias("_s"), F.bool_or(F.col("symbol").isNull()).alias("_any_symbol"), F.bool_or(F.when(F.col("first").isNotNull(), F.col("l"))).alias("_l"), F.bool_or(F.col("first").isNull()).alias("_any_line"))
+    some = some.withColumn("symbol_hit", known(F.col("_s")) | (F.col("_any_symbol") & F.col("path_hit")))
+    some = some.withColumn("line_hit", known(F.col("_l")) | (F.col("_any_line") & F.col("symbol_hit"))).select("scenario", "path_hit", "symbol_hit", "line_hit")
+    f = forbidden.select("scenario", F.col("path").alias("_path"), F.col("symbol").alias("_symbol"))
+    bad = results.join(f, "scenario").filter(T.paths_match(F.col("path"), F.col("_path")) & (F.col("_symbol").isNull() | F.col("symbol").eqNullSafe(F.col("_symbol")))).select("scenario").distinct().withColumn("contamination", F.lit(True))
+    rows = scenarios.withColumn("mode", F.coalesce("mode", F.lit("must_find")))
+    for side in (found, ndcg_retrieved(graded, "scenario"), some, bad, responses.select("scenario", "latency_ms", F.lit(True).alias("answered"))):
+        rows = rows.join(side, "scenario", "left")
+    avoid, clean = F.col("mode") == "must_avoid", ~known(F.col("contamination"))
+    rows = rows.withColumns({"contamination": ~clean, "hits": F.coalesce("hits", F.lit(0)), "ndcg": F.coalesce("ndcg", F.lit(0.0)), "mrr": F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), "first_rank": F.coalesce("first_rank", F.lit(0)), "answered": known(F.col("answered")), "latency_ms": F.coalesce("latency_ms", F.lit(0.0))})
+    rows = rows.withColumns({c: F.when(~avoid, F.col(c)) for c in ("path_hit", "symbol_hit", "line_hit")})
+    rows = rows.withColumn("success", clean & (avoid | (F.col("hits") >= F.coalesce("min_hits", F.lit(1)))))
+    quality = scenario_quality(F.col("success"), F.col("path_hit"), F.col("symbol_hit"), F.col("line_hit"), F.col("mrr"), F.col("ndcg"), F.col("contamination"), avoid)
+    return rows.select("scenario", "mode", "success", "path_hit", "symbol_hit", "line_hit", "contamination", "hits", "first_rank", "mrr", "ndcg", quality.alias("quality"), "answered", "latency_ms")
+
+
+def variant_metrics(evaluated: DataFrame, *by: str) -> DataFrame:
+    """One row of rates, means and latencies of evaluated scenarios, for each group; rates of hits are over the scenarios to which they apply. Latencies at half and at 95 of a hundred are those of
+    rank floor((n - 1) p), found by counts of equal values rather than by a list of all."""
+    rates = {"exact_path": "path_hit", "exact_symbol": "symbol_hit", "exact_line": "line_hit"}
+    n = F.count("*")
+    out = evaluated.groupBy(*by).agg(
+        n.alias("scenarios"), (F.count_if("success") / n).alias("success_rate"), *(null_aware_rate(c).alias(f"{name}_rate") for name, c in rates.items()), (F.count_if("contamination") / n).alias("contamination_rate"),
+        *(F.avg(c).alias(name) for name, c in (("mrr", "mrr"), ("ndcg", "ndcg"), ("quality", "quality"))),
+    )
+    counts = evaluated.groupBy(*by, "latency_ms").agg(n.alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    up = F.sum("_n").over(group.orderBy("latency_ms"))
+    ranked = counts.withColumns({"_up": up, "_all": F.sum("_n").over(group)})
+    at = lambda p: F.min(F.when(F.col("_up") > F.floor((F.col("_all") - 1) * p), F.col("latency_ms")))
+    latency = ranked.groupBy(*by).agg(at(0.5).alias("latency_p50"), at(0.95).alias("latency_p95"))
+    return out.join(latency, list(by)) if by else out.crossJoin(F.broadcast(latency))
+
+
 def scenario_quality(success: Column, path: Column, symbol: Column, line: Column, mrr: Column, ndcg: Column, contaminated: Column, avoid: Column) -> Column:
     """The quality score of a scenario; one that only has to avoid results is judged on staying clean."""
     one = lambda c: F.coalesce(c, F.lit(False)).cast("double")

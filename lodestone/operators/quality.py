@@ -27,15 +27,15 @@ def semantic_characters(c: Column | str) -> Column:
     return F.regexp_count(plain, F.lit(r"[\p{L}\p{N}]")).cast("bigint")
 
 
-def quality_reasons(c: Column | str) -> Column:
-    """Why a document is not worth keeping; empty for a good one."""
-    c = _col(c)
+def quality_reasons(c: Column | str, semantic: Column | str | None = None) -> Column:
+    """Why a document is not worth keeping; empty for a good one. ``semantic``: its ``semantic_characters``, where they are known already."""
+    c, semantic = _col(c), semantic_characters(c) if semantic is None else _col(semantic)
     blank = F.regexp_replace(c, r"\s+", "") == ""
     control = c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
     lines = F.filter(F.split(c, r"\r?\n"), lambda x: F.trim(x) != "")
     rst = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"(?i)^\s*\.\.\s+(?:include|literalinclude)::\s+\S+\s*$") | x.rlike(r"^[ \t]+:[A-Za-z][\w-]*:\s*.*$") | x.rlike(r"^[ \t]*\.\.(?!\s+[A-Za-z][\w-]*::)(?:\s+.*)?$"))
     rst = rst & F.exists(lines, lambda x: x.rlike(r"(?i)^\s*\.\.\s+(?:include|literalinclude)::"))
-    return flags((blank, "empty"), (~blank & control, "control-character"), (~blank & (c.rlike(P.INCLUDE_ONLY) | rst), "include-only"), (~blank & c.rlike(P.REDIRECT_ONLY), "redirect-only"), (~blank & (semantic_characters(c) < 16), "non-semantic"))
+    return flags((blank, "empty"), (~blank & control, "control-character"), (~blank & (c.rlike(P.INCLUDE_ONLY) | rst), "include-only"), (~blank & c.rlike(P.REDIRECT_ONLY), "redirect-only"), (~blank & (semantic < 16), "non-semantic"))
 
 
 def noise_audit(docs: DataFrame, group: str, text: str = "text") -> DataFrame:

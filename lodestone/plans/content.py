@@ -28,7 +28,8 @@ def files_of(spark: SparkSession, d: str) -> DataFrame:
 @book.query(r"""select doc_id, list_filter([case when length(s) < 16 then 'non-semantic' end], lambda x: x is not null) as reasons, length(s) as n from (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^>]*>', ' ', 'g'), '\bhttps?://\S+', ' ', 'g'), '[^\p{L}\p{N}]', '', 'g') as s from documents)""")
 def quality_assessment(spark: SparkSession, d: str) -> DataFrame:
     """Reasons against each document and its letters and digits."""
-    return table(spark, d, "documents").select("doc_id", quality.quality_reasons("text").alias("reasons"), quality.semantic_characters("text").alias("n"))
+    docs = table(spark, d, "documents").withColumn("n", quality.semantic_characters("text"))
+    return docs.select("doc_id", quality.quality_reasons("text", "n").alias("reasons"), "n")
 
 
 @book.query(r"""with p as (select case when page_id % 2 = 0 then 'even' else 'odd' end as source, html as text from pages)
@@ -205,11 +206,12 @@ def code_test_coverage(spark: SparkSession, d: str) -> DataFrame:
     return code.test_coverage(files.select("path"), code.import_targets(code.edges(files), files), tests)
 
 
-@book.query()
+@book.query(f"""with q as (select {FILE_PATH} as path, 1 + (p_size % 3 = 0)::int as symbols, (9 + 3 * (p_size % 3 = 0)::int)::double / (12 + (p_size % 5 = 0)::int + 3 * (p_size % 3 = 0)::int) as coverage from part)
+    select path, symbols, round(coverage, 6) as coverage, round((least(coverage, 1) + least(symbols / 3.0, 1)) / 2, 6) as score, (least(coverage, 1) + least(symbols / 3.0, 1)) / 2 >= 0.5 as passes from q""")
 def code_parse_quality(spark: SparkSession, d: str) -> DataFrame:
     """How much of each file its symbols cover."""
     files = files_of(spark, d)
-    return code.parse_quality(code.symbols(files), files)
+    return code.parse_quality(code.symbols(files), files).withColumns({"coverage": F.round("coverage", 6), "score": F.round("score", 6)})
 
 
 @book.query("select p_brand as category, count(*) as files, sum(p_size)::bigint as lines, count(*) filter (where p_size % 3 = 0) as with_class from part group by 1")

@@ -57,17 +57,21 @@ def source_markdown_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("n_nationkey", F.col("r")[1].alias("name"), F.col("r")[0].alias("region"))
 
 
-@book.query("select unnest([{'status': ' M', 'path': 'a.ts'}, {'status': '??', 'path': 'b c.md'}], recursive := true)")
+@book.query("""select doc_id, ' M' as status, 'src/' || source || '/' || doc_id || '.ts' as path from documents union all select doc_id, '??', 'new ' || doc_id || '.md' from documents where doc_id % 2 = 0
+    union all select doc_id, 'R ', 'to/' || doc_id from documents where doc_id % 3 = 0""")
 def source_git_status(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of a status listing."""
-    raw = spark.createDataFrame([(" M a.ts\0?? b c.md\0",)], "raw string")
-    return raw.select(F.inline(S.porcelain("raw")))
+    """Entries of a status listing for each document, with new and renamed files."""
+    k = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit(" M src/"), "source", F.lit("/"), k, F.lit(".ts\0"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("?? new "), k, F.lit(".md\0"))).otherwise(""), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("R  to/"), k, F.lit("\0from/"), k, F.lit("\0"))).otherwise(""))
+    return table(spark, d, "documents").select("doc_id", F.inline(S.porcelain(raw)))
 
 
-@book.query("select item_id, rank from (select unnest([1, 2, 3]) as item_id, unnest([30, 20, 10]) as rank)")
+@book.query("select event_id, event_id as item_id, cast(regexp_extract(props, '[0-9]+') as bigint) as rank from events union all select event_id, -event_id, user_id from events where event_id % 3 = 0")
 def source_json_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON array as a relation."""
-    return S.json_rows(spark, '[{"item_id": 1, "rank": 30}, {"item_id": 2, "rank": 20}, {"item_id": 3, "rank": 10}]', "item_id:int,rank:int")
+    """JSON arrays of rows, one for each event, as a relation."""
+    one, k = lambda a, b: F.concat(F.lit('{"item_id": '), a.cast("string"), F.lit(', "rank": '), b.cast("string"), F.lit("}")), F.col("event_id")
+    raw = F.concat(F.lit("["), one(k, F.get_json_object("props", "$.k")), F.when(k % 3 == 0, F.concat(F.lit(", "), one(-k, F.col("user_id")))).otherwise(""), F.lit("]"))
+    return S.json_relation(table(spark, d, "events").select("event_id", raw.alias("raw")), "raw", "item_id:bigint,rank:bigint", "event_id")
 
 
 @book.query("select doc_id, 'added' as change from documents where source = 'src1' union all select doc_id, 'removed' from documents where source = 'src2'")

@@ -170,11 +170,65 @@ def monitor_golden_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(E.golden_group(tags, F.lit("none")).alias("grp")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"))
 
 
-@book.query("select metric, value, bar from (select unnest(['hit','mrr','contamination','p95']) as metric, unnest([0.9::double, 0.6::double, 0.5::double, 100.0::double]) as value, unnest([0.88::double, 0.75::double, 0.02::double, 1550.0::double]) as bar) where (metric in ('contamination','p95') and value > bar) or (metric not in ('contamination','p95') and value < bar)")
+_MEASURED = """m as (select 'hit' as metric, round(avg((lang is not null)::int), 6) as value from documents union all select 'mrr', round(avg(1.0::double / (1 + doc_id % 4)), 6) from documents union all select 'contamination', round(avg((source = 'src3')::int), 6) from documents union all select 'p95', max(n_chars)::double from documents)"""
+
+
+@book.query(f"""with {_MEASURED}, b as (select unnest(['hit', 'mrr', 'contamination', 'p95']) as metric, unnest([0.88::double, 0.75::double, 0.02::double, 1550.0::double]) as bar)
+    select metric, value, bar from m join b using (metric) where case when metric in ('contamination', 'p95') then value > bar else value < bar end""")
 def monitor_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics that miss the target level."""
-    m = spark.createDataFrame([("hit", 0.9), ("mrr", 0.6), ("contamination", 0.5), ("p95", 100.0)], "metric string, value double")
-    return E.threshold_failures(m)
+    """Metrics of all documents that miss the target level."""
+    docs = table(spark, d, "documents")
+    share = lambda c: F.round(F.avg(c), 6)
+    wide = docs.agg(share(F.col("lang").isNotNull().cast("int")).alias("hit"), share(1.0 / (1 + F.col("doc_id") % 4)).alias("mrr"), share((F.col("source") == "src3").cast("int")).alias("contamination"), F.max("n_chars").cast("double").alias("p95"))
+    return E.threshold_failures(wide.unpivot([], ["hit", "mrr", "contamination", "p95"], "metric", "value"))
+
+
+_EVAL = """r as (select l_orderkey as scenario, rank, 'p/' || l_partkey as path, l_returnflag as symbol, l_quantity::int as first, l_quantity::int + 3 as last from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) as rank from lineitem)),
+    t as (select o_orderkey as scenario, k as target, 'p/' || (case k when 0 then o_orderkey % 2000 else coalesce((select min(l_partkey) from lineitem where l_orderkey = o_orderkey), 0) end) as path, case when (o_orderkey + k) % 2 = 0 then 'R' end as symbol, case when (o_orderkey + k) % 3 = 0 then 10 end as first, case when (o_orderkey + k) % 3 = 0 then 25 end as last, (o_orderkey + k) % 6 = 0 as strict from orders, (select unnest([0, 1]) as k) where o_orderkey % 5 <> 0),
+    f as (select l_orderkey as scenario, 'p/' || max(l_partkey) as path, case when l_orderkey % 4 = 1 then 'N' end as symbol from lineitem where l_orderkey % 7 in (1, 2) group by l_orderkey),
+    s as (select o_orderkey as scenario, case o_orderkey % 4 when 0 then 'must_avoid' when 1 then 'mixed' when 2 then 'must_find' end as mode, case when o_orderkey % 9 = 0 then 2 end as min_hits from orders),
+    g as (select r.scenario, rank, max(case when r.path = t.path then case when sy and li then 1.0 else least(1.0, 0.55 + case when t.symbol is null then 0.2 when sy then 0.25 else 0 end + case when t.first is null then 0.05 when li then 0.2 else 0 end) end else 0 end)::double as rel from
+        (select r.*, t.target, t.path as tp from r left join t using (scenario)) r left join (select t.*, r.rank as rr, t.symbol is null or t.symbol = r.symbol as sy, t.first is null or case when strict then r.first = t.first and r.last = t.last else r.first <= t.last and r.last >= t.first end as li from t join r using (scenario)) t on t.scenario = r.scenario and t.target = r.target and t.rr = r.rank group by 1, 2),
+    n as (select scenario, case when sum(rel / log2(b + 1)) > 0 then sum(rel / log2(rank + 1)) / sum(rel / log2(b + 1)) else 0 end as ndcg from (select *, row_number() over (partition by scenario order by rel desc, rank) as b from g where rank <= 10) group by 1),
+    h as (select scenario, count(*) as hits, min(rank) as first_rank from g where rel > 0 group by 1),
+    e as (select t.scenario, t.target, t.symbol, t.first, bool_or(coalesce(r.path = t.path, false)) as p, bool_or(coalesce(r.path = t.path and r.symbol = t.symbol, false)) as s, bool_or(coalesce(r.path = t.path and (t.symbol is null or r.symbol = t.symbol) and case when strict then r.first = t.first and r.last = t.last else r.first <= t.last and r.last >= t.first end, false)) as l from t left join r using (scenario) group by 1, 2, 3, 4),
+    x as (select scenario, bool_or(p) as path_hit, coalesce(bool_or(s) filter (where symbol is not null), false) or (bool_or(symbol is null) and bool_or(p)) as symbol_hit, coalesce(bool_or(l) filter (where first is not null), false) as l, bool_or(first is null) as al from e group by 1),
+    c as (select distinct r.scenario from r join f on f.scenario = r.scenario and f.path = r.path and (f.symbol is null or f.symbol = r.symbol)),
+    a as (select s.scenario, coalesce(mode, 'must_find') as mode, c.scenario is not null as contamination, coalesce(hits, 0) as hits, coalesce(first_rank, 0) as first_rank, coalesce(1.0::double / first_rank, 0) as mrr, coalesce(ndcg, 0) as ndcg, case when mode is distinct from 'must_avoid' then path_hit end as path_hit, case when mode is distinct from 'must_avoid' then symbol_hit end as symbol_hit, case when mode is distinct from 'must_avoid' then l or (al and symbol_hit) end as line_hit, coalesce(min_hits, 1) as need, (s.scenario % 50)::double as latency_ms from s left join h using (scenario) left join n using (scenario) left join x using (scenario) left join c using (scenario)),
+    z as (select *, not contamination and (mode = 'must_avoid' or hits >= need) as success from a),
+    ev as (select *, greatest(0, least(1, case when mode = 'must_avoid' then success::int * 0.7::double + (not contamination)::int * 0.3::double else success::int * 0.3::double + coalesce(path_hit, false)::int * 0.2::double + coalesce(symbol_hit, false)::int * 0.15::double + coalesce(line_hit, false)::int * 0.1::double + mrr * 0.15 + ndcg * 0.15 - contamination::int * 0.3::double end)) as quality from z)"""
+
+
+def _scenarios(spark: SparkSession, d: str) -> DataFrame:
+    lines, orders, k = table(spark, d, "lineitem"), table(spark, d, "orders"), F.col("scenario")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    q, name = F.col("l_quantity").cast("int"), lambda c: F.concat(F.lit("p/"), c.cast("string"))
+    none = F.lit(None).cast("string")
+    results = lines.select(F.col("l_orderkey").alias("scenario"), F.row_number().over(order).alias("rank"), name(F.col("l_partkey")).alias("path"), F.col("l_returnflag").alias("symbol"), none.alias("kind"), q.alias("first"), (q + 3).alias("last"))
+    least = lines.groupBy(F.col("l_orderkey").alias("scenario")).agg(F.min("l_partkey").alias("least"))
+    both = orders.select(F.col("o_orderkey").alias("scenario")).filter(k % 5 != 0).join(least, "scenario", "left").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    n = k + F.col("k")
+    targets = both.select("scenario", name(F.when(F.col("k") == 0, k % 2000).otherwise(F.coalesce("least", F.lit(0)))).alias("path"), F.when(n % 2 == 0, "R").alias("symbol"), none.alias("kind"), F.when(n % 3 == 0, 10).alias("first"), F.when(n % 3 == 0, 25).alias("last"), (n % 6 == 0).alias("strict"))
+    forbidden = lines.filter("l_orderkey % 7 in (1, 2)").groupBy(F.col("l_orderkey").alias("scenario")).agg(name(F.max("l_partkey")).alias("path")).withColumn("symbol", F.when(k % 4 == 1, "N"))
+    asked = orders.select(F.col("o_orderkey").alias("scenario"))
+    scenarios = asked.select("scenario", F.when(k % 4 == 0, "must_avoid").when(k % 4 == 1, "mixed").when(k % 4 == 2, "must_find").alias("mode"), F.when(k % 9 == 0, 2).alias("min_hits"))
+    return E.evaluate_scenarios(scenarios, targets, forbidden, results, asked.select("scenario", (k % 50).cast("double").alias("latency_ms")))
+
+
+@book.query(f"with {_EVAL} select scenario, mode, success, path_hit, symbol_hit, line_hit, contamination, hits, first_rank, round(mrr, 5) as mrr, round(ndcg, 5) as ndcg, round(quality, 4) as quality from ev")
+def eval_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a scenario: its lines are results, with targets to find and targets to avoid."""
+    found = _scenarios(spark, d)
+    return found.drop("answered", "latency_ms").withColumns({"mrr": F.round("mrr", 5), "ndcg": F.round("ndcg", 5), "quality": F.round("quality", 4)})
+
+
+@book.query(f"""with {_EVAL} select mode, count(*) as scenarios, round(avg(success::int), 5) as success_rate, round(coalesce(avg(path_hit::int), 0), 5) as exact_path_rate, round(coalesce(avg(symbol_hit::int), 0), 5) as exact_symbol_rate, round(coalesce(avg(line_hit::int), 0), 5) as exact_line_rate,
+    round(avg(contamination::int), 5) as contamination_rate, round(avg(mrr), 4) as mrr, round(avg(ndcg), 4) as ndcg, round(avg(quality), 4) as quality, list_sort(list(latency_ms))[(floor((count(*) - 1) * 0.5::double) + 1)::int] as latency_p50, list_sort(list(latency_ms))[(floor((count(*) - 1) * 0.95::double) + 1)::int] as latency_p95 from ev group by 1""")
+def eval_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Rates with their own denominators, means and latencies of the scenarios of each mode."""
+    found = E.variant_metrics(_scenarios(spark, d), "mode")
+    fine = {c: F.round(c, 5) for c in found.columns if c.endswith("_rate")} | {c: F.round(c, 4) for c in ("mrr", "ndcg", "quality")}
+    return found.withColumns(fine)
 
 
 @book.query("select p_partkey as path, case when p_size % 4 = 0 or p_size % 5 = 0 then 'process' when p_size % 3 = 0 then 'repair' else 'skip' end as decision from part")

@@ -115,6 +115,12 @@ def porcelain(raw: Column | str) -> Column:
     return F.transform(parts, lambda x: F.struct(F.substring(x, 1, 2).alias("status"), F.substring(x, F.lit(4), F.length(x)).alias("path")))
 
 
+def json_relation(rows: DataFrame, column: str, schema: str, *keep: str) -> DataFrame:
+    """The JSON arrays of a column as rows of the given schema, beside the columns ``keep``; an array that doesn't fit is an error, a null one has no rows."""
+    parsed = F.from_json(column, f"array<struct<{schema}>>", {"mode": "FAILFAST"})
+    return rows.select(*keep, F.explode(parsed).alias("_row")).select(*keep, "_row.*")
+
+
 def json_rows(spark: SparkSession, text: str, schema: str) -> DataFrame:
     """A JSON array as a relation of the given schema."""
     return spark.createDataFrame([(text,)], "j string").select(F.inline(F.from_json("j", f"array<struct<{schema}>>", {"mode": "FAILFAST"})))
