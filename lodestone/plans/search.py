@@ -293,6 +293,37 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+_GRAMS = r"list_distinct(flatten(list_transform(string_split_regex({0}, '[^\p{{L}}\p{{N}}]+'), lambda w: case when w = '' then [] else list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)) end)))"
+
+
+def _hybrid_sql(vector: bool, candidates: int) -> str:
+    near = "select vec_id * 100000 as chunk_id, greatest(coalesce(list_cosine_similarity(embedding::double[], (select embedding from embeddings where vec_id = 3)::double[]), 0), 0) as v from embeddings order by v desc, vec_id limit 40" if vector else "select null::bigint as chunk_id, 0::double as v where false"
+    similar = lambda c: f"len(list_intersect({c}, q)) / len(list_distinct(list_concat({c}, q)))"
+    return f"""with {_WINDOWS}, x as (select chunk_id, chunk_index, source, 'docs/' || source || '/' || doc_id || '.md' as path, coalesce(lower(lang || ' ' || source), '') as title, lower(strip_accents(content)) as s from chunks),
+    w as (select *, len(list_filter({_LEXEMES.format("s")}, lambda w: w in ('que', 'src1'))) * 0.1::double as cr, len(list_filter({_LEXEMES.format("title || ' ' || path")}, lambda w: w in ('que', 'src1'))) * 0.1::double as dr, (contains(path, 'src1') or contains(title, 'src1'))::int * 4 as n from x),
+    l as (select chunk_id, 0::double as v from w where cr > 0 order by cr desc, chunk_id limit {candidates}), e as (select chunk_id, 0::double as v from w where n > 0 order by n desc, chunk_index, chunk_id limit {candidates}), near as ({near}),
+    m as (select chunk_id, max(v) as v from (select * from l union all select * from e union all select * from near) group by 1), g as (select w.*, v, {_GRAMS.format("s")} as a, {_GRAMS.format("path")} as b, {_GRAMS.format("'que or src1.'")} as q from w join m using (chunk_id))
+    select chunk_id, source as source_id, path as source_path, round(v * 12.0::double + dr * 5.0 + cr * 10.0 + {similar("a")} + {similar("b")} + ((s like '%que%' or path like '%que%')::int + (s like '%src1.%' or path like '%src1.%')::int) * 0.25::double + contains(s, 'src1')::int * 4.0::double + contains(path, 'src1')::int * 16.0::double + contains(title, 'src1')::int * 6.0::double, 4) as score
+    from g order by v * 12.0::double + dr * 5.0 + cr * 10.0 + {similar("a")} + {similar("b")} + ((s like '%que%' or path like '%que%')::int + (s like '%src1.%' or path like '%src1.%')::int) * 0.25::double + contains(s, 'src1')::int * 4.0::double + contains(path, 'src1')::int * 16.0::double + contains(title, 'src1')::int * 6.0::double desc, path, chunk_index, source limit 40"""
+
+
+@book.query(_hybrid_sql(True, 100))
+def search_hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The forty best of lexical, identifier and vector lanes with every part of the score, before they are diversified."""
+    index = search_index(spark, d)
+    vectors = table(spark, d, "embeddings").select((F.col("vec_id") * 100000).alias("chunk_id"), "embedding")
+    found = R.hybrid_ranked(index.chunks(), "que or src1.", 10, vectors, _query_vector(spark, d), index=index)
+    return found.select("chunk_id", "source_id", "source_path", F.round("score", 4).alias("score"))
+
+
+@book.query(_hybrid_sql(False, 500))
+def search_keyword_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same in keyword mode: no vectors, more candidates."""
+    index = search_index(spark, d)
+    found = R.hybrid_ranked(index.chunks(), "que or src1.", 10, mode="keyword", index=index)
+    return found.select("chunk_id", "source_id", "source_path", F.round("score", 4).alias("score"))
+
+
 @book.query("select source as source_id, count(*) as documents, sum(n)::bigint as chunks from (select source, doc_id, greatest(1, cast(ceil(greatest(length(text) - 400, 0) / 350.0) as bigint) + 1) as n from documents) group by 1")
 def list_sources(spark: SparkSession, d: str) -> DataFrame:
     """Sources with their documents and windows."""
