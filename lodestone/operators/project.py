@@ -12,6 +12,7 @@ from lodestone.functions import score as S
 from lodestone.functions import text as T
 from lodestone.io import small, written
 from lodestone.operators import retrieval as R
+from lodestone.operators.digests import bounded_samples
 
 if TYPE_CHECKING:
     from lodestone.operators.fulltext import TextIndex
@@ -110,10 +111,12 @@ def graph_files(files: DataFrame, symbols: DataFrame, rows: int = 5000) -> DataF
     return first.groupBy("file_id", "source_path", "lang").agg(listed.alias("symbols"))
 
 
-def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, expected: dict) -> DataFrame:
+def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, expected: dict, samples: bool = False) -> DataFrame:
     """One row of counts over served chunks (chunk_id, version_id, active_version_id, source_hash) and their embeddings (chunk_id, version_id, source_hash,
-    model, provider, dimensions, profile), with a status. One join gives all; each chunk's embeddings are folded before it."""
-    e = embeddings.select("chunk_id", F.col("version_id").alias("ev"), F.col("source_hash").alias("eh"), "model", "provider", "dimensions", "profile")
+    model, provider, dimensions, profile, and maybe length, that of the vector), with a status. One join gives all; each chunk's embeddings are folded before it. With ``samples`` the least
+    owners that are missing, stale, mismatched (model, provider or dimensions) or of another version are shown, and those are counted whose vector has another length."""
+    length = F.col("length") if "length" in embeddings.columns else F.lit(None).cast("int")
+    e = embeddings.select("chunk_id", F.col("version_id").alias("ev"), F.col("source_hash").alias("eh"), "model", "provider", "dimensions", "profile", length.alias("length"))
     c = chunks.select("chunk_id", F.col("version_id").alias("cv"), F.col("active_version_id").alias("av"), F.col("source_hash").alias("ch"))
     model, provider = F.col("model") == expected["model"], F.coalesce("provider", F.lit("")) == expected["provider"]
     size = F.col("dimensions") == expected["dimensions"]
@@ -125,6 +128,7 @@ def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, expected: dict)
         "provider_mismatch": model & ~provider,
         "dimension_mismatch": model & (F.col("dimensions") != expected["dimensions"]),
         "version_gap": model & F.col("ev").isNull(),
+        "invalid_length": F.col("length") != expected["dimensions"],
         "version_mismatch": model & F.col("cv").isNotNull() & F.col("ev").isNotNull() & (F.col("ev") != F.col("cv")),
     }
     joined = c.join(e.withColumn("there", F.lit(1)), "chunk_id", "left")
@@ -135,10 +139,69 @@ def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, expected: dict)
         n("stale").alias("stale_owners"), n("model_mismatch").alias("model_mismatch_owners"), n("provider_mismatch").alias("provider_mismatch_owners"), n("dimension_mismatch").alias("dimension_mismatch_owners"),
         n("gap").alias("chunk_version_gaps"), n("version_gap").alias("embedding_version_gaps"), n("version_mismatch").alias("embedding_version_mismatch_owners"),
     )
-    bad = sum((F.col(c) for c in out.columns if c not in ("chunk_owners", "embedding_owners", "embedding_records", "owners_valid")), F.lit(0))
+    if samples:
+        mismatch = F.col("model_mismatch") | F.col("provider_mismatch") | F.col("dimension_mismatch")
+        shown = {"missing_owner": ~F.col("valid"), "stale_owner": F.col("stale"), "mismatch_owner": mismatch, "version_mismatch_owner": F.col("version_mismatch"), "invalid_vector_length_owners": F.col("invalid_length")}
+        shown = counted(folded, "chunk_id", shown).select("invalid_vector_length_owners", *(f"{n}_sample" for n in list(shown)[:4]))
+        out = out.crossJoin(F.broadcast(shown))
+    bad = sum((F.col(c) for c in out.columns if c not in ("chunk_owners", "embedding_owners", "embedding_records", "owners_valid") and not c.endswith("_sample")), F.lit(0))
     return out.withColumn("status", F.when(bad > 0, "drift").otherwise("covered"))
 
 
+#: Paths or owners that a report shows of each problem. Fixed value.
+SHOWN = 10
+
+
+def counted(rows: DataFrame, path: str, flags: dict[str, Column], n: int = SHOWN) -> DataFrame:
+    """One row with the number of rows for which each flag holds, and of each flag its ``n`` least paths, as texts (``<flag>_sample``). Every row is read once; samples are bounded on the way."""
+    named = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in flags.items())))
+    found = bounded_samples(rows.select(F.col(path).cast("string").alias("path"), F.explode(named).alias("flag")), "flag", "path", n)
+    at = lambda name, c: F.max(F.when(F.col("flag") == name, F.col(c)))
+    none = F.array().cast("array<string>")
+    return found.agg(*(F.coalesce(at(name, "count"), F.lit(0)).alias(name) for name in flags), *(F.coalesce(at(name, "sample"), none).alias(f"{name}_sample") for name in flags))
+
+
+def disk_freshness(indexed: DataFrame, disk: DataFrame, n: int = SHOWN) -> DataFrame:
+    """One row: indexed files (path, hash, mtime, size) against the disk (path, hash, mtime, size; a null hash could not be read): counts, samples and a status."""
+    d = disk.select("path", *(F.col(c).alias(f"_{c}") for c in ("hash", "mtime", "size")), F.lit(True).alias("_there"))
+    rows = indexed.join(d, "path", "left")
+    there, readable, same = F.col("_there").isNotNull(), F.col("_hash").isNotNull(), F.col("_hash") == F.col("hash")
+    alike = F.col("_mtime").eqNullSafe(F.col("mtime")) & F.col("_size").eqNullSafe(F.col("size"))
+    flags = {"missing_files": ~there, "unverified_files": there & ~readable, "stale_files": readable & ~same, "metadata_drift_files": readable & same & ~alike, "fresh_files": readable & same & alike}
+    out = counted(rows, "path", flags, n).drop("fresh_files_sample")
+    status = F.when(F.col("unverified_files") > 0, "unverified").when(F.col("missing_files") > 0, "missing").when(F.col("stale_files") > 0, "stale").when(F.col("metadata_drift_files") > 0, "fresh_with_metadata_drift").otherwise("fresh")
+    return out.withColumn("freshness_status", status)
+
+
+def scope_coverage(expected: DataFrame, tracked: DataFrame, n: int = SHOWN) -> DataFrame:
+    """One row: the files that a scan expects (path, ignored) against those that are tracked (path, status): counts, samples and a status."""
+    e = expected.groupBy("path").agg(F.bool_and("ignored").alias("ignored"), F.lit(True).alias("wanted"))
+    t = tracked.groupBy("path").agg(F.bool_or(F.col("status") == "indexed").alias("indexed"), F.bool_or(F.col("status") == "blocked").alias("blocked"), F.lit(True).alias("tracked"))
+    known = lambda c: F.coalesce(c, F.lit(False))
+    wanted, ignored, indexed = known(F.col("wanted")) & ~known(F.col("ignored")), known(F.col("ignored")), known(F.col("indexed"))
+    flags = {
+        "expected_files": wanted, "missing_expected_files": wanted & ~known(F.col("tracked")), "blocked_expected_files": wanted & known(F.col("blocked")), "extra_indexed_files": indexed & ~known(F.col("wanted")),
+        "ignored_expected_files": ignored, "ignored_indexed_files": indexed & ignored,
+    }
+    out = counted(e.join(t, "path", "full"), "path", flags, n).drop("expected_files_sample")
+    return out.withColumn("scope_status", F.when((F.col("missing_expected_files") > 0) | (F.col("extra_indexed_files") > 0) | (F.col("ignored_indexed_files") > 0), "drift").otherwise("covered"))
+
+
+def invariant_report(expected: DataFrame, tracked: DataFrame, indexed: DataFrame, disk: DataFrame, chunks: DataFrame, embeddings: DataFrame, wanted: dict, ownership: DataFrame, readiness: DataFrame, context: str = "covered") -> DataFrame:
+    """One row with everything that is checked of an index: scope, freshness, embeddings with samples, the one-row reports ``ownership`` and ``readiness``, and the gate's answer."""
+    parts = [
+        scope_coverage(expected, tracked), disk_freshness(indexed, disk), embedding_coverage(chunks, embeddings, wanted, samples=True).withColumnRenamed("status", "embedding_status"),
+        ownership.withColumnRenamed("status", "ownership_status"), readiness.withColumnRenamed("status", "readiness_status"),
+        tracked.agg(F.count_if(F.col("status") == "indexed").alias("indexed_files")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:  # each is one row
+        out = out.crossJoin(F.broadcast(part))
+    fresh = F.when(F.col("freshness_status") == "fresh_with_metadata_drift", "fresh").otherwise(F.col("freshness_status"))
+    code = gate(F.col("indexed_files"), F.col("chunk_owners"), fresh, F.lit(context), F.col("scope_status"), F.col("embedding_status"), F.col("ownership_status"), F.col("readiness_status"))
+    return out.withColumn("failure_code", code)
+
+
 def ownership_coverage(files: DataFrame, chunks: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts of references that lead nowhere or to deleted files, with a status. ``files``: file_id, status; ``chunks``: chunk_id, file_id; ``symbols``:
     symbol_id, file_id, chunk_id; ``edges``: source_file, target_file, source_symbol, target_symbol."""

@@ -102,6 +102,55 @@ def project_embedding_coverage(spark: SparkSession, d: str) -> DataFrame:
     return P.embedding_coverage(c, e, {"model": "m1", "provider": "p1", "dimensions": 1024, "profile": "x"})
 
 
+_EMBEDDINGS = f"""e as (select chunk_id, version_id as ev, source_hash as eh, model, provider, dimensions, profile, case when chunk_id % 23 = 0 then 3 else dimensions end as length from ({_EMB})), c as ({_OWN}),
+    j as (select c.chunk_id, coalesce(model = 'm1' and provider = 'p1' and dimensions = 1024 and profile = 'x' and version_id = active_version_id and ev = version_id and (eh is null or eh = source_hash), false) as valid, coalesce(model = 'm1' and provider = 'p1' and dimensions = 1024 and eh <> source_hash, false) as stale,
+        coalesce(model <> 'm1' or provider <> 'p1' or dimensions <> 1024, false) as mis, coalesce(model = 'm1' and ev <> version_id, false) as vm, coalesce(length <> 1024, false) as short from c left join e on e.chunk_id = c.chunk_id),
+    k as (select chunk_id::varchar as chunk_id, bool_or(valid) as valid, bool_or(stale) as stale, bool_or(mis) as mis, bool_or(vm) as vm, bool_or(short) as short from j group by 1)"""
+
+
+def _embeddings_with_lengths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    e = docs.filter("doc_id % 6 <> 0").selectExpr("doc_id as chunk_id", "case when doc_id % 11 = 0 then null else doc_id % 3 end as version_id", "case when doc_id % 5 = 0 then 'old' when doc_id % 7 = 0 then null else md5(coalesce(text, '')) end as source_hash", "case when doc_id % 13 = 0 then 'm0' else 'm1' end as model", "case when doc_id % 17 = 0 then 'p0' else 'p1' end as provider", "case when doc_id % 19 = 0 then 64 else 1024 end as dimensions", "'x' as profile")
+    c = docs.selectExpr("doc_id as chunk_id", "doc_id % 3 as version_id", "case when doc_id % 4 = 0 then 9 else doc_id % 3 end as active_version_id", "md5(coalesce(text, '')) as source_hash")
+    return c, e.withColumn("length", F.when(F.col("chunk_id") % 23 == 0, 3).otherwise(F.col("dimensions")))
+
+
+_LEAST = "coalesce(list_sort(list(distinct {0}) filter (where {1}))[1:10], [])"
+_SAMPLES = ", ".join(f"{_LEAST.format('chunk_id', flag)} as {name}_sample" for name, flag in (("missing_owner", "not valid"), ("stale_owner", "stale"), ("mismatch_owner", "mis"), ("version_mismatch_owner", "vm")))
+
+
+@book.query(f"with {_EMBEDDINGS} select count(*) filter (where short) as invalid_vector_length_owners, {_SAMPLES}, 'drift' as status from k")
+def project_embedding_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The least owners of each problem, and those with vectors of another length."""
+    c, e = _embeddings_with_lengths(spark, d)
+    found = P.embedding_coverage(c, e, {"model": "m1", "provider": "p1", "dimensions": 1024, "profile": "x"}, samples=True)
+    return found.select("invalid_vector_length_owners", *(f"{n}_owner_sample" for n in ("missing", "stale", "mismatch", "version_mismatch")), "status")
+
+
+_TRACKED = "select 'src/' || o_orderkey as path, case when o_orderkey % 17 = 0 then 'blocked' when o_orderkey % 19 = 0 then 'deleted' else 'indexed' end as status, o_orderkey as k from orders where o_orderkey % 11 <> 0"
+_INVARIANTS = f"""t as ({_TRACKED}), x as (select 'src/' || o_orderkey as path, o_orderkey % 23 = 0 as ignored from orders where o_orderkey % 13 <> 0), i as (select path, k from t where status = 'indexed'),
+    s as (select coalesce(x.path, t.path) as path, x.path is not null as wanted, coalesce(ignored, false) as ignored, t.path is not null as tracked, coalesce(status = 'indexed', false) as indexed, coalesce(status = 'blocked', false) as blocked from x full join t on t.path = x.path),
+    d as (select path, k % 29 = 0 as gone, k % 31 = 0 as unread, k % 37 = 0 as changed, k % 41 = 0 as touched from i), g as (select path, gone as missing, not gone and unread as unverified, not gone and not unread and changed as stale, not gone and not unread and not changed and touched as drift from d)"""
+
+
+@book.query(f"""with {_INVARIANTS}, {_EMBEDDINGS}, a as (select count(*) filter (where wanted and not ignored) as expected_files, count(*) filter (where wanted and not ignored and not tracked) as missing_expected_files, count(*) filter (where wanted and not ignored and blocked) as blocked_expected_files, count(*) filter (where indexed and not wanted) as extra_indexed_files,
+        count(*) filter (where ignored) as ignored_expected_files, count(*) filter (where indexed and ignored) as ignored_indexed_files, {_LEAST.format("path", "wanted and not ignored and not tracked")} as missing_expected_files_sample, {_LEAST.format("path", "indexed and not wanted")} as extra_indexed_files_sample, count(*) filter (where indexed) as indexed_files from s),
+    b as (select count(*) filter (where missing) as missing_files, count(*) filter (where unverified) as unverified_files, count(*) filter (where stale) as stale_files, count(*) filter (where drift) as metadata_drift_files, count(*) filter (where not (missing or unverified or stale or drift)) as fresh_files, {_LEAST.format("path", "stale")} as stale_files_sample from g),
+    e2 as (select count(*) as chunk_owners, count(*) filter (where valid) as owners_valid, count(*) filter (where short) as invalid_vector_length_owners, {_SAMPLES} from k)
+    select *, 'unverified' as freshness_status, 'drift' as scope_status, 'drift' as embedding_status, 'PROJECT_INDEX_UNVERIFIED' as failure_code from a, b, e2""")
+def project_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Scope, freshness, embeddings, ownership and readiness of an index in one row, with samples and the gate's answer."""
+    tracked = table(spark, d, "orders").filter("o_orderkey % 11 <> 0").selectExpr("'src/' || o_orderkey as path", "case when o_orderkey % 17 = 0 then 'blocked' when o_orderkey % 19 = 0 then 'deleted' else 'indexed' end as status", "o_orderkey as k")
+    expected = table(spark, d, "orders").filter("o_orderkey % 13 <> 0").selectExpr("'src/' || o_orderkey as path", "o_orderkey % 23 = 0 as ignored")
+    indexed = tracked.filter("status = 'indexed'").selectExpr("path", "md5(path) as hash", "k as mtime", "1 as size", "k")
+    disk = indexed.filter("k % 29 <> 0").selectExpr("path", "case when k % 31 = 0 then null when k % 37 = 0 then 'other' else hash end as hash", "case when k % 41 = 0 then mtime + 1 else mtime end as mtime", "size")
+    c, e = _embeddings_with_lengths(spark, d)
+    found = P.invariant_report(expected, tracked.drop("k"), indexed.drop("k"), disk, c, e, {"model": "m1", "provider": "p1", "dimensions": 1024, "profile": "x"}, project_ownership_coverage(spark, d), project_version_readiness(spark, d))
+    scope = ["expected_files", "missing_expected_files", "blocked_expected_files", "extra_indexed_files", "ignored_expected_files", "ignored_indexed_files", "missing_expected_files_sample", "extra_indexed_files_sample", "indexed_files", "scope_status"]
+    fresh = ["missing_files", "unverified_files", "stale_files", "metadata_drift_files", "fresh_files", "stale_files_sample", "freshness_status"]
+    return found.select(*scope, *fresh, "chunk_owners", "owners_valid", "invalid_vector_length_owners", *(f"{n}_owner_sample" for n in ("missing", "stale", "mismatch", "version_mismatch")), "embedding_status", "failure_code")
+
+
 @book.query("""with f as (select c_custkey as file_id, case when c_custkey % 9 = 0 then 'deleted' else 'indexed' end as status from customer where c_custkey % 10 <> 3), c as (select o_orderkey as chunk_id, o_custkey as file_id from orders), s as (select l_orderkey * 10 + l_linenumber as symbol_id, l_suppkey as file_id, l_orderkey as chunk_id from lineitem),
     e as (select o_custkey as source_file, case when o_orderkey % 2 = 0 then o_custkey + 1 end as target_file, o_orderkey * 10 + 1 as source_symbol, case when o_orderkey % 3 = 0 then o_orderkey * 10 + 9 end as target_symbol from orders)
     select (select count(*) from c left join f using (file_id) where f.status is null) as chunk_file_orphans, (select count(*) from c join f using (file_id) where f.status = 'deleted') as deleted_file_chunks, (select count(*) from s left join f using (file_id) where f.status is null) as symbol_file_orphans, (select count(*) from s join f using (file_id) where f.status = 'deleted') as deleted_file_symbols,
