@@ -124,10 +124,11 @@ def variant_metrics(evaluated: DataFrame, *by: str) -> DataFrame:
     """One row of rates, means and latencies of evaluated scenarios, for each group; rates of hits are over the scenarios to which they apply. Latencies at half and at 95 of a hundred are those of
     rank floor((n - 1) p), found by counts of equal values rather than by a list of all."""
     rates = {"exact_path": "path_hit", "exact_symbol": "symbol_hit", "exact_line": "line_hit"}
-    n = F.count("*")
+    n, none = F.count("*"), F.lit(0.0)
+    share = lambda c: F.coalesce(F.try_divide(F.count_if(c), n), none)
     out = evaluated.groupBy(*by).agg(
-        n.alias("scenarios"), (F.count_if("success") / n).alias("success_rate"), *(null_aware_rate(c).alias(f"{name}_rate") for name, c in rates.items()), (F.count_if("contamination") / n).alias("contamination_rate"),
-        *(F.avg(c).alias(name) for name, c in (("mrr", "mrr"), ("ndcg", "ndcg"), ("quality", "quality"))),
+        n.alias("scenarios"), share("success").alias("success_rate"), *(F.coalesce(F.try_divide(F.count_if(c), F.count(c)), none).alias(f"{name}_rate") for name, c in rates.items()), share("contamination").alias("contamination_rate"),
+        *(F.coalesce(F.avg(c), none).alias(c) for c in ("mrr", "ndcg", "quality")),
     )
     counts = evaluated.groupBy(*by, "latency_ms").agg(n.alias("_n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
