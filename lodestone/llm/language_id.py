@@ -6,7 +6,7 @@ likelihood: starting from the best single one, a language is added while it rais
 share of a BIC penalty. The prediction is the language with the largest proportion, the score its proportion.
 
 The model is learnt from a bounded sample of labelled rows: about ``PER_LANGUAGE`` documents of each language, chosen by a
-hash of the id. Every label is learnt. Trigrams are counted in ``BINS`` hashed bins, so the model takes 128 KiB for each
+hash of id and text (rows without an id are sampled like others). Every label is learnt. Trigrams are counted in ``BINS`` hashed bins, so the model takes 128 KiB for each
 label: its size goes with the number of languages, not with the corpus.
 
 Results for odd input: null text and text without a letter are ``und`` with score 0; without labelled rows all are ``und``;
@@ -112,7 +112,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     # Thresholds on the hash take about per_language rows of each language, wherever they lie.
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
     wanted = written(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * (1 << 30)).cast("bigint").alias("below")), "labels")
-    chosen = rows.join(small(wanted), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
+    chosen = rows.join(small(wanted), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("below"))
     counts = chosen.select("lang", "text").mapInArrow(count_trigrams, "lang string, counts binary").groupBy("lang").applyInArrow(summed, "lang string, counts binary").collect()
     names = sorted(r.lang for r in counts)
     if not names:

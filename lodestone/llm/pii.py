@@ -11,21 +11,21 @@ titles and particles stay, the last word is the family name, the words before it
 script stays. Words are what must be distinct, and names then are.
 
 Distinctness is checked, not hoped for: the distinct entities of the corpus are written to a table, and those whose
-surrogate another entity also drew, or that is itself an entity of the corpus, draw again until none is left.
+surrogate another entity also drew, or that is itself an entity of the corpus, draw again until none is left, or ``LAST_DRAW`` is reached.
 
 The texts are searched once and written with what was found. Surrogates are drawn once for each distinct entity and joined
 to the places; only texts with an entity take part in a join, so what moves is their share of the corpus, whatever its size.
 
 Results for odd input: null text stays null with no entities; empty text stays empty; repeated rows are replaced alike;
 ids are carried as they are; an empty table gives no rows; further columns of the input are kept (but
-``n_entities`` and ``entity_types``, which are replaced).
+``n_entities`` and ``entity_types``, which are replaced). Of more than ``NAME_WORDS`` capitalised words behind a title the first ones are
+the name. A corpus with more entities than a format without a wider form has room for (SSNs, cards, IBANs, secrets) is an error after ``LAST_DRAW`` draws.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{
 #: Draws within an entity's own format; a draw gives a name one more syllable. What clashes after them is assigned by rank (small
 #: ranges of IPv4) or drawn in a wider format, until nothing clashes.
 DRAWS = 12
+#: The last draw; entities that still clash then are an error. Formats that can be widened never come there.
+LAST_DRAW = 64
 #: Private IPv4 ranges of 65,536 addresses.
 SMALL_RANGE = r"^(192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|169\.254)\."
 
@@ -64,6 +66,8 @@ SYLLABLES = {
     "greek": ["βα", "γε", "δη", "ζα", "θε", "κο", "λα", "μα", "νι", "πα", "ρο", "σα", "τα", "φω", "χα", "ψα"],
 }
 
+#: Words of a name behind a title; what follows in capitals beyond them is no longer the name, as in a headline.
+NAME_WORDS = 5
 _TITLE = "(?:" + "|".join(t for g in TITLES.values() for t in sorted(g, key=len, reverse=True)) + ")\\.? "
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: A word of a name: an initial or a capitalised word, behind particles.
@@ -79,7 +83,7 @@ PATTERNS = {
     "us": r"[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9\-])",
     "card": r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "national": r"(?:(?:1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}|(?:1[ .\-])?[2-9][0-9]{2}[ .\-][0-9]{3}[ .\-][0-9]{4}|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4}|(?<![A-Za-z0-9]..|[0-9][.,]..)[0-9]{8}(?![A-Za-z]))|0[1-9][0-9]{1,4}(?: ?/ ?|[ \-])[0-9]{2,4}(?:[ \-]?[0-9]{2,4}){1,2}|[6-9][0-9]{2}(?: [0-9]{3} [0-9]{3}|(?: [0-9]{2}){3})|9[0-9] [0-9]{3} [0-9]{2} [0-9]{2})(?![0-9]|-[0-9])",
-    "name": f"(?:{_TITLE}){{1,6}}{_WORD}(?: {_WORD})*+",
+    "name": f"(?:{_TITLE}){{1,6}}{_WORD}(?: {_WORD}){{0,{NAME_WORDS - 1}}}+",
 }
 #: What may stand directly before an entity of a type, as look-behinds of the characters that may not. Letters outside ASCII,
 #: as in text without spaces, may stand before all; ASCII letters before what begins with a digit or a title.
@@ -352,7 +356,7 @@ def surrogates(marked: DataFrame, found: str, key: str = KEY) -> DataFrame:
     corpus = entities.filter(entity).select(F.col("key").alias("drawn")).distinct()
     now, none = entities.withColumn("attempt", F.lit(0)), F.lit(None).cast("string")
     now = now.withColumns({"given": none, "one": none})
-    for turn in count():
+    for turn in range(LAST_DRAW + 1):
         one = F.when(F.col("attempt") == turn, F.coalesce("given", surrogate(F.col("entity"), F.col("attempt"), key))).otherwise(F.col("one"))
         drawn = written(now.withColumn("one", one).withColumn("drawn", key_of(F.col("one"))), "draws")
         checked = drawn.filter(entity)
@@ -368,7 +372,8 @@ def surrogates(marked: DataFrame, found: str, key: str = KEY) -> DataFrame:
         else:
             again = again.withColumn("fixed", none)
         now = drawn.join(again, "key", "left").withColumn("attempt", F.coalesce("next", "attempt")).withColumn("given", F.coalesce("fixed", "given")).select("entity", "key", "attempt", "given", "one")
-    raise AssertionError("unreachable")
+    kinds = [r[0] for r in clash.select(F.substring_index("key", "\x1f", 1)).distinct().limit(20).collect()]
+    raise ValueError(f"after {LAST_DRAW} draws entities are left without a surrogate of their own: the formats of {', '.join(sorted(kinds))} are full")
 
 
 def _woven(text: str, surrogates: Column) -> Column:

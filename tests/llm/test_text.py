@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, language_id, packing, pii
@@ -344,6 +345,29 @@ def test_a_crowded_address_range_is_assigned_by_rank(spark, tmp_path, monkeypatc
     assert all(x.startswith("192.168.") for x in out)
 
 
+def test_names_end_and_full_formats_are_an_error(spark, monkeypatch):
+    rows = [(1, "Dr House Party Rules Are Here Now For All"), (2, "Sra. María del Carmen García López Fernández dijo"), (3, "Mr John Smith Is Here")]
+    texts = {r.doc_id: r.text for r in pii.replace_in(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert texts[1].endswith(" Now For All") and texts[1].startswith("Dr ") and not any(w in texts[1] for w in ("House", "Party", "Rules", "Are ", "Here"))
+    assert texts[2].startswith("Sra. ") and " del " in texts[2] and texts[2].endswith(" dijo") and "Fernández" not in texts[2]
+    # Every draw gives the same SSN, so the format is full for two of them.
+    monkeypatch.setattr(pii, "LAST_DRAW", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda e, attempt, key: F.lit("912-34-5678"))
+    two = spark.createDataFrame([(1, "123-45-6789 and 223-45-6789")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="ssn"):
+        pii.replace_in(two).collect()
+
+
+def test_rows_without_ids_are_sampled_for_training(spark):
+    rows = [(None, f"the on thing number {i} " * 3, "en") for i in range(400)] + [(i, f"der und das {i}", "de") for i in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    names, model = language_id.train(labelled, per_language=20)
+    assert names == ["de", "en"] and model.shape[0] == 2
+    # What was counted is about twenty texts of each language, not all that lack an id.
+    share = labelled.filter("lang = 'en'").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(20 / 400 * (1 << 30))).count()
+    assert 5 <= share <= 50
+
+
 def test_words_of_names_agree(spark, tmp_path):
     texts = ["Mr Smith", "Mr. Smith", "Herr John Smith", "Mr John Smith", "Mr. J. Smith", "Mr. K. Smith", "Frau SMITH", "Monsieur von Smith", "Mrs Anna Braun", "Dr. Anna Braun", "Señora d'Arc", "Mr John Paul Smith", "Господин Иван Петров", "Κύριος Νίκος Παπάς"]
     out = replaced(spark, str(tmp_path / "n"), texts)
