@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import chunking, code, corpus, project, quality, retrieval
+from lodestone.operators.fulltext import TextIndex
 from lodestone.operators.relational import with_total
+from lodestone.operators.vector_index import VectorIndex
 from lodestone.sources.files import source_filter
 
 
@@ -44,17 +46,20 @@ def check_choice(value: str, name: str, choices: list[str]) -> str:
 
 @dataclass
 class Docs:
-    """Documentation: chunks (see ``retrieval.hybrid_search``) and, for vector search, their embeddings."""
+    """Documentation: chunks (see ``retrieval.hybrid_search``) and, for vector search, their embeddings or an index of them. With a text index of the enabled chunks a search that isn't
+    bound to sources reads postings instead of all chunks."""
 
     chunks: DataFrame
-    vectors: DataFrame | None = None
+    vectors: DataFrame | VectorIndex | None = None
     documents: DataFrame | None = None
+    index: TextIndex | None = None
 
     def _embed(self, query: str) -> list[float] | None:
         if self.vectors is None:
             return None
         one = self.chunks.sparkSession.createDataFrame([(0, query)], "k int, q string")
-        return list(retrieval.hashed_embeddings(one, "k", "q", len(self.vectors.first()["embedding"])).first()["embedding"])
+        width = len(self.vectors.first()["embedding"]) if isinstance(self.vectors, DataFrame) else self.vectors.width
+        return list(retrieval.hashed_embeddings(one, "k", "q", width).first()["embedding"])
 
     def search(self, query: str, limit: int = 10, mode: str | None = None, source_ids: list[str] | None = None, **wanted: object) -> DataFrame:
         """Ranked chunks for a query. ``wanted``: category, language, kind, authority or tags of the document. With such filters four times as many are
@@ -67,7 +72,7 @@ class Docs:
         rows = self.chunks.filter(F.col("source_id").isin([check_id(s) for s in source_ids])) if source_ids else self.chunks
         use = retrieval.plan_for(mode, self.vectors is not None)[0]
         fetched = min(50, 4 * limit) if wanted else limit
-        found = retrieval.hybrid_search(rows, query, fetched, self.vectors if use else None, self._embed(query) if use else None, mode, self.documents)
+        found = retrieval.hybrid_search(rows, query, fetched, self.vectors if use else None, self._embed(query) if use else None, mode, self.documents, None if source_ids else self.index)
         if self.documents is None:
             return found
         known = self.documents.join(F.broadcast(found.select("source_path")), "source_path", "left_semi")
@@ -86,7 +91,9 @@ class Docs:
 
     def health(self) -> DataFrame:
         """Counts that tell whether the index is fit to serve."""
-        vectors = self.vectors.select("chunk_id").distinct() if self.vectors is not None else self.chunks.select("chunk_id").limit(0)
+        vectors = self.chunks.select("chunk_id").limit(0)
+        if self.vectors is not None:
+            vectors = (self.vectors if isinstance(self.vectors, DataFrame) else self.vectors.ids()).select("chunk_id").distinct()
         missing = self.chunks.filter("enabled").join(vectors, "chunk_id", "left_anti").agg(F.count("*").alias("without_embedding"))
         return self.chunks.agg(F.countDistinct("source_path").alias("documents"), F.count("*").alias("chunks"), F.count_if(F.trim("content") == "").alias("empty")).crossJoin(F.broadcast(missing))
 
@@ -103,12 +110,25 @@ class Docs:
 
 @dataclass
 class Project:
-    """A source repository: files with path and content."""
+    """A source repository: files with path and content. With a cache of parses only contents that nobody has seen are parsed; with a text index of the build's chunks a search reads its postings."""
 
     files: DataFrame
     chunks: DataFrame | None = None
     build: DataFrame | None = None
     vectors: DataFrame | None = None
+    index: TextIndex | None = None
+    cache: code.ParseCache | None = None
+
+    def __post_init__(self) -> None:
+        if self.cache is not None:
+            self.cache.ingest(self.files)
+
+    def _definitions(self, files: DataFrame | None = None) -> DataFrame:
+        files = self.files if files is None else files
+        return code.definitions(files) if self.cache is None else self.cache.symbols(files).select("path", *(n for n, _, _ in code.DEFINITION))
+
+    def _edges(self) -> DataFrame:
+        return code.edges(self.files) if self.cache is None else self.cache.edges(self.files)
 
     def search(self, query: str, limit: int = 10, mode: str = "hybrid", query_vector: list[float] | None = None, active: str | None = None, most_characters: int | None = None) -> project.Answer:
         """Ranked chunks of the published build, with what the search fell back to. ``chunks`` and ``build`` as ``project.search`` takes them."""
@@ -117,7 +137,7 @@ class Project:
         check_choice(mode, "mode", ["hybrid", "keyword", "vector", "graph"])
         query, limit = check_text(query, "query"), check_number(limit, "limit", 1, 50)
         budget = None if most_characters is None else check_number(most_characters, "most_characters", 1, 1_000_000)
-        return project.search_with_fallback(self.chunks, self.build, query, limit, self.vectors, query_vector, mode=mode, active=active, most_characters=budget)
+        return project.search_with_fallback(self.chunks, self.build, query, limit, self.vectors, query_vector, mode=mode, active=active, most_characters=budget, index=self.index)
 
     #: The older name of the same tool.
     search_docs = search
@@ -126,17 +146,17 @@ class Project:
         """(chunks, symbols, edges) of the files that are safe, with secrets redacted."""
         safe = self.files.filter(quality.path_security("path", F.lit("")).isNull())
         clean = safe.withColumn("content", quality.redacted("content")[0])
-        return chunking.chunks(clean, "path", "content", "structure", path="path"), code.symbols(clean), code.edges(clean)
+        return chunking.chunks(clean, "path", "content", "structure", path="path"), code.definitions(clean), code.edges(clean)
 
     def symbols(self, name: str, kind: str | None = None, limit: int = 20) -> DataFrame:
         """Definitions of a name, case ignored."""
-        rows = code.symbols(self.files).filter(F.lower("name") == check_text(name, "name", 200).lower())
+        rows = self._definitions().filter(F.lower("name") == check_text(name, "name", 200).lower())
         rows = rows.filter(F.col("kind") == kind) if kind else rows
         return rows.orderBy("start_line", "path").limit(check_number(limit, "limit", 1, 100))
 
     def references(self, name: str, limit: int = 20) -> DataFrame:
         """Files that call or import a name."""
-        rows = code.edges(self.files).filter(F.col("ref") == check_text(name, "name", 200).lower())
+        rows = self._edges().filter(F.col("ref") == check_text(name, "name", 200).lower())
         return rows.select("path", "relation", "ref").distinct().orderBy("path", "relation").limit(check_number(limit, "limit", 1, 100))
 
     def file(self, path: str, limit: int = 100) -> DataFrame:
@@ -145,15 +165,15 @@ class Project:
         return with_total(rows, check_number(limit, "limit", 1, 500), F.asc("chunk_index"))
 
     def outline(self, path: str) -> DataFrame:
-        """The declarations of a file, in order."""
-        return code.symbols(self.files.filter(F.col("path") == check_text(path, "path"))).orderBy("start_line")
+        """The definitions of a file in order, each with what it lies in."""
+        return self._definitions(self.files.filter(F.col("path") == check_text(path, "path"))).orderBy("start_line", "depth")
 
     def hubs(self, smallest: int = 2, limit: int = 20) -> DataFrame:
         """The largest directories."""
-        counts = code.symbols(self.files).groupBy("path").agg(F.count("*").alias("symbols"))
+        counts = self._definitions().groupBy("path").agg(F.count("*").alias("symbols"))
         rows = self.files.select("path", T.extension("path").alias("lang")).join(counts, "path", "left").fillna({"symbols": 0})
         return code.feature_hubs(rows, smallest, limit)
 
     def navigation(self) -> DataFrame:
         """One hop along imports and calls."""
-        return code.navigation(code.edges(self.files), self.files, code.symbols(self.files))
+        return code.navigation(self._edges(), self.files, self._definitions())

@@ -226,6 +226,16 @@ class VectorIndex:
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
         return top.select("query_id", "id", "cosine", rank.alias("rank"))
 
+    @property
+    def width(self) -> int:
+        """Components of a vector."""
+        return self._note()["width"]
+
+    def ids(self) -> DataFrame:
+        """(chunk_id) of all vectors that count."""
+        note = self._note()
+        return self._rows(note, range(note["cells"])).select(F.col("id").alias("chunk_id"))
+
     def nearest_to(self, query: list[float], k: int, probes: float = PROBES) -> DataFrame:
         """(chunk_id, vector_score) of the ``k`` nearest to one vector, scores not below 0: a lane of a search."""
         one = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<double>")

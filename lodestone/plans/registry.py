@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose ``QUERIES`` (name -> function) and ``ORACLES`` (name -> SQL) make up the registry.
-MODULES: tuple[str, ...] = ("lodestone.plans.scalars", "lodestone.plans.relations", "lodestone.plans.search", "lodestone.plans.content", "lodestone.plans.monitoring", "lodestone.plans.intake", "lodestone.plans.corpus", "lodestone.plans.project", "lodestone.plans.lifecycle", "lodestone.plans.code", "lodestone.plans.writes")
+MODULES: tuple[str, ...] = ("lodestone.plans.scalars", "lodestone.plans.relations", "lodestone.plans.search", "lodestone.plans.content", "lodestone.plans.monitoring", "lodestone.plans.intake", "lodestone.plans.corpus", "lodestone.plans.project", "lodestone.plans.lifecycle", "lodestone.plans.code", "lodestone.plans.writes", "lodestone.plans.tools")
 
 #: Name of the query that ``entry`` runs.
 FLAGSHIP = "search_keyword"
