@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,14 +78,16 @@ def limit_batch(events: DataFrame, kind: str, limit: int, window: float) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, None
         for batch in batches:
-            allowed, remaining = [], []
-            for k, t in zip(batch.key, batch.ts, strict=True):
-                if k != key:
-                    key, held = k, None
-                (one,), held = rule([t.timestamp()], limit, window, held)
-                allowed.append(one[0])
-                remaining.append(one[1])
-            yield batch.assign(allowed=allowed, remaining=remaining)[["key", "event_id", "ts", "allowed", "remaining"]]
+            if batch.empty:
+                continue
+            keys, seconds, out = batch.key.to_numpy(), batch.ts.to_numpy().astype("datetime64[us]").astype("int64") / 1e6, []
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(starts, starts[1:]):  # the rows of a key at once
+                held = held if keys[a] == key else None
+                key = keys[a]
+                found, held = rule(seconds[a:b].tolist(), limit, window, held)
+                out += found
+            yield batch.assign(allowed=[x[0] for x in out], remaining=[x[1] for x in out])[["key", "event_id", "ts", "allowed", "remaining"]]
 
     rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInPandas(run, DECISIONS)

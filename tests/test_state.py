@@ -189,3 +189,31 @@ def test_an_ingest_ends_as_one_or_not_at_all(spark, tmp_path):
 def test_the_queries_see_all_kinds_of_ends(spark):
     found = plans.jobs_fenced(spark, SF).collect()
     assert {r.status for r in found} >= {"queued", "running", "succeeded", "retry-wait"} and sum(r.stale for r in found) > 0
+
+
+def test_idle_keys_leave_the_store_of_a_rate_limit(spark, tmp_path):
+    """Every user's events of the test table through the stream limiter, a week at a time: what is held is bounded by who was active lately, and an event that is later than the watermark is not decided again."""
+    from lodestone.streaming import limits
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.dayofmonth("ts")
+    late = events.filter(day == 2).limit(1).withColumn("event_id", F.lit(10**9).cast("bigint"))
+    last = spark.sql("select 'nobody' as key, 2000000000L as event_id, timestamp'2024-03-01 00:00:00' as ts")
+    held, sizes = [], []
+    for n, part in enumerate((events.filter(day <= 10), events.filter((day > 10) & (day <= 20)), events.filter(day > 20).unionByName(late), last)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        writer = limits.limit_stream(stream, "sliding", 3, 3600).writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / "out")))
+        query = writer.outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert query.exception() is None
+        progress = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        sizes.append(progress[-1])
+        held.append(part.select("key").distinct().count())
+    decided = spark.read.parquet(str(tmp_path / "out"))
+    # Of ten days' users those of the last hour are held, and none but the last one's at the end.
+    assert all(size < users / 2 for size, users in zip(sizes[:3], held[:3], strict=True)) and sizes[3] <= 1
+    assert decided.filter("event_id = 1000000000").count() == 0
+    one = {(r.event_id, r.allowed, r.remaining) for r in decided.filter("event_id < 1000000000").collect()}
+    assert one == {(r.event_id, r.allowed, r.remaining) for r in limits.limit_batch(events, "sliding", 3, 3600).collect()}
