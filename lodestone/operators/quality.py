@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,25 +291,110 @@ def _comparable(c: Column) -> Column:
     return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, c))
 
 
-def blocks(docs: DataFrame, key: str, text: str = "text", smallest: int = 4, largest: int = 20) -> DataFrame:
-    """(key, hash, start, size): every window of 4 to 20 lines with at least twenty characters beside comments and blanks.
-
-    Lines are normalised once, not once for each of the windows they stand in: neighbours are joined by a blank, and lines
-    with empty ones between them by nothing, which is what normalising the whole window gives. Only texts with block
-    comments, which cross lines, are normalised window by window."""
+def _pieces(docs: DataFrame, key: str, text: str, smallest: int) -> DataFrame:
+    """key, _l (lines of texts with block comments, which cross lines; null for others) and _p: lines normalised once, so that a window's text is that of its pieces, one after
+    another, without blanks at its ends: neighbours are joined by a blank, lines with empty ones between them by nothing."""
     lines = F.split(text, "\n")
     bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"//.*$", ""), r"\s+", " ")))
     split = docs.select(key, lines.alias("_l"), F.contains(F.col(text), F.lit("/*")).alias("_c"), bare.alias("_b")).filter(F.size("_l") >= smallest)
     glued = F.transform("_b", lambda x, i: F.when((i > 0) & (x != "") & (F.get("_b", i - 1) != ""), F.concat(F.lit(" "), x)).otherwise(x))
-    split = split.select(key, F.when(F.col("_c"), F.col("_l")).alias("_l"), glued.alias("_p"))
+    return split.select(key, F.when(F.col("_c"), F.col("_l")).alias("_l"), glued.alias("_p"))
+
+
+def _window_text(size: Column | str) -> Column:
+    """The normalised text of a window that begins with the first entry of ``_l`` and ``_p``."""
+    size = F.col(size) if isinstance(size, str) else size
+    return F.when(F.col("_l").isNull(), F.trim(F.array_join(F.slice("_p", F.lit(1), size), ""))).otherwise(_comparable(F.array_join(F.slice("_l", F.lit(1), size), "\n")))
+
+
+def _windows(split: DataFrame, key: str, smallest: int, largest: int) -> DataFrame:
+    """key, start, size and _t of all windows of pieces with at least twenty characters."""
     starts = split.select(key, "_l", "_p", F.explode(F.sequence(F.lit(1), F.size("_p") - smallest + 1)).alias("start"))
     starts = starts.select(key, "start", F.slice("_l", F.col("start"), F.lit(largest)).alias("_l"), F.slice("_p", F.col("start"), F.lit(largest)).alias("_p"))
     sized = starts.select(key, "start", "_l", "_p", F.explode(F.sequence(F.lit(smallest), F.size("_p"))).alias("size"))
-    plain = F.when(F.col("_l").isNull(), F.trim(F.array_join(F.slice("_p", F.lit(1), F.col("size")), ""))).otherwise(_comparable(F.array_join(F.slice("_l", F.lit(1), F.col("size")), "\n")))
-    found = sized.select(key, "start", "size", plain.alias("_t")).filter(F.length("_t") >= 20)
+    return sized.select(key, "start", "size", _window_text("size").alias("_t")).filter(F.length("_t") >= 20)
+
+
+def blocks(docs: DataFrame, key: str, text: str = "text", smallest: int = 4, largest: int = 20) -> DataFrame:
+    """(key, hash, start, size): every window of 4 to 20 lines with at least twenty characters beside comments and blanks."""
+    found = _windows(_pieces(docs, key, text, smallest), key, smallest, largest)
     return found.select(key, F.substring(F.sha2("_t", 256), 1, 16).alias("hash"), "start", "size")
 
 
+#: Random words for bytes and odd multipliers of two polynomial hashes, drawn once from a fixed seed.
+_DRAW = np.random.Generator(np.random.PCG64(2024))
+_BYTES = _DRAW.integers(0, 2**64, (2, 256), dtype=np.uint64)
+_BASES = [int(x) | 1 for x in _DRAW.integers(2**62, 2**63, 2, dtype=np.uint64)]
+
+
+def _prefixes(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both hashes the sums of a buffer's bytes times powers of the base, and the inverse powers."""
+    out = []
+    for table, base in zip(_BYTES, _BASES, strict=True):
+        up, down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(data), x, np.uint64))), dtype=np.uint64) for x in (base, pow(base, -1, 2**64)))
+        out.append((np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up[:-1], dtype=np.uint64))), down))
+    return out
+
+
+def _hashed_windows(key: str, smallest: int, largest: int):
+    """(key, a, b, n, start, size): two hashes and the number of characters of every window of pieces, from sums over the buffer of all pieces: no window's text is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("_p").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            pieces, at = batch.column("_p").flatten(), 0
+            while at < len(sizes):
+                # About 4 MiB of text at once, or one document.
+                stop, bytes_ = at + 1, 0
+                first = int(sizes[:at].sum())
+                lengths = pc.binary_length(pieces.slice(first)).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes[at:])
+                text = np.concatenate(([0], np.cumsum(lengths)))[ends]
+                stop = at + max(1, int(np.searchsorted(text, 1 << 22, "right")))
+                part = pieces.slice(first, int(sizes[at:stop].sum()))
+                lengths = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
+                offsets = np.concatenate(([0], np.cumsum(lengths)))
+                data = np.frombuffer("".join(part.to_pylist()).encode(), np.uint8)
+                plain = np.concatenate((data, [0]))
+                signs = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                sums = _prefixes(data)
+                row = np.repeat(np.arange(at, stop), sizes[at:stop])
+                last = np.repeat(np.cumsum(sizes[at:stop]), sizes[at:stop])  # the piece behind each document
+                number = np.arange(len(lengths)) - np.repeat(np.cumsum(sizes[at:stop]) - sizes[at:stop], sizes[at:stop])
+                for size in range(smallest, largest + 1):
+                    i = np.flatnonzero(np.arange(len(lengths)) + size <= last)
+                    begin, end = offsets[i], offsets[i + size]
+                    begin = begin + ((plain[begin] == 32) & (end > begin))
+                    n = signs[end] - signs[begin]
+                    good = np.flatnonzero(n >= 20)
+                    i, begin, end = i[good], begin[good], end[good]
+                    if len(i):
+                        hashes = [((total[end] - total[begin]) * down[begin]).view(np.int64) for total, down in sums]
+                        yield pa.record_batch([batch.column(key).take(pa.array(row[i])), *map(pa.array, hashes), pa.array(n[good].astype(np.int32)), pa.array((number[i] + 1).astype(np.int32)), pa.array(np.full(len(i), size, np.int32))], [key, "a", "b", "n", "start", "size"])
+                at = stop
+
+    return run
+
+
+def duplicated_blocks(docs: DataFrame, key: str, text: str = "text", smallest: int = 4, largest: int = 20) -> DataFrame:
+    """(hash, files, places): blocks of two files or more, as ``cross_file_duplicates`` of ``blocks`` gives them. Windows are grouped by two 64-bit hashes and their length, which come from
+    sums over the text; only one window of each group that several files hold is written out as text."""
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, a bigint, b bigint, n int, start int, size int"
+    split = _pieces(docs, key, text, smallest)
+    quick = split.filter("_l is null").select(key, "_p").mapInArrow(_hashed_windows(key, smallest, largest), schema)
+    # Texts with block comments go window by window; their windows' texts are pieces by themselves.
+    slow = _windows(split.filter("_l is not null"), key, smallest, largest).select(F.struct(key, "start", "size").alias("_w"), F.array("_t").alias("_p"))
+    slow = slow.mapInArrow(_hashed_windows("_w", 1, 1), f"_w struct<{key}:{kind},start:int,size:int>, a bigint, b bigint, n int, start int, size int").select(f"_w.{key}", "a", "b", "n", "_w.start", "_w.size")
+    # Counts of a file's own places first, so that a block that one file repeats is one row.
+    own = quick.unionByName(slow).groupBy("a", "b", "n", key).agg(F.count("*").alias("places"), F.min(F.struct("start", "size")).alias("w"))
+    shared = own.groupBy("a", "b", "n").agg(F.count("*").alias("files"), F.sum("places").alias("places"), F.min(F.struct(key, "w")).alias("first")).filter("files > 1")
+    shown = shared.select(F.col(f"first.{key}").alias(key), F.col("first.w.start").alias("start"), F.col("first.w.size").alias("size"), "files", "places")
+    window = split.join(shown, key).select("files", "places", "size", F.slice("_l", F.col("start"), F.col("size")).alias("_l"), F.slice("_p", F.col("start"), F.col("size")).alias("_p"))
+    texts = window.select("files", "places", F.substring(F.sha2(_window_text("size"), 256), 1, 16).alias("hash"))
+    return texts.groupBy("hash").agg(F.max("files").alias("files"), F.sum("places").alias("places"))
+
+
 def internal_duplicates(found: DataFrame, key: str) -> DataFrame:
     """(key, hash, places): blocks that come again in a file, more than five lines behind the one before."""
     order = Window.partitionBy(key, "hash").orderBy("start", "size")

@@ -112,7 +112,7 @@ _BLOCKS = r"""l as (select doc_id, string_split(text, chr(10)) as a from documen
 @book.query(f"with {_BLOCKS} select hash, count(distinct doc_id) as files, count(*) as places from b group by 1 having count(distinct doc_id) > 1")
 def duplicate_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of 4 to 20 lines that several documents hold."""
-    return quality.cross_file_duplicates(quality.blocks(table(spark, d, "documents"), "doc_id"), "doc_id")
+    return quality.duplicated_blocks(table(spark, d, "documents"), "doc_id")
 
 
 @book.query(f"with {_BLOCKS}, o as (select *, lag(start) over (partition by doc_id, hash order by start, size) as before from b) select doc_id, hash, count(*) as places from o where before is null or start > before + 5 group by 1, 2 having count(*) > 1")
