@@ -54,6 +54,15 @@ def project_serving(spark: SparkSession, d: str) -> DataFrame:
     return P.serving(chunks_of(spark, d), build_files(spark, d)).select("chunk_id")
 
 
+_TERMS = r"list_filter(string_split_regex(lower(strip_accents(concat_ws(' ', symbol_name, symbol_kind, symbol_signature, content))), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
+
+
+@book.query(f"with w as (select chunk_id, unnest({_TERMS}) as term from ({_CHUNKS}) c join ({_BUILD}) b using (file_id, version_id) where status = 'published') select term, count(distinct chunk_id) as chunks, count(*) as occurrences from w group by 1")
+def project_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of the published build's index with its chunks and occurrences."""
+    return project_index(spark, d).vocabulary().filter("field = 0").select("term", "chunks", "occurrences")
+
+
 _GRAMS = r"list_distinct(flatten(list_transform(string_split_regex({0}, '[^\p{{L}}\p{{N}}]+'), lambda w: case when w = '' then [] else list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)) end)))"
 
 
