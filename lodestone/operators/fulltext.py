@@ -172,9 +172,10 @@ class TextIndex:
     def _segment(self, chunks: DataFrame, text: Column, path: Column | None) -> dict:
         """Stages a segment of chunks."""
         stage, name, nothing = self.catalogue.stage, uuid.uuid4().hex, F.lit(None).cast("string")
-        rows = chunks.select("*", text.alias("search_text"), (nothing if path is None else path).alias("path_text"), F.lit(name).alias("segment")).drop("_text", "_path")
         shelf = (F.crc32(F.col("chunk_id").cast("string").cast("binary")) % self.shelves).cast("int")
-        rows = rows.withColumn("shelf", shelf).repartition(self.shelves, "shelf").withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+        # The normalised text is made behind the exchange, so texts move once.
+        rows = chunks.withColumn("shelf", shelf).repartition(self.shelves, "shelf").select("*", text.alias("search_text"), (nothing if path is None else path).alias("path_text"), F.lit(name).alias("segment")).drop("_text", "_path")
+        rows = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
         stored = stage("chunks", rows, ["shelf"])
         schema = rows.drop("shelf").schema
         shelves = self.catalogue.folders(stored)
