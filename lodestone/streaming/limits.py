@@ -94,8 +94,9 @@ def limit_batch(events: DataFrame, kind: str, limit: int, window: float) -> Data
 
 
 def recent_count(key: str, ts: Column, seconds: int) -> Column:
-    """Events of a key in the last seconds, itself included."""
-    return F.count("*").over(Window.partitionBy(key).orderBy(F.unix_millis(ts.cast("timestamp"))).rangeBetween(-1000 * seconds + 1, 0))
+    """Events of a key in the last seconds, itself included. Times are told apart by milliseconds, rounded half away from the epoch, as written on the clock (no zone shifts them)."""
+    elapsed = (ts.cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")).cast("interval second").cast("decimal(20, 6)")
+    return F.count("*").over(Window.partitionBy(key).orderBy(F.round(elapsed * 1000, 0).cast("bigint")).rangeBetween(-1000 * seconds + 1, 0))
 
 
 def windowed(events: DataFrame, size: str, delay: str, **aggregates: Column) -> DataFrame:

@@ -217,3 +217,15 @@ def test_idle_keys_leave_the_store_of_a_rate_limit(spark, tmp_path):
     assert decided.filter("event_id = 1000000000").count() == 0
     one = {(r.event_id, r.allowed, r.remaining) for r in decided.filter("event_id < 1000000000").collect()}
     assert one == {(r.event_id, r.allowed, r.remaining) for r in limits.limit_batch(events, "sliding", 3, 3600).collect()}
+
+
+def test_recent_events_are_counted_by_rounded_milliseconds_in_any_zone(spark):
+    """Microseconds round as in the SQL (half away from the epoch), and a session's zone with a changed clock moves nothing."""
+    from lodestone.streaming import limits
+
+    rows = [(1, "2024-03-10 01:30:00"), (2, "2024-03-10 02:30:00"), (4, "2024-03-11 01:45:00"), (5, "2024-03-11 02:29:59.9999"), (6, None), (11, "1969-12-30 23:59:59.9999"), (14, "1969-12-31 00:00:00.0002"), (10, "1969-12-31 23:59:59.9995"), (13, "1970-01-02 00:00:00")]
+    want = {1: 1, 2: 2, 4: 2, 5: 2, 6: 1, 11: 2, 14: 2, 10: 3, 13: 1}
+    events = spark.createDataFrame(rows, "event_id int, at string").select("event_id", F.lit(7).alias("user_id"), F.col("at").cast("timestamp_ntz").alias("ts"))
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert {r.event_id: r.recent for r in events.select("event_id", limits.recent_count("user_id", F.col("ts"), 86400).alias("recent")).collect()} == want
