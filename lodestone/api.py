@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.io import shuffled
 from lodestone.operators import chunking, code, corpus, project, quality, retrieval
 from lodestone.operators.fulltext import TextIndex
 from lodestone.operators.relational import with_total
@@ -171,7 +172,7 @@ class Project:
     def hubs(self, smallest: int = 2, limit: int = 20) -> DataFrame:
         """The largest directories."""
         counts = self._definitions().groupBy("path").agg(F.count("*").alias("symbols"))
-        rows = self.files.select("path", T.extension("path").alias("lang")).join(counts, "path", "left").fillna({"symbols": 0})
+        rows = self.files.select("path", T.extension("path").alias("lang")).join(shuffled(counts), "path", "left").fillna({"symbols": 0})
         return code.feature_hubs(rows, smallest, limit)
 
     def navigation(self) -> DataFrame:

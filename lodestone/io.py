@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 16 << 20
 #: Times that decoded rows may be larger than Catalyst's estimate, which for files is their compressed size.
 EXPANSION = 4
+#: Rows of a partition of ``dealt``, about.
+DEALT_ROWS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,17 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if size * EXPANSION <= limit else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` with the hint that its join is a shuffled one: for sides that grow with the input. Catalyst takes what is exploded or found in texts for as small as its compressed source, and
+    adaptive execution keeps a broadcast that was planned so where the other plan has more exchanges."""
+    return df.hint("merge")
+
+
+def dealt(df: DataFrame, key: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """Narrow rows dealt out by a key, about ``rows`` to a partition: for rows that grow in the next step, as a few megabytes of Parquet are a task or two however much is made of them."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: what ``spark.checkpoint.dir`` names. Where the setting is empty, a local
     session takes a temporary folder and any other raises."""

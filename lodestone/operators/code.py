@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.batches import sliced
 from lodestone.functions import text as T
+from lodestone.io import shuffled
 from lodestone.operators.publication import Catalogue
 from lodestone.operators.scanner import definitions as scanned
 
@@ -167,7 +168,7 @@ class ParseCache:
 
         def step(seen: int) -> int:
             tables = self._held(seen)
-            new = contents(files).dropDuplicates(["digest", "extension"]).join(self._keys(tables).select("digest", "extension"), ["digest", "extension"], "left_anti")
+            new = contents(files).dropDuplicates(["digest", "extension"]).join(shuffled(self._keys(tables).select("digest", "extension")), ["digest", "extension"], "left_anti")
             # The parsers see the content's key as its path, with the extension last.
             named = new.select(F.concat_ws(".", "digest", "extension").alias("path"), "content", "digest", "extension")
             made = {
@@ -197,7 +198,7 @@ class ParseCache:
         return self._of(files, self._read(self._held(self.catalogue.version()), "edges", "relation string, ref string, via string, digest string, extension string"))
 
     def _of(self, files: DataFrame, found: DataFrame) -> DataFrame:
-        return contents(files).select("path", "digest", "extension").join(found, ["digest", "extension"]).drop("digest", "extension")
+        return contents(files).select("path", "digest", "extension").join(shuffled(found), ["digest", "extension"]).drop("digest", "extension")
 
     def prune(self, files: DataFrame) -> dict[str, int]:
         """Forgets contents that no file has any more; counts of entries kept and forgotten."""
@@ -206,7 +207,7 @@ class ParseCache:
         def step(seen: int) -> int:
             tables = self._held(seen)
             schemas = {"entries": "digest string, extension string, lines bigint", "symbols": ", ".join(f"{n} {k}" for n, _, k in DEFINITION) + ", digest string, extension string", "edges": "relation string, ref string, via string, digest string, extension string"}
-            kept = {name: self.catalogue.stage(name, self._read(tables, name, schema).join(live, ["digest", "extension"], "left_semi")) for name, schema in schemas.items()}
+            kept = {name: self.catalogue.stage(name, self._read(tables, name, schema).join(shuffled(live), ["digest", "extension"], "left_semi")) for name, schema in schemas.items()}
             before, after = self._keys(tables).count(), self.spark.read.schema(schemas["entries"]).parquet(kept["entries"]).count()
             told.update(kept=after, forgotten=before - after)
             return self.catalogue.commit(seen, {name: [path] for name, path in kept.items()}, {"parser": self.version})
@@ -238,7 +239,7 @@ def import_targets(found: DataFrame, files: DataFrame) -> DataFrame:
     stem = F.regexp_replace("base", r"\.[jt]sx?$", "")
     options = F.concat(F.array(*(F.concat("base", F.lit(e)) for e in ends)), F.array(*(F.concat(stem, F.lit(e)) for e in ends[1:5])))
     tried = rows.select("path", "ref", F.posexplode(options).alias("at", "target"))
-    hit = tried.join(files.select(F.col("path").alias("target")).distinct(), "target")
+    hit = shuffled(tried).join(files.select(F.col("path").alias("target")).distinct(), "target")
     return hit.groupBy("path", "ref").agg(F.min_by("target", "at").alias("target"))
 
 
@@ -255,7 +256,7 @@ def call_targets(found: DataFrame, names: DataFrame) -> DataFrame:
     # One definition of each name and of each name in each file, before any call meets them.
     first = defs.groupBy("ref").agg(F.min(F.struct("target", "line")).alias("first"))
     own = defs.groupBy(F.col("target").alias("path"), "ref").agg(F.min("line").alias("line"))
-    both = calls.join(first, "ref").join(own, ["path", "ref"], "left")
+    both = calls.join(shuffled(first), "ref").join(shuffled(own), ["path", "ref"], "left")
     return both.select("path", "ref", F.when(F.col("line").isNotNull(), F.col("path")).otherwise(F.col("first.target")).alias("target"), F.coalesce("line", "first.line").alias("line"))
 
 
@@ -302,7 +303,7 @@ def skeleton(files: DataFrame, names: DataFrame, found: DataFrame) -> DataFrame:
     exports = names.filter("exported").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("e"))
     imports = found.filter("relation = 'IMPORTS' and via is null").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("ref")), ", ").alias("i"))
     line = F.concat(F.lit("// exports: "), F.coalesce("e", F.lit("none")), F.lit("\n// imports: "), F.coalesce("i", F.lit("none")))
-    return files.select("path").join(exports, "path", "left").join(imports, "path", "left").select("path", line.alias("skeleton"))
+    return files.select("path").join(shuffled(exports), "path", "left").join(shuffled(imports), "path", "left").select("path", line.alias("skeleton"))
 
 
 def tree(files: DataFrame) -> DataFrame:
@@ -315,9 +316,9 @@ def tree(files: DataFrame) -> DataFrame:
 
 def test_coverage(files: DataFrame, targets: DataFrame, tests: DataFrame) -> DataFrame:
     """(path, tests, coverage): source files with the cases of the test files that import them."""
-    cases = targets.join(tests.select("path", "cases"), "path").groupBy(F.col("target").alias("path")).agg(F.sum("cases").alias("tests"))
+    cases = targets.join(shuffled(tests.select("path", "cases")), "path").groupBy(F.col("target").alias("path")).agg(F.sum("cases").alias("tests"))
     n = F.coalesce("tests", F.lit(0))
-    return files.join(tests.select("path"), "path", "left_anti").join(cases, "path", "left").select("path", n.alias("tests"), F.when(n > 5, "full").when(n > 0, "partial").otherwise("none").alias("coverage"))
+    return files.join(shuffled(tests.select("path")), "path", "left_anti").join(shuffled(cases), "path", "left").select("path", n.alias("tests"), F.when(n > 5, "full").when(n > 0, "partial").otherwise("none").alias("coverage"))
 
 
 def parse_quality(names: DataFrame, files: DataFrame) -> DataFrame:
@@ -325,7 +326,7 @@ def parse_quality(names: DataFrame, files: DataFrame) -> DataFrame:
     lines = files.select("path", F.size(F.split("content", "\n")).alias("lines"), F.regexp_count("content", F.lit(r"\S[^\n]*")).alias("full"))
     covered = names.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line")).groupBy("path").agg(F.countDistinct("line").alias("covered"))
     counts = names.groupBy("path").agg(F.count("*").alias("symbols"))
-    joined = lines.join(covered, "path", "left").join(counts, "path", "left")
+    joined = lines.join(shuffled(covered), "path", "left").join(shuffled(counts), "path", "left")
     share = F.coalesce("covered", F.lit(0)) / F.greatest("lines", F.lit(1))
     score = (F.least(share, F.lit(1.0)) + F.least(F.coalesce("symbols", F.lit(0)) / 3, F.lit(1.0))) / 2
     return joined.select("path", F.coalesce("symbols", F.lit(0)).alias("symbols"), share.alias("coverage"), score.alias("score"), (score >= 0.5).alias("passes"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.io import scratch_dir, table
+from lodestone.io import dealt, scratch_dir, table
 from lodestone.operators import code
 from lodestone.operators.publication import Catalogue
 from lodestone.plans.book import Book
@@ -52,7 +52,7 @@ _G = f"g as (select {_K} as k, {_PATH.replace('[', '[').replace(']', ']')} as pa
 def files_of(spark: SparkSession, d: str) -> DataFrame:
     """The files."""
     names = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col(_K) % 5 + 1).cast("int"))
-    return table(spark, d, "part").select(_K, F.concat(F.lit("src/f"), F.col(_K).cast("string"), F.lit("."), names).alias("path"), F.expr(_CONTENT).alias("content"))
+    return dealt(table(spark, d, "part"), _K).select(_K, F.concat(F.lit("src/f"), F.col(_K).cast("string"), F.lit("."), names).alias("path"), F.expr(_CONTENT).alias("content"))
 
 
 @book.query(f"with {_G} select path, name, kind, start_line, end_line, parent, depth from d")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.io import table
+from lodestone.io import dealt, shuffled, table
 from lodestone.operators import chunking, code, quality
 from lodestone.plans.book import Book
 
@@ -22,7 +22,7 @@ _FILES = f"files as (select p_partkey, {FILE_PATH} as path, {FILE_TEXT} as conte
 
 def files_of(spark: SparkSession, d: str) -> DataFrame:
     """Generated source files."""
-    return table(spark, d, "part").selectExpr("p_partkey", f"{FILE_PATH} as path", f"{FILE_TEXT} as content", "p_type as lang")
+    return dealt(table(spark, d, "part"), "p_partkey").selectExpr("p_partkey", f"{FILE_PATH} as path", f"{FILE_TEXT} as content", "p_type as lang")
 
 
 @book.query(r"""select doc_id, list_filter([case when length(s) < 16 then 'non-semantic' end], lambda x: x is not null) as reasons, length(s) as n from (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '</?[A-Za-z][^>]*>', ' ', 'g'), '\bhttps?://\S+', ' ', 'g'), '[^\p{L}\p{N}]', '', 'g') as s from documents)""")
@@ -165,7 +165,7 @@ def code_hubs(spark: SparkSession, d: str) -> DataFrame:
 def _hubs(spark: SparkSession, d: str) -> DataFrame:
     files = files_of(spark, d)
     counts = code.symbols(files).groupBy("path").agg(F.count("*").alias("symbols"))
-    return code.feature_hubs(files.join(counts, "path", "left").fillna({"symbols": 0}))
+    return code.feature_hubs(files.join(shuffled(counts), "path", "left").fillna({"symbols": 0}))
 
 
 @book.query(f"""with {_FILES}, g as (select regexp_extract(path, '^(.*)/[^/]*$', 1) as directory, count(*) as files from files group by 1 having count(*) >= 2 order by files desc, directory limit 20)
@@ -181,7 +181,7 @@ def code_topics(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent topics of paths and names."""
     files = files_of(spark, d)
     names = code.symbols(files).filter("kind = 'function'").groupBy("path").agg(F.collect_list("name").alias("names"))
-    return code.topic_groups(files.join(names, "path", "left")).withColumn("cohesion", F.round("cohesion", 6))
+    return code.topic_groups(files.join(shuffled(names), "path", "left")).withColumn("cohesion", F.round("cohesion", 6))
 
 
 @book.query(f"""with {_FILES} select path, '// exports: ' || case when contains(content, 'class Box') then array_to_string(list_sort(['part' || p_partkey, 'Box' || regexp_extract(content, 'class Box([0-9]+)', 1)]), ', ') else 'part' || p_partkey end || chr(10) || '// imports: ../m' || ((p_partkey + 7) % 7) || '/f' || (p_partkey + 7) as skeleton from files""")

@@ -6,13 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import api
+from lodestone import api, io
 from lodestone.functions import patterns as P
 from lodestone.functions import text as T
 from lodestone.operators import chunking, code, lifecycle, quality, relational, retrieval
 from lodestone.sources import files
 from lodestone.streaming import limits
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_recursive_split_keeps_text_and_size():
     text = "\n\n".join(" ".join(f"w{i}x{j}" for j in range(40)) for i in range(9))
@@ -124,6 +126,16 @@ def test_symbols_and_edges():
     assert code.symbols_of("def f():\n  pass\nclass K:\n", "py") == [("f", "function", 1, 1, True), ("K", "class", 3, 3, True)]
 
 
+def test_large_code_joins_are_not_broadcast(spark):
+    """Sides that grow with the files are shuffled, whatever Catalyst takes them for; narrow rows are dealt to many tasks before they become files."""
+    from lodestone.plans import content
+
+    for name in ("code_navigation", "code_test_coverage", "code_parse_quality", "code_skeleton"):
+        plan = content.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert io.dealt(spark.range(100), "id", 10).rdd.getNumPartitions() == 10
+
+
 def test_import_targets(spark):
     fs = spark.createDataFrame([("a/b/m.ts", "import './n'\nimport '../lib'\nimport './k.js'\nimport 'react'"), ("a/b/n.ts", ""), ("a/lib/index.ts", ""), ("a/b/k.ts", "")], "path string, content string")
     found = {(r.ref, r.target) for r in code.import_targets(code.edges(fs), fs).collect()}
