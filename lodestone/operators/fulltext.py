@@ -174,14 +174,15 @@ class TextIndex:
         stage, name, nothing = self.catalogue.stage, uuid.uuid4().hex, F.lit(None).cast("string")
         shelf = (F.crc32(F.col("chunk_id").cast("string").cast("binary")) % self.shelves).cast("int")
         # The normalised text is made behind the exchange, so texts move once.
-        rows = chunks.withColumn("shelf", shelf).repartition(self.shelves, "shelf").select("*", text.alias("search_text"), (nothing if path is None else path).alias("path_text"), F.lit(name).alias("segment")).drop("_text", "_path")
+        # A shelf is written by as many tasks as its bytes ask for: one task a shelf would hold and sort ever more.
+        rows = chunks.withColumn("shelf", shelf).hint("rebalance", "shelf").select("*", text.alias("search_text"), (nothing if path is None else path).alias("path_text"), F.lit(name).alias("segment")).drop("_text", "_path")
         rows = rows.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
         stored = stage("chunks", rows, ["shelf"])
         schema = rows.drop("shelf").schema
         shelves = self.catalogue.folders(stored)
         kept = self.spark.read.schema(schema).parquet(*(f"{stored}/shelf={k}" for k in shelves)) if shelves else self.spark.createDataFrame([], schema)
         bucket = (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int")
-        dealt = postings_of(kept).withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "field", "term", "block")
+        dealt = postings_of(kept).withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term", "block")
         postings = stage("postings", dealt, ["bucket"])
         found = self.spark.read.schema(POSTINGS + ", bucket int").parquet(postings)
         counts = found.groupBy("segment", "field", "term", "bucket").agg(F.sum("n").alias("chunks"), F.sum("occurrences").alias("occurrences"))

@@ -1,6 +1,8 @@
 """The full-text index against the scan it stands for."""
 
+import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,19 @@ def test_hybrid_search_with_and_without_the_index(spark):
     for query in ("the src1/4.md of then", "que de"):
         a, b = (retrieval.hybrid_search(rows, query, 10, vectors, ask, index=index).withColumn("score", F.round("score", 6)).orderBy("rank").collect() for rows, index in ((chunks, None), (search.search_index(spark, SF).chunks(), search.search_index(spark, SF))))
         assert [tuple(r) for r in a] == [tuple(r) for r in b] and a
+
+
+def test_a_shelf_and_a_bucket_are_shared_by_tasks(spark, tmp_path):
+    """What one task writes is bounded by bytes, not by the number of shelves and buckets."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "16k")
+    try:
+        rows = spark.range(0, 4000, 1, 8).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", *(F.md5((F.col("id") * 9 + k).cast("string")) for k in range(9))).alias("content"))
+        index = TextIndex(Catalogue(spark, str(tmp_path / "i")), buckets=1, shelves=1)
+        index.add(rows, F.col("content"))
+    finally:
+        spark.conf.unset(key)
+    (made,) = index.segments()
+    for folder in (f"{made['chunks'][0]}/shelf=0", f"{made['postings'][0]}/bucket=0"):
+        assert len(list(Path(folder.removeprefix("file:")).glob("*.parquet"))) > 2
+    assert index.chunks().count() == 4000 and index.match(hashlib.md5(b"9").hexdigest()).count() == 1
