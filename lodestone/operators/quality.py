@@ -12,9 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.batches import sliced
 from lodestone.functions import patterns as P
 
+#: Bytes of text that a task holds as Python values at once, single longer texts aside.
+SLICE = 1 << 22
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -83,6 +88,21 @@ def prepared(c: Column | str, path: Column | str) -> Column:
     return without_control(redacted(clean(_col(c), _col(path)))[0])
 
 
+def with_prepared(docs: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
+    """``docs`` with ``clean``, what ``prepared`` makes of each text, in slices that bound what a task holds as Python values."""
+    from lodestone.functions.text import without_control
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text, size=SLICE):
+            rst = [(n or "").lower().endswith(".rst") for n in batch.column(path).to_pylist()]
+            texts = (t or "" for t in batch.column(text).to_pylist())
+            clean = [re.sub(r"\n{3,}", "\n\n", t.replace("\r\n", "\n")).strip() if r else clean_lines(t) for t, r in zip(texts, rst, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clean, pa.string())], names=[*batch.schema.names, "clean"])
+
+    found = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("clean", T.StringType())]))
+    return found.withColumn("clean", without_control(redacted("clean")[0]))
+
+
 def size_guarded(raw: Column | str, refined: Column | str, ratio: float = 1.5) -> Column:
     """The refined text, or the raw one where it grew beyond the ratio."""
     raw, refined = _col(raw), _col(refined)
@@ -221,15 +241,18 @@ def has_personal(text: str, compatible: bool = True) -> bool:
 
 
 def with_personal(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal (array of type, value, start, end) and the redacted text, by a vectorised function."""
+    """``docs`` with personal (array of type, value, start, end) and the redacted text, found in slices that bound what a task holds as Python values."""
 
-    @F.pandas_udf("struct<personal:array<struct<type:string,value:string,start:int,end:int>>,redacted:string,flagged:boolean>")
-    def detect(batch: pd.Series) -> pd.DataFrame:
-        texts = batch.fillna("")
-        found = [personal_matches(t) for t in texts]
-        return pd.DataFrame({"personal": [[dict(zip(("type", "value", "start", "end"), m, strict=True)) for m in x] for x in found], "redacted": [redact_personal(t) for t in texts], "flagged": [has_personal(t) for t in texts]})
-
-    return docs.withColumn("_p", detect(text)).select("*", "_p.*").drop("_p")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text, size=SLICE):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            found = [[dict(zip(("type", "value", "start", "end"), m, strict=True)) for m in personal_matches(t)] for t in texts]
+            made = [pa.array(found, kind), pa.array([redact_personal(t) for t in texts], pa.string()), pa.array([has_personal(t) for t in texts], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "personal", "redacted", "flagged"])
+
+    kind = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    new = T.StructType.fromDDL("personal array<struct<type:string,value:string,start:int,end:int>>, redacted string, flagged boolean")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new.fields]))
 
 
 def cyclomatic(c: Column | str) -> Column:

@@ -75,9 +75,8 @@ def personal_data_scan(spark: SparkSession, d: str) -> DataFrame:
 @book.query()
 def prepare_documents(spark: SparkSession, d: str) -> DataFrame:
     """The deterministic preparation of every document, guarded against growth."""
-    docs = table(spark, d, "documents").withColumn("path", F.concat("source", F.lit("/a.md")))
-    clean = docs.withColumn("clean", quality.prepared("text", "path"))
-    return clean.select("doc_id", quality.size_guarded("text", "clean").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat("source", F.lit("/a.md")).alias("path"))
+    return quality.with_prepared(docs).select("doc_id", quality.size_guarded("text", "clean").alias("text"))
 
 
 @book.query(f"""with {_FILES}, m as (select path, len(string_split(content, chr(10))) as lines, 1 + len(regexp_extract_all(content, '\\bif\\s*\\(')) + len(regexp_extract_all(content, '\\bfor\\s*\\(')) + len(regexp_extract_all(content, '&&|\\|\\|')) as cyclomatic, 5::bigint as cognitive from files)

@@ -136,6 +136,19 @@ def test_large_code_joins_are_not_broadcast(spark):
     assert io.dealt(spark.range(100), "id", 10).rdd.getNumPartitions() == 10
 
 
+def test_texts_are_prepared_in_bounded_slices(spark):
+    """Neither personal data nor cleaning holds a whole Arrow batch as Python values, and the slices change no result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.lit("a.md").alias("path")).unionByName(spark.sql("select cast(-1 as bigint) as doc_id, cast(null as string) as text, cast(null as string) as path"))
+    for made in (quality.with_personal(docs), quality.with_prepared(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    found = quality.with_prepared(docs).withColumn("whole", quality.prepared("text", F.coalesce("path", F.lit("a.md"))))
+    assert found.filter(~F.col("clean").eqNullSafe(F.col("whole"))).count() == 0 and found.count() == docs.count()
+    one = {r.doc_id: r for r in quality.with_personal(docs).collect()}
+    assert one[-1].redacted == "" and one[-1].personal == [] and not one[-1].flagged
+    assert all(r.redacted == quality.redact_personal(r.text or "") for r in one.values())
+
+
 def test_import_targets(spark):
     fs = spark.createDataFrame([("a/b/m.ts", "import './n'\nimport '../lib'\nimport './k.js'\nimport 'react'"), ("a/b/n.ts", ""), ("a/lib/index.ts", ""), ("a/b/k.ts", "")], "path string, content string")
     found = {(r.ref, r.target) for r in code.import_targets(code.edges(fs), fs).collect()}
