@@ -19,6 +19,8 @@ from lodestone.functions import patterns as P
 
 #: Bytes of text that a task holds as Python values at once, single longer texts aside.
 SLICE = 1 << 22
+#: Bytes of text whose windows are hashed at once.
+WINDOWED = 1 << 20
 
 
 def _col(c: Column | str) -> Column:
@@ -367,13 +369,13 @@ def _hashed_windows(key: str, smallest: int, largest: int):
             sizes = batch.column("_p").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             pieces, at = batch.column("_p").flatten(), 0
             while at < len(sizes):
-                # About 4 MiB of text at once, or one document.
+                # About 1 MiB of text at once, or one document: the sums take some eighty times as much.
                 stop, bytes_ = at + 1, 0
                 first = int(sizes[:at].sum())
                 lengths = pc.binary_length(pieces.slice(first)).to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes[at:])
                 text = np.concatenate(([0], np.cumsum(lengths)))[ends]
-                stop = at + max(1, int(np.searchsorted(text, 1 << 22, "right")))
+                stop = at + max(1, int(np.searchsorted(text, WINDOWED, "right")))
                 part = pieces.slice(first, int(sizes[at:stop].sum()))
                 lengths = pc.binary_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
                 offsets = np.concatenate(([0], np.cumsum(lengths)))

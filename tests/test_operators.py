@@ -149,6 +149,20 @@ def test_texts_are_prepared_in_bounded_slices(spark):
     assert all(r.redacted == quality.redact_personal(r.text or "") for r in one.values())
 
 
+def test_windows_are_hashed_in_bounded_memory():
+    """What the sums of a batch of texts take does not follow the batch's size."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(1200)), pa.array([[f"line {k} of {n} " + "x" * 200 for k in range(24)] for n in range(1200)])], ["id", "_p"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in quality._hashed_windows("id", 4, 20)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1200 * sum(24 - size + 1 for size in range(4, 21)) and peak < 160e6, peak
+
+
 def test_import_targets(spark):
     fs = spark.createDataFrame([("a/b/m.ts", "import './n'\nimport '../lib'\nimport './k.js'\nimport 'react'"), ("a/b/n.ts", ""), ("a/lib/index.ts", ""), ("a/b/k.ts", "")], "path string, content string")
     found = {(r.ref, r.target) for r in code.import_targets(code.edges(fs), fs).collect()}
