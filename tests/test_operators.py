@@ -149,6 +149,15 @@ def test_texts_are_prepared_in_bounded_slices(spark):
     assert all(r.redacted == quality.redact_personal(r.text or "") for r in one.values())
 
 
+def test_generated_files_are_dealt_before_they_are_read(spark):
+    """A few megabytes of parts are many files: they are scanned in as many tasks as their rows ask for, not in the one that reads them."""
+    from lodestone.plans import code as files_plans
+    from lodestone.plans import content
+
+    for query in (files_plans.QUERIES["code_definitions"], files_plans.QUERIES["code_chunks"], content.QUERIES["code_parse_quality"]):
+        assert "REPARTITION_BY_NUM" in query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_windows_are_hashed_in_bounded_memory():
     """What the sums of a batch of texts take does not follow the batch's size."""
     import tracemalloc
