@@ -369,7 +369,7 @@ def _hashed_windows(key: str, smallest: int, largest: int):
             sizes = batch.column("_p").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             pieces, at = batch.column("_p").flatten(), 0
             while at < len(sizes):
-                # About 1 MiB of text at once, or one document: the sums take some eighty times as much.
+                # About WINDOWED bytes of text at once, or one document: the sums take many times as much.
                 stop, bytes_ = at + 1, 0
                 first = int(sizes[:at].sum())
                 lengths = pc.binary_length(pieces.slice(first)).to_numpy(zero_copy_only=False)
