@@ -1,8 +1,8 @@
 """A full-text index that is kept: positional postings in Parquet, by bucket of the term, in segments.
 
 Adding chunks makes a segment of their own: the chunks with their normalised text, the postings (term, block, ids of chunks,
-positions in each), the vocabulary and the list of chunks. Ids and positions are stored as differences. A row of postings covers
-one block of at most ``BLOCK`` chunks, so a word that stands everywhere has many rows of a bounded size and no task holds
+positions in each), the vocabulary and the list of chunks. Ids and positions are stored as differences, in postings as bytes (``packed``), since as arrays they are twenty times as large
+when they are shuffled and sorted. A row of postings covers one block of at most ``BLOCK`` chunks, so a word that stands everywhere has many rows of a bounded size and no task holds
 all of them. A version of the catalogue names the segments that count; a chunk that is replaced or removed is listed as gone for
 the segments it was in, and ``merge`` makes one segment of all that is left.
 
@@ -37,7 +37,7 @@ BLOCK_BITS = 11
 #: Words that are grouped at once.
 WORDS = 1 << 20
 TEXT, PATH = 0, 1
-POSTINGS = "segment string, field int, term string, block bigint, n int, occurrences int, ids array<bigint>, positions array<array<int>>"
+POSTINGS = "segment string, field int, term string, block bigint, n int, occurrences int, ids binary, sizes binary, positions binary"
 TERMS = "segment string, field int, term string, bucket int, chunks bigint, occurrences bigint"
 BLOCKS = "segment string, block bigint, ids array<bigint>"
 GONE = "segment string, chunk_id bigint"
@@ -95,12 +95,41 @@ def _postings(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     gaps = np.diff(ids[row[entry]], prepend=0)
     gaps[posting] = ids[row[entry]][posting]
     bounds, within = np.r_[posting, len(entry)], np.r_[entry, len(code)]
-    positions = pa.ListArray.from_arrays(pa.array(within.astype(np.int32)), pa.array(steps.astype(np.int32)))
     columns = [
         batch.column("segment").take(pa.array(row[entry][posting])), pa.array(np.full(len(posting), batch.column("field")[0].as_py(), np.int32)), found.dictionary.take(pa.array(own_code[posting])), pa.array(own_block[posting]),
-        pa.array(np.diff(bounds).astype(np.int32)), pa.array(np.diff(within[bounds]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(gaps)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), positions),
+        pa.array(np.diff(bounds).astype(np.int32)), pa.array(np.diff(within[bounds]).astype(np.int32)), packed(gaps, bounds), packed(np.diff(within), bounds), packed(steps, within[bounds]),
     ]
-    return pa.record_batch(columns, ["segment", "field", "term", "block", "n", "occurrences", "ids", "positions"])
+    return pa.record_batch(columns, ["segment", "field", "term", "block", "n", "occurrences", "ids", "sizes", "positions"])
+
+
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Whole numbers as bytes of seven bits, the sign last and the lowest first; a value of the column for each two bounds."""
+    values = values.astype(np.int64)
+    left = ((values << 1) ^ (values >> 63)).view(np.uint64)
+    sizes = np.ones(len(left), np.int64)
+    for bits in range(7, 64, 7):
+        sizes += left >= np.uint64(1 << bits)
+    starts = np.r_[0, np.cumsum(sizes)]
+    out = np.empty(starts[-1], np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        some = np.flatnonzero(sizes > k)
+        out[starts[some] + k] = (left[some] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | np.where(sizes[some] > k + 1, 128, 0).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(starts[bounds].astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of each number of a column of ``packed``; nulls hold none."""
+    column = column.fill_null(b"").cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if bounds[0] == bounds[-1]:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    ends = np.flatnonzero(data < 128)
+    starts = np.r_[0, ends[:-1] + 1]
+    shift = (np.arange(len(data)) - np.repeat(starts, ends - starts + 1)) * 7
+    left = np.bitwise_or.reduceat((data & 127).astype(np.uint64) << shift.astype(np.uint64), starts)
+    row = np.searchsorted(bounds - bounds[0], starts, "right") - 1
+    return row, (left >> np.uint64(1)).view(np.int64) ^ -(left & np.uint64(1)).view(np.int64)
 
 
 def differences(values: Column) -> Column:
@@ -109,12 +138,12 @@ def differences(values: Column) -> Column:
 
 
 def decoded(row_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and id of each entry of a column of differences."""
-    sizes = row_ids.value_lengths().to_numpy(zero_copy_only=False)
-    flat = np.cumsum(row_ids.flatten().to_numpy(zero_copy_only=False))
+    """Row number and id of each entry of a column of packed differences."""
+    row, steps = unpacked(row_ids)
+    flat, sizes = np.cumsum(steps), np.bincount(row, minlength=len(row_ids))
     ends = np.cumsum(sizes)
     before = np.where(ends > sizes, flat[np.maximum(ends - sizes - 1, 0)], 0) if len(flat) else np.zeros(len(sizes), np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), flat - np.repeat(before, sizes)
+    return row, flat - np.repeat(before, sizes)
 
 
 class Block:
@@ -122,13 +151,14 @@ class Block:
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
-        row, ids = decoded(table.column("ids").combine_chunks())
-        terms, places = table.column("term").to_pylist(), table.column("positions").to_pylist()
-        self.all = set(ids[np.isin(row, [k for k, t in enumerate(terms) if t is None])].tolist())
-        self.places: dict[str, dict[int, list[int]]] = {}
-        for k, term in enumerate(terms):
-            if term is not None:
-                self.places.setdefault(term, {}).update(zip(ids[row == k].tolist(), places[k], strict=True))
+        column = lambda name: table.column(name).combine_chunks()
+        self.all = {int(i) for steps in column("every").to_pylist() if steps for i in np.cumsum(steps)}
+        self.places: dict[str, dict[int, np.ndarray]] = {}
+        (row, ids), sizes, steps = decoded(column("ids")), unpacked(column("sizes"))[1], unpacked(column("positions"))[1]
+        starts = np.cumsum(sizes) - sizes
+        terms = table.column("term").to_pylist()
+        for k, i, start, size in zip(row.tolist(), ids.tolist(), starts.tolist(), sizes.tolist(), strict=True):
+            self.places.setdefault(terms[k], {})[i] = steps[start : start + size]
 
     def positions(self, term: str, chunk: int) -> list[int]:
         """Where a term stands in a chunk."""
@@ -182,7 +212,7 @@ class TextIndex:
         shelves = self.catalogue.folders(stored)
         kept = self.spark.read.schema(schema).parquet(*(f"{stored}/shelf={k}" for k in shelves)) if shelves else self.spark.createDataFrame([], schema)
         bucket = (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int")
-        dealt = postings_of(kept).withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term", "block")
+        dealt = postings_of(kept).drop("segment").withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "field", "term", "block").withColumn("segment", F.lit(name))
         postings = stage("postings", dealt, ["bucket"])
         found = self.spark.read.schema(POSTINGS + ", bucket int").parquet(postings)
         counts = found.groupBy("segment", "field", "term", "bucket").agg(F.sum("n").alias("chunks"), F.sum("occurrences").alias("occurrences"))
@@ -267,10 +297,10 @@ class TextIndex:
         terms = sorted({w for part in parts for _, phrase in part for w in phrase})
         if not terms or not segments:
             return self.spark.createDataFrame([], "chunk_id bigint, rank double")
-        rows = self.postings(terms, segments).select("segment", "block", "term", "ids", "positions")
+        rows = self.postings(terms, segments).select("segment", "block", "term", "ids", "sizes", "positions", F.lit(None).cast("array<bigint>").alias("every"))
         if any(all(negated for negated, _ in part) for part in parts):
             everything = self._read("blocks", BLOCKS, segments)
-            rows = rows.unionByName(everything.select("segment", "block", F.lit(None).cast("string").alias("term"), "ids", F.array().cast("array<array<int>>").alias("positions")))
+            rows = rows.unionByName(everything.select("segment", "block", F.lit(None).cast("string").alias("term"), *(F.lit(None).cast("binary").alias(c) for c in ("ids", "sizes", "positions")), F.col("ids").alias("every")))
         alternatives = [[w for negated, phrase in part if not negated for w in phrase] for part in parts]
         counted = sorted({w for a in alternatives for w in a})
 

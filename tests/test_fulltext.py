@@ -4,6 +4,8 @@ import hashlib
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,16 @@ def test_a_shelf_and_a_bucket_are_shared_by_tasks(spark, tmp_path):
     for folder in (f"{made['chunks'][0]}/shelf=0", f"{made['postings'][0]}/bucket=0"):
         assert len(list(Path(folder.removeprefix("file:")).glob("*.parquet"))) > 2
     assert index.chunks().count() == 4000 and index.match(hashlib.md5(b"9").hexdigest()).count() == 1
+
+
+def test_postings_are_bytes(spark, index):
+    """What is shuffled and sorted of a word's places is a few bytes for each, not arrays of whole numbers; all values come back."""
+    values = np.array([0, 1, -1, 63, 64, -64, -65, 300, 1 << 40, -(1 << 40), (1 << 63) - 1, -(1 << 63)])
+    for bounds in ([0, 12], [0, 0, 5, 5, 12], [0] + list(range(13))):
+        row, found = fulltext.unpacked(fulltext.packed(values, np.array(bounds)))
+        assert found.tolist() == values.tolist() and np.bincount(row, minlength=len(bounds) - 1).tolist() == np.diff(bounds).tolist()
+    column = pa.array([None, b"", *fulltext.packed(values, np.array([0, 3, 12])).to_pylist()])
+    assert fulltext.unpacked(column.slice(1))[0].tolist() == [1] * 3 + [2] * 9 and len(fulltext.unpacked(column[:2])[1]) == 0
+    kept = index.postings(["the", "of"], index.segments())
+    size = kept.agg(F.sum("occurrences"), F.sum("n"), F.sum(F.octet_length("ids") + F.octet_length("sizes") + F.octet_length("positions"))).first()
+    assert size[0] > 10000 and size[2] <= 2 * size[0] + 6 * size[1]
