@@ -5,8 +5,8 @@ of the cell with the nearest centre, as a code of eight bits for each component
 vector itself. A search asks the cells nearest to each query (``probes``), scores the codes there block by block as matrix
 products, and scores the best few again by their vectors. Codes and vectors are different columns, and only the cells asked are read.
 
-Cells may be of any size: one that holds a third of all rows is dealt into parts, as many as its count asks for, and each part
-meets the queries of its cell, so no task holds a cell. Null vectors and such of length zero are kept in no cell: they are near nothing. Added
+Cells may be of any size: small ones share a group, so that a query meets as many parts as the rows ask for and not as many as there are cells; one that holds a third of all rows is dealt into
+parts, as many as its count asks for, and each part meets the queries of its cell, so no task holds a cell. The exact path knows no cells: it deals all rows into parts. Null vectors and such of length zero are kept in no cell: they are near nothing. Added
 vectors make a segment of their own, in place of those with the same ids, by a commit of the catalogue.
 """
 
@@ -73,6 +73,43 @@ def nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> tuple[np.ndarray,
     return cells, scores
 
 
+def grouped(sizes: list[int], rows: int) -> tuple[list[int], list[int]]:
+    """The group of each cell, and the parts of each group: neighbouring numbers share a group of at most ``rows`` rows, and a larger cell has one of its own, in parts."""
+    group, parts, held = [], [], 0
+    for n in sizes:
+        if not parts or held + n > rows:
+            parts.append(max(1, -(-n // rows)))
+            held = 0
+        held += n
+        group.append(len(parts) - 1)
+    return group, parts
+
+
+def best_of(q: np.ndarray, x: np.ndarray, own: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, at: int, most: int, exact: bool, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows of a part for 128 queries from ``at`` on: (query, row) and the scores. Rows are in order of their ids, of equal scores the lesser id counts; a query meets rows of its ``cells``
+    alone (all if ``exact``), and none from ``low`` to ``high``. Exact scores are summed row by row, so that equal vectors score alike wherever they lie."""
+    product = np.round(q[at : at + 128] @ x.T, 12)
+    if not exact:
+        allowed = np.zeros((len(product), count), bool)
+        for j, some in enumerate(cells[at : at + 128]):
+            allowed[j, some] = True
+        product[~allowed[:, own]] = -np.inf
+    for j in np.flatnonzero(low[at : at + 128] < high[at : at + 128]):
+        product[j, low[at + j] : high[at + j]] = -np.inf
+    least = np.partition(product, -most, axis=1)[:, -most] if product.shape[1] > most else np.full(len(product), -np.inf)
+    row, column = np.nonzero((product >= least[:, None] - 1e-9) & (product > -np.inf))
+    score = product[row, column]
+    if exact:
+        for k in range(0, len(row), 1 << 16):
+            score[k : k + (1 << 16)] = (q[at + row[k : k + (1 << 16)]] * x[column[k : k + (1 << 16)]]).sum(axis=1)
+    order = np.lexsort((column, -score, row))
+    row, column, score = row[order], column[order], score[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    kept = place < most
+    return np.stack([row[kept] + at, column[kept]]), score[kept]
+
+
 class VectorIndex:
     """Segments of coded vectors (id, embedding) in a catalogue."""
 
@@ -169,53 +206,60 @@ class VectorIndex:
         out. ``probes``: the share of cells that is asked; with ``exact`` all are, and every vector is scored by itself."""
         note = self._note()
         centres, count = self._centres(note), note["cells"]
-        asked = count if exact else max(1, min(count, round(count * probes)))
         queries = queries if "skip" in queries.columns else queries.withColumn("skip", F.lit(None).cast("bigint"))
+        whole = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("skip").cast("bigint").alias("skip")).filter(_whole())
+        kind = queries.schema["query_id"].dataType.simpleString()
+        held = {r.cell: r.n for r in self._rows(note, range(count)).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        group, parts = grouped([0 if exact else held.get(c, 0) for c in range(count)], PART_ROWS)
+        if exact:
+            parts = [max(1, -(-sum(held.values()) // PART_ROWS))]
+        asked = 1 if exact else max(1, min(count, round(count * probes)))
+        of_cell = np.array(group)
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                    unit = units(matrix(part.column("embedding")))
-                    cells = nearest(unit, centres, asked)[0]
-                    row = pa.array(np.repeat(np.arange(len(unit)), asked))
-                    yield pa.record_batch([part.column("query_id").take(row), part.column("skip").take(row), pa.array(cells.ravel().astype(np.int32))], ["query_id", "skip", "cell"])
-
-        whole = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("skip").cast("bigint").alias("skip")).filter(_whole())
-        kind = queries.schema["query_id"].dataType.simpleString()
-        routes = written(whole.mapInArrow(route, f"query_id {kind}, skip bigint, cell int"), "routes")
-        cells = [r.cell for r in routes.select("cell").distinct().collect()]
-        rows = self._rows(note, cells)
-        # As many parts and blocks as the counts of a cell ask for.
-        load = rows.groupBy("cell").agg(F.count("*").alias("n")).join(routes.groupBy("cell").agg(F.count("*").alias("q")), "cell")
-        load = small(written(load.select("cell", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), F.ceil(F.col("q") / ASKED_ROWS).cast("int").alias("blocks")), "load"))
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = routes.join(whole.select("query_id", "embedding"), "query_id").join(load, "cell").select("query_id", "skip", "embedding", "cell", deal("query_id", "blocks").alias("block"), each("parts").alias("part"))
-        right = rows.join(load, "cell").select("id", "cell", *(["embedding"] if exact else ["code", "scale"]), deal("id", "parts").alias("part"), each("blocks").alias("block"))
+                for rows in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                    cells = np.zeros((rows.num_rows, 1), np.int64) if exact else nearest(units(matrix(rows.column("embedding"))), centres, asked)[0]
+                    order = np.argsort(of_cell[cells], axis=1, kind="stable")
+                    cells = np.take_along_axis(cells, order, 1)
+                    own = of_cell[cells]
+                    first = np.c_[np.ones(len(own), bool), own[:, 1:] != own[:, :-1]]
+                    inner = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(first.ravel()), cells.size].astype(np.int32)), pa.array(cells.ravel().astype(np.int32)))
+                    met = pa.StructArray.from_arrays([pa.array(own[first].astype(np.int32)), inner], ["group", "cells"])
+                    yield pa.record_batch([*(rows.column(c) for c in ("query_id", "embedding", "skip")), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first.sum(axis=1))].astype(np.int32)), met)], ["query_id", "embedding", "skip", "met"])
+
+        routes = written(whole.mapInArrow(route, f"query_id {kind}, embedding array<double>, skip bigint, met array<struct<group: int, cells: array<int>>>"), "routes")
+        blocks = max(1, -(-routes.count() // ASKED_ROWS))
+        wanted = range(count) if exact else [r.cell for r in routes.select(F.explode("met.cells").alias("c")).select(F.explode("c").alias("cell")).distinct().collect()]
+        rows = self._rows(note, wanted)
+        # As many parts of a group and blocks of queries as their counts ask for; a part meets each block once, whatever cells it holds.
+        deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        n_parts = lambda c: F.element_at(F.lit(parts), c + 1)
+        left = routes.select("query_id", "skip", "embedding", F.explode("met").alias("m")).select("query_id", F.coalesce("skip", F.lit(0)).alias("skip"), F.col("skip").isNotNull().alias("skips"), "embedding", "m.group", "m.cells", deal("query_id", F.lit(blocks)).alias("block"))
+        left = left.withColumn("part", each(n_parts(F.col("group"))))
+        right = rows.withColumn("group", F.element_at(F.lit(group), F.col("cell") + 1))
+        right = right.select("id", "cell", *(["embedding"] if exact else ["code", "scale"]), "group", deal("id", n_parts(F.col("group"))).alias("part"), each(F.lit(blocks)).alias("block"))
         most = k if exact else k * again
 
         def score(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "id": [], "cell": [], "cosine": []})
-            q, ids = units(a.embedding.tolist()), b.id.to_numpy()
+                return pd.DataFrame()
+            b = b.sort_values("id", kind="stable")
+            q, ids, own = units(a.embedding.tolist()), b.id.to_numpy(), b.cell.to_numpy()
             if exact:
                 x = units(b.embedding.tolist())
             else:
-                x = centres[key[0]] + np.frombuffer(b"".join(b.code), np.int8).reshape(len(b), -1) * b.scale.to_numpy(np.float64)[:, None]
-            out = []
-            for at in range(0, len(q), 128):
-                product = q[at : at + 128] @ x.T
-                skip = a["skip"].to_numpy(dtype=object)[at : at + 128]
-                for query, left_out, line in zip(a.query_id.to_numpy()[at : at + 128], skip, product, strict=True):
-                    if left_out is not None and not pd.isna(left_out):
-                        line[ids == int(left_out)] = -np.inf
-                    least = np.partition(line, -most)[-most] if len(line) > most else -np.inf
-                    some = np.flatnonzero((line >= least) & (line > -np.inf))
-                    some = some[np.lexsort((ids[some], -line[some]))[:most]]
-                    out.append(pd.DataFrame({"query_id": query, "id": ids[some], "cell": key[0], "cosine": line[some]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "cell": [], "cosine": []})
-
-        by = ("cell", "part", "block")
+                x = centres[own] + np.frombuffer(b"".join(b.code), np.int8).reshape(len(b), -1) * b.scale.to_numpy(np.float64)[:, None]
+            left_out, skips, cells = a["skip"].to_numpy(), a["skips"].to_numpy(), a["cells"].to_numpy()
+            low, high = np.searchsorted(ids, left_out, "left"), np.searchsorted(ids, left_out, "right")
+            found = [best_of(q, x, own, cells, np.where(skips, low, 0), np.where(skips, high, 0), at, most, exact, count) for at in range(0, len(q), 128)]
+            query, row = np.concatenate([near for near, _ in found], axis=1)
+            if not len(query):
+                return pd.DataFrame()
+            return pd.DataFrame({"query_id": a.query_id.to_numpy()[query], "id": ids[row], "cell": own[row], "cosine": np.concatenate([score for _, score in found])})
+
+        by = ("group", "part", "block")
         found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, f"query_id {kind}, id bigint, cell int, cosine double")
         best = lambda n: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")) <= n
         top = found.withColumn("_in", best(most)).filter("_in").drop("_in")
@@ -244,7 +288,8 @@ class VectorIndex:
     def recall(self, queries: DataFrame, k: int, probes: float = PROBES) -> DataFrame:
         """(queries, wanted, found, recall): how many of the exact ``k`` nearest a search finds. Vectors as near as the k-th count as found."""
         exact, some = self.search(queries, k, exact=True), self.search(queries, k, probes)
-        least = exact.groupBy("query_id").agg(F.min("cosine").alias("least"), F.count("*").alias("n"))
+        # A row for each query; written, as it is read twice and the exact search is the dear part.
+        least = written(exact.groupBy("query_id").agg(F.min("cosine").alias("least"), F.count("*").alias("n")), "least")
         good = some.join(least, "query_id").filter(F.col("cosine") >= F.col("least") - 1e-9).groupBy("query_id").agg(F.count("*").alias("hit"))
         both = least.join(good, "query_id", "left").agg(F.count("*").alias("queries"), F.sum("n").alias("wanted"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
         return both.withColumn("recall", F.col("found") / F.col("wanted"))

@@ -100,3 +100,16 @@ def test_a_lane_of_a_search(spark, rows, index):
     exact = retrieval.vector_lane(spark.createDataFrame(rows, ROWS).withColumnRenamed("id", "chunk_id"), rows[0][1], 1).limit(5).collect()
     assert {r.chunk_id for r in found} == {r.chunk_id for r in sorted(exact, key=lambda r: (-r.vector_score, r.chunk_id))[:5]}
     assert index.search(asked(spark, rows[:1]).limit(0), 3).count() == 0
+
+
+def test_small_cells_share_a_group(spark, rows, index):
+    """Queries meet parts of many rows, not cells: what is made for each pair of a query and a part does not grow with the number of cells."""
+    assert vector_index.grouped([3, 4, 0, 5, 50, 1, 1], 10) == ([0, 0, 0, 1, 2, 3, 3], [1, 1, 5, 1])
+    assert vector_index.grouped([0, 0], 10) == ([0, 0], [1])
+    for exact in (True, False):
+        plan = index.search(asked(spark, rows[:40]), 3, exact=exact)._jdf.queryExecution().analyzed().toString()
+        assert "group#" in plan
+    same = np.array([[1.0, 2.0, 3.0]] * 700 + [[1.0, 0.0, 0.0]] * 5)
+    q, none = vector_index.units(same[:3]), np.zeros(3, int)
+    (row, column), score = vector_index.best_of(q, vector_index.units(same), np.zeros(705, int), np.array([[0]] * 3), none, np.array([0, 2, 0]), 0, 4, True, 1)
+    assert column.reshape(3, 4).tolist() == [[0, 1, 2, 3], [2, 3, 4, 5], [0, 1, 2, 3]] and len(set(score)) == 1
