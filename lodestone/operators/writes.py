@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that one task joins and sorts, about. Narrow rows with few values shrink twenty times when they are shuffled, so partitions of so many bytes would hold millions of them.
+SPREAD_ROWS = 1 << 18
+
+
 def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key with the highest ``order``, by a partial aggregate; rows alike in that are ordered by all their columns."""
     others = [c for c in rows.columns if c not in keys]
@@ -19,9 +23,11 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_best.{c}").alias(c) for c in others)).select(*rows.columns)
 
 
-def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """On conflict of ``keys`` the incoming row takes the place of the one that is there, but for the columns ``keep``, which stay."""
+def merged(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str, keep: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """On conflict of ``keys`` the incoming row takes the place of the one that is there, but for the columns ``keep``, which stay. ``parts``: into how many partitions the joins are dealt."""
     new = last_of(incoming, keys, order)
+    if parts:
+        existing, new = existing.repartition(parts, *keys), new.repartition(parts, *keys)
     held = existing.select(*keys, *(F.col(c).alias(f"_{c}") for c in keep), F.lit(True).alias("_there"))
     new = new.join(held, keys, "left").select(*keys, *(F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in keep else F.col(c) for c in incoming.columns if c not in keys))
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*existing.columns))
@@ -57,9 +63,10 @@ def pending_versions(versions: DataFrame, incoming: DataFrame, order: str) -> Da
 
 def owned_embeddings(existing: DataFrame, incoming: DataFrame, owners: DataFrame, order: str, keys: tuple[str, ...] = ("project_id", "owner_type", "owner_ref", "profile_hash")) -> tuple[DataFrame, DataFrame]:
     """Embeddings of owners (owner_ref, candidate_version), one for each profile; one for another version than its owner's candidate, or for no owner, is refused. (afterwards, refused)"""
-    rows = incoming.join(owners.select("owner_ref", "candidate_version"), "owner_ref", "left")
+    parts = -(-(existing.count() + incoming.count()) // SPREAD_ROWS) or 1
+    rows = incoming.repartition(parts, "owner_ref").join(owners.select("owner_ref", "candidate_version").repartition(parts, "owner_ref"), "owner_ref", "left")
     good, bad = checked(rows, {"no owner": F.col("candidate_version").isNotNull(), "another version": F.col("version") == F.col("candidate_version")})
-    return merged(existing, good.select(*existing.columns), list(keys), order), bad.drop("candidate_version")
+    return merged(existing, good.select(*existing.columns), list(keys), order, parts=parts), bad.drop("candidate_version")
 
 
 def registered(existing: DataFrame, incoming: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:

@@ -141,3 +141,19 @@ def test_reports_of_nothing_and_of_everything(spark):
     row = project.disk_freshness(indexed, disk).first()
     assert (row.fresh_files, row.metadata_drift_files, row.stale_files, row.unverified_files, row.missing_files, row.freshness_status) == (1, 1, 1, 1, 1, "unverified")
     assert project.disk_freshness(indexed.limit(1), disk).first().freshness_status == "fresh"
+
+
+def test_embeddings_of_owners_are_dealt_by_rows(spark, monkeypatch):
+    """A task joins a bounded number of rows, however small they are when they are shuffled; the result is the same."""
+    from lodestone.operators import writes
+
+    new = spark.range(2000).selectExpr("1 as project_id", "'chunk' as owner_type", "id % 500 as owner_ref", "'p' as profile_hash", "cast(id % 3 as int) as version", "cast(id as int) as vector")
+    old = new.filter("vector < 300").withColumn("vector", -new.vector)
+    owners = spark.range(400).selectExpr("id as owner_ref", "cast(id % 3 as int) as candidate_version")
+    found = []
+    for rows in (1 << 18, 100):
+        monkeypatch.setattr(writes, "SPREAD_ROWS", rows)
+        kept, refused = writes.owned_embeddings(old, new, owners, "version")
+        found.append((sorted(map(tuple, kept.collect())), sorted(map(tuple, refused.collect()))))
+        assert rows > 100 or ", 23)" in kept._jdf.queryExecution().executedPlan().toString()
+    assert found[0] == found[1] and found[0][0] and found[0][1]
