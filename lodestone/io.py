@@ -35,9 +35,14 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def parts_of(df: DataFrame, rows: int = DEALT_ROWS) -> int:
+    """The partitions that leave about ``rows`` rows to each."""
+    return max(1, -(-df.count() // rows))
+
+
 def dealt(df: DataFrame, key: str, rows: int = DEALT_ROWS) -> DataFrame:
     """Narrow rows dealt out by a key, about ``rows`` to a partition: for rows that grow in the next step, as a few megabytes of Parquet are a task or two however much is made of them."""
-    return df.repartition(max(1, -(-df.count() // rows)), key)
+    return df.repartition(parts_of(df, rows), key)
 
 
 def shared_dir(spark: SparkSession) -> str:

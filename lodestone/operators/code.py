@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.batches import sliced
 from lodestone.functions import text as T
-from lodestone.io import shuffled
+from lodestone.io import parts_of, shuffled
 from lodestone.operators.publication import Catalogue
 from lodestone.operators.scanner import definitions as scanned
 
@@ -323,10 +323,12 @@ def test_coverage(files: DataFrame, targets: DataFrame, tests: DataFrame) -> Dat
 
 def parse_quality(names: DataFrame, files: DataFrame) -> DataFrame:
     """(path, symbols, coverage, score, pass): how much of each file its symbols cover."""
-    lines = files.select("path", F.size(F.split("content", "\n")).alias("lines"), F.regexp_count("content", F.lit(r"\S[^\n]*")).alias("full"))
-    covered = names.select("path", F.explode(F.sequence("start_line", "end_line")).alias("line")).groupBy("path").agg(F.countDistinct("line").alias("covered"))
-    counts = names.groupBy("path").agg(F.count("*").alias("symbols"))
-    joined = lines.join(shuffled(covered), "path", "left").join(shuffled(counts), "path", "left")
+    # Both sides are dealt by path, as many files to a partition whatever their number: symbols grow to their lines, and adaptive execution would bring those of ever more files to one task.
+    n = parts_of(files)
+    lines = files.select("path", F.size(F.split("content", "\n")).alias("lines")).repartition(n, "path")
+    each = names.select("path", "start_line", "end_line").repartition(n, "path").select("path", F.posexplode_outer(F.sequence("start_line", "end_line")).alias("at", "line"))
+    covered = each.groupBy("path").agg(F.countDistinct("line").alias("covered"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("symbols"))
+    joined = lines.join(shuffled(covered), "path", "left")
     share = F.coalesce("covered", F.lit(0)) / F.greatest("lines", F.lit(1))
     score = (F.least(share, F.lit(1.0)) + F.least(F.coalesce("symbols", F.lit(0)) / 3, F.lit(1.0))) / 2
     return joined.select("path", F.coalesce("symbols", F.lit(0)).alias("symbols"), share.alias("coverage"), score.alias("score"), (score >= 0.5).alias("passes"))

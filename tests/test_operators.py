@@ -1,6 +1,7 @@
 """Operators that SQL can't express, on small fixtures."""
 
 import datetime
+import re
 
 import numpy as np
 import pytest
@@ -158,6 +159,17 @@ def test_generated_files_are_dealt_before_they_are_read(spark):
         assert "REPARTITION_BY_NUM" in query(spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_parse_quality_deals_files_and_symbols_by_path(spark):
+    """Lines of symbols are counted where a bounded number of files was dealt to; overlaps count once, and symbols of no file or without lines change nothing else."""
+    files = spark.range(20_000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit("a\nb\nc\nd").alias("content"))
+    names = spark.createDataFrame([("f1", 1, 3), ("f1", 2, 3), ("f1", 2, 2), ("f2", None, None), ("gone", 1, 4), (None, 1, 1)], "path string, start_line int, end_line int")
+    found = code.parse_quality(names, files)
+    shuffles = re.findall(r"Exchange hashpartitioning\([^)]*\)", found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])
+    assert len(shuffles) == 2 and all(re.fullmatch(r"Exchange hashpartitioning\(path#\d+, 3\)", x) for x in shuffles)
+    rows = {r.path: tuple(r)[1:] for r in found.filter("path in ('f1', 'f2', 'f3')").collect()}
+    assert rows == {"f1": (3, 0.75, 0.875, True), "f2": (1, 0.0, 1 / 6, False), "f3": (0, 0.0, 0.0, False)}
+
+
 def test_windows_are_hashed_in_bounded_memory():
     """What the sums of a batch of texts take does not follow the batch's size."""
     import tracemalloc
