@@ -138,6 +138,17 @@ def test_parses_are_kept_by_content(spark, tmp_path):
     assert newer.ingest(files)["parsed"] == 3 and cache.symbols(files).count() == 0
 
 
+def test_patterns_are_compiled_once(monkeypatch):
+    """No pattern is looked up while a file is read."""
+    from lodestone.operators import scanner
+
+    texts = {"ts": "class A {\n  m(a = '}') { } // x\n}\nconst b = 1\n", "py": "class A:\n    def m(self): pass # x\n", "go": "type A struct {\n  a int // }\n}\n", "rs": "struct A { a: i32 } // x\n", "java": "class A {\n  void m() { String s = \"}\"; }\n}\n"}
+    wanted = {x: scanner.definitions(text, x) for x, text in texts.items()}
+    for name in ("sub", "search", "match", "finditer"):
+        monkeypatch.delattr(scanner.regex, name)
+    assert all(wanted.values()) and {x: scanner.definitions(text, x) for x, text in texts.items()} == wanted
+
+
 def test_slices_are_bounded(spark):
     rows = spark.createDataFrame([("x" * n,) for n in (10, 90, 200, 5, 5)] + [(None,)], "t string").coalesce(1)
 
