@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.batches import sliced
 from lodestone.functions import text as T
-from lodestone.io import parts_of, shuffled
+from lodestone.io import parts_of, shuffled, written
 from lodestone.operators.publication import Catalogue
 from lodestone.operators.scanner import definitions as scanned
 
@@ -168,7 +168,14 @@ class ParseCache:
 
         def step(seen: int) -> int:
             tables = self._held(seen)
-            new = contents(files).dropDuplicates(["digest", "extension"]).join(shuffled(self._keys(tables).select("digest", "extension")), ["digest", "extension"], "left_anti")
+            # Written once, as each table and each count would read, digest and shuffle all files again: a row for each content, with its text where it is new.
+            held = self._keys(tables).select("digest", "extension").distinct().withColumn("held", F.lit(True))
+            each = contents(files).dropDuplicates(["digest", "extension"]).join(shuffled(held), ["digest", "extension"], "left")
+            each = written(each.select("digest", "extension", "held", F.when(F.col("held").isNull(), F.col("content")).alias("content")).repartition(parts_of(files), "digest"), "contents")
+            new = each.filter("held is null")
+            parsed, self.distinct = new.count(), each.count()
+            if not parsed and tables:
+                return seen
             # The parsers see the content's key as its path, with the extension last.
             named = new.select(F.concat_ws(".", "digest", "extension").alias("path"), "content", "digest", "extension")
             made = {
@@ -177,16 +184,12 @@ class ParseCache:
                 "edges": edges(named).withColumns(_keyed()).drop("path"),
             }
             paths = {name: [*tables.get(name, []), self.catalogue.stage(name, rows)] for name, rows in made.items()}
-            parsed = self.spark.read.parquet(paths["entries"][-1]).count()
-            if not parsed and tables:
-                return seen
             self.parsed = parsed
             return self.catalogue.commit(seen, paths, {"parser": self.version})
 
-        self.parsed = 0
+        self.parsed = self.distinct = 0
         self.catalogue.retried(step)
-        distinct = contents(files).select("digest", "extension").distinct().count()
-        return {"files": files.count(), "parsed": self.parsed, "reused": distinct - self.parsed}
+        return {"files": files.count(), "parsed": self.parsed, "reused": self.distinct - self.parsed}
 
     def symbols(self, files: DataFrame) -> DataFrame:
         """(path and the columns of ``definitions``) of files that were ingested."""
@@ -202,7 +205,7 @@ class ParseCache:
 
     def prune(self, files: DataFrame) -> dict[str, int]:
         """Forgets contents that no file has any more; counts of entries kept and forgotten."""
-        live, told = contents(files).select("digest", "extension").distinct(), {}
+        live, told = written(contents(files).select("digest", "extension").distinct(), "live"), {}
 
         def step(seen: int) -> int:
             tables = self._held(seen)

@@ -149,6 +149,19 @@ def test_patterns_are_compiled_once(monkeypatch):
     assert all(wanted.values()) and {x: scanner.definitions(text, x) for x, text in texts.items()} == wanted
 
 
+def test_new_contents_are_found_once(spark, tmp_path, monkeypatch):
+    """What is parsed is read from files that were written once, neither joined nor shuffled again for each table; contents that are known are not parsed."""
+    seen = []
+    for name in ("definitions", "edges"):
+        monkeypatch.setattr(code, name, lambda files, real=getattr(code, name): seen.append(files) or real(files))
+    cache = code.ParseCache(Catalogue(spark, str(tmp_path)))
+    files = spark.createDataFrame([(f"f{k}.py", f"def f{k % 7}(): pass") for k in range(20)], "path string, content string")
+    assert cache.ingest(files) == {"files": 20, "parsed": 7, "reused": 0}
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in seen]
+    assert len(plans) == 2 and not any("Exchange" in p or "Join" in p for p in plans)
+    assert cache.ingest(files.limit(3)) == {"files": 3, "parsed": 0, "reused": 3} and len(seen) == 2 and cache.symbols(files).count() == 20
+
+
 def test_slices_are_bounded(spark):
     rows = spark.createDataFrame([("x" * n,) for n in (10, 90, 200, 5, 5)] + [(None,)], "t string").coalesce(1)
 
