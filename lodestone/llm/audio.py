@@ -9,7 +9,9 @@ differing bits over the overlap, and that rate decides.
 Recordings with equal fingerprints form a class, so copies are compared once; a recording's class and the class's
 matches are what is returned. Every class with a query is compared with every other class at every offset, without
 candidates that could be missed: bits are +1 and -1, and the sums of their products at all offsets come from Fourier transforms of
-blocks of recordings. Places that are silent in both recordings say nothing, so silence matches only itself.
+blocks of recordings. Where many short fingerprints have one length, the transforms there and back are matrix products, and two
+recordings share a number; the pairs whose sums reach the bound, less what rounding may take, are then counted bit by bit.
+Places that are silent in both recordings say nothing, so silence matches only itself.
 
 Results for odd input: null or unreadable media, and audio too short for one integer, have an empty fingerprint and no class
 or match; ties of offsets go to the longer overlap, then the smallest offset; repeated rows share their class; an empty table gives no rows; further
@@ -45,9 +47,27 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Share of bits that may differ for a match; integers, not silent in both, that must overlap.
 MAX_ERROR = 0.25
 MIN_OVERLAP = 16
-#: Queries and others in a block; a task compares two blocks.
-QUERY_BLOCK = 1024
-OTHER_BLOCK = 2048
+#: Integers in a block of queries and in one of others, about; a task compares two blocks.
+QUERY_PLACES = 1 << 18
+OTHER_PLACES = 1 << 16
+#: Longest fingerprints that are compared in groups of one length, and the recordings that make a group.
+SHORT = 126
+GROUP = 16
+#: Longest fingerprints of which two share a number: sums of agreeing less half of all bits, less their bound, lie within 1024 then.
+PAIRED = 42
+SHARE = 2048
+#: What rounding may take from such a sum; 1 is the most that was seen with PAIRED places, bits all alike included.
+SLACK = 8
+#: Pairs of recordings whose sums are in memory at once, by queries and others.
+TILE = (128, 128)
+#: Added to a sum below 2**22, it leaves the sum's whole part in the low bits of a 32-bit float; this bit is set if the sum isn't negative.
+WHOLE, NOT_NEGATIVE = float(3 << 22), 1 << 22
+_FREQUENCY = np.fft.rfftfreq(FRAME, 1 / RATE)
+_USED = np.flatnonzero((_FREQUENCY >= 55) & (_FREQUENCY <= 3520))
+_TO_CLASS = np.eye(12)[np.round(12 * np.log2(_FREQUENCY[_USED] / 440)).astype(int) % 12]
+_WINDOW = np.hanning(FRAME)
+#: Frames whose fingerprints are made at once, about.
+FRAMES = 1 << 15
 
 
 def samples(media: bytes) -> tuple[np.ndarray, int]:
@@ -69,13 +89,11 @@ def chroma(sound: np.ndarray, rate: int = RATE) -> np.ndarray:
     n = (len(sound) - FRAME) // HOP + 1
     if n < 1:
         return np.zeros((0, 12))
-    frequency = np.fft.rfftfreq(FRAME, 1 / RATE)
-    used = np.flatnonzero((frequency >= 55) & (frequency <= 3520))
-    classes = np.round(12 * np.log2(frequency[used] / 440)).astype(int) % 12
-    to_class = np.zeros((len(used), 12))
-    to_class[np.arange(len(used)), classes] = 1
     frames = np.lib.stride_tricks.sliding_window_view(sound, FRAME)[::HOP]
-    out = np.concatenate([np.abs(np.fft.rfft(frames[k : k + 256] * np.hanning(FRAME))[:, used]) ** 2 @ to_class for k in range(0, n, 256)])
+    out = np.empty((n, 12))
+    for k in range(0, n, 256):
+        found = np.fft.rfft(frames[k : k + 256] * _WINDOW)[:, _USED[0] : _USED[-1] + 1]
+        out[k : k + 256] = (found.real**2 + found.imag**2) @ _TO_CLASS
     sums = np.cumsum(np.vstack((np.zeros(12), out)), 0)
     out = sums[SMOOTH:] - sums[:-SMOOTH] if n >= SMOOTH else out
     norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -84,17 +102,21 @@ def chroma(sound: np.ndarray, rate: int = RATE) -> np.ndarray:
 
 def fingerprint(frames: np.ndarray) -> np.ndarray:
     """A packed integer for each place at which all filters fit."""
-    n = len(frames) - WIDTH + 1
+    return fingerprints_of(frames[None])[0]
+
+
+def fingerprints_of(frames: np.ndarray) -> np.ndarray:
+    """The same for recordings of one length: (recording, place) of (recording, frame, pitch class)."""
+    n = frames.shape[1] - WIDTH + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
-    image = np.zeros((len(frames) + 1, 13))
-    image[1:, 1:] = frames.cumsum(0).cumsum(1)
-    at = np.arange(n)
+        return np.zeros((len(frames), 0), np.uint32)
+    image = np.zeros((13, len(frames), frames.shape[1] + 1))
+    image[1:, :, 1:] = frames.transpose(2, 0, 1).cumsum(2).cumsum(0)
 
     def box(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return (image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]) / ((t1 - t0) * (p1 - p0))
+        return (image[p1, :, t1 : t1 + n] - image[p1, :, t0 : t0 + n] - image[p0, :, t1 : t1 + n] + image[p0, :, t0 : t0 + n]) / ((t1 - t0) * (p1 - p0))
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((len(frames), n), np.uint32)
     for kind, low, high, time in FILTERS:
         p, q, half = low, min(12, low + high), time // 2
         mid = (p + q) // 2
@@ -124,15 +146,24 @@ def fingerprints(media: DataFrame, key: str, column: str, decode: Callable[[obje
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part, prints = batch.slice(k, 256), []
-                for value in part.column("media"):
+                part, prints, heard = batch.slice(k, 256), [np.zeros(0, np.int64)] * min(256, batch.num_rows - k), {}
+                for i, value in enumerate(part.column("media")):
                     try:
-                        found = fingerprint(chroma(*decode(value.as_py()))) if value.is_valid else np.zeros(0, np.uint32)
+                        frames = chroma(*decode(value.as_py())) if value.is_valid else np.zeros((0, 12))
                     except (ValueError, EOFError, ArithmeticError, wave.Error, struct.error):
-                        found = np.zeros(0, np.uint32)
-                    prints.append(found.astype(np.int64))
+                        continue
+                    heard.setdefault(len(frames), []).append((i, frames))
+                    if len(frames) * len(heard[len(frames)]) >= FRAMES:
+                        put(prints, heard.pop(len(frames)))
+                for same in heard.values():
+                    put(prints, same)
                 names = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else None for x in prints]
-                yield pa.record_batch([part.column(key), pa.array(prints, pa.list_(pa.int64())), pa.array(names, pa.string())], [key, "prints", "class"])
+                ends = np.cumsum([0, *map(len, prints)], dtype=np.int32)
+                yield pa.record_batch([part.column(key), pa.ListArray.from_arrays(ends, np.concatenate(prints)), pa.array(names, pa.string())], [key, "prints", "class"])
+
+    def put(prints: list[np.ndarray], same: list[tuple[int, np.ndarray]]) -> None:
+        for (i, _), found in zip(same, fingerprints_of(np.stack([x for _, x in same])), strict=True):
+            prints[i] = found.astype(np.int64)
 
     return media.select(key, F.col(column).alias("media")).mapInArrow(run, f"{key} {kind}, prints array<bigint>, class string")
 
@@ -162,8 +193,121 @@ def spectra(prints: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray
     return moved, np.array([len(x) for x in prints], np.int32), np.fft.rfft(quiet) if quiet.any() else None
 
 
+def waves(prints: np.ndarray, size: int, paired: bool) -> np.ndarray:
+    """(frequency, recording, real parts of the bits and imaginary parts) for fingerprints of one length; if ``paired``, each second recording is added
+    SHARE times to the one before."""
+    signs = (prints[:, None, :] >> np.arange(32, dtype=np.uint32)[:, None] & np.uint32(1)).astype(np.float32) * 2 - 1
+    if paired:
+        both = signs[::2].copy()
+        both[: len(signs) // 2] += SHARE * signs[1::2]
+        signs = both
+    turn = 2 * np.pi * np.outer(np.arange(prints.shape[1]), np.arange(size // 2 + 1)) / size
+    found = signs.reshape(-1, prints.shape[1]) @ np.hstack((np.cos(turn), -np.sin(turn))).astype(np.float32)
+    return np.ascontiguousarray(found.reshape(len(signs), 32, 2, -1).transpose(3, 0, 2, 1)).reshape(size // 2 + 1, len(signs), 64)
+
+
+def candidates(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that match at some offset, and of few others, of fingerprints of one length on each side."""
+    x, y = left.shape[1], right.shape[1]
+    paired, most = max(x, y) <= PAIRED, max(x, y)
+    # An odd number of places at which the offsets that count, and as many to the other side, don't meet others.
+    size = (2 * most - MIN_OVERLAP) | 1
+    d, f = np.arange(most - MIN_OVERLAP + 1)[:, None], np.arange(size // 2 + 1)
+    # Half the sums of products: the even and the odd part, which add up at offset d, and whose difference belongs to -d.
+    scale = np.where(f == 0, 0.5, 1.0) / size
+    even, odd = ((g(2 * np.pi * d * f / size) * scale).astype(np.float32) for g in (np.cos, lambda v: -np.sin(v)))
+    overlap = np.maximum(np.minimum(x, y - d), 0), np.maximum(np.minimum(x - d, y), 0)
+    after, before = (np.where(n >= MIN_OVERLAP, 16 * n * (1 - 2 * MAX_ERROR) - SLACK, 16 * n + SLACK) for n in overlap)
+    times = 1 + SHARE if paired else 1
+    shift = (WHOLE + (SHARE // 2 if paired else 0) - times * (after + before) / 2).astype(np.float32)
+    tilt = (times * (after - before) / 2).astype(np.float32)
+    b = waves(right, size, paired)
+    b = [(np.ascontiguousarray(t.transpose(0, 2, 1)), np.ascontiguousarray(np.concatenate((t[:, :, 32:], -t[:, :, :32]), 2).transpose(0, 2, 1))) for k in range(0, b.shape[1], TILE[1]) if (t := b[:, k : k + TILE[1]]) is not None]
+    # The same memory for all tiles.
+    products = np.empty(len(f) * TILE[0] * TILE[1], np.float32)
+    sums, other, both = (np.empty(len(d) * TILE[0] * TILE[1], np.float32) for _ in range(3))
+    for k in range(0, len(left), TILE[0]):
+        a = waves(left[k : k + TILE[0]], size, False)
+        for at, (same, turned) in enumerate(b):
+            n = a.shape[1] * same.shape[2]
+            out = products[: len(f) * n].reshape(len(f), a.shape[1], -1)
+            e, o, found = (v[: len(d) * n].reshape(len(d), n) for v in (sums, other, both))
+            np.matmul(even, np.matmul(a, same, out=out).reshape(len(f), n), out=e)
+            np.matmul(odd, np.matmul(a, turned, out=out).reshape(len(f), n), out=o)
+            e += shift
+            if x != y:
+                o -= tilt
+            np.add(e, o, out=found)
+            e -= o
+            bits = np.bitwise_or.reduce(found.view(np.int32), 0) | np.bitwise_or.reduce(e.view(np.int32), 0)
+            for bit, step in ((SHARE // 2, 0), (NOT_NEGATIVE, 1)) if paired else ((NOT_NEGATIVE, 0),):
+                if len(hit := np.flatnonzero(bits & bit)):
+                    i, j = np.divmod(hit, same.shape[2])
+                    j = (j + at * TILE[1]) * (1 + paired) + step
+                    yield k + i[j < len(right)], j[j < len(right)]
+
+
+def settled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs of fingerprints, one length on each side: which match, and for these offset, votes, overlap and bit error."""
+    x, y = a.shape[1], b.shape[1]
+    best, offset, overlap = np.full(len(a), np.inf), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    silent = (a == SILENT).any() and (b == SILENT).any()
+    lengths = {d: min(x, x + d, y, y - d) for d in range(MIN_OVERLAP - x, y - MIN_OVERLAP + 1)}
+    for d, n in sorted(lengths.items(), key=lambda v: (-v[1], v[0])):
+        if n < MIN_OVERLAP:
+            continue
+        p, q = a[:, max(0, -d) :][:, :n], b[:, max(0, d) :][:, :n]
+        differ = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+        sounding = n - ((p == SILENT) & (q == SILENT)).sum(1) if silent else np.full(len(a), n)
+        rate = differ / (32 * n)
+        good = np.flatnonzero((sounding >= MIN_OVERLAP) & (differ <= 32 * MAX_ERROR * sounding) & (rate < best))
+        best[good], offset[good], overlap[good] = rate[good], d, n
+    which = np.flatnonzero(overlap)
+    place = np.arange(x) + offset[which, None]
+    votes = ((place >= 0) & (place < y) & (a[which] == np.take_along_axis(b[which], np.clip(place, 0, y - 1), 1))).sum(1)
+    return which, offset[which], votes, overlap[which], best[which]
+
+
+def compare_even(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """``compare`` for fingerprints of one length on each side."""
+    for i, j in gathered(candidates(left, right), 4096):
+        which, *rest = settled(left[i], right[j])
+        yield from zip(i[which].tolist(), j[which].tolist(), *(v.tolist() for v in rest), strict=True)
+
+
+def gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int) -> Iterator[np.ndarray]:
+    """(2, rows): what arrives in small pieces, or in large ones, by so many rows."""
+    held, n = [], 0
+    for piece in pairs:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= rows:
+            whole = np.hstack(held)
+            for k in range(0, n - rows + 1, rows):
+                yield whole[:, k : k + rows]
+            held = [whole[:, n // rows * rows :]]
+            n %= rows
+    if n:
+        yield np.hstack(held)
+
+
 def compare(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
     """(i, j, offset, votes, overlap, bit error) of the pairs that match, at their best offset; votes are the equal integers."""
+    sides = [np.array([len(v) for v in side], np.int64) for side in (left, right)]
+    groups = [{int(n): np.flatnonzero(side == n) for n, count in zip(*np.unique(side, return_counts=True), strict=True) if MIN_OVERLAP <= n <= SHORT and count >= GROUP} for side in sides]
+    for these in groups[0].values():
+        for those in groups[1].values():
+            for i, j, *rest in compare_even(np.stack([left[i] for i in these]), np.stack([right[j] for j in those])):
+                yield int(these[i]), int(those[j]), *rest
+    # The rest: what is in no group with all, and the groups of the other side with what is in none here.
+    single = [np.setdiff1d(np.arange(len(side)), np.concatenate([np.zeros(0, np.int64), *found.values()])) for side, found in zip(sides, groups, strict=True)]
+    for these, those in ((np.arange(len(left)), single[1]), (single[0], np.setdiff1d(np.arange(len(right)), single[1]))):
+        for i, j, *rest in compare_any([left[i] for i in these], [right[j] for j in those]):
+            yield int(these[i]), int(those[j]), *rest
+
+
+def compare_any(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """``compare`` for fingerprints of any lengths."""
     lefts, rights = list(batches(left, 32)), list(batches(right, 256))
     for those in rights:
         known: dict[int, tuple] = {}
@@ -202,13 +346,19 @@ def compare(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[i
                             yield int(these[i]), int(those[j]), d, int((p == q).sum()), n, float(differ[best] / (32 * n))
 
 
+def unpacked(prints: pa.ListArray) -> list[np.ndarray]:
+    """The integers of ``align``, which shuffles them as signed ones of 32 bits."""
+    ends = prints.offsets.to_numpy()
+    return np.split(prints.flatten().to_numpy().view(np.uint32) ^ np.uint32(1 << 31), ends[1:-1] - ends[0]) if len(prints) else []
+
+
 def compare_blocks(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The matches of each row's two blocks."""
     names, kinds = ["query", "other", "offset", "votes", "overlap", "bit_error"], [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
     for batch in blocks:
         for k in range(batch.num_rows):
             asked, others = (batch.column(c)[k].values for c in ("asked", "others"))
-            sides = [(x.field("class").to_pylist(), [np.array(v, np.int64).astype(np.uint32) for v in x.field("prints").to_pylist()]) for x in (asked, others)]
+            sides = [(x.field("class").to_pylist(), unpacked(x.field("prints"))) for x in (asked, others)]
             (left, a), (right, b) = sides
             out = [(left[i], right[j], *rest) for i, j, *rest in compare(a, b) if left[i] != right[j]]
             if out:
@@ -219,8 +369,9 @@ def align(found: DataFrame) -> DataFrame:
     """(query, other, offset, votes, overlap, bit_error): pairs of classes, the first with a query, that match at their best
     offset. Each block of queries meets each block of others in a row of its own."""
     enough = found.filter(F.size("prints") >= MIN_OVERLAP)
-    count = enough.agg(F.count("*").alias("n"), F.count(F.when(F.col("is_query"), 1)).alias("asked")).first()
-    parts, asked_parts = max(1, -(-count.n // OTHER_BLOCK)), max(1, -(-count.asked // QUERY_BLOCK))
+    count = enough.agg(F.sum(F.size("prints")).alias("n"), F.sum(F.when(F.col("is_query"), F.size("prints"))).alias("asked")).first()
+    parts, asked_parts = max(1, -(-(count.n or 0) // OTHER_PLACES)), max(1, -(-(count.asked or 0) // QUERY_PLACES))
+    enough = enough.withColumn("prints", F.transform("prints", lambda x: (x - F.lit(1 << 31)).cast("int")))
     block = lambda n: F.pmod(F.xxhash64("class"), F.lit(n)).cast("int")
     listed = F.collect_list(F.struct("class", "prints"))
     asked = enough.filter("is_query").groupBy(block(asked_parts).alias("qb")).agg(listed.alias("asked"))
@@ -245,6 +396,10 @@ def search(media: DataFrame, key: str, column: str, decode: Callable[[object], t
     return joined.select(key, F.size("prints").alias("n_prints"), F.col("rep").alias("class_id"), F.col("n").alias("class_size"), F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce("matches", empty).alias("matches"))
 
 
+#: A sixteenth of a second of each semitone.
+_TONES = np.sin(2 * np.pi * (220.0 * 2 ** (np.arange(12.0) / 12))[:, None] * (np.arange(RATE // 16) / RATE))
+
+
 def melody(values: list[float] | None) -> tuple[np.ndarray, int]:
     """Test audio of a vector: a tone of a sixteenth of a second for each number, one of twelve semitones that rise with the number over the
     vector's root mean square. Near vectors share most tones, so they sound alike; unrelated ones do not."""
@@ -254,6 +409,4 @@ def melody(values: list[float] | None) -> tuple[np.ndarray, int]:
     scale = np.abs(v).max()
     v = v / scale if scale else v
     level = np.tanh(v / (1.2 * np.sqrt((v * v).mean()) or 1.0))
-    pitch = 220.0 * 2 ** (np.clip(np.floor((level + 1) * 6), 0, 11) / 12)
-    t = np.arange(RATE // 16) / RATE
-    return np.sin(2 * np.pi * pitch[:, None] * t).ravel(), RATE
+    return _TONES[np.clip(np.floor((level + 1) * 6), 0, 11).astype(int)].ravel(), RATE

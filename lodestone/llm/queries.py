@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.io import kept_dir, table
+from lodestone.io import kept_dir, parts_of, table
 from lodestone.llm import audio, bpe, exact_dedup, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, time_partitions, vector_codes, warc
 
 
@@ -35,7 +35,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of audio made from every embedding, and the recordings that align with those whose id 20 divides."""
-    return audio.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", audio.melody)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return audio.search(vectors.repartition(parts_of(vectors, 2048)), "vec_id", "embedding", audio.melody)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
