@@ -48,8 +48,8 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 MAX_ERROR = 0.25
 MIN_OVERLAP = 16
 #: Integers in a block of queries and in one of others, about; a task compares two blocks.
-QUERY_PLACES = 1 << 18
-OTHER_PLACES = 1 << 16
+QUERY_PLACES = 1 << 17
+OTHER_PLACES = 1 << 17
 #: Longest fingerprints that are compared in groups of one length, and the recordings that make a group.
 SHORT = 126
 GROUP = 16
