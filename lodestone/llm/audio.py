@@ -146,24 +146,26 @@ def fingerprints(media: DataFrame, key: str, column: str, decode: Callable[[obje
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                part, prints, heard = batch.slice(k, 256), [np.zeros(0, np.int64)] * min(256, batch.num_rows - k), {}
+                part, prints, heard, n = batch.slice(k, 256), [np.zeros(0, np.int64)] * min(256, batch.num_rows - k), {}, 0
                 for i, value in enumerate(part.column("media")):
                     try:
                         frames = chroma(*decode(value.as_py())) if value.is_valid else np.zeros((0, 12))
                     except (ValueError, EOFError, ArithmeticError, wave.Error, struct.error):
                         continue
                     heard.setdefault(len(frames), []).append((i, frames))
-                    if len(frames) * len(heard[len(frames)]) >= FRAMES:
-                        put(prints, heard.pop(len(frames)))
-                for same in heard.values():
-                    put(prints, same)
+                    n += len(frames)
+                    if n >= FRAMES:
+                        put(prints, heard)
+                        heard, n = {}, 0
+                put(prints, heard)
                 names = [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if len(x) else None for x in prints]
                 ends = np.cumsum([0, *map(len, prints)], dtype=np.int32)
                 yield pa.record_batch([part.column(key), pa.ListArray.from_arrays(ends, np.concatenate(prints)), pa.array(names, pa.string())], [key, "prints", "class"])
 
-    def put(prints: list[np.ndarray], same: list[tuple[int, np.ndarray]]) -> None:
-        for (i, _), found in zip(same, fingerprints_of(np.stack([x for _, x in same])), strict=True):
-            prints[i] = found.astype(np.int64)
+    def put(prints: list[np.ndarray], heard: dict[int, list[tuple[int, np.ndarray]]]) -> None:
+        for same in heard.values():
+            for (i, _), found in zip(same, fingerprints_of(np.stack([x for _, x in same])), strict=True):
+                prints[i] = found.astype(np.int64)
 
     return media.select(key, F.col(column).alias("media")).mapInArrow(run, f"{key} {kind}, prints array<bigint>, class string")
 
